@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import numbers
-from .minhash import Forest, whole_units
-from .shared import components, group_values, materialize, salt_of
+from .minhash import Forest
+from .shared import components, group_values, in_units, materialize, salt_of, whole_units
 
 WIDTH = 8
 GRID = 3
@@ -195,7 +195,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
     home = F.concat(F.transform(every, lambda k: place_of(mine, k, F.lit(0))), F.transform(F.filter(every, lambda k: k < mine), lambda k: place_of(k, mine, F.lit(1))))
     dealt = units.withColumn("at", F.explode(F.when(F.col("home"), home).otherwise(F.transform(every, lambda k: place_of(k, mine, F.lit(2)))))).select(
         F.xxhash64(*cells, "at.i", "at.j").alias("unit"), "dim", "block", (F.col("at.side") + F.when((F.col("at.side") == 0) & (F.col("at.i") != F.col("at.j")), ACROSS).otherwise(0)).alias("side"), "id", "weight", "embedding")
-    found = materialize(dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare(threshold), "id long, links long, other long"), "found")
+    found = materialize(in_units(dealt, compare(threshold), "id long, links long, other long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     top = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes = classes.join(links, "id", "left").join(top.withColumnRenamed("node", "id"), "id", "left")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import distinct_sets, shingle_hashes, sketches, text_chunks, word_hashes
-from .shared import components, discard, group_values, materialize, salt_of
+from .shared import components, discard, group_values, in_units, materialize, salt_of, whole_units
 
 SKETCH = 64
 TREES = 10
@@ -37,26 +37,7 @@ LEVELS = 5
 SMALL = 64
 #: Documents in one confirming task, and in one side of a block.
 BLOCK = 100
-
-
-def whole_units(batches: Iterator[pa.RecordBatch], key: str = "unit") -> Iterator[pa.Table]:
-    """Tables of complete runs of ``key`` from batches in which equal keys are together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
-        new = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != keys[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(new):
-            yield pa.Table.from_batches([*held, batch.slice(0, int(new[-1]))])
-            held = [batch.slice(int(new[-1]))]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
+LINKS = "a long, b long"
 
 
 class Forest:
@@ -134,11 +115,6 @@ def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def in_units(rows: DataFrame, run: Callable, n: int | None = None) -> DataFrame:
-    """Bring the rows of each ``unit`` together and apply ``run``; gives ``(a, b)``."""
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
-
-
 def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
     """Nominated edges ``(a, b)`` between the documents ``(id, n_shingles, sketch)``."""
     run = nominate(threshold_percent)
@@ -160,7 +136,7 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
         level = level.join(group_values(level, "unit", "id", aggs, open_), ["unit", "salt"]).select("unit", "id", "label", "n", F.col("lead.id").alias("lead"))
         level = materialize(level.join(reps, "id"), f"level{depth}")
         small = level.where(F.col("n") <= SMALL)
-        edges.append(materialize(in_units(small.select("unit", "id", "n_shingles", "label", "sketch"), run), "edges"))
+        edges.append(materialize(in_units(small.select("unit", "id", "n_shingles", "label", "sketch"), run, LINKS), "edges"))
         large = level.where(F.col("n") > SMALL)
         if large.isEmpty():
             discard(level)
@@ -171,7 +147,7 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
             other = F.explode(F.sequence(F.lit(0), chunks - 1))
             blocks = large.withColumn("mine", mine).withColumn("other", other)
             blocks = blocks.withColumn("unit", F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other")))
-            edges.append(materialize(in_units(blocks.select("unit", "id", "n_shingles", "label", "sketch"), run), "edges"))
+            edges.append(materialize(in_units(blocks.select("unit", "id", "n_shingles", "label", "sketch"), run, LINKS), "edges"))
             discard(level)
             break
         # One row per (unit, salt) carries the lead's sketch to the members.
@@ -238,7 +214,7 @@ def confirmed_edges(docs: DataFrame, nominated: DataFrame, threshold_percent: in
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     members = materialize(texts.join(group, "id").dropDuplicates(["id"]), "members")
     small = members.where(F.col("n") <= BLOCK).select(F.col("component").alias("unit"), "id", F.lit(True).alias("probe"), "text")
-    edges = materialize(in_units(small, run), "edges")
+    edges = materialize(in_units(small, run, LINKS), "edges")
     large = members.where(F.col("n") > BLOCK)
     if large.isEmpty():
         discard(members)
@@ -248,7 +224,7 @@ def confirmed_edges(docs: DataFrame, nominated: DataFrame, threshold_percent: in
     lead = F.col("id") == F.col("component")
     star = large.where(~lead).select("component", "id", F.lit(False).alias("probe"), "text", chunk(F.col("n"), 5).alias("at"))
     star = star.union(large.where(lead).select("component", "id", F.lit(True).alias("probe"), "text", every(F.col("n")).alias("at")))
-    stars = materialize(in_units(star.select(F.xxhash64("component", "at").alias("unit"), "id", "probe", "text"), run), "edges")
+    stars = materialize(in_units(star.select(F.xxhash64("component", "at").alias("unit"), "id", "probe", "text"), run, LINKS), "edges")
     rest = large.where(~lead).join(stars.select(F.col("b").alias("id")), "id", "left_anti").drop("text", "salt")
     rest = materialize(rest, "rest")
     counts = rest.withColumn("salt", salt_of(F.col("id"))).groupBy("component").agg(F.count("*").alias("r"))
@@ -261,7 +237,7 @@ def confirmed_edges(docs: DataFrame, nominated: DataFrame, threshold_percent: in
     probes = large.join(pick, "id").select("component", "id", F.lit(True).alias("probe"), "text", chunk(F.col("r"), 6).alias("i"), every(F.col("n")).alias("j"))
     others = large.select("component", "id", F.lit(False).alias("probe"), "text", every(F.col("r")).alias("i"), chunk(F.col("n"), 7).alias("j"))
     blocks = probes.union(others).select(F.xxhash64("component", "i", "j").alias("unit"), "id", "probe", "text")
-    return edges.union(stars).union(materialize(in_units(blocks, run), "edges"))
+    return edges.union(stars).union(materialize(in_units(blocks, run, LINKS), "edges"))
 
 
 def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5) -> DataFrame:

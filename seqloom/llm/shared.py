@@ -1,94 +1,5 @@
-"""Helpers that several training-data operators use: tables in the shared folder, salted joins, components."""
+"""What the training-data operators use of the library's tables module."""
 
-from __future__ import annotations
+from ..operators.tables import SALTS, components, discard, group_values, in_units, materialize, salt_of, shared_dir, whole_units
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Buckets over which the rows of one key are dealt; a key with a third of all rows becomes SALTS small keys.
-SALTS = 64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='seqloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table of :func:`materialize` that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def salt_of(col: Column, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(col, F.lit(11)), F.lit(salts)).cast("int")
-
-
-def group_values(rows: DataFrame, key: str, member: str, aggs: dict[str, tuple[str, Column, str]], having: Column | None = None, salts: int = SALTS) -> DataFrame:
-    """Rows ``(key, salt, *aggs)`` to join back to ``rows`` on key and salt without a hot key.
-
-    ``aggs``: name -> (function of the first level, its column, function of the second level). The first level
-    aggregates by key and salt, the second by key, so no task gets more than ``salts`` rows of one key.
-    ``rows`` must have the column ``salt`` (see :func:`salt_of`).
-    """
-    first = rows.groupBy(key, "salt").agg(*(getattr(F, f)(c).alias(n) for n, (f, c, _) in aggs.items()))
-    second = first.groupBy(key).agg(*(getattr(F, g)(n).alias(n) for n, (_, _, g) in aggs.items()))
-    if having is not None:
-        second = second.where(having)
-    return first.select(key, "salt").join(second, key)
-
-
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Connected components of the undirected ``edges (a, b)``: one row ``(node, component)``, component = least node.
-
-    Randomised contraction: in each round every node hooks to the neighbour (or itself) of least random priority,
-    edges are relabelled by those parents, self loops and repeats dropped. Nodes fall by a constant factor a
-    round. Each round's tables are written to the shared folder; only an "is it empty" flag reaches the driver.
-    Nulls in an edge are ignored; an empty input gives an empty result.
-    """
-    e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    e = materialize(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    label = None
-    for k in range(max_rounds):
-        if e.isEmpty():
-            break
-        both = e.union(e.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), c.alias("v"))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("m"))
-        parent = parent.select("node", F.least("m", rank(F.col("node")))["v"].alias("parent"))
-        parent = materialize(parent, f"parent{k}")
-        pa, pb = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-        nxt = e.join(pa, "a").join(pb, "b").where("pa <> pb")
-        nxt = materialize(nxt.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        if label is None:
-            label = parent.select("node", F.col("parent").alias("top"))
-        else:
-            step = parent.select(F.col("node").alias("top"), F.col("parent").alias("up"))
-            label = label.join(step, "top", "left").select("node", F.coalesce("up", "top").alias("top"))
-        discard(e)
-        e = nxt
-    else:
-        raise RuntimeError(f"components: still contracting after {max_rounds} rounds")
-    if label is None:
-        node = edges.schema["a"].dataType
-        return edges.sparkSession.createDataFrame([], f"node {node.simpleString()}, component {node.simpleString()}")
-    label = label.withColumn("salt", salt_of(F.col("node")))
-    least = group_values(label, "top", "node", {"component": ("min", F.col("node"), "min")})
-    return label.join(least, ["top", "salt"]).select("node", "component")
+__all__ = ["SALTS", "components", "discard", "group_values", "in_units", "materialize", "salt_of", "shared_dir", "whole_units"]
