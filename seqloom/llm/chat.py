@@ -55,7 +55,8 @@ def leaf_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
         far = jump.select("tree", F.col("node").alias("up_node"), F.col("up_node").alias("far"))
         jump = materialize(jump.join(far, ["tree", "up_node"]).select("tree", "node", F.col("far").alias("up_node")), f"jump{len(jumps)}")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for k, jump in enumerate(jumps):
+    # Longest jumps first: the rows of short paths multiply only in the last, short ones.
+    for k, jump in reversed(list(enumerate(jumps))):
         stay = F.struct("node", "up")
         move = F.when(F.col("up_node").isNotNull(), F.struct(F.col("up_node").alias("node"), (F.col("up") + 2**k).alias("up")))
         paths = paths.join(jump, ["tree", "node"], "left").select("tree", "leaf", F.explode(F.array_compact(F.array(stay, move))).alias("p"))
