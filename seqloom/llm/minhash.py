@@ -5,7 +5,7 @@
    documents are compared exhaustively by sketch; a larger node is branched: each document goes to BRANCHES children,
    each named by a further minwise token that the node's hash picks. Before that, all of a large node are compared
    to one of them, and children of documents that this already joins are dropped: thousands of near copies, which
-   never part, end there. What is still large after LEVELS levels is compared in blocks of pairs. A node gives the
+   never part, end there, and strangers among them, if at most FEW, are compared to all of them at once. What is still large after LEVELS levels is compared in blocks of pairs. A node gives the
    edges of a spanning forest, never all pairs.
 3. The sketch only nominates (it passes pairs far below the threshold). Components of nominated edges are
    confirmed on the full sets, made anew from the whole texts: in one task where they are small, else against one
@@ -35,6 +35,7 @@ TREES = 10
 BRANCHES = 2
 LEVELS = 5
 SMALL = 64
+FEW = 512
 #: Documents in one confirming task, and in one side of a block.
 BLOCK = 100
 LINKS = "a long, b long"
@@ -83,13 +84,17 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compare all pairs of each unit ``(unit, id, n_shingles, label, sketch)`` by sketch and size; give forest edges ``(a, b)``."""
+    """Compare the pairs of each unit ``(unit, id, n_shingles, label, mute, sketch)`` by sketch and size; give forest edges ``(a, b)``.
+
+    Rows with the same ``mute`` (not null) are not compared; rows with the same ``label`` are joined already.
+    """
     least = least_agreement(threshold_percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
             unit, ids, size = (table.column(c).to_numpy() for c in ("unit", "id", "n_shingles"))
-            label = table.column("label").fill_null(-1 << 63).to_numpy()
+            none = -1 << 63
+            label, mute = (table.column(c).fill_null(none).to_numpy() for c in ("label", "mute"))
             values = table.column("sketch").combine_chunks()
             values = np.asarray(values.flatten()).reshape(-1, SKETCH)
             _, first, inverse = np.unique(unit, return_index=True, return_inverse=True)
@@ -104,24 +109,38 @@ def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     a = live[at : at + 20_000]
                     b = a + step
                     big, small = np.maximum(size[a], size[b]), np.minimum(size[a], size[b])
-                    ok = (100 * small >= threshold_percent * big) & (ids[a] != ids[b]) & ((label[a] != label[b]) | (label[a] == -1 << 63))
+                    ok = (100 * small >= threshold_percent * big) & (ids[a] != ids[b]) & ((mute[a] != mute[b]) | (mute[a] == none))
                     a, b = a[ok], b[ok]
                     ok = (values[a] == values[b]).sum(axis=1) >= least
                     found.append(np.column_stack([a[ok], b[ok]]))
             forest = Forest()
+            # Rows of a unit that one document stands for are joined already.
+            known = np.flatnonzero(label != none)
+            known = known[np.lexsort((label[known], unit[known]))]
+            for a, b in zip(known[:-1].tolist(), known[1:].tolist()):
+                if label[a] == label[b] and unit[a] == unit[b]:
+                    forest.join(a, b)
             edges = [(ids[a], ids[b]) for a, b in np.concatenate([*found, np.zeros((0, 2), np.int64)]).tolist() if forest.join(a, b)]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def majority(rows: DataFrame) -> DataFrame:
+    """``(unit, salt, major, core_n)``: the most frequent label of each unit that has one, and its rows."""
+    first = rows.where("label is not null").groupBy("unit", "label", "salt").agg(F.count("*").alias("n"))
+    each = first.groupBy("unit", "label").agg(F.sum("n").alias("n"))
+    top = each.groupBy("unit").agg(F.max(F.struct("n", "label")).alias("m")).select("unit", F.col("m.label").alias("major"), F.col("m.n").alias("core_n"))
+    return rows.select("unit", "salt").distinct().join(top, "unit")
+
+
 def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
     """Nominated edges ``(a, b)`` between the documents ``(id, n_shingles, sketch)``."""
     run = nominate(threshold_percent)
     token = lambda k: F.element_at("sketch", k)
     level = reps.select("id", F.explode(F.array(*(F.xxhash64(F.lit(r), token(r + 1)) for r in range(TREES)))).alias("unit"), F.lit(None).cast("long").alias("label"))
+    columns = ("unit", "id", "n_shingles", "label", "mute", "sketch")
     edges: list[DataFrame] = []
-    spent: list[DataFrame] = []
     for depth in range(LEVELS + 1):
         level = level.withColumn("salt", salt_of(F.col("id")))
         aggs = {
@@ -136,7 +155,7 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
         level = level.join(group_values(level, "unit", "id", aggs, open_), ["unit", "salt"]).select("unit", "id", "label", "n", F.col("lead.id").alias("lead"))
         level = materialize(level.join(reps, "id"), f"level{depth}")
         small = level.where(F.col("n") <= SMALL)
-        edges.append(materialize(in_units(small.select("unit", "id", "n_shingles", "label", "sketch"), run, LINKS), "edges"))
+        edges.append(materialize(in_units(small.withColumn("mute", F.col("label")).select(*columns), run, LINKS), "edges"))
         large = level.where(F.col("n") > SMALL)
         if large.isEmpty():
             discard(level)
@@ -147,7 +166,7 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
             other = F.explode(F.sequence(F.lit(0), chunks - 1))
             blocks = large.withColumn("mine", mine).withColumn("other", other)
             blocks = blocks.withColumn("unit", F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other")))
-            edges.append(materialize(in_units(blocks.select("unit", "id", "n_shingles", "label", "sketch"), run, LINKS), "edges"))
+            edges.append(materialize(in_units(blocks.withColumn("mute", F.col("label")).select(*columns), run, LINKS), "edges"))
             discard(level)
             break
         # One row per (unit, salt) carries the lead's sketch to the members.
@@ -156,12 +175,22 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
         star = large.withColumn("salt", salt_of(F.col("id"))).join(leads.drop("lead"), ["unit", "salt"])
         agree = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         fits = (agree >= least_agreement(threshold_percent)) & (100 * F.least("n_shingles", "lead_n") >= threshold_percent * F.greatest("n_shingles", "lead_n"))
-        star = materialize(star.select("unit", "id", "sketch", "lead", fits.alias("fits"), F.when(fits, F.col("lead")).otherwise(F.col("label")).alias("label")), "star")
+        star = materialize(star.select("unit", "salt", "id", "n_shingles", "sketch", "n", "lead", fits.alias("fits"), F.when(fits, F.col("lead")).otherwise(F.col("label")).alias("label")), "star")
         edges.append(star.where("fits and id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
         discard(level)
-        spent.append(star)
+        # The documents under the most frequent label are joined already. Few others beside them: compare those with each
+        # other (in block 0) and with all of the node, in blocks. More of them: branch.
+        star = star.join(majority(star), ["unit", "salt"], "left")
+        core = F.coalesce(F.col("label") == F.col("major"), F.lit(False))
+        few = F.coalesce(F.col("n") - F.col("core_n"), F.col("n")) <= FEW
+        blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("core_n", F.lit(0)) / F.lit(4 * SMALL)).cast("int"))
+        place = F.when(core, F.array(F.pmod(F.xxhash64("id", F.lit(4)), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        probed = star.where(few & (F.col("core_n") < F.col("n"))).withColumn("core", core).withColumn("at", F.explode(place))
+        mute = F.when(F.col("core") | (F.col("at") == 0), F.col("label")).otherwise(F.lit(-2))
+        probed = probed.withColumn("mute", mute).withColumn("unit", F.xxhash64("unit", "at"))
+        edges.append(materialize(in_units(probed.select(*columns), run, LINKS), "edges"))
         branch = lambda k: F.xxhash64("unit", F.lit(k), F.element_at("sketch", (F.pmod(F.xxhash64("unit", F.lit(100 + k)), F.lit(SKETCH - TREES)) + TREES + 1).cast("int")))
-        level = star.select("id", "label", F.explode(F.array(*(branch(k) for k in range(BRANCHES)))).alias("unit"))
+        level = star.where(~few).select("id", "label", F.explode(F.array(*(branch(k) for k in range(BRANCHES)))).alias("unit"))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
