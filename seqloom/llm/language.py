@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ranges of code points by script (fixed values); every letter outside them is of one further script.
 SCRIPTS = {
@@ -240,7 +241,8 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_spans``; ``und`` with score 0 where a text is null or has no letter. Columns of these names are replaced."""
     docs = docs.drop("lang_pred", "lang_score", "lang_spans")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double, lang_spans array<struct<start: int, end: int, lang: string>>"
+    more = T._parse_datatype_string("lang_pred string, lang_score double, lang_spans array<struct<start: int, end: int, lang: string>>")
+    schema = T.StructType([*docs.schema.fields, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -293,5 +293,5 @@ def keep_first(docs: DataFrame, threshold_percent: int = 80, words: int = 5) ->
     """The rows of ``docs`` whose document is the least of its group; of rows that repeat a document one stays."""
     gone = near_duplicates(docs, threshold_percent, words).where("not kept").select("doc_id").distinct()
     once = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_once", once)
-    return kept.dropDuplicates(["doc_id", "_once"]).select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_seqloom_once", once)
+    return kept.dropDuplicates(["doc_id", "_seqloom_once"]).select(docs.columns)
