@@ -103,9 +103,10 @@ def lcs_matrix(a: list[str], b: list[str]) -> np.ndarray:
 def lcs_column(a: Column, b: Column) -> Column:
     """LCS of two strings of at most 62 letters as a Spark expression (one 64-bit word, no Python)."""
     size = F.length(a)
-    full = F.shiftleft(F.lit(1).cast("long"), size) - 1
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+    full = bit(size) - 1
     at = F.sequence(F.lit(0), size - 1)
-    where = lambda c: F.aggregate(F.filter(at, lambda k: F.substr(a, k + 1, F.lit(1)) == c), F.lit(0).cast("long"), lambda s, k: s + F.shiftleft(F.lit(1).cast("long"), k))
+    where = lambda c: F.aggregate(F.filter(at, lambda k: F.substr(a, k + 1, F.lit(1)) == c), F.lit(0).cast("long"), lambda s, k: s + bit(k))
     letters = F.array_distinct(F.split(a, ""))
     table = F.map_from_arrays(letters, F.transform(letters, where))
 

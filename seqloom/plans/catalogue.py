@@ -70,6 +70,11 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def joined(c: Column) -> Column:
+    """An array as a comma-separated string."""
+    return F.array_join(c.cast("array<string>"), ",")
+
+
 # --- scalar functions and filters
 
 
@@ -152,9 +157,9 @@ def chemistry_diagnostics(spark, d):
     )
 
 
-@query("SELECT seq, list_transform(string_split(seq, ''), lambda a: (strpos('ACDEFGHIKLMNPQRSTVWY', a) - 1)::INT) AS tokens FROM d", "c", "d")
+@query("SELECT seq, array_to_string(list_transform(string_split(seq, ''), lambda a: strpos('ACDEFGHIKLMNPQRSTVWY', a) - 1), ',') AS tokens FROM d", "c", "d")
 def residue_tokens(spark, d):
-    return distinct_candidates(spark, d).select("seq", R.tokens(F.col("seq")).alias("tokens"))
+    return distinct_candidates(spark, d).select("seq", joined(R.tokens(F.col("seq"))).alias("tokens"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity - m) / greatest(s, 0.01), 6) AS z FROM lineitem, (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM part)")
@@ -174,11 +179,12 @@ def header_families(spark, d):
 
 
 @query(
-    "SELECT d.seq, list(conv_id ORDER BY conv_id, turn) AS ids, list(turn ORDER BY conv_id, turn) AS headers FROM d JOIN k USING (seq) GROUP BY d.seq",
+    "SELECT d.seq, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id, turn) AS ids, string_agg(turn::VARCHAR, ',' ORDER BY conv_id, turn) AS headers FROM d JOIN k USING (seq) GROUP BY d.seq",
     "c", "d", "k",
 )
 def exact_overlap_headers(spark, d):
-    return sets.exact_matches(distinct_candidates(spark, d), known(spark, d), ident="conv_id", header="turn")
+    out = sets.exact_matches(distinct_candidates(spark, d), known(spark, d), ident="conv_id", header="turn")
+    return out.select("seq", joined(F.col("ids")).alias("ids"), joined(F.col("headers")).alias("headers"))
 
 
 @query("SELECT doc_id, seq FROM c WHERE seq NOT IN (SELECT seq FROM k)", "c", "k")
@@ -384,17 +390,17 @@ def scenario_regret(spark, d):
     return ranking.minimax_regret(settings, "p_brand", ["a", "b", "c"], _GRID).select("p_brand", r6(F.col("regret")).alias("regret"), "pareto")
 
 
-_GUARDS_SQL = "b AS (SELECT avg(prob) AS p, avg(mic) AS m, quantile_cont(mic, 0.9) AS q FROM li WHERE l_returnflag = 'R'), a AS (SELECT l_shipdate::DATE AS ship_day, avg(prob) AS p, avg(mic) AS m, quantile_cont(mic, 0.9) AS q FROM li GROUP BY 1)"
+_GUARDS_SQL = "b AS (SELECT avg(prob) AS p, avg(mic) AS m, quantile_cont(mic, 0.9) AS q FROM li WHERE l_returnflag = 'R'), a AS (SELECT l_shipdate::DATE::VARCHAR AS ship_day, avg(prob) AS p, avg(mic) AS m, quantile_cont(mic, 0.9) AS q FROM li GROUP BY 1)"
 
 
-@query("SELECT ship_day, list_filter([CASE WHEN NOT a.p >= b.p - 0.01 THEN 'prob' END, CASE WHEN NOT a.m <= b.m * 1.03 THEN 'mic_mean' END, CASE WHEN NOT a.q <= b.q * 1.03 THEN 'mic_p90' END], lambda x: x IS NOT NULL) AS failed FROM a, b", "li", _GUARDS_SQL)
+@query("SELECT ship_day, array_to_string(list_filter([CASE WHEN NOT a.p >= b.p - 0.01 THEN 'prob' END, CASE WHEN NOT a.m <= b.m * 1.03 THEN 'mic_mean' END, CASE WHEN NOT a.q <= b.q * 1.03 THEN 'mic_p90' END], lambda x: x IS NOT NULL), ',') AS failed FROM a, b", "li", _GUARDS_SQL)
 def guard_failures(spark, d):
     rows = scores(spark, d)
     stats = [F.avg("prob").alias("p"), F.avg("mic").alias("m"), F.percentile("mic", F.lit(0.9)).alias("q")]
     base = rows.where("l_returnflag = 'R'").agg(*stats).first()
-    days = rows.groupBy(F.to_date("l_shipdate").alias("ship_day")).agg(*stats)
+    days = rows.groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_day")).agg(*stats)
     guards = {"prob": F.col("p") >= base["p"] - 0.01, "mic_mean": F.col("m") <= base["m"] * 1.03, "mic_p90": F.col("q") <= base["q"] * 1.03}
-    return selection.failed_guards(days, guards).select("ship_day", "failed")
+    return selection.failed_guards(days, guards).select("ship_day", joined(F.col("failed")).alias("failed"))
 
 
 @query("SELECT p_brand, n FROM (SELECT p_brand, count(*)::BIGINT AS n, sum(p_size) AS s FROM part GROUP BY p_brand) ORDER BY n DESC, s DESC, p_brand DESC LIMIT 1")
