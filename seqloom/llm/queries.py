@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, embeddings, language, minhash, quality, secrets, sharding
+from . import bpe, chat, decontamination, embeddings, language, licenses, minhash, quality, secrets, sharding
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -29,6 +29,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold_percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language, op4_secrets, op5_quality, op6_embeddings, op7_chat, op8_bpe, op9_decontamination, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language, op3_licenses, op4_secrets, op5_quality, op6_embeddings, op7_chat, op8_bpe, op9_decontamination, op10_minhash)}
 
 ORACLES: dict[str, str] = {
     "op7_chat": rf"""

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, decontamination, kernels, language, quality, queries, secrets
+from seqloom.llm import bpe, decontamination, kernels, language, licenses, quality, queries, secrets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -212,6 +212,53 @@ def test_language_rows(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+# --- licences
+
+
+def test_license_classifier_on_changed_notices():
+    model = licenses.train()
+    rng = np.random.default_rng(99)
+    filler = "river stone walks under green light".split()
+    tried = found = 0
+    for family, notices in licenses.NOTICES.items():
+        for text in notices:
+            for v in [text, *licenses.variants(rng, text, 3, filler)[1:]]:
+                batch = pa.RecordBatch.from_arrays([pa.array(["Prose before.\n" + v + "\nprose after"])], names=["text"])
+                got = [r for _, _, d, o in kernels.text_chunks(batch) for r in licenses.find(model, d, o)]
+                tried += 1
+                found += any(r[3] == family for r in got)
+    assert found / tried > 0.75
+    words = sorted({w for t in licenses.NEAR_MISSES for w in t.split()})
+    none = [" ".join(rng.choice(words, 12)) for _ in range(300)] + list(licenses.NEAR_MISSES)
+    batch = pa.RecordBatch.from_arrays([pa.array(none)], names=["text"])
+    assert sum(len(licenses.find(model, d, o)) for _, _, d, o in kernels.text_chunks(batch)) <= 3
+
+
+def test_segments_cover_every_word():
+    rng = np.random.default_rng(0)
+    line = np.repeat(np.arange(9), [1, 59, 60, 61, 90, 91, 1, 300, 7])
+    first, end = licenses.segments(np.zeros(len(line)), np.arange(len(line)), line)
+    covered = np.zeros(len(line), bool)
+    for a, b in zip(first, end):
+        assert b > a and b - a <= licenses.WINDOW and line[a] == line[b - 1]
+        covered[a:b] = True
+    assert covered.all() and (np.diff(first) > 0).all()
+
+
+def test_license_rows(spark):
+    prose = "green river stones " * 2000
+    texts = ["é Released under the MIT License.", "All rights reserved.\n" + prose + " Licensed under the Apache License, Version 2.0. " + prose, *ODD]
+    df = docs_of(spark, texts, families="clash", spans="clash")
+    out = {r["doc_id"]: r for r in licenses.scan(df.union(df.where("doc_id = 0"))).collect()}
+    assert out[0]["families"] == "MIT" and out[1]["families"] == "Apache-2.0,proprietary"
+    for k in (0, 1):
+        for s in out[k]["spans"].split(","):
+            family, a, b = s.split(":")
+            assert {"MIT": "MIT License", "Apache-2.0": "Apache License", "proprietary": "rights reserved"}[family] in texts[k][int(a) : int(b)]
+    assert all(out[k]["spans"] == "" and out[k]["score"] == 0 for k in range(2, len(texts)))
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
 # --- quality
 
 
@@ -258,4 +305,4 @@ def test_quality_rows(spark):
 
 
 def test_registered_queries():
-    assert [n.split("_")[0] for n in queries.QUERIES] == ["op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
