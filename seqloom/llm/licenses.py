@@ -99,7 +99,7 @@ NEAR_MISSES = (
     "The software crashed without permission to write the file.", "International attribution of the painting is in doubt.", "The source of the river is in the public park.", "Poetic license permits the author to modify the facts.",
 )
 UNKNOWN = "unknown"
-BITS, ORDERS, WINDOW = 20, 3, 60
+BITS, ORDERS, WINDOW = 20, 3, 32
 GRAM = numbers(6, ORDERS, odd=True)
 
 
@@ -153,7 +153,7 @@ def variants(rng: np.random.Generator, text: str, n: int, filler: list[str]) ->
         for _ in range(int(rng.integers(0, 1 + len(w) // 6 + 1))):
             k = int(rng.integers(0, len(w)))
             w[k : k + 1] = [] if rng.random() < 0.5 and len(w) > 3 else [str(rng.choice(filler))]
-        before, after = (list(rng.choice(filler, int(rng.integers(0, 5)))) for _ in range(2))
+        before, after = (list(rng.choice(filler, int(rng.integers(0, 14)))) for _ in range(2))
         out.append(" ".join([*before, *w, *after]))
     return out
 
@@ -258,7 +258,9 @@ def find(model: Model, data: np.ndarray, offsets: np.ndarray, share: float = 0.6
     best = p.argmax(axis=1)
     out = []
     for s in np.flatnonzero((best < len(model.names) - 1) & (p.max(axis=1) >= model.least)).tolist():
-        family, mine = model.names[best[s]], pairs(words[first[s] : end[s]])
+        # The template may reach beyond the window, but not beyond the line.
+        a, b = max(first[s] - WINDOW, np.searchsorted(line, line[first[s]])), min(end[s] + WINDOW, np.searchsorted(line, line[first[s]], side="right"))
+        family, mine = model.names[best[s]], pairs(words[a:b])
         if any(f == family and len(t & mine) >= share * len(t) for f, t in model.templates):
             out.append((int(text[first[s]]), int(starts[first[s]]), int(ends[end[s] - 1]), family, float(p[s].max())))
     return out
