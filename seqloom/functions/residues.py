@@ -78,6 +78,14 @@ def moment(seq: Column, scale: dict[str, float] | None = None, degrees: float =
     return F.hypot(part(F.cos), part(F.sin)) / F.length(seq)
 
 
+def windowed_moment(seq: Column, window: int = 11, scale: dict[str, float] | None = None, degrees: float = TURN_DEGREES) -> Column:
+    """Mean of the moments of all windows (of the whole chain where it is shorter)."""
+    width = F.least(F.lit(window), F.length(seq))
+    starts = F.sequence(F.lit(1), F.length(seq) - width + 1)
+    each = F.transform(starts, lambda k: moment(F.substr(seq, k, width), scale, degrees))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(starts)
+
+
 def properties(seq: Column) -> dict[str, Column]:
     return {"length": F.length(seq).cast("double"), "charge": net_charge(seq), "hydrophobicity": mean_scale(seq), "moment": moment(seq)}
 

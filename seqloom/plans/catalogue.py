@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..functions.vectors import Gaussian, RandomFeatures, direction_scores, frechet_direction, mmd_random_features
-from ..operators import align, allocation, distributions, learn, ranking, selection, sets, similarity, validate
+from ..operators import align, allocation, distributions, learn, ranking, reports, selection, sets, similarity, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -618,6 +618,90 @@ def nearest_code(spark, d):
     return learn.nearest_code(rows, codes).select("vec_id", "code")
 
 
+# --- bundles and further measures
+
+
+@query("SELECT round(avg(abs(l_quantity - 25) / 10), 6) AS l_quantity, round(avg(abs(l_discount - l_tax) / 0.05), 6) AS l_discount FROM lineitem")
+def property_mae(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("goal", F.lit(25.0))
+    out = reports.normalized_mae(rows, ["l_quantity", "l_discount"], ["goal", "l_tax"], [10, 0.05])
+    return out.select(*(r6(F.col(c)).alias(c) for c in out.columns))
+
+
+@query("SELECT o_orderpriority, round(sum(o_totalprice * n) / sum(n), 4) AS mean_price FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
+def weighted_means(spark, d):
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "orders").join(counts, "o_orderkey")
+    return rows.groupBy("o_orderpriority").agg(F.round(reports.weighted_mean(F.col("o_totalprice"), F.col("n")), 4).alias("mean_price"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(0.65 * l_quantity + 0.35 * m, 9) AS shrunk FROM lineitem, (SELECT avg(l_quantity) AS m FROM lineitem)")
+def condition_shrink(spark, d):
+    rows = table(spark, d, "lineitem")
+    mean = rows.agg(F.avg("l_quantity").alias("m"))
+    return rows.crossJoin(F.broadcast(mean)).select("l_orderkey", "l_linenumber", F.round(R.shrink(F.col("l_quantity"), F.col("m"), 0.35), 9).alias("shrunk"))  # one row
+
+
+@query("SELECT l_orderkey, l_linenumber, array_to_string(list_transform(t, lambda v: (l_quantity <= v)::INT), '') AS features FROM lineitem, (SELECT quantile_cont(l_quantity, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS t FROM lineitem WHERE l_returnflag = 'R')")
+def threshold_features(spark, d):
+    rows = table(spark, d, "lineitem")
+    cuts = rows.where("l_returnflag = 'R'").agg(F.percentile("l_quantity", F.array(*(F.lit(k / 10) for k in range(1, 10)))).alias("t"))
+    coded = rows.crossJoin(F.broadcast(cuts))  # one row
+    return coded.select("l_orderkey", "l_linenumber", F.array_join(R.threshold_features(F.col("l_quantity"), F.col("t")).cast("array<string>"), "").alias("features"))
+
+
+_FILL_SQL = "q AS (SELECT label, least(count(*), 8 + label) AS quota, count(*) AS have FROM embeddings GROUP BY label), rk AS (SELECT vec_id, label, quota, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings JOIN q USING (label))"
+
+
+@query("SELECT vec_id, label FROM rk WHERE place <= quota UNION ALL SELECT vec_id, label FROM (SELECT vec_id, label FROM rk WHERE place > quota ORDER BY vec_id LIMIT greatest(0, 150 - (SELECT count(*) FROM rk WHERE place <= quota)))", _FILL_SQL)
+def quota_selection_backfill(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    quotas = rows.groupBy("label").agg(F.least(F.count("*"), F.col("label") + 8).alias("quota"))
+    return allocation.quota_selection(rows, 150, "label", quotas, [F.asc("vec_id")]).select("vec_id", "label")
+
+
+@query()
+def windowed_moments(spark, d):
+    return distinct_candidates(spark, d).select("seq", r6(R.windowed_moment(F.col("seq"))).alias("moment"))
+
+
+@query()
+def sequence_metrics(spark, d):
+    return reports.sequence_metrics(candidates(spark, d), known(spark, d))
+
+
+@query()
+def pair_diversity(spark, d):
+    return reports.pair_diversity(distinct_candidates(spark, d))
+
+
+@query()
+def embedding_metrics(spark, d):
+    out = reports.embedding_metrics(*_halves(spark, d), 200, (1, 2, 3))
+    return spark.createDataFrame([(k, float(m), float(s)) for k, (m, s) in out.items()], "metric string, mean double, deviation double")
+
+
+@query()
+def reference_floor(spark, d):
+    out = reports.reference_floor(_halves(spark, d)[0], (1, 2, 3))
+    return spark.createDataFrame([(k, float(m), float(s)) for k, (m, s) in out.items()], "metric string, mean double, deviation double")
+
+
+@query()
+def training_rows(spark, d):
+    rows = distinct_candidates(spark, d)
+    props = R.properties(F.col("seq"))
+    stats = rows.select(*(c.alias(k) for k, c in props.items())).agg(*(F.avg(k).alias(f"m_{k}") for k in props), *(F.stddev_pop(k).alias(f"s_{k}") for k in props)).first()
+    return learn.training_rows(rows, {k: stats[f"m_{k}"] for k in props}, {k: stats[f"s_{k}"] for k in props})
+
+
+@query()
+def proxy_classifier(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).alias("label"))
+    out = learn.proxy_classifier(rows, trees=20)
+    return spark.createDataFrame(sorted((out[1] if out else {}).items()), "metric string, value double")
+
+
 # --- alignments, validation, selection
 
 

@@ -158,3 +158,12 @@ def test_exchange_lowers_violation():
 def test_first_feasible():
     k, failed = selection.first_feasible([5, 3, 1], [("big", lambda x: x < 4), ("odd", lambda x: x == 1)])
     assert k == 2 and failed == [["big"], ["odd"], []]
+
+
+def test_windowed_moment(spark):
+    seq = "AAAALFNRSFTQALGK"
+    turn = np.deg2rad(100)
+    h = lambda s: abs(sum(residues.EISENBERG[a] * np.exp(1j * turn * k) for k, a in enumerate(s))) / len(s)
+    expected = np.mean([h(seq[k : k + 11]) for k in range(len(seq) - 10)])
+    got = spark.createDataFrame([(seq,), ("AC",)], "seq string").select(residues.windowed_moment(F.col("seq"))).collect()
+    assert got[0][0] == pytest.approx(expected) and got[1][0] == pytest.approx(h("AC"))
