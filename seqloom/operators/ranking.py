@@ -20,19 +20,24 @@ def value_ranks(df: DataFrame, column: str, slices: int = 64) -> DataFrame:
     return _prefix(counts, column, slices).select(column, ((F.col("before") + (F.col("cnt") + 1) / 2 - 0.5) / F.col("total")).alias("percentile"))
 
 
+def _sliced_prefix(counts: DataFrame, group: str, column: str, slices: int) -> DataFrame:
+    """``counts (group, column, cnt)`` with ``before`` (rows of smaller values in the group) and ``total`` (rows of the group).
+
+    The borders of the slices are approximate percentiles of the distinct values; they only deal the work and don't
+    touch the result. The slices' totals are at most ``slices`` rows a group.
+    """
+    borders = counts.groupBy(group).agg(F.percentile_approx(column, [k / slices for k in range(1, slices)], 1000).alias("_b"))
+    sliced = counts.join(F.broadcast(borders), group).withColumn("_slice", F.size(F.filter(F.array_distinct("_b"), lambda b: b < F.col(column)))).drop("_b")
+    totals = sliced.groupBy(group, "_slice").agg(F.sum("cnt").alias("t"))
+    whole = Window.partitionBy(group)
+    sums = totals.select(group, "_slice", F.coalesce(F.sum("t").over(whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("t").over(whole).alias("total"))
+    inside = F.coalesce(F.sum("cnt").over(Window.partitionBy(group, "_slice").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sliced.withColumn("_inside", inside).join(F.broadcast(sums), [group, "_slice"]).withColumn("before", F.col("_base") + F.col("_inside")).drop("_slice", "_inside", "_base")
+
+
 def _prefix(counts: DataFrame, column: str, slices: int) -> DataFrame:
     """``counts (column, cnt)`` with ``before`` (rows of smaller values) and ``total``."""
-    borders = counts.select(F.percentile_approx(column, [k / slices for k in range(1, slices)], 1000).alias("b")).first()["b"] or []
-    borders = sorted(set(borders))
-    place: Column = F.lit(0)
-    for b in borders:
-        place = place + (F.col(column) > F.lit(b)).cast("int")
-    counts = counts.withColumn("slice", place)
-    totals = counts.groupBy("slice").agg(F.sum("cnt").alias("t"))
-    sums = totals.withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = sums.crossJoin(totals.agg(F.sum("t").alias("total"))).select("slice", "base", "total")
-    inside = F.coalesce(F.sum("cnt").over(Window.partitionBy("slice").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("inside", inside).join(F.broadcast(sums), "slice").withColumn("before", F.col("base") + F.col("inside")).drop("slice", "inside", "base")
+    return _sliced_prefix(counts.withColumn("_g", F.lit(0)), "_g", column, slices).drop("_g")
 
 
 def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -43,12 +48,20 @@ def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def weighted_utility(df: DataFrame, prob: str, mic: str, known: str, weights: tuple[float, float, float] = (0.55, 0.45, -0.05)) -> DataFrame:
-    """``df`` with ``utility``: weighted percentiles of -log2(mic), prob and known similarity, relative to the rows of ``df``."""
-    df = df.withColumn("_activity", -F.log2(mic))
-    for column, out in (("_activity", "_a"), (prob, "_p"), (known, "_k")):
-        df = percentile_rank(df, column, out)
+    """``df`` with ``utility``: weighted percentiles of -log2(mic), prob and known similarity, relative to the rows of ``df``.
+
+    The ranks of all three columns come from one table of counts ``(measure, value)``, so ``df`` is read twice in all.
+    """
+    measures = {"a": -F.log2(mic), "p": F.col(prob).cast("double"), "k": F.col(known).cast("double")}
+    bad = sum(((v.isNull() | F.isnan(v)).cast("int") for v in measures.values()), F.lit(0)) > 0
+    df = df.withColumn("_m", F.when(bad, F.raise_error(F.lit("nonfinite utility"))).otherwise(F.struct(*(v.alias(k) for k, v in measures.items()))))
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(f"_m.{k}").alias("value")) for k in measures))).alias("x")).select("x.*")
+    counts = long.groupBy("measure", "value").agg(F.count("*").alias("cnt"))
+    ranks = _sliced_prefix(counts, "measure", "value", 64).select("measure", "value", ((F.col("before") + (F.col("cnt") + 1) / 2 - 0.5) / F.col("total")).alias("r"))
+    for k in measures:
+        df = df.join(ranks.where(F.col("measure") == k).select(F.col("value").alias(f"_v{k}"), F.col("r").alias(f"_{k}")), F.col(f"_m.{k}") == F.col(f"_v{k}"))
     a, p, k = weights
-    return df.withColumn("utility", a * F.col("_a") + p * F.col("_p") + k * F.col("_k")).drop("_activity", "_a", "_p", "_k")
+    return df.withColumn("utility", a * F.col("_a") + p * F.col("_p") + k * F.col("_k")).drop("_m", *(f"_{x}{y}" for x in ("", "v") for y in measures))
 
 
 def take_quota(df: DataFrame, group: str, quota: str, order: Sequence[Column]) -> DataFrame:

@@ -61,9 +61,9 @@ def group_values(rows: DataFrame, key: str, member: str, aggs: dict[str, tuple[s
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of the undirected ``edges (a, b)``: one row ``(node, component)``, component = least node.
 
-    Randomised contraction: in each round every node hooks to the neighbour (or itself) of least random priority,
-    edges are relabelled by those parents, self loops and repeats dropped. Nodes fall by a constant factor a
-    round. Each round's tables are written to the shared folder; only an "is it empty" flag reaches the driver.
+    Randomised contraction: in each round every node hooks to the neighbour (or itself) of least priority, edges are
+    relabelled by those parents, self loops and repeats dropped. Priorities are the ids in the first round, which
+    ends stars around their least node, and random from then on, so that nodes fall by a constant factor a round. Each round's tables are written to the shared folder; only an "is it empty" flag reaches the driver.
     Nulls in an edge are ignored; an empty input gives an empty result.
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -73,7 +73,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if e.isEmpty():
             break
         both = e.union(e.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), c.alias("v"))
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k else F.lit(0).cast("long")).alias("h"), c.alias("v"))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("m"))
         parent = parent.select("node", F.least("m", rank(F.col("node")))["v"].alias("parent"))
         parent = materialize(parent, f"parent{k}")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..functions.vectors import Gaussian, RandomFeatures, direction_scores, frechet_direction, mmd_random_features
-from ..operators import align, allocation, distributions, learn, ranking, reports, selection, sets, similarity, validate
+from ..operators import align, allocation, distributions, learn, ranking, reports, selection, sets, similarity, tables, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -483,7 +483,8 @@ def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.regexp_replace("text", LETTERS, "").alias("seq"), F.col("quality").cast("double").alias("prob"), (1 + F.col("n_chars") / 100).alias("mic"), "toxic", "lang")
     rows = rows.where(R.canonical(F.col("seq"))).groupBy("seq").agg(F.avg("prob").alias("prob"), F.min("mic").alias("mic"), F.max("toxic").alias("toxic"), F.min("lang").alias("lang"))
     best = similarity.max_similarity(rows, known(spark, d)).withColumn("known", 2 * F.col("best_lcs") / F.col("best_total")).withColumn("eligible", 5 * F.col("best_lcs") <= 2 * F.col("best_total"))
-    return ranking.weighted_utility(rows.join(best.select("seq", "known", "eligible"), "seq"), "prob", "mic", "known")
+    # The ranks read the table three times: the similarities are computed once.
+    return ranking.weighted_utility(tables.materialize(rows.join(best.select("seq", "known", "eligible"), "seq"), "ranked"), "prob", "mic", "known")
 
 
 @query()
