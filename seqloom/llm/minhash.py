@@ -34,8 +34,8 @@ SKETCH = 64
 TREES = 10
 BRANCHES = 2
 LEVELS = 5
-SMALL = 64
-FEW = 512
+SMALL = 1024
+FEW = 1024
 #: Documents in one confirming task, and in one side of a block.
 BLOCK = 100
 LINKS = "a long, b long"
@@ -127,11 +127,12 @@ def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def majority(rows: DataFrame) -> DataFrame:
-    """``(unit, salt, major, core_n)``: the most frequent label of each unit that has one, and its rows."""
-    first = rows.where("label is not null").groupBy("unit", "label", "salt").agg(F.count("*").alias("n"))
+    """``(unit, salt, n, major, core_n)``: rows of each unit, its most frequent label, and the rows under that."""
+    first = rows.groupBy("unit", "label", "salt").agg(F.count("*").alias("n"))
     each = first.groupBy("unit", "label").agg(F.sum("n").alias("n"))
-    top = each.groupBy("unit").agg(F.max(F.struct("n", "label")).alias("m")).select("unit", F.col("m.label").alias("major"), F.col("m.n").alias("core_n"))
-    return rows.select("unit", "salt").distinct().join(top, "unit")
+    named = F.when(F.col("label").isNotNull(), F.struct("n", "label"))
+    top = each.groupBy("unit").agg(F.sum("n").alias("n"), F.max(named).alias("m")).select("unit", "n", F.col("m.label").alias("major"), F.col("m.n").alias("core_n"))
+    return first.select("unit", "salt").distinct().join(top, "unit")
 
 
 def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
@@ -161,7 +162,7 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
             discard(level)
             break
         if depth == LEVELS:
-            chunks = F.ceil(F.col("n") / F.lit(4 * SMALL)).cast("int")
+            chunks = F.ceil(F.col("n") / F.lit(SMALL)).cast("int")
             mine = F.pmod(F.xxhash64("id", F.lit(3)), chunks).cast("int")
             other = F.explode(F.sequence(F.lit(0), chunks - 1))
             blocks = large.withColumn("mine", mine).withColumn("other", other)
@@ -180,17 +181,18 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
         discard(level)
         # The documents under the most frequent label are joined already. Few others beside them: compare those with each
         # other (in block 0) and with all of the node, in blocks. More of them: branch.
-        star = star.join(majority(star), ["unit", "salt"], "left")
+        parted = majority(star)
+        few = F.col("n") - F.col("core_n") <= FEW
+        probed = star.join(parted.where(few & (F.col("core_n") < F.col("n"))).drop("n"), ["unit", "salt"])
         core = F.coalesce(F.col("label") == F.col("major"), F.lit(False))
-        few = F.coalesce(F.col("n") - F.col("core_n"), F.col("n")) <= FEW
-        blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("core_n", F.lit(0)) / F.lit(4 * SMALL)).cast("int"))
+        blocks = F.ceil(F.col("core_n") / F.lit(FEW)).cast("int")
         place = F.when(core, F.array(F.pmod(F.xxhash64("id", F.lit(4)), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-        probed = star.where(few & (F.col("core_n") < F.col("n"))).withColumn("core", core).withColumn("at", F.explode(place))
+        probed = probed.withColumn("core", core).withColumn("at", F.explode(place))
         mute = F.when(F.col("core") | (F.col("at") == 0), F.col("label")).otherwise(F.lit(-2))
         probed = probed.withColumn("mute", mute).withColumn("unit", F.xxhash64("unit", "at"))
         edges.append(materialize(in_units(probed.select(*columns), run, LINKS), "edges"))
         branch = lambda k: F.xxhash64("unit", F.lit(k), F.element_at("sketch", (F.pmod(F.xxhash64("unit", F.lit(100 + k)), F.lit(SKETCH - TREES)) + TREES + 1).cast("int")))
-        level = star.where(~few).select("id", "label", F.explode(F.array(*(branch(k) for k in range(BRANCHES)))).alias("unit"))
+        level = star.join(parted.where(~few).select("unit", "salt"), ["unit", "salt"]).select("id", "label", F.explode(F.array(*(branch(k) for k in range(BRANCHES)))).alias("unit"))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -278,7 +280,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5
     """
     sets = materialize(document_sets(docs, words).withColumn("salt", salt_of(F.col("doc_id"))), "sets")
     keyed = sets.where("doc_id is not null and set_key is not null")
-    classes = group_values(keyed, "set_key", "doc_id", {"rep": ("min", F.col("doc_id"), "min")})
+    classes = materialize(group_values(keyed, "set_key", "doc_id", {"rep": ("min", F.col("doc_id"), "min")}), "sets_of")
     reps = keyed.join(classes, ["set_key", "salt"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"])
     reps = materialize(reps, "reps")
     edges = confirmed_edges(docs.where("doc_id is not null"), chosen_paths(reps, threshold_percent), threshold_percent, words)

@@ -39,7 +39,7 @@ def propagate(links: DataFrame, n_rows: int, n_shards: int, rounds: int) -> Data
         total = first.groupBy("hub").agg(*(F.sum(f"c{s}").alias(f"c{s}") for s in shards))
         dealt = first.select("hub", "salt").join(total, "hub")
         # Ties go to one shard that the hub itself picks, else two copies would swap shards for ever.
-        tie = lambda s: (F.lit(n_shards - 1) - F.pmod(F.xxhash64("hub") + F.lit(s), F.lit(n_shards))) / F.lit(n_shards)
+        tie = lambda s: (F.lit(n_shards - 1) - F.pmod(F.pmod(F.xxhash64("hub"), F.lit(n_shards)) + F.lit(s), F.lit(n_shards))) / F.lit(n_shards)
         votes = at.join(dealt, ["hub", "salt"]).groupBy("rid", "shard").agg(*(F.sum(F.col(f"c{s}") + tie(s)).alias(f"v{s}") for s in shards))
         open_to = lambda s: F.lit(s in opened) | (F.col("shard") == s)
         best = F.array_max(F.array(*(F.struct(F.when(open_to(s), F.col(f"v{s}")).otherwise(-1.0).alias("v"), F.lit(s).alias("s")) for s in shards)))["s"]
