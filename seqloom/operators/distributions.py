@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import Gaussian, frechet
+from ..functions.vectors import Gaussian, frechet, median_bandwidth
+from .ranking import running
 from .tables import in_units, whole_units
 
 HIT = 16.0
@@ -26,18 +27,11 @@ def activity_summary(prob: Column, mic: Column) -> list[Column]:
 
 
 def _steps(sample: DataFrame, reference: DataFrame, column: str) -> DataFrame:
-    """``(v, p, q, width)``: both ECDFs at each value of either, and the gap to the next value; one row per distinct value reaches the window."""
+    """``(v, p, q, width)``: both ECDFs at each value of either, and the gap to the next value."""
     a = sample.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("a")).withColumn("b", F.lit(0).cast("long"))
     b = reference.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("b")).select("v", F.lit(0).cast("long").alias("a"), "b")
-    both = a.union(b).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return both.select(
-        "v", "a",
-        (F.sum("a").over(upto) / F.sum("a").over(every)).alias("p"),
-        (F.sum("b").over(upto) / F.sum("b").over(every)).alias("q"),
-        (F.lead("v").over(Window.orderBy("v")) - F.col("v")).alias("width"),
-    )
+    both = running(a.union(b).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "v", ["a", "b"])
+    return both.select("v", (F.col("a_upto") / F.col("a_total")).alias("p"), (F.col("b_upto") / F.col("b_total")).alias("q"), (F.col("next") - F.col("v")).alias("width"))
 
 
 def wasserstein(sample: DataFrame, reference: DataFrame, column: str, floor: float = 0.01) -> DataFrame:
@@ -52,7 +46,8 @@ def wasserstein_potential(sample: DataFrame, reference: DataFrame, column: str,
     scale = reference.agg(F.greatest(F.stddev_pop(column), F.lit(floor)).alias("s")).first()["s"]
     steps = _steps(sample, reference, column)
     part = F.coalesce(F.signum(F.col("p") - F.col("q")) * F.col("width") / F.lit(float(scale)), F.lit(0.0))
-    return steps.select("v", F.sum(part).over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)).alias("potential"))
+    sums = running(steps.select("v", part.alias("part")), "v", ["part"])
+    return sums.select("v", (F.col("part_total") - F.col("part_upto") + F.col("part")).alias("potential"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -99,11 +94,10 @@ def mmd_unbiased(x: DataFrame, y: DataFrame, bandwidth: float) -> float:
     return kernel_sums(x, x, bandwidth) / (n * (n - 1)) + kernel_sums(y, y, bandwidth) / (m * (m - 1)) - 2 * kernel_sums(x, y, bandwidth) / (n * m)
 
 
-def median_squared_distance(sample: DataFrame) -> float:
-    """Median of the positive squared distances inside a bounded sample ``(id, embedding)``: all its pairs in one native join of the sample with itself, on id order."""
-    a, b = sample.select(F.col("id").alias("i"), F.col("embedding").alias("x")), sample.select(F.col("id").alias("j"), F.col("embedding").alias("y"))
-    d = a.join(b, F.col("i") < F.col("j")).select(squared_distance(F.col("x"), F.col("y")).alias("d")).where("d > 0")
-    return d.agg(F.percentile("d", F.lit(0.5)).alias("m")).first()["m"] or 1.0
+def median_squared_distance(reference: DataFrame, most: int = 512) -> float:
+    """Kernel bandwidth: median of the positive squared distances among the first ``most`` vectors ``(id, embedding)`` by id. The bound is part of the definition."""
+    rows = reference.orderBy("id").limit(most).select("embedding").collect()
+    return median_bandwidth(np.array([r[0] for r in rows], float), most)
 
 
 def knn_radius(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:

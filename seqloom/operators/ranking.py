@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+MOST_SETTINGS = 10_000
+
+
 def value_ranks(df: DataFrame, column: str, slices: int = 64) -> DataFrame:
     """``(column, percentile)`` per distinct value: (average rank - 0.5) / n.
 
@@ -40,6 +43,24 @@ def _prefix(counts: DataFrame, column: str, slices: int) -> DataFrame:
     return _sliced_prefix(counts.withColumn("_g", F.lit(0)), "_g", column, slices).drop("_g")
 
 
+def running(df: DataFrame, column: str, sums: Sequence[str], slices: int = 64) -> DataFrame:
+    """``df`` (one row per value of ``column``) with ``x_upto`` and ``x_total`` for each x of ``sums``, and ``next``: the next value.
+
+    Two levels, as above: windows inside slices of the values, then over at most ``slices`` rows of totals.
+    """
+    borders = df.agg(F.percentile_approx(column, [k / slices for k in range(1, slices)], 1000).alias("_b"))
+    sliced = df.crossJoin(F.broadcast(borders)).withColumn("_slice", F.size(F.filter(F.array_distinct("_b"), lambda b: b < F.col(column)))).drop("_b")  # one row
+    own = Window.partitionBy("_slice").orderBy(column)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    inside = sliced.withColumns({f"_{x}": F.sum(x).over(upto) for x in sums} | {"_next": F.lead(column).over(own)})
+    totals = sliced.groupBy("_slice").agg(F.min(column).alias("_first"), *(F.sum(x).alias(f"_t{x}") for x in sums))
+    order = Window.orderBy("_slice")
+    before, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = totals.select("_slice", F.lead("_first").over(order).alias("_after"), *(F.coalesce(F.sum(f"_t{x}").over(before), F.lit(0)).alias(f"_b{x}") for x in sums), *(F.sum(f"_t{x}").over(every).alias(f"{x}_total") for x in sums))
+    out = inside.join(F.broadcast(base), "_slice").withColumns({f"{x}_upto": F.col(f"_b{x}") + F.col(f"_{x}") for x in sums} | {"next": F.coalesce("_next", "_after")})
+    return out.drop("_slice", "_next", "_after", "_first", *(f"_{k}{x}" for k in ("", "b", "t") for x in sums))
+
+
 def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with the average-tie percentile of ``column`` in ``df``; NaN or null is an error."""
     checked = F.when(F.col(column).isNull() | F.isnan(F.col(column).cast("double")), F.raise_error(F.lit(f"nonfinite {column}"))).otherwise(F.col(column))
@@ -139,6 +160,9 @@ def minimax_regret(settings: DataFrame, key: str, metrics: Sequence[str], weight
     The scenarios are a small stated set; each row is scored against all of them in place.
     """
     weights = list(weights or weight_grid(len(metrics)))
+    # Settings are runs of an experiment, a table for people: dominance is tested for all pairs of them.
+    if settings.count() > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings")
     score = F.array(*(sum((F.col(m) * F.lit(float(x)) for m, x in zip(metrics, w)), F.lit(0.0)) for w in weights))
     scored = settings.select(key, *metrics).select(key, *metrics, score.alias("scores"))
     best = scored.select(*(F.max(F.col("scores")[k]).alias(f"b{k}") for k in range(len(weights)))).first()

@@ -48,7 +48,7 @@ def sequence_metrics(seqs: DataFrame, known: DataFrame, n: int = 2000, seed: int
 
 def embedding_metrics(x: DataFrame, reference: DataFrame, n: int, seeds: Sequence[int], bandwidth: float | None = None) -> dict[str, tuple[float, float]]:
     """Mean and deviation over seeded hash samples of n vectors ``(id, embedding)``: Fréchet, MMD, precision, recall. Ids must differ between the two."""
-    bandwidth = bandwidth or distributions.median_squared_distance(ranking.hash_sample(reference, "id", 512))
+    bandwidth = bandwidth or distributions.median_squared_distance(reference)
     cut = lambda df, s: ranking.hash_sample(df, "id", n, s)
     return {
         "fbd": distributions.repeated(seeds, lambda s: distributions.frechet_distance(cut(x, s), cut(reference, s))),

@@ -525,7 +525,7 @@ def mmd_unbiased(spark, d):
     return spark.createDataFrame([(round(distributions.mmd_unbiased(*_halves(spark, d), 1.0), 6),)], "mmd2 double")
 
 
-@query("SELECT round(quantile_cont(dd, 0.5), 6) AS bandwidth FROM ds WHERE i < j AND dd > 0", _PAIRS_SQL)
+@query("SELECT round(quantile_cont(dd, 0.5), 6) AS bandwidth FROM ds WHERE i < j AND dd > 0 AND i IN (SELECT i FROM ft) AND j IN (SELECT i FROM ft)", _PAIRS_SQL, "ft AS (SELECT i FROM ev ORDER BY i LIMIT 512)")
 def bandwidth_median(spark, d):
     a, b = _halves(spark, d)
     return spark.createDataFrame([(round(distributions.median_squared_distance(a.union(b)), 6),)], "bandwidth double")
