@@ -58,40 +58,82 @@ def group_values(rows: DataFrame, key: str, member: str, aggs: dict[str, tuple[s
     return first.select(key, "salt").join(second, key)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+class Forest:
+    """Union-find with path halving; the least node names a set. ``join`` says whether two were still apart."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+#: Edges that one task may finish by union-find.
+FINISH = 200_000
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges (a, b)``: one row ``(node, component)``, component = least node.
 
     Randomised contraction: in each round every node hooks to the neighbour (or itself) of least priority, edges are
     relabelled by those parents, self loops and repeats dropped. Priorities are the ids in the first round, which
-    ends stars around their least node, and random from then on, so that nodes fall by a constant factor a round. Each round's tables are written to the shared folder; only an "is it empty" flag reaches the driver.
-    Nulls in an edge are ignored; an empty input gives an empty result.
+    ends stars around their least node, and random from then on, so that nodes fall by a constant factor a round.
+    Once at most FINISH edges are left, one task ends it. Each round's tables are written to the shared folder; only
+    the number of edges reaches the driver. Nulls in an edge are ignored; an empty input gives an empty result.
     """
+    node = edges.schema["a"].dataType.simpleString()
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     e = materialize(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     label = None
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, kind = Forest(), pa.int64()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                forest.join(a, b)
+        nodes = sorted({*forest.up, *forest.up.values()})
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([forest.top(x) for x in nodes], kind)], names=["node", "parent"])
+
     for k in range(max_rounds):
-        if e.isEmpty():
+        n = e.count()
+        if not n:
             break
-        both = e.union(e.select("b", "a"))
-        rank = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k else F.lit(0).cast("long")).alias("h"), c.alias("v"))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("m"))
-        parent = parent.select("node", F.least("m", rank(F.col("node")))["v"].alias("parent"))
-        parent = materialize(parent, f"parent{k}")
-        pa, pb = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-        nxt = e.join(pa, "a").join(pb, "b").where("pa <> pb")
-        nxt = materialize(nxt.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        if n <= FINISH:
+            parent = materialize(e.repartition(1).mapInArrow(finish, f"node {node}, parent {node}"), f"parent{k}")
+        else:
+            both = e.union(e.select("b", "a"))
+            rank = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k else F.lit(0).cast("long")).alias("h"), c.alias("v"))  # noqa: E731, B023
+            parent = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("m"))
+            parent = materialize(parent.select("node", F.least("m", rank(F.col("node")))["v"].alias("parent")), f"parent{k}")
+            pa_, pb = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+            nxt = e.join(pa_, "a").join(pb, "b").where("pa <> pb")
+            nxt = materialize(nxt.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         if label is None:
             label = parent.select("node", F.col("parent").alias("top"))
         else:
             step = parent.select(F.col("node").alias("top"), F.col("parent").alias("up"))
             label = label.join(step, "top", "left").select("node", F.coalesce("up", "top").alias("top"))
         discard(e)
+        if n <= FINISH:
+            break
         e = nxt
     else:
         raise RuntimeError(f"components: still contracting after {max_rounds} rounds")
     if label is None:
-        node = edges.schema["a"].dataType
-        return edges.sparkSession.createDataFrame([], f"node {node.simpleString()}, component {node.simpleString()}")
+        return edges.sparkSession.createDataFrame([], f"node {node}, component {node}")
+    if not k and n <= FINISH:
+        return label.withColumnRenamed("top", "component")
     label = label.withColumn("salt", salt_of(F.col("node")))
     least = group_values(label, "top", "node", {"component": ("min", F.col("node"), "min")})
     return label.join(least, ["top", "salt"]).select("node", "component")

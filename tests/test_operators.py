@@ -96,7 +96,9 @@ def test_crowding(spark):
         assert got[s] == pytest.approx(sum(r[s, t] > 0.8 for t in others) / len(others))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [200_000, 60, 0])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(tables, "FINISH", finish)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(k, k + 1) for k in range(300, 380)] + [(500, k) for k in range(501, 600)]
     up = list(range(700))
