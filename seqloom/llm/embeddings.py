@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import numbers
-from .minhash import Forest
-from .shared import components, group_values, in_units, materialize, salt_of, whole_units
+from .shared import Forest, components, group_values, in_units, materialize, salt_of, whole_units
 
 WIDTH = 8
 GRID = 3
-UNIT = 8192
+UNIT = 32768
 TILE = 1024
 ACROSS = 10
 SLACK = 1e-9

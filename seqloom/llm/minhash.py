@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import distinct_sets, shingle_hashes, sketches, text_chunks, word_hashes
-from .shared import components, discard, group_values, in_units, materialize, salt_of, whole_units
+from .shared import Forest, components, discard, group_values, in_units, materialize, salt_of, whole_units
 
 SKETCH = 64
 TREES = 10
@@ -41,25 +41,6 @@ BLOCK = 100
 LINKS = "a long, b long"
 
 
-class Forest:
-    """Union-find over the rows of a unit; ``join`` says whether two were still apart."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def least_agreement(threshold_percent: int) -> int:
     """Sketch values that must agree: six standard deviations below the threshold, so that chance loses one link in 10^9."""
     t = threshold_percent / 100
