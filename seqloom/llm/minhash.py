@@ -134,8 +134,9 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
             "lead": ("min", F.struct(F.col("label").isNotNull().alias("taken"), F.col("id")), "min"),
         }
         open_ = (F.col("n") > 1) & ~((F.col("labelled") == F.col("n")) & (F.col("low") == F.col("high")))
-        level = level.join(group_values(level, "unit", "id", aggs, open_), ["unit", "salt"]).select("unit", "id", "label", "n", F.col("lead.id").alias("lead"))
-        level = materialize(level.join(reps, "id"), f"level{depth}")
+        level = level.join(group_values(level, "unit", "id", aggs, open_), ["unit", "salt"]).withColumn("lead", F.col("lead.id")).select(*level.columns, "n", "lead")
+        # Sketches are joined once; what large nodes hand down carries them along.
+        level = materialize(level if depth else level.join(reps, "id"), f"level{depth}")
         small = level.where(F.col("n") <= SMALL)
         edges.append(materialize(in_units(small.withColumn("mute", F.col("label")).select(*columns), run, LINKS), "edges"))
         large = level.where(F.col("n") > SMALL)
@@ -152,9 +153,8 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
             discard(level)
             break
         # One row per (unit, salt) carries the lead's sketch to the members.
-        leads = large.withColumn("salt", salt_of(F.col("id"))).select("unit", "salt", "lead").distinct()
-        leads = leads.join(reps.select(F.col("id").alias("lead"), F.col("n_shingles").alias("lead_n"), F.col("sketch").alias("lead_sketch")), "lead")
-        star = large.withColumn("salt", salt_of(F.col("id"))).join(leads.drop("lead"), ["unit", "salt"])
+        leads = large.where(F.col("id") == F.col("lead")).select("unit", F.col("n_shingles").alias("lead_n"), F.col("sketch").alias("lead_sketch")).dropDuplicates(["unit"])
+        star = large.join(large.select("unit", "salt").distinct().join(leads, "unit"), ["unit", "salt"])
         agree = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         fits = (agree >= least_agreement(threshold_percent)) & (100 * F.least("n_shingles", "lead_n") >= threshold_percent * F.greatest("n_shingles", "lead_n"))
         star = materialize(star.select("unit", "salt", "id", "n_shingles", "sketch", "n", "lead", fits.alias("fits"), F.when(fits, F.col("lead")).otherwise(F.col("label")).alias("label")), "star")
@@ -173,7 +173,7 @@ def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
         probed = probed.withColumn("mute", mute).withColumn("unit", F.xxhash64("unit", "at"))
         edges.append(materialize(in_units(probed.select(*columns), run, LINKS), "edges"))
         branch = lambda k: F.xxhash64("unit", F.lit(k), F.element_at("sketch", (F.pmod(F.xxhash64("unit", F.lit(100 + k)), F.lit(SKETCH - TREES)) + TREES + 1).cast("int")))
-        level = star.join(parted.where(~few).select("unit", "salt"), ["unit", "salt"]).select("id", "label", F.explode(F.array(*(branch(k) for k in range(BRANCHES)))).alias("unit"))
+        level = star.join(parted.where(~few).select("unit", "salt"), ["unit", "salt"]).select("id", "label", "n_shingles", "sketch", F.explode(F.array(*(branch(k) for k in range(BRANCHES)))).alias("unit"))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -186,7 +186,6 @@ def confirm(threshold_percent: int, words: int) -> Callable[[Iterator[pa.RecordB
 
     def links(ids: list[int], probe: np.ndarray, values: np.ndarray, at: np.ndarray, brief: np.ndarray, forest: Forest) -> Iterator[tuple[int, int]]:
         n, size = len(ids), np.diff(at)
-        sets: dict[int, np.ndarray] = {}
         for k in np.flatnonzero(probe).tolist():
             ok = (100 * np.minimum(size, size[k]) >= threshold_percent * np.maximum(size, size[k])) & (size > 0) & ~(probe & (np.arange(n) <= k))
             for j in np.flatnonzero(ok & ((brief == brief[k]).sum(axis=1) >= least)).tolist():
@@ -195,7 +194,6 @@ def confirm(threshold_percent: int, words: int) -> Callable[[Iterator[pa.RecordB
                     if 100 * shared >= threshold_percent * (size[k] + size[j] - shared):
                         forest.join(ids[j], ids[k])
                         yield ids[k], ids[j]
-        sets.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
