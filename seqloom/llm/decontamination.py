@@ -85,6 +85,15 @@ class Index:
         return out
 
 
+def indexes(benchmark: DataFrame, words: int, threshold_percent: int, block_mb: int) -> Iterator[Index]:
+    """The benchmark's items with a text, in blocks of about ``block_mb`` MB, which the driver gathers one at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where(F.col("text").isNotNull())
+    blocks = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]) // (block_mb << 20)
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield Index([(r["item_id"], r["text"]) for r in block.collect()], words, threshold_percent)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80, block_mb: int = 8) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items of which a text holds ``threshold_percent`` of the distinct shingles.
 
@@ -94,14 +103,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_
     of about ``block_mb`` MB of text, whose number grows with the benchmark: what is broadcast stays bounded, and
     each block is one more pass in the same stage. All columns of ``docs`` are kept, a ``leaks`` of its own is replaced.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where(F.col("text").isNotNull())
-    blocks = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]) // (block_mb << 20)
     docs = docs.drop("leaks")
     out = docs.withColumn("leaks", F.array().cast(LEAKS))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int32()), ("item_shingles", pa.int32())]))
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = Index([(r["item_id"], r["text"]) for r in block.collect()], words, threshold_percent)
+    for index in indexes(benchmark, words, threshold_percent, block_mb):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -123,6 +128,17 @@ def leak_pairs(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFra
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    return find_leaks(docs, benchmark, **options).where(F.size("leaks") == 0).drop("leaks")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80, block_mb: int = 8) -> DataFrame:
+    """The documents in which :func:`find_leaks` finds nothing. All columns stay as they are."""
+    out = docs
+    for index in indexes(benchmark, words, threshold_percent, block_mb):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for i, _, hashes, begin in shingle_sets(batch, words):
+                    clean[[i + row for row in index.search(hashes, begin)]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -258,7 +258,12 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Language of every whole text: ``doc_id, held_out, lang_pred, score, n_spans``; learns from rows that are not held out."""
+    """Language of every whole text: ``doc_id, held_out, lang_pred, score, n_spans``; learns from rows that are not held out.
+
+    ``lang_pred`` is the language with most letters in its spans (ties: the first name), ``score`` their share; ``und``
+    and 0 where a text is null or has no letter. A null doc_id is not held out and teaches nothing; rows that repeat
+    are rows like any other. Without any labelled row every text with a letter is ``und``, with score 1.
+    """
     learn, held = learnable(F.col("doc_id"))
     model = train(docs.where(learn))
     out = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
@@ -266,6 +271,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that have a language: those without a letter go."""
+    """The documents that have a language: those whose text is null or has no letter go. All columns stay as they are."""
     learn, _ = learnable(F.col("doc_id"))
-    return predict(docs, train(docs.where(learn))).where("lang_pred <> 'und'").select(docs.columns)
+    model = train(docs.where(learn))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array([r[1] > 0 for p in parts(texts) for r in label(model, p)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -184,7 +184,11 @@ def predict(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document; learns only labels of rows that are not held out."""
+    """``doc_id, held_out, score, predicted`` of every document; learns only labels of rows that are not held out.
+
+    Null and empty texts have all statistics 0 and get that leaf's score. A null doc_id is not held out and has no
+    label; rows that repeat are rows like any other. Without labels every score is 0.5.
+    """
     learn: Column
     learn, held = learnable(F.col("doc_id"), 5, 0)
     forest = train(docs, labels.where(learn))
