@@ -169,7 +169,7 @@ def label(model: Model, texts: list[str], penalty: float = PENALTY) -> list[tupl
     new = np.ones(len(labels), bool)
     new[1:] = (labels[1:] != labels[:-1]) | (w.text[1:] != w.text[:-1])
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(labels)) - 1
+    tails = np.append(heads[1:], len(labels))[: len(heads)] - 1
     spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for t, a, b, x in zip(w.text[heads].tolist(), (w.start[heads] - w.offsets[w.text[heads]]).tolist(), (w.end[tails] - w.offsets[w.text[heads]]).tolist(), labels[heads].tolist()):
         spans[t].append((a, b, model.names[x]))
