@@ -222,7 +222,8 @@ def confirmed_edges(docs: DataFrame, nominated: DataFrame, threshold_percent: in
     sizes = group_values(group, "component", "id", {"n": ("count", F.lit(1), "sum")})
     group = group.join(sizes, ["component", "salt"])
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    members = materialize(texts.join(group, "id").dropDuplicates(["id"]), "members")
+    # A group's ids grow with the input: the plan is a shuffle at every size, also where a broadcast would just fit.
+    members = materialize(texts.join(group.hint("merge"), "id").dropDuplicates(["id"]), "members")
     small = members.where(F.col("n") <= BLOCK).select(F.col("component").alias("unit"), "id", F.lit(True).alias("probe"), "text")
     edges = materialize(in_units(small, run, LINKS), "edges")
     large = members.where(F.col("n") > BLOCK)
@@ -274,5 +275,5 @@ def keep_first(docs: DataFrame, threshold_percent: int = 80, words: int = 5) ->
     """The rows of ``docs`` whose document is the least of its group; of rows that repeat a document one stays."""
     gone = near_duplicates(docs, threshold_percent, words).where("not kept").select("doc_id").distinct()
     once = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_seqloom_once", once)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").withColumn("_seqloom_once", once)
     return kept.dropDuplicates(["doc_id", "_seqloom_once"]).select(docs.columns)
