@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SALTS, discard, materialize, salt_of
+from .shared import discard, materialize, salt_of
 
 
 def propagate(links: DataFrame, n_rows: int, n_shards: int, rounds: int) -> DataFrame | None:
