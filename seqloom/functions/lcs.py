@@ -82,19 +82,6 @@ def common_letters(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return letter_counts(strings), np.array([len(s) for s in strings], np.int64)
 
 
-def best_of_block(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Per string of ``a``: LCS and index of the most similar string of ``b`` (the first of equals), compared as exact fractions."""
-    la, lb = np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64)
-    best, at = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-    j = np.arange(len(b))
-    for i in range(len(a)):
-        got = lcs_pairs([a[i]], b, np.zeros(len(b), np.int64), j)
-        ratio = got / np.maximum(la[i] + lb, 1)
-        at[i] = int(ratio.argmax()) if len(b) else 0
-        best[i] = got[at[i]] if len(b) else 0
-    return best, at
-
-
 def lcs_matrix(a: list[str], b: list[str]) -> np.ndarray:
     i, j = np.divmod(np.arange(len(a) * len(b)), max(1, len(b)))
     return lcs_pairs(a, b, i, j).reshape(len(a), len(b))

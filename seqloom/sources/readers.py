@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.residues import ALPHABET, canonical
+from ..functions.residues import canonical
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -229,6 +229,3 @@ def read_score_report(spark: SparkSession, path: str, models: list[str]) -> Data
     wanted = spark.createDataFrame([(m,) for m in models], "model string")
     _require(wanted.join(rows, "model", "left"), F.col("status") == "ok", "models without scores")
     return rows
-
-
-__all__ = [n for n in dir() if n.startswith(("read_", "clean_", "cached_", "accepted_", "fetch"))] + ["ALPHABET", "header_of"]
