@@ -1,7 +1,8 @@
 """Licence scans: a trained paragraph classifier, with a calibrated unknown class, confirmed by templates.
 
-A paragraph is a line; longer lines are read in half-overlapping windows, so no part of a text is left out. Features
-are the hashed word 1-, 2- and 3-grams. Multinomial logistic regression is trained on variants of the notices below
+A text is read twice, line by line and by runs of lines up to the next line without a word (so that hard-wrapped
+notices, also in comments, are whole); longer lines and runs are read in half-overlapping windows, so no part of a
+text is left out. Features are the hashed word 1-, 2- and 3-grams. Multinomial logistic regression is trained on variants of the notices below
 (words dropped, replaced, added) and on paragraphs of no licence, among them ones that use the same words. Its
 temperature and its threshold come from variants that it was not trained on. A prediction counts only if the
 paragraph also holds enough word pairs of one of the family's templates.
@@ -10,6 +11,7 @@ paragraph also holds enough word pairs of one of the family's templates.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -239,38 +241,70 @@ def find(model: Model, data: np.ndarray, offsets: np.ndarray, share: float = 0.6
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     breaks = np.cumsum(data == 10)
     line = (breaks[starts] if len(starts) else starts) + text
-    first, end = segments(words, starts, line)
-    if not len(first):
+    if not len(line):
         return []
+    rows = [model.rows[grams(words, order)] for order in range(1, ORDERS + 1)]
+    out = []
+    for s, e, family, p, _ in confirmed(model, words, rows, line, *segments(words, starts, line), share):
+        out.append((int(text[s]), int(starts[s]), int(ends[e - 1]), family, p))
+    # Runs of several lines; their spans are the words that the template shares, not the whole window.
+    run = np.cumsum(np.append(False, (text[1:] != text[:-1]) | (np.diff(line) > 1)))
+    several = np.bincount(run, weights=np.append(False, (run[1:] == run[:-1]) & (line[1:] != line[:-1]))) > 0
+    first, end = segments(words, starts, run)
+    keep = several[run[first]]
+    for _, _, family, p, (s, e) in confirmed(model, words, rows, run, first[keep], end[keep], share):
+        out.append((int(text[s]), int(starts[s]), int(ends[e - 1]), family, p))
+    return sorted(out)
+
+
+def tightest(words: np.ndarray, template: set[int]) -> tuple[int, int]:
+    """First word and end of the shortest part that holds every pair of the template that ``words`` hold."""
+    h = mix(words[:-1] * GRAM[0] + words[1:] * GRAM[1]).tolist()
+    at = [k for k, x in enumerate(h) if x in template]
+    need, inside, best, low = len({h[k] for k in at}), Counter(), (0, len(words)), 0
+    for k in at:
+        inside[h[k]] += 1
+        while inside[h[at[low]]] > 1:
+            inside[h[at[low]]] -= 1
+            low += 1
+        if len(inside) == need and k + 2 - at[low] < best[1] - best[0]:
+            best = (at[low], k + 2)
+    return best
+
+
+def confirmed(model: Model, words: np.ndarray, rows: list[np.ndarray], group: np.ndarray, first: np.ndarray, end: np.ndarray, share: float) -> Iterator[tuple[int, int, str, float, tuple[int, int]]]:
+    """(first word, end, family, probability, first word and end of the template's part) of the windows that the model and a template confirm."""
+    if not len(first):
+        return
     logits = np.zeros((len(first), len(model.names)), np.float32)
-    for order in range(1, ORDERS + 1):
-        row = model.rows[grams(words, order)]
+    for order, row in enumerate(rows, 1):
         hit = np.flatnonzero(row >= 0)
         last = np.searchsorted(first, hit, side="right") - 1
         for back in (0, 1):
-            s = last - back
-            ok = (s >= 0) & (first[s] <= hit) & (hit + order <= end[s])
+            s = np.maximum(last - back, 0)
+            ok = (last >= back) & (first[s] <= hit) & (hit + order <= end[s])
             for c in range(len(model.names)):
                 logits[:, c] += np.bincount(s[ok], weights=model.weights[row[hit[ok]], c], minlength=len(first)).astype(np.float32)
     n = end - first
     total = np.maximum(1, sum(np.maximum(0, n - k) for k in range(ORDERS)))
     p = model.probabilities(logits / np.sqrt(total)[:, None] + model.bias)
     best = p.argmax(axis=1)
-    out = []
     for s in np.flatnonzero((best < len(model.names) - 1) & (p.max(axis=1) >= model.least)).tolist():
-        # The template may reach beyond the window, but not beyond the line.
-        a, b = max(first[s] - WINDOW, np.searchsorted(line, line[first[s]])), min(end[s] + WINDOW, np.searchsorted(line, line[first[s]], side="right"))
+        # The template may reach beyond the window, but not beyond the line or run.
+        a, b = max(first[s] - WINDOW, np.searchsorted(group, group[first[s]])), min(end[s] + WINDOW, np.searchsorted(group, group[first[s]], side="right"))
         family, mine = model.names[best[s]], pairs(words[a:b])
-        if any(f == family and len(t & mine) >= share * len(t) for f, t in model.templates):
-            out.append((int(text[first[s]]), int(starts[first[s]]), int(ends[end[s] - 1]), family, float(p[s].max())))
-    return out
+        shares = [(len(t & mine) / len(t), k) for k, (f, t) in enumerate(model.templates) if f == family]
+        most, k = max(shares, key=lambda x: x[0])
+        if most >= share:
+            x, y = tightest(words[a:b], model.templates[k][1])
+            yield int(first[s]), int(end[s]), family, float(p[s].max()), (int(a + x), int(a + y))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, families, n_spans, spans, score`` of every whole text.
 
-    ``families``: sorted, comma-joined; ``spans``: ``family:start:end`` in code points, end exclusive, windows of one
-    line that overlap or touch joined; ``score``: the highest probability, 0 without a licence. Null and empty texts
+    ``families``: sorted, comma-joined; ``spans``: ``family:start:end`` in code points, end exclusive, those of a
+    family that overlap or touch joined; ``score``: the highest probability, 0 without a licence. Null and empty texts
     have none; repeated rows are rows like any other; other columns are not read.
     """
     model = train()
@@ -282,8 +316,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 for t, a, b, family, p in find(model, data, offsets):
                     own = rows[t]
                     a, b = a - int(offsets[t]), b - int(offsets[t])
-                    if own and own[-1][2] == family and a <= own[-1][1]:
-                        own[-1] = (own[-1][0], max(b, own[-1][1]), family, max(p, own[-1][3]))
+                    k = next((k for k in range(len(own) - 1, -1, -1) if own[k][2] == family), None)
+                    if k is not None and a <= own[k][1]:
+                        own[k] = (own[k][0], max(b, own[k][1]), family, max(p, own[k][3]))
                     else:
                         own.append((a, b, family, p))
                 spans = []

@@ -259,6 +259,28 @@ def test_license_rows(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files, to deal", "in the Software without restriction."],
+    "BSD": ["Redistribution and use in source and binary forms, with or", "without modification, are permitted provided that the following", "conditions are met."],
+    "GPL": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation."],
+    "LGPL": ["This library is free software under the terms of", "the GNU Lesser General Public License."],
+}
+
+
+@pytest.mark.parametrize("family", sorted(WRAPPED))
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// "])
+def test_wrapped_notices(family, prefix):
+    head, tail = "Green river stones walk under the light.\n\n", "\n\nprose after the notice"
+    body = "\r\n".join(prefix + x for x in WRAPPED[family])
+    joined = "Green river stones walk.\n" + body + "\nLight walks under the stones."
+    for text in (head + body + tail, joined):
+        batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+        spans = [r for _, _, d, o in kernels.text_chunks(batch) for r in licenses.find(licenses.train(), d, o)]
+        assert spans and {r[3] for r in spans} == {family}
+        assert min(r[1] for r in spans) >= text.index(WRAPPED[family][0]) and max(r[2] for r in spans) <= text.index(WRAPPED[family][-1]) + len(WRAPPED[family][-1])
+        assert any("\n" in text[r[1] : r[2]] for r in spans)
+
+
 # --- quality
 
 
