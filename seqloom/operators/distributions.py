@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import Gaussian, frechet, median_bandwidth
+from ..functions.vectors import Gaussian, frechet, median_bandwidth, random_kernel
 from .ranking import running
 from .tables import in_units, whole_units
 
@@ -100,6 +100,35 @@ def median_squared_distance(reference: DataFrame, most: int = 512) -> float:
     return median_bandwidth(np.array([r[0] for r in rows], float), most)
 
 
+def feature_means(df: DataFrame, weights: np.ndarray, phases: np.ndarray, column: str = "embedding") -> np.ndarray | None:
+    """Mean of cos(x W + b) over all vectors; each task sends one sum. None without vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(len(phases))
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), float)
+            if len(x):
+                n, total = n + len(x), total + np.cos(x @ weights + phases).sum(axis=0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()])], names=["n", "total"])
+
+    parts = df.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "n long, total array<double>")
+    sums = F.aggregate(F.collect_list("total"), F.array().cast("array<double>"), lambda s, x: F.when(F.size(s) == 0, x).otherwise(F.zip_with(s, x, lambda p, q: p + q)))
+    # Two levels, so that the last step merges a bounded number of sums.
+    rows = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(32))).agg(F.sum("n").alias("n"), sums.alias("total")).collect()
+    return sum(np.array(r["total"]) for r in rows) / sum(r["n"] for r in rows) if rows else None
+
+
+def mmd_random(x: DataFrame, y: DataFrame, seed: int = 42, features: int = 256) -> float | None:
+    """Biased squared MMD of all vectors ``(id, embedding)`` by random features; only the bandwidth is of the first 512 of y by id. None if either is empty."""
+    first = y.where(F.col("embedding").isNotNull()).orderBy("id").limit(1).collect()
+    if not first:
+        return None
+    weights, phases = random_kernel(len(first[0]["embedding"]), median_squared_distance(y.where(F.col("embedding").isNotNull())), seed, features)
+    mx, my = (feature_means(df, weights, phases) for df in (x, y))
+    return None if mx is None else float(2 / features * ((mx - my) ** 2).sum())
+
+
 def knn_radius(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:
     """``(id, radius2)``: squared distance to the k-th nearest other vector. Units send their k + 1 nearest per vector, one aggregate merges them."""
 

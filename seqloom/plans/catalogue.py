@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
-from ..functions.vectors import Gaussian, RandomFeatures, direction_scores, frechet_direction, mmd_random_features
+from ..functions.vectors import Gaussian, RandomFeatures, direction_scores, frechet_direction
 from ..operators import align, allocation, distributions, learn, ranking, reports, selection, sets, similarity, tables, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -598,7 +598,7 @@ def random_fourier_features(spark, d):
 @query()
 def mmd_random(spark, d):
     a, b = _halves(spark, d)
-    return spark.createDataFrame([(mmd_random_features(_bounded(a), _bounded(b)),)], "mmd2 double")
+    return spark.createDataFrame([(distributions.mmd_random(a, b),)], "mmd2 double")
 
 
 @query()

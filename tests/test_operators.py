@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.functions import lcs
+from seqloom.functions import lcs, vectors
 from seqloom.operators import align, allocation, distributions, learn, ranking, sets, similarity, tables, validate
+from seqloom.plans import catalogue
 
 
 def frame(spark, seqs):
@@ -214,3 +215,15 @@ def test_learning_contracts(spark):
 def test_batches(spark):
     out = ranking.batches(spark.range(1050).withColumnRenamed("id", "k"), "k", 100).collect()
     assert all(r["batch"] == r["k"] // 100 for r in out)
+
+
+def test_random_mmd_reads_every_row(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 4))
+    y = np.concatenate([rng.normal(size=(600, 4)), rng.normal(size=(500, 4)) + 2])
+    rows = [(k, (x[k // 2] if k % 2 == 0 else y[k // 2]).tolist(), k % 2) for k in range(3000) if k % 2 == 0 or k // 2 < len(y)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES["mmd_random"](spark, str(tmp_path)).first()["mmd2"]
+    assert got == pytest.approx(vectors.mmd_random_features(x, y), rel=1e-9)
+    empty = spark.createDataFrame([], "id long, embedding array<double>")
+    assert distributions.mmd_random(empty, empty) is None
