@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -14,8 +15,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import RandomFeatures, conformity
+from ..functions.vectors import RandomFeatures
 from .distributions import moments, squared_distance
+from .ranking import running
+from .tables import in_units, materialize, whole_units
 
 
 def center(df: DataFrame, mean: np.ndarray, column: str = "embedding") -> DataFrame:
@@ -106,14 +109,54 @@ def random_features(df: DataFrame, fit: RandomFeatures, column: str = "embedding
     return df.withColumn(out, apply(column))
 
 
-def conformity_scores(df: DataFrame, reference: np.ndarray, columns: list[str], out: str = "conformity") -> DataFrame:
-    """Density conformity to a bounded reference sample (rows x columns)."""
-
-    @F.pandas_udf("double")
-    def apply(x: pd.Series) -> pd.Series:
-        return pd.Series(conformity(np.array(x.tolist(), float), reference)) if len(x) else pd.Series([], dtype=float)
-
-    return df.withColumn(out, apply(F.array(*(F.col(c).cast("double") for c in columns))))
+def conformity_scores(df: DataFrame, reference: DataFrame, columns: list[str], out: str = "conformity", chunk: int = 8192) -> DataFrame:
+    """Density conformity to all rows of ``reference``: the share of them that is no denser; null where a column is null.
+
+    Densities are Gaussian product kernels with Silverman's bandwidth, summed in units of chunk pairs, once for each
+    distinct vector; ranks are two-level sums over the densities.
+    """
+    d, keys = len(columns), [f"_{k}" for k in range(len(columns))]
+    values = [F.col(c).cast("double").alias(k) for c, k in zip(columns, keys)]
+    own, ref = df.select(*values).dropna(), reference.select(*values).dropna()
+    stats = ref.agg(F.count("*").alias("n"), *(F.avg(k).alias(f"m{k}") for k in keys), *(F.stddev_pop(k).alias(f"s{k}") for k in keys)).first()
+    if not stats["n"]:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    mean = np.array([stats[f"m{k}"] for k in keys])
+    width = np.maximum([stats[f"s{k}"] for k in keys], 1e-12) * (stats["n"] * (d + 2) / 4) ** (-1 / (d + 4)) * np.sqrt(2)
+    both = own.withColumn("weight", F.lit(0)).unionByName(ref.withColumn("weight", F.lit(1)))
+    vectors = materialize(both.groupBy(*keys).agg(F.sum("weight").cast("double").alias("weight")), "vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_units(batches):
+            unit, side, weight = (table.column(c).to_numpy() for c in ("unit", "side", "weight"))
+            x = np.column_stack([table.column(k).to_numpy() for k in keys])
+            for u in np.unique(unit):
+                a, b = (np.flatnonzero((unit == u) & (side == k)) for k in (0, 1))
+                # In a fixed order, so that sums repeat.
+                a, b = (w[np.lexsort(x[w].T)] for w in (a, b))
+                za, zb = (x[a] - mean) / width, (x[b] - mean) / width
+                square, total = (zb * zb).sum(axis=1), np.zeros(len(a))
+                for k in range(0, len(a), 256):
+                    z = za[k : k + 256]
+                    gap = z @ (2 * zb.T)
+                    gap -= square
+                    gap -= (z * z).sum(axis=1)[:, None]
+                    np.minimum(gap, 0, out=gap)
+                    total[k : k + 256] = np.exp(gap, out=gap) @ weight[b]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[a, c]) for c in range(d)), pa.array(total)], names=[*keys, "part"])
+
+    n = [max(1, -(-t.count() // chunk)) for t in (vectors, vectors.where("weight > 0"))]
+    at = lambda k: F.pmod(F.xxhash64(*keys), F.lit(n[k]))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(n[k] - 1)))
+    left = vectors.select(at(0).alias("i"), every(1).alias("j"), F.lit(0).alias("side"), *keys, "weight")
+    right = vectors.where("weight > 0").select(every(0).alias("i"), at(1).alias("j"), F.lit(1).alias("side"), *keys, "weight")
+    blocks = left.unionByName(right).select((F.col("i") * n[1] + F.col("j")).cast("long").alias("unit"), "side", *keys, "weight")
+    parts = in_units(blocks, run, ", ".join(f"{k} double" for k in keys) + ", part double")
+    dense = parts.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda s, v: s + v).alias("density"))
+    placed = materialize(vectors.join(dense, keys), "densities")
+    ranks = running(placed.groupBy("density").agg(F.sum("weight").alias("n")), "density", ["n"])
+    done = placed.join(ranks.select("density", (F.col("n_upto") / F.col("n_total")).alias(out)), "density").select(*keys, out)
+    return df.withColumns({k: F.col(c).cast("double") for c, k in zip(columns, keys)}).join(done, keys, "left").drop(*keys)
 
 
 def training_rows(seqs: DataFrame, means: dict[str, float], deviations: dict[str, float], width: int = 50) -> DataFrame:

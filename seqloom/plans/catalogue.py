@@ -605,8 +605,7 @@ def mmd_random(spark, d):
 def conformity_scores(spark, d):
     rows = distinct_candidates(spark, d).select("seq", *(c.alias(k) for k, c in R.properties(F.col("seq")).items()))
     names = ["length", "charge", "hydrophobicity", "moment"]
-    reference = np.array([tuple(r) for r in ranking.hash_sample(rows, "seq", 512).select(*names).collect()], float)
-    return learn.conformity_scores(rows, reference, names).select("seq", "conformity")
+    return learn.conformity_scores(rows, rows, names).select("seq", "conformity")
 
 
 @query(

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.functions import lcs, vectors
+from seqloom.functions import lcs, residues, vectors
 from seqloom.operators import align, allocation, distributions, learn, ranking, sets, similarity, tables, validate
 from seqloom.plans import catalogue
 
@@ -227,3 +227,23 @@ def test_random_mmd_reads_every_row(spark, tmp_path):
     assert got == pytest.approx(vectors.mmd_random_features(x, y), rel=1e-9)
     empty = spark.createDataFrame([], "id long, embedding array<double>")
     assert distributions.mmd_random(empty, empty) is None
+
+
+def test_conformity_reads_every_row(spark):
+    rng = np.random.default_rng(4)
+    ref = np.round(np.concatenate([rng.normal(size=(900, 2)), rng.normal(size=(300, 2)) * 3 + 4]), 1)
+    new = np.concatenate([np.round(rng.normal(size=(200, 2)) * 2, 1), [[500.0, 0.0]]])
+    table = lambda x: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id long, a double, b double")
+    got = {r["id"]: r["conformity"] for r in learn.conformity_scores(table(new), table(ref), ["a", "b"], chunk=300).collect()}
+    assert np.allclose([got[k] for k in range(len(new))], vectors.conformity(new, ref), atol=1e-9)
+    assert got[200] == 0 and learn.conformity_scores(table(new), table(ref[:0]), ["a", "b"]).where("conformity IS NULL").count() == len(new)
+
+
+def test_conformity_query_reads_every_sequence(spark, tmp_path):
+    seqs = random_seqs(700)
+    spark.createDataFrame(list(enumerate(seqs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["seq"]: r["conformity"] for r in catalogue.QUERIES["conformity_scores"](spark, str(tmp_path)).collect()}
+    props = frame(spark, seqs).select("seq", *(c.alias(k) for k, c in residues.properties(F.col("seq")).items())).toPandas()
+    x = props[["length", "charge", "hydrophobicity", "moment"]].to_numpy(float)
+    assert len(got) == len(seqs) > 512
+    assert np.allclose([got[s] for s in props["seq"]], vectors.conformity(x, x), atol=1.5 / len(seqs))
