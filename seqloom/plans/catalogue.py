@@ -738,8 +738,7 @@ def bits_novelty(spark, d):
 
 @query()
 def local_alignments(spark, d):
-    reference = known(spark, d).where(F.length("seq").between(8, 50))
-    return align.align_all(distinct_candidates(spark, d), reference, k=5)
+    return align.align_all(distinct_candidates(spark, d), known(spark, d))
 
 
 @query(

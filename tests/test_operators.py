@@ -247,3 +247,17 @@ def test_conformity_query_reads_every_sequence(spark, tmp_path):
     x = props[["length", "charge", "hydrophobicity", "moment"]].to_numpy(float)
     assert len(got) == len(seqs) > 512
     assert np.allclose([got[s] for s in props["seq"]], vectors.conformity(x, x), atol=1.5 / len(seqs))
+
+
+def test_alignments_of_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    draw = lambda n, low, high: sorted({"".join(rng.choice(list("ACDE"), rng.integers(low, high))) for _ in range(n)})
+    queries, refs = draw(25, 8, 30), [*draw(20, 1, 40), "ACDE" * 20, "W"]
+    spark.createDataFrame(list(enumerate(queries)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 0, s) for k, s in enumerate(refs)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = [tuple(r) for r in catalogue.QUERIES["local_alignments"](spark, str(tmp_path)).collect()]
+    each = {(q, t): align.local_alignment(q, t, align.match_score()) for q in queries for t in refs}
+    assert sorted(rows) == sorted((q, t, *r, len(q), len(t)) for (q, t), r in each.items() if r[0])
+    some = [tuple(r) for r in align.align_all(frame(spark, queries), frame(spark, refs), k=5).collect()]
+    mers = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    assert sorted(some) == sorted(r for r in rows if mers(r[0]) & mers(r[1]))
