@@ -677,7 +677,7 @@ def pair_diversity(spark, d):
 
 @query()
 def embedding_metrics(spark, d):
-    out = reports.embedding_metrics(*_halves(spark, d), 200, (1, 2, 3))
+    out = reports.embedding_metrics(*_halves(spark, d), 1000, (1, 2, 3))
     return spark.createDataFrame([(k, float(m), float(s)) for k, (m, s) in out.items()], "metric string, mean double, deviation double")
 
 
@@ -776,10 +776,11 @@ def _selection(spark: SparkSession, d: str) -> tuple[selection.Candidates, np.nd
 
 
 def _features(c: selection.Candidates, rp: np.ndarray) -> tuple[np.ndarray, selection.Guards]:
-    fit = RandomFeatures.fit(rp, 42, 64)
+    fit = RandomFeatures.fit(rp, 42)
     cuts = [np.quantile(rp[:, j], np.linspace(0.005, 0.995, 33)) for j in range(rp.shape[1])]
     bank = lambda x: np.column_stack([fit(x), *((x[:, j, None] <= t).astype(float) for j, t in enumerate(cuts))])
-    edges = [0, 64, *(64 + 33 * (j + 1) for j in range(len(cuts)))]
+    n = len(fit.phases)
+    edges = [0, n, *(n + 33 * (j + 1) for j in range(len(cuts)))]
     return bank(c.props), selection.Guards([slice(a, b) for a, b in zip(edges[:-1], edges[1:])], bank(rp).mean(axis=0))
 
 
@@ -798,21 +799,21 @@ def coverage_swaps(spark, d):
 def guarded_swap(spark, d):
     c, rp, start, _, _ = _selection(spark, d)
     features, guards = _features(c, rp)
-    return _chosen(spark, c, selection.guarded_swaps(c, start, features, guards, rounds=200)[0])
+    return _chosen(spark, c, selection.guarded_swaps(c, start, features, guards)[0])
 
 
 @query()
 def neighbor_repair(spark, d):
     c, rp, start, _, _ = _selection(spark, d)
     features, guards = _features(c, rp)
-    chosen, _, _ = selection.guarded_swaps(c, start, features, guards, rounds=50)
-    return _chosen(spark, c, selection.repair_neighbors(c, chosen, features, guards, float(c.mic[start].sum()) * 1.05, 300)[0])
+    chosen, _, _ = selection.guarded_swaps(c, start, features, guards)
+    return _chosen(spark, c, selection.repair_neighbors(c, chosen, features, guards, float(c.mic[start].sum()) * 1.05)[0])
 
 
 @query()
 def zero_edge_repair(spark, d):
     c, _, start, _, _ = _selection(spark, d)
-    return _chosen(spark, c, selection.repair_zero_edge(c, start, np.argsort(-c.utility, kind="stable"), 300)[0])
+    return _chosen(spark, c, selection.repair_zero_edge(c, start, np.argsort(-c.utility, kind="stable"))[0])
 
 
 @query()
@@ -820,7 +821,7 @@ def exchange_refine(spark, d):
     c, rp, start, reference, weights = _selection(spark, d)
     limits = selection.limits_of(selection.selection_metrics(c, start, rp, reference, weights))
     limits = {k: 0.9 * v for k, v in limits.items()}
-    return _chosen(spark, c, selection.exchange(c, start, rp, reference, weights, limits, 0.0, paired=True, epochs=3)[0])
+    return _chosen(spark, c, selection.exchange(c, start, rp, reference, weights, limits, 0.0, paired=True, epochs=60)[0])
 
 
 @query()
