@@ -567,7 +567,7 @@ def kmeans_regions(spark, d):
 def embedding_moments(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
     (pc,) = learn.principal_components(rows, [rows], k=4)
-    return learn.moment_features(pc).select("vec_id", F.size("moments").alias("n_moments"))
+    return learn.moment_features(pc).select("vec_id", joined(F.transform("moments", lambda x: r6(x) + 0.0)).alias("moments"))
 
 
 @query()
@@ -592,7 +592,7 @@ def _bounded(df: DataFrame, n: int = 512) -> np.ndarray:
 @query()
 def random_fourier_features(spark, d):
     a, b = _halves(spark, d)
-    return learn.random_features(a, RandomFeatures.fit(_bounded(b), 42)).select("id", F.size("rff").alias("n_features"))
+    return learn.random_features(a, RandomFeatures.fit(_bounded(b), 42)).select("id", joined(F.transform("rff", lambda x: r6(x) + 0.0)).alias("rff"))
 
 
 @query()

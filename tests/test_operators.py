@@ -261,3 +261,22 @@ def test_alignments_of_all_pairs(spark, tmp_path):
     some = [tuple(r) for r in align.align_all(frame(spark, queries), frame(spark, refs), k=5).collect()]
     mers = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
     assert sorted(some) == sorted(r for r in rows if mers(r[0]) & mers(r[1]))
+
+
+def test_feature_queries_give_values(spark, tmp_path):
+    x = np.random.default_rng(8).normal(size=(60, 5))
+    spark.createDataFrame([(k, v.tolist(), k % 2) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: [float(v) for v in r["rff"].split(",")] for r in catalogue.QUERIES["random_fourier_features"](spark, str(tmp_path)).collect()}
+    b = x[1::2]
+    gaps = ((b[:, None] - b[None]) ** 2).sum(axis=2)
+    rng = np.random.default_rng(42)
+    rng.choice(len(b), len(b), replace=False)
+    w, phase = rng.normal(size=(5, 128)) / np.sqrt(np.median(gaps[gaps > 1e-12])), rng.uniform(0, 2 * np.pi, 128)
+    assert sorted(got) == list(range(0, 60, 2)) and np.allclose([got[k] for k in sorted(got)], np.sqrt(2 / 128) * np.cos(x[::2] @ w + phase), atol=2e-6)
+    moments = {r["vec_id"]: [float(v) for v in r["moments"].split(",")] for r in catalogue.QUERIES["embedding_moments"](spark, str(tmp_path)).collect()}
+    z = x - x.mean(axis=0)
+    pc = z @ np.linalg.svd(z)[2][:4].T
+    pc /= np.sqrt((pc**2).sum(axis=1).mean())
+    pairs = np.column_stack([*pc.T, *(pc[:, i] * pc[:, j] for i in range(4) for j in range(i + 1))])
+    # A component's sign is arbitrary.
+    assert np.allclose(np.sort(np.abs([moments[k] for k in range(60)]), axis=1), np.sort(np.abs(pairs), axis=1), atol=2e-6)
