@@ -52,8 +52,11 @@ def regions(reference: DataFrame, tables: list[DataFrame], k: int | None = None,
     return [put(t) for t in tables], weights.select("region", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
-def proxy_classifier(labelled: DataFrame, features: str = "features", label: str = "label", trees: int = 200, least: int = 20, seed: int = 42) -> tuple[object, dict[str, float]] | None:
-    """Random forest on array features with class weights, and its areas under the ROC and precision-recall curves; None with fewer than ``least`` negatives."""
+def proxy_classifier(labelled: DataFrame, features: str = "features", label: str = "label", trees: int = 200, least: int = 20, seed: int = 42, audit: DataFrame | None = None) -> tuple[object, dict[str, float]] | None:
+    """Random forest on array features with class weights, and its areas under the ROC and precision-recall curves; None with fewer than ``least`` negatives.
+
+    The areas are of the held-out rows ``audit`` (no areas if these lack a class), or without it of the rows fitted on.
+    """
     counts = {r[0]: r[1] for r in labelled.groupBy(label).agg(F.count("*")).collect()}
     if counts.get(0, 0) < least:
         return None
@@ -61,7 +64,9 @@ def proxy_classifier(labelled: DataFrame, features: str = "features", label: str
     weight = F.when(F.col(label) == 1, total / (2 * max(1, counts.get(1, 0)))).otherwise(total / (2 * counts[0]))
     data = labelled.withColumn("_v", array_to_vector(features)).withColumn("_w", weight).withColumn("_y", F.col(label).cast("double"))
     model = RandomForestClassifier(featuresCol="_v", labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=3, seed=seed).fit(data)
-    done = model.transform(data)
+    done = model.transform(data if audit is None else audit.withColumn("_v", array_to_vector(features)).withColumn("_y", F.col(label).cast("double")))
+    if audit is not None and audit.select(label).where(F.col(label).isin(0, 1)).distinct().count() < 2:
+        return model, {}
     area = lambda m: BinaryClassificationEvaluator(labelCol="_y", metricName=m).evaluate(done)
     return model, {"auroc": area("areaUnderROC"), "average_precision": area("areaUnderPR")}
 

@@ -61,7 +61,10 @@ def embedding_metrics(x: DataFrame, reference: DataFrame, n: int, seeds: Sequenc
 def reference_floor(reference: DataFrame, seeds: Sequence[int], bandwidth: float = 1.0) -> dict[str, tuple[float, float]]:
     """What two disjoint halves of the reference score against each other: the best that a library can reach."""
     halves = {s: ranking.hash_halves(reference, "id", s) for s in seeds}
+    near = {s: distributions.precision_recall(*halves[s]) for s in seeds}
     return {
         "fbd": distributions.repeated(seeds, lambda s: distributions.frechet_distance(*halves[s])),
         "mmd2": distributions.repeated(seeds, lambda s: distributions.mmd_unbiased(*halves[s], bandwidth)),
+        "precision": distributions.repeated(seeds, lambda s: near[s][0]),
+        "recall": distributions.repeated(seeds, lambda s: near[s][1]),
     }

@@ -697,8 +697,9 @@ def training_rows(spark, d):
 
 @query()
 def proxy_classifier(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).alias("label"))
-    out = learn.proxy_classifier(rows, trees=20)
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).alias("label"))
+    fitted, audit = ranking.hash_halves(rows, "vec_id")
+    out = learn.proxy_classifier(fitted, audit=audit)
     return spark.createDataFrame(sorted((out[1] if out else {}).items()), "metric string, value double")
 
 

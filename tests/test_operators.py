@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import lcs, residues, vectors
-from seqloom.operators import align, allocation, distributions, learn, ranking, sets, similarity, tables, validate
+from seqloom.operators import align, allocation, distributions, learn, ranking, reports, sets, similarity, tables, validate
 from seqloom.plans import catalogue
 
 
@@ -280,3 +280,15 @@ def test_feature_queries_give_values(spark, tmp_path):
     pairs = np.column_stack([*pc.T, *(pc[:, i] * pc[:, j] for i in range(4) for j in range(i + 1))])
     # A component's sign is arbitrary.
     assert np.allclose(np.sort(np.abs([moments[k] for k in range(60)]), axis=1), np.sort(np.abs(pairs), axis=1), atol=2e-6)
+
+
+def test_proxy_is_scored_on_held_out_rows(spark, tmp_path):
+    x = np.random.default_rng(9).normal(size=(300, 4))
+    rows = [(k, v.tolist(), int(k % 3 == 0)) for k, v in enumerate(x)]  # labels without any signal
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["metric"]: r["value"] for r in catalogue.QUERIES["proxy_classifier"](spark, str(tmp_path)).collect()}
+    assert 0.3 < got["auroc"] < 0.7
+    vectors_ = spark.createDataFrame([(k, v) for k, v, _ in rows], "id long, embedding array<double>")
+    floor = reports.reference_floor(vectors_, (1,))
+    p, r = distributions.precision_recall(*ranking.hash_halves(vectors_, "id", 1))
+    assert floor["precision"] == (p, 0.0) and floor["recall"] == (r, 0.0)
