@@ -16,9 +16,15 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    Only a session that runs in one JVM may leave it unset (tests): it gets a temporary folder. On a cluster that would
+    be a folder of one machine, so it is an error there.
+    """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='seqloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -44,18 +50,32 @@ def salt_of(col: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(col, F.lit(11)), F.lit(salts)).cast("int")
 
 
-def group_values(rows: DataFrame, key: str, member: str, aggs: dict[str, tuple[str, Column, str]], having: Column | None = None, salts: int = SALTS) -> DataFrame:
+def salts_in_use() -> Column:
+    """An aggregate: the set of the group's values of ``salt``, as the bits of a long."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def by_salt(values: DataFrame) -> DataFrame:
+    """One row per salt in ``salts``, with the column ``salt`` instead."""
+    used = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
+    return values.withColumn("salt", F.explode(used)).drop("salts")
+
+
+def group_values(rows: DataFrame, key: str | list[str], aggs: dict[str, Column], having: Column | None = None) -> DataFrame:
     """Rows ``(key, salt, *aggs)`` to join back to ``rows`` on key and salt without a hot key.
 
-    ``aggs``: name -> (function of the first level, its column, function of the second level). The first level
-    aggregates by key and salt, the second by key, so no task gets more than ``salts`` rows of one key.
-    ``rows`` must have the column ``salt`` (see :func:`salt_of`).
+    One shuffle of partial aggregates: a task sends one row per key however many rows it has of it. ``rows`` must have
+    the column ``salt`` (see :func:`salt_of`); a key comes back once per salt that its rows have.
     """
-    first = rows.groupBy(key, "salt").agg(*(getattr(F, f)(c).alias(n) for n, (f, c, _) in aggs.items()))
-    second = first.groupBy(key).agg(*(getattr(F, g)(n).alias(n) for n, (_, _, g) in aggs.items()))
-    if having is not None:
-        second = second.where(having)
-    return first.select(key, "salt").join(second, key)
+    groups = rows.groupBy(*([key] if isinstance(key, str) else key)).agg(*(c.alias(n) for n, c in aggs.items()), salts_in_use())
+    return by_salt(groups if having is None else groups.where(having))
+
+
+def lookup(rows: DataFrame, key: str, member: str, values: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``values`` (one row per ``key``), the rows of a hot key dealt over salts by ``member``."""
+    salted = rows.withColumn("salt", salt_of(F.col(member)))
+    used = by_salt(salted.groupBy(key).agg(salts_in_use()).join(values, key))
+    return salted.join(used, [key, "salt"], "left").drop("salt")
 
 
 class Forest:
@@ -112,18 +132,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if n <= FINISH:
             parent = materialize(e.repartition(1).mapInArrow(finish, f"node {node}, parent {node}"), f"parent{k}")
         else:
-            both = e.union(e.select("b", "a"))
+            # A node's parent comes with the salts of its edges, so that the edges of a star's centre spread in the joins.
+            both = e.union(e.select("b", "a")).withColumn("salt", salt_of(F.col("b")))
             rank = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k else F.lit(0).cast("long")).alias("h"), c.alias("v"))  # noqa: E731, B023
-            parent = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("m"))
-            parent = materialize(parent.select("node", F.least("m", rank(F.col("node")))["v"].alias("parent")), f"parent{k}")
-            pa_, pb = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-            nxt = e.join(pa_, "a").join(pb, "b").where("pa <> pb")
+            parent = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("m"), salts_in_use())
+            parent = materialize(parent.select("node", F.least("m", rank(F.col("node")))["v"].alias("parent"), "salts"), f"parent{k}")
+            ends = by_salt(parent)
+            pa_, pb = ends.select(F.col("node").alias("a"), "salt", F.col("parent").alias("pa")), ends.select(F.col("node").alias("b"), "salt", F.col("parent").alias("pb"))
+            nxt = e.withColumn("salt", salt_of(F.col("b"))).join(pa_, ["a", "salt"]).withColumn("salt", salt_of(F.col("a"))).join(pb, ["b", "salt"]).where("pa <> pb")
             nxt = materialize(nxt.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         if label is None:
             label = parent.select("node", F.col("parent").alias("top"))
         else:
             step = parent.select(F.col("node").alias("top"), F.col("parent").alias("up"))
-            label = label.join(step, "top", "left").select("node", F.coalesce("up", "top").alias("top"))
+            label = lookup(label, "top", "node", step).select("node", F.coalesce("up", "top").alias("top"))
         discard(e)
         if n <= FINISH:
             break
@@ -135,7 +157,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not k and n <= FINISH:
         return label.withColumnRenamed("top", "component")
     label = label.withColumn("salt", salt_of(F.col("node")))
-    least = group_values(label, "top", "node", {"component": ("min", F.col("node"), "min")})
+    least = group_values(label, "top", {"component": F.min("node")})
     return label.join(least, ["top", "salt"]).select("node", "component")
 
 
