@@ -21,18 +21,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .kernels import numbers
 from .shared import Forest, components, group_values, in_units, materialize, salt_of, whole_units
 
 WIDTH = 8
 GRID = 3
+#: Vectors of a chunk at 64 dimensions or less; longer ones count for more, so that a unit's bytes are bounded.
 UNIT = 32768
 TILE = 1024
 ACROSS = 10
 SLACK = 1e-9
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows as float64, each times a power of two that brings its largest component near 1: squares neither overflow nor vanish, and no digit changes."""
+    x = x.astype(float)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def rotate(x: np.ndarray) -> np.ndarray:
     """Unit vectors (rows, float64) rotated in a space whose dimension is the next multiple of WIDTH that is a power of two."""
     norm = np.sqrt((x * x).sum(axis=1))
@@ -85,7 +93,7 @@ def place(threshold: float):
                 lengths = batch.column(2).value_lengths().to_numpy()
                 for d in np.unique(lengths):
                     part = batch.filter(pa.array(lengths == d))
-                    x = np.asarray(part.column(2).flatten()).reshape(-1, d).astype(float)
+                    x = scaled(np.asarray(part.column(2).flatten()).reshape(-1, d))
                     for b, rows, cells, home in visits(rotate(x), threshold):
                         if len(rows):
                             names = [pa.array(np.full(len(rows), v), pa.int32()) for v in (d, b)]
@@ -110,7 +118,7 @@ def compare(threshold: float):
         column = lambda c: part.column(part.schema.get_field_index(c))
         ids, weight, side = column("id").to_numpy(), column("weight").to_numpy(), column("side").to_numpy()
         block, dim = column("block")[0].as_py(), column("dim")[0].as_py()
-        x = np.asarray(column("embedding").flatten()).reshape(-1, dim).astype(float)
+        x = scaled(np.asarray(column("embedding").flatten()).reshape(-1, dim))
         y = rotate(x)
         limit = (2 - 2 * threshold + SLACK) * WIDTH / y.shape[1]
         norm = np.sqrt((x * x).sum(axis=1))
@@ -170,24 +178,29 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
 
     Vectors of different lengths, and vectors that are null, zero or hold null or non-finite components, link with
     nothing. Equal vectors link; rows that repeat a vec_id count as vectors of their own. A null vec_id is compared
-    but names no component: the least id that is not null does. Other columns are not read.
+    but names no component: the least id that is not null does. An empty table gives an empty result; a pair at
+    exactly the threshold is linked; of equal ids as a component's least all rows are kept. A vector may have any
+    length. Other columns are not read.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    element = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    # Floats are compared as the doubles they stand for; any other number as a double.
+    kind = "float" if isinstance(element, FloatType) else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     # -0.0 and 0.0 are equal numbers, so they must be equal keys.
-    rows = rows.withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0).cast("float")))
+    rows = rows.withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0).cast(kind)))
     rows = rows.withColumn("key", F.when(usable(F.col("embedding")), F.sha2(F.to_json("embedding").cast("binary"), 256)))
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("salt", salt_of(F.col("rid"))), "vectors")
     keyed = rows.where("key is not null")
-    classes = group_values(keyed, "key", "rid", {"id": ("min", F.col("rid"), "min"), "weight": ("count", F.lit(1), "sum")})
-    classes = materialize(classes, "classes")
+    classes = materialize(group_values(keyed, "key", {"id": F.min("rid"), "weight": F.count("*")}), "classes")
     reps = keyed.join(classes, ["key", "salt"]).where("rid = id").select("id", "weight", "embedding")
     cells = ["dim", "block", *(f"c{g}" for g in range(GRID))]
-    placed = reps.mapInArrow(place(threshold), ", ".join(f"{c} int" for c in cells) + ", home boolean, id long, weight long, embedding array<float>")
-    placed = materialize(placed, "placed")
-    # A cell's number is bounded by the unit ball and the cell's side, not by the rows: this is small enough to be broadcast.
-    full = placed.groupBy(cells).agg(F.count(F.when(F.col("home"), 1)).alias("at_home"), F.count("*").alias("n"))
-    full = full.where("n > 1 and at_home > 0").withColumn("chunks", F.ceil(F.col("n") / F.lit(UNIT)).cast("int")).drop("n", "at_home")
-    units = placed.join(F.broadcast(full), cells).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    placed = reps.mapInArrow(place(threshold), ", ".join(f"{c} int" for c in cells) + f", home boolean, id long, weight long, embedding array<{kind}>")
+    placed = materialize(placed.withColumn("salt", salt_of(F.col("id"))), "placed")
+    # Cells grow with the vectors' dimension, so the join is not told to broadcast them: their table's size decides.
+    full = group_values(placed, cells, {"at_home": F.count(F.when(F.col("home"), 1)), "n": F.count("*")}, F.expr("n > 1 and at_home > 0"))
+    weight = F.greatest(F.lit(64), F.col("dim")) / F.lit(64 * UNIT)
+    full = materialize(full.select(*cells, "salt", F.ceil(F.col("n") * weight).cast("int").alias("chunks")), "cells")
+    units = placed.join(full, [*cells, "salt"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     place_of = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     every, mine = F.sequence(F.lit(0), F.col("chunks") - 1), F.col("mine")
     # Unit (i, j): the home rows of chunk i against each other (if i = j), the home rows of chunk j > i, and the visitors of chunk j.
@@ -200,6 +213,6 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
     classes = classes.join(links, "id", "left").join(top.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("key", "salt", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("node"))
     out = materialize(rows.select("vec_id", "rid", "key", "salt").join(classes, ["key", "salt"], "left").select("vec_id", "rid", "salt", "n_links", F.coalesce("node", "rid").alias("node")), "linked")
-    least = group_values(out, "node", "rid", {"component_id": ("min", F.col("vec_id"), "min")})
+    least = group_values(out, "node", {"component_id": F.min("vec_id")})
     out = out.join(least, ["node", "salt"]).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -1,44 +1,49 @@
-"""Near-duplicate documents: a Chosen Path similarity join over minwise sketches, confirmed on full shingle sets.
-
-1. Equal sets are one class; only one document of a class goes on.
-2. Each of TREES independent trees puts a document under one minwise token of its own. Nodes of at most SMALL
-   documents are compared exhaustively by sketch; a larger node is branched: each document goes to BRANCHES children,
-   each named by a further minwise token that the node's hash picks. Before that, all of a large node are compared
-   to one of them, and children of documents that this already joins are dropped: thousands of near copies, which
-   never part, end there, and strangers among them, if at most FEW, are compared to all of them at once. What is still large after LEVELS levels is compared in blocks of pairs. A node gives the
-   edges of a spanning forest, never all pairs.
-3. The sketch only nominates (it passes pairs far below the threshold). Components of nominated edges are
-   confirmed on the full sets, made anew from the whole texts: in one task where they are small, else against one
-   document, and what does not link to that against all others, in blocks.
-4. Components of confirmed edges, carried back to all members of each class.
+"""Near-duplicate documents: a Chosen Path similarity join over minwise tokens, confirmed on full shingle sets.
+
+1. Equal sets are one class, a node; only classes go on.
+2. Each of TREES independent trees puts a node under one minwise token of its own. Tree nodes ("units") of at most
+   SMALL are compared exhaustively by sketch. A larger unit is first compared to one of its documents, which joins
+   thousands of near copies at once; if few others are left, they are compared to all of it in blocks, and else the
+   unit branches: each document goes to BRANCHES children, each named by a further minwise value at a place that the
+   unit picks, where documents that are joined already are not compared again. What is still large after LEVELS
+   levels is compared in blocks of pairs. A unit gives the edges of a spanning forest, never all pairs.
+3. The sketch only nominates (it passes pairs far below the threshold). Components of nominated edges are confirmed
+   on the full sets of hashed shingles: in one task where they are small, else against one document, and what does
+   not link to that against all others, in blocks. Only texts whose id a Bloom filter of fixed size passes are read
+   and shuffled for this; its false positives fall out in the join.
+4. Components of confirmed edges, carried back to all rows of each class.
 
 A pair at the threshold t meets in one tree with a probability of about t (t (1 - (1 - t)^BRANCHES)^level in a deep
-node); ten trees miss one in 10^5 or fewer, and a group is only parted if all pairs that connect it are missed.
+unit); ten trees miss one in 10^5 or fewer, and a group is only parted if all pairs that connect it are missed.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import distinct_sets, shingle_hashes, sketches, text_chunks, word_hashes
-from .shared import Forest, components, discard, group_values, in_units, materialize, salt_of, whole_units
+from .kernels import U, distinct_sets, mix, numbers, shingle_hashes, sketches, text_chunks, word_hashes
+from .shared import Forest, by_salt, components, group_values, in_units, lookup, materialize, salt_of, salts_in_use, whole_units
 
 SKETCH = 64
 TREES = 10
 BRANCHES = 2
 LEVELS = 5
-SMALL = 1024
+SMALL = 256
 FEW = 1024
 #: Documents in one confirming task, and in one side of a block.
-BLOCK = 100
+BLOCK = 200
+#: Bits of a Bloom filter, whatever the input; full of members it passes all, and the join after it decides alone.
+BLOOM_BITS = 1 << 24
+BLOOM_HASHES = 3
 LINKS = "a long, b long"
+UNIT = ("unit", "node", "n_shingles", "label", "mute", "brief")
 
 
 def least_agreement(threshold_percent: int) -> int:
@@ -47,25 +52,93 @@ def least_agreement(threshold_percent: int) -> int:
     return max(1, math.floor(SKETCH * (t - 6 * math.sqrt(t * (1 - t) / SKETCH))))
 
 
+def binary_rows(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that end at ``ends`` (n + 1 byte offsets) of the bytes of ``flat``."""
+    flat = np.ascontiguousarray(flat)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat.view(np.uint8).ravel())]).cast(pa.binary())
+
+
+def binary_numbers(column: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of binary values in a row, and where each value's begin."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    width = np.dtype(kind).itemsize
+    return data[offsets[0] : offsets[-1]].copy().view(kind), (offsets - offsets[0]) // width
+
+
+def set_keys(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set's members, mixed in two ways: equal for equal sets, and else only by chance (2^-128)."""
+    n = np.diff(at)
+    k1, k2 = np.zeros(len(n), U), np.zeros(len(n), U)
+    some = np.flatnonzero(n)
+    if len(some):
+        a, b = numbers(9, 2, odd=True)
+        k1[some] = np.add.reduceat(mix(values * a), at[:-1][some])
+        k2[some] = np.add.reduceat(mix(values ^ b), at[:-1][some])
+    return k1.view(np.int64), k2.view(np.int64)
+
+
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, sketch``; the last two are null for documents without a word."""
-    schema = "doc_id long, n_shingles long, set_key binary, sketch array<int>"
+    """``doc_id, text_key, n_shingles, k1, k2, tokens, brief`` per row: the key of its set (null if that is empty), a token per tree, and the low bytes of its sketch."""
+    schema = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, tokens array<int>, brief binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch):
+                values, at = distinct_sets(*shingle_hashes(*word_hashes(data, offsets), words))
+                n, none = np.diff(at), np.diff(at) == 0
+                k1, k2 = (pa.array(k, pa.int64(), mask=none) for k in set_keys(values, at))
+                minwise = sketches(values, at, SKETCH)
+                tokens = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * TREES, pa.int32()), pa.array(minwise[:, :TREES].copy().view(np.int32).ravel()))
+                brief = binary_rows(minwise.astype(np.uint8), np.arange(len(n) + 1) * SKETCH)
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), k1, k2, tokens, brief]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "k1", "k2", "tokens", "brief"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
+
+
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``id, k1, k2, hashes``: each row's whole set as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
                 values, at = distinct_sets(*shingle_hashes(*word_hashes(data, offsets), words))
-                n = np.diff(at)
-                keys = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
-                flat = pa.array(sketches(values, at, SKETCH).view(np.int32).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * SKETCH, pa.int32()), flat, mask=pa.array(n == 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "sketch"])
+                k1, k2 = set_keys(values, at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), binary_rows(values, 8 * at)], names=["id", "k1", "k2", "hashes"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, k1 long, k2 long, hashes binary")
+
+
+def places(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(20 + k)), F.lit(BLOOM_BITS)) for k in range(BLOOM_HASHES)]
+
+
+def bloom(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test "may be among ``keys (key)``" as a Bloom filter of BLOOM_BITS bits, whose words are gathered as such."""
+    bits = keys.select(F.explode(F.array(*places(F.col("key")))).alias("p"))
+    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(BLOOM_BITS // 64, np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    octets = table.view(np.uint8)
+
+    @F.pandas_udf("boolean")
+    def test(*at: pd.Series) -> pd.Series:
+        ok = np.ones(len(at[0]), bool)
+        for p in at:
+            p = p.to_numpy()
+            ok &= (octets[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(ok)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return lambda key: test(*places(key))
 
 
 def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compare the pairs of each unit ``(unit, id, n_shingles, label, mute, sketch)`` by sketch and size; give forest edges ``(a, b)``.
+    """Compare the pairs of each unit ``(unit, node, n_shingles, label, mute, brief)`` by sketch and size; give forest edges ``(a, b)``.
 
     Rows with the same ``mute`` (not null) are not compared; rows with the same ``label`` are joined already.
     """
@@ -73,12 +146,11 @@ def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
-            unit, ids, size = (table.column(c).to_numpy() for c in ("unit", "id", "n_shingles"))
+            unit, ids, size = (table.column(c).to_numpy() for c in ("unit", "node", "n_shingles"))
             none = -1 << 63
             label, mute = (table.column(c).fill_null(none).to_numpy() for c in ("label", "mute"))
-            values = table.column("sketch").combine_chunks()
-            values = np.asarray(values.flatten()).reshape(-1, SKETCH)
-            _, first, inverse = np.unique(unit, return_index=True, return_inverse=True)
+            values = binary_numbers(table.column("brief"), np.uint8)[0].reshape(-1, SKETCH)
+            _, first = np.unique(unit, return_index=True)
             left = np.append(first, len(unit))[np.searchsorted(first, np.arange(len(unit)), side="right")] - np.arange(len(unit)) - 1
             found = []
             live = np.flatnonzero(left > 0)
@@ -107,173 +179,226 @@ def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def majority(rows: DataFrame) -> DataFrame:
-    """``(unit, salt, n, major, core_n)``: rows of each unit, its most frequent label, and the rows under that."""
-    first = rows.groupBy("unit", "label", "salt").agg(F.count("*").alias("n"))
-    each = first.groupBy("unit", "label").agg(F.sum("n").alias("n"))
-    named = F.when(F.col("label").isNotNull(), F.struct("n", "label"))
-    top = each.groupBy("unit").agg(F.sum("n").alias("n"), F.max(named).alias("m")).select("unit", "n", F.col("m.label").alias("major"), F.col("m.n").alias("core_n"))
-    return first.select("unit", "salt").distinct().join(top, "unit")
+def near_lead(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(unit, salt, node, n_shingles, brief, label, fits)``: rows whose sketch agrees with their lead's get its label."""
+    least = least_agreement(threshold_percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            own, lead = (binary_numbers(column(c), np.uint8)[0].reshape(-1, SKETCH) for c in ("brief", "lead_brief"))
+            size, lead_size = column("n_shingles").to_numpy(), column("lead_n").to_numpy()
+            fits = ((own == lead).sum(axis=1) >= least) & (100 * np.minimum(size, lead_size) >= threshold_percent * np.maximum(size, lead_size))
+            label = pa.compute.if_else(pa.array(fits), column("lead"), column("label"))
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in ("unit", "salt", "node", "n_shingles", "brief")), label, pa.array(fits), column("lead")], names=["unit", "salt", "node", "n_shingles", "brief", "label", "fits", "lead"])
+
+    return run
 
 
 def chosen_paths(reps: DataFrame, threshold_percent: int) -> DataFrame:
-    """Nominated edges ``(a, b)`` between the documents ``(id, n_shingles, sketch)``."""
+    """Nominated edges ``(a, b)`` between the classes ``(node, n_shingles, tokens, brief)``."""
     run = nominate(threshold_percent)
-    token = lambda k: F.element_at("sketch", k)
-    level = reps.select("id", F.explode(F.array(*(F.xxhash64(F.lit(r), token(r + 1)) for r in range(TREES)))).alias("unit"), F.lit(None).cast("long").alias("label"))
-    columns = ("unit", "id", "n_shingles", "label", "mute", "sketch")
+    rows = reps.select("node", "n_shingles", "brief", F.explode(F.array(*(F.xxhash64(F.lit(r), F.element_at("tokens", r + 1)) for r in range(TREES)))).alias("unit"), F.lit(None).cast("long").alias("label"))
     edges: list[DataFrame] = []
+
+    def compared(units: DataFrame) -> None:
+        edges.append(materialize(in_units(units.select(*UNIT), run, LINKS), "edges"))
+
     for depth in range(LEVELS + 1):
-        level = level.withColumn("salt", salt_of(F.col("id")))
+        rows = rows.withColumn("salt", salt_of(F.col("node")))
         aggs = {
-            "n": ("count", F.lit(1), "sum"),
-            "labelled": ("count", F.col("label"), "sum"),
-            "low": ("min", F.col("label"), "min"),
-            "high": ("max", F.col("label"), "max"),
+            "n": F.count("*"),
+            "labelled": F.count("label"),
+            "low": F.min("label"),
+            "high": F.max("label"),
             # the first document that no other stands for, else the first of all
-            "lead": ("min", F.struct(F.col("label").isNotNull().alias("taken"), F.col("id")), "min"),
+            "lead": F.coalesce(F.min(F.when(F.col("label").isNull(), F.col("node"))), F.min("node")),
         }
-        open_ = (F.col("n") > 1) & ~((F.col("labelled") == F.col("n")) & (F.col("low") == F.col("high")))
-        level = level.join(group_values(level, "unit", "id", aggs, open_), ["unit", "salt"]).withColumn("lead", F.col("lead.id")).select(*level.columns, "n", "lead")
-        # Sketches are joined once; what large nodes hand down carries them along.
-        level = materialize(level if depth else level.join(reps, "id"), f"level{depth}")
-        small = level.where(F.col("n") <= SMALL)
-        edges.append(materialize(in_units(small.withColumn("mute", F.col("label")).select(*columns), run, LINKS), "edges"))
-        large = level.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            discard(level)
+        groups = rows.groupBy("unit").agg(*(c.alias(k) for k, c in aggs.items()), salts_in_use()).where(F.col("n") > SMALL)
+        groups = groups.withColumn("open", ~F.coalesce((F.col("labelled") == F.col("n")) & (F.col("low") == F.col("high")), F.lit(False)))
+        leads = reps.select(F.col("node").alias("lead"), F.col("n_shingles").alias("lead_n"), F.col("brief").alias("lead_brief"))
+        large = materialize(groups.select("unit", "n", "open", "lead", "salts").join(leads, "lead"), "large")
+        # Rows go to their unit in one shuffle; what belongs to a large unit is known from its salts.
+        marked = rows.join(by_salt(large), ["unit", "salt"], "left")
+        compared(marked.where("n is null").withColumn("mute", F.col("label")))
+        if large.where("open").isEmpty():
             break
         if depth == LEVELS:
             chunks = F.ceil(F.col("n") / F.lit(SMALL)).cast("int")
-            mine = F.pmod(F.xxhash64("id", F.lit(3)), chunks).cast("int")
-            other = F.explode(F.sequence(F.lit(0), chunks - 1))
-            blocks = large.withColumn("mine", mine).withColumn("other", other)
-            blocks = blocks.withColumn("unit", F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other")))
-            edges.append(materialize(in_units(blocks.withColumn("mute", F.col("label")).select(*columns), run, LINKS), "edges"))
-            discard(level)
+            mine = F.pmod(F.xxhash64("node", F.lit(3)), chunks).cast("int")
+            blocks = marked.where("open").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+            compared(blocks.withColumn("mute", F.col("label")).withColumn("unit", F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other"))))
             break
-        # One row per (unit, salt) carries the lead's sketch to the members.
-        leads = large.where(F.col("id") == F.col("lead")).select("unit", F.col("n_shingles").alias("lead_n"), F.col("sketch").alias("lead_sketch")).dropDuplicates(["unit"])
-        star = large.join(large.select("unit", "salt").distinct().join(leads, "unit"), ["unit", "salt"])
-        agree = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        fits = (agree >= least_agreement(threshold_percent)) & (100 * F.least("n_shingles", "lead_n") >= threshold_percent * F.greatest("n_shingles", "lead_n"))
-        star = materialize(star.select("unit", "salt", "id", "n_shingles", "sketch", "n", "lead", fits.alias("fits"), F.when(fits, F.col("lead")).otherwise(F.col("label")).alias("label")), "star")
-        edges.append(star.where("fits and id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-        discard(level)
+        star = marked.where("open").select("unit", "salt", "node", "n_shingles", "brief", "label", "lead", "lead_n", "lead_brief")
+        star = materialize(star.mapInArrow(near_lead(threshold_percent), "unit long, salt int, node long, n_shingles long, brief binary, label long, fits boolean, lead long"), "star")
+        edges.append(star.where("fits and node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
         # The documents under the most frequent label are joined already. Few others beside them: compare those with each
-        # other (in block 0) and with all of the node, in blocks. More of them: branch.
-        parted = majority(star)
+        # other (in block 0) and with all of the unit, in blocks. More of them: branch.
+        each = star.groupBy("unit", "label").agg(F.count("*").alias("n"), salts_in_use())
+        top = each.groupBy("unit").agg(F.sum("n").alias("n"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("m"), F.bit_or("salts").alias("salts"))
+        parted = materialize(top.select("unit", "n", F.col("m.label").alias("major"), F.col("m.n").alias("core_n"), "salts").where("core_n < n"), "parted")
         few = F.col("n") - F.col("core_n") <= FEW
-        probed = star.join(parted.where(few & (F.col("core_n") < F.col("n"))).drop("n"), ["unit", "salt"])
-        core = F.coalesce(F.col("label") == F.col("major"), F.lit(False))
+        probed = star.join(by_salt(parted.where(few)), ["unit", "salt"])
         blocks = F.ceil(F.col("core_n") / F.lit(FEW)).cast("int")
-        place = F.when(core, F.array(F.pmod(F.xxhash64("id", F.lit(4)), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        core = F.coalesce(F.col("label") == F.col("major"), F.lit(False))
+        place = F.when(core, F.array(F.pmod(F.xxhash64("node", F.lit(4)), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
         probed = probed.withColumn("core", core).withColumn("at", F.explode(place))
         mute = F.when(F.col("core") | (F.col("at") == 0), F.col("label")).otherwise(F.lit(-2))
-        probed = probed.withColumn("mute", mute).withColumn("unit", F.xxhash64("unit", "at"))
-        edges.append(materialize(in_units(probed.select(*columns), run, LINKS), "edges"))
-        branch = lambda k: F.xxhash64("unit", F.lit(k), F.element_at("sketch", (F.pmod(F.xxhash64("unit", F.lit(100 + k)), F.lit(SKETCH - TREES)) + TREES + 1).cast("int")))
-        level = star.join(parted.where(~few).select("unit", "salt"), ["unit", "salt"]).select("id", "label", "n_shingles", "sketch", F.explode(F.array(*(branch(k) for k in range(BRANCHES)))).alias("unit"))
+        if not parted.where(few).isEmpty():
+            compared(probed.withColumn("mute", mute).withColumn("unit", F.xxhash64("unit", "at")))
+        if parted.where(~few).isEmpty():
+            break
+        # A child is named by one byte of the sketch, at a place that the unit picks among those that no tree began with.
+        at = lambda k: (F.pmod(F.xxhash64("unit", F.lit(100 + k)), F.lit(SKETCH - TREES)) + TREES + 1).cast("int")
+        branch = lambda k: F.xxhash64("unit", F.lit(k), F.substring("brief", at(k), F.lit(1)))
+        children = star.join(by_salt(parted.where(~few)), ["unit", "salt"])
+        rows = materialize(children.select("node", "label", "n_shingles", "brief", F.explode(F.array(*(branch(k) for k in range(BRANCHES)))).alias("unit")), "rows")
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
     return out
 
 
-def confirm(threshold_percent: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Confirm links inside units ``(unit, id, probe, text)`` on the full sets; only pairs with a probe are compared. Gives forest edges."""
+def linked(threshold_percent: int, part: pa.RecordBatch) -> tuple[list[tuple[int, int]], list[int], Forest]:
+    """Confirm links among the rows ``(unit, node, probe, brief, hashes)`` of one unit on the full sets; only pairs with a probe are compared. Gives forest edges."""
     least = least_agreement(threshold_percent)
+    column = lambda c: part.column(part.schema.get_field_index(c))
+    ids, probe = column("node").to_pylist(), column("probe").to_numpy(zero_copy_only=False)
+    values, at = binary_numbers(column("hashes"), U)
+    brief = binary_numbers(column("brief"), np.uint8)[0].reshape(-1, SKETCH)
+    n, size, forest, edges = len(ids), np.diff(at), Forest(), []
+    for k in np.flatnonzero(probe).tolist():
+        ok = (100 * np.minimum(size, size[k]) >= threshold_percent * np.maximum(size, size[k])) & ~(probe & (np.arange(n) <= k))
+        for j in np.flatnonzero(ok & ((brief == brief[k]).sum(axis=1) >= least)).tolist():
+            if ids[j] != ids[k] and forest.top(ids[j]) != forest.top(ids[k]):
+                shared = len(np.intersect1d(values[at[k] : at[k + 1]], values[at[j] : at[j + 1]], assume_unique=True))
+                if 100 * shared >= threshold_percent * (size[k] + size[j] - shared):
+                    forest.join(ids[j], ids[k])
+                    edges.append((ids[k], ids[j]))
+    return edges, ids, forest
+
+
+def each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in whole_units(batches):
+        unit = table.column("unit").to_numpy()
+        bounds = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            yield table.slice(i, j - i).combine_chunks().to_batches()[0]
+
+
+def confirm(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in each_unit(batches):
+            edges, _, _ = linked(threshold_percent, part)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+    return run
 
-    def links(ids: list[int], probe: np.ndarray, values: np.ndarray, at: np.ndarray, brief: np.ndarray, forest: Forest) -> Iterator[tuple[int, int]]:
-        n, size = len(ids), np.diff(at)
-        for k in np.flatnonzero(probe).tolist():
-            ok = (100 * np.minimum(size, size[k]) >= threshold_percent * np.maximum(size, size[k])) & (size > 0) & ~(probe & (np.arange(n) <= k))
-            for j in np.flatnonzero(ok & ((brief == brief[k]).sum(axis=1) >= least)).tolist():
-                if ids[j] != ids[k] and forest.top(ids[j]) != forest.top(ids[k]):
-                    shared = len(np.intersect1d(values[at[k] : at[k + 1]], values[at[j] : at[j + 1]], assume_unique=True))
-                    if 100 * shared >= threshold_percent * (size[k] + size[j] - shared):
-                        forest.join(ids[j], ids[k])
-                        yield ids[k], ids[j]
+
+def settle(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Units that hold whole nominated components: ``(node, part)`` for each row, where part is the least node it is linked to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches):
-            unit = table.column("unit").to_numpy()
-            bounds = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-            out: list[tuple[int, int]] = []
-            for i, j in zip(bounds[:-1], bounds[1:]):
-                part = table.slice(i, j - i).combine_chunks().to_batches()[0]
-                values, sizes, brief = [], [], []
-                for _, _, data, offsets in text_chunks(part):
-                    v, at = distinct_sets(*shingle_hashes(*word_hashes(data, offsets), words))
-                    values.append(v)
-                    sizes.append(np.diff(at))
-                    brief.append(sketches(v, at, SKETCH))
-                at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-                out += links(part.column(1).to_pylist(), part.column(2).to_numpy(zero_copy_only=False), np.concatenate(values), at, np.concatenate(brief), Forest())
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], names=["a", "b"])
+        for part in each_unit(batches):
+            _, ids, forest = linked(threshold_percent, part)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([forest.top(x) for x in ids], pa.int64())], names=["node", "part"])
 
     return run
 
 
-def confirmed_edges(docs: DataFrame, nominated: DataFrame, threshold_percent: int, words: int) -> DataFrame:
-    """Edges ``(a, b)`` that connect what the true links inside the nominated components connect."""
-    run = confirm(threshold_percent, words)
-    group = components(nominated).withColumnRenamed("node", "id").withColumn("salt", salt_of(F.col("id")))
-    sizes = group_values(group, "component", "id", {"n": ("count", F.lit(1), "sum")})
-    group = group.join(sizes, ["component", "salt"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    # A group's ids grow with the input: the plan is a shuffle at every size, also where a broadcast would just fit.
-    members = materialize(texts.join(group.hint("merge"), "id").dropDuplicates(["id"]), "members")
-    small = members.where(F.col("n") <= BLOCK).select(F.col("component").alias("unit"), "id", F.lit(True).alias("probe"), "text")
-    edges = materialize(in_units(small, run, LINKS), "edges")
-    large = members.where(F.col("n") > BLOCK)
-    if large.isEmpty():
-        discard(members)
-        return edges
-    chunk = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(n / F.lit(BLOCK))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / F.lit(BLOCK)).cast("int") - 1))
-    lead = F.col("id") == F.col("component")
-    star = large.where(~lead).select("component", "id", F.lit(False).alias("probe"), "text", chunk(F.col("n"), 5).alias("at"))
-    star = star.union(large.where(lead).select("component", "id", F.lit(True).alias("probe"), "text", every(F.col("n")).alias("at")))
-    stars = materialize(in_units(star.select(F.xxhash64("component", "at").alias("unit"), "id", "probe", "text"), run, LINKS), "edges")
-    rest = large.where(~lead).join(stars.select(F.col("b").alias("id")), "id", "left_anti").drop("text", "salt")
-    rest = materialize(rest, "rest")
-    counts = rest.withColumn("salt", salt_of(F.col("id"))).groupBy("component").agg(F.count("*").alias("r"))
-    if counts.isEmpty():
-        return edges.union(stars)
-    # Each block: up to BLOCK of the unlinked against up to BLOCK of all members.
-    dealt = large.select("component", "salt").distinct().join(counts, "component")
-    large = large.join(dealt, ["component", "salt"])
-    pick = rest.select("id", F.lit(1).alias("unlinked"))
-    probes = large.join(pick, "id").select("component", "id", F.lit(True).alias("probe"), "text", chunk(F.col("r"), 6).alias("i"), every(F.col("n")).alias("j"))
-    others = large.select("component", "id", F.lit(False).alias("probe"), "text", every(F.col("r")).alias("i"), chunk(F.col("n"), 7).alias("j"))
-    blocks = probes.union(others).select(F.xxhash64("component", "i", "j").alias("unit"), "id", "probe", "text")
-    return edges.union(stars).union(materialize(in_units(blocks, run, LINKS), "edges"))
+def confirmed_parts(docs: DataFrame, reps: DataFrame, nominated: DataFrame, threshold_percent: int, words: int) -> DataFrame:
+    """``(node, part)`` of all nominated nodes: those that true links connect have the same part, a node among them."""
+    group = materialize(components(nominated).join(reps.select("node", "id", "k1", "k2", "brief"), "node"), "group")
+    sizes = group.withColumn("salt", salt_of(F.col("node"))).groupBy("component").agg(F.count("*").alias("n"), salts_in_use()).where(F.col("n") > BLOCK)
+    sizes = materialize(sizes, "sizes")
+    may = bloom(group.select(F.col("id").alias("key")))
+    sets = full_sets(docs.where(may(F.col("doc_id").cast("long"))), words).dropDuplicates(["id", "k1", "k2"])
+    members = group.withColumn("salt", salt_of(F.col("node"))).join(by_salt(sizes), ["component", "salt"], "left").drop("salt")
+    members = materialize(members.join(sets, ["id", "k1", "k2"]).select("component", "node", "n", "brief", "hashes"), "members")
+    small = members.where("n is null").select(F.col("component").alias("unit"), "node", F.lit(True).alias("probe"), "brief", "hashes")
+    parts = materialize(in_units(small, settle(threshold_percent), "node long, part long"), "parts")
+    if sizes.isEmpty():
+        return parts
+    run, large = confirm(threshold_percent), members.where("n is not null")
+    chunk = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(n / F.lit(BLOCK))).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.ceil(n / F.lit(BLOCK)).cast("int") - 1)
+    lead = F.col("node") == F.col("component")
+    star = large.withColumn("probe", lead).withColumn("at", F.explode(F.when(lead, every(F.col("n"))).otherwise(F.array(chunk(F.col("n"), 5)))))
+    edges = materialize(in_units(star.select(F.xxhash64("component", "at").alias("unit"), "node", "probe", "brief", "hashes"), run, LINKS), "edges")
+    rest = large.where(~lead).select("component", "node").join(edges.select(F.col("b").alias("node")), "node", "left_anti")
+    rest = materialize(rest.withColumn("salt", salt_of(F.col("node"))), "rest")
+    if not rest.isEmpty():
+        # Each block: up to BLOCK of the unlinked against up to BLOCK of all members.
+        counts = rest.groupBy("component").agg(F.count("*").alias("r"))
+        dealt = lookup(large, "component", "node", counts).where("r is not null").join(rest.select("node", F.lit(True).alias("unlinked")), "node", "left")
+        cells = F.transform(every(F.col("r")), lambda i: F.struct(i.cast("int").alias("i"), chunk(F.col("n"), 7).alias("j"), F.lit(False).alias("probe")))
+        probes = F.transform(every(F.col("n")), lambda j: F.struct(chunk(F.col("r"), 6).alias("i"), j.cast("int").alias("j"), F.lit(True).alias("probe")))
+        dealt = dealt.withColumn("at", F.explode(F.when(F.col("unlinked"), F.concat(cells, probes)).otherwise(cells)))
+        blocks = dealt.select(F.xxhash64("component", "at.i", "at.j").alias("unit"), "node", "at.probe", "brief", "hashes")
+        edges = edges.union(materialize(in_units(blocks, run, LINKS), "edges"))
+    joined = components(edges)
+    joined = large.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    return parts.union(joined)
+
+
+def assigned(docs: DataFrame, threshold_percent: int, words: int) -> DataFrame:
+    """Each row's ``doc_id, text_key, n_shingles, k1, k2, class_id, component_id, first``: the least id of its class and of its component, and whether its class is the component's first."""
+    sets = materialize(document_sets(docs, words), "sets")
+    keyed = sets.where("doc_id is not null and k1 is not null").withColumn("salt", salt_of(F.col("doc_id")))
+    # All rows of a class agree in what it is grouped by; a hot class is one row per task after the partial aggregation.
+    classes = keyed.groupBy("k1", "k2", "n_shingles", "tokens", "brief").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_rows"), salts_in_use())
+    reps = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "reps")
+    parts = confirmed_parts(docs.where("doc_id is not null"), reps, chosen_paths(reps.select("node", "n_shingles", "tokens", "brief"), threshold_percent), threshold_percent, words)
+    parts = materialize(reps.select("node", "id", "k1", "k2", "salts").join(parts, "node"), "placed")
+    least = parts.withColumn("salt", salt_of(F.col("node")))
+    least = group_values(least, "part", {"component_id": F.min("id"), "lead": F.min(F.struct("id", "k1", "k2"))})
+    parts = parts.withColumn("salt", salt_of(F.col("node"))).join(least, ["part", "salt"]).drop("salt")
+    first = (F.col("lead.k1") == F.col("k1")) & (F.col("lead.k2") == F.col("k2"))
+    parts = parts.select("node", "component_id", first.alias("first"))
+    known = by_salt(reps.select("node", "k1", "k2", F.col("id").alias("class_id"), "n_rows", "salts").join(parts, "node", "left").where("n_rows > 1 or component_id is not null").drop("node", "n_rows"))
+    own = sets.withColumn("salt", salt_of(F.col("doc_id")))
+    out = own.join(materialize(known, "classes"), ["k1", "k2", "salt"], "left")
+    class_id: Column = F.coalesce("class_id", "doc_id")
+    return out.select("doc_id", "text_key", "n_shingles", "k1", "k2", class_id.alias("class_id"), F.coalesce("component_id", class_id).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: groups of documents linked by a Jaccard similarity of at least the threshold.
+    """``doc_id, n_shingles, component_id, kept`` per row: groups of documents linked by a Jaccard similarity of at least the threshold.
 
     Words are runs without ASCII white space, A-Z in lower case; fewer than ``words`` words are one shingle. Texts that are null
-    or have no word link with nothing. doc_id names a document: rows that repeat one share its component. Rows
-    without doc_id are compared with nothing, have no component and are kept. Other columns are not read.
+    or have no word link with nothing. Rows without doc_id are compared with nothing, have no component and are kept.
+    Rows that repeat a doc_id are compared as texts of their own, and each has the component of its own text. Texts of
+    any length are read whole; a similarity of exactly the threshold links; an empty table gives an empty result.
+    Other columns are not read.
     """
-    sets = materialize(document_sets(docs, words).withColumn("salt", salt_of(F.col("doc_id"))), "sets")
-    keyed = sets.where("doc_id is not null and set_key is not null")
-    classes = materialize(group_values(keyed, "set_key", "doc_id", {"rep": ("min", F.col("doc_id"), "min")}), "sets_of")
-    reps = keyed.join(classes, ["set_key", "salt"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"])
-    reps = materialize(reps, "reps")
-    edges = confirmed_edges(docs.where("doc_id is not null"), chosen_paths(reps, threshold_percent), threshold_percent, words)
-    top = components(edges)
-    top = materialize(classes.join(top.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component")), "classes")
-    out = sets.join(top, ["set_key", "salt"], "left")
-    component: Column = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    out = assigned(docs, threshold_percent, words)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def keep_first(docs: DataFrame, threshold_percent: int = 80, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its group; of rows that repeat a document one stays."""
-    gone = near_duplicates(docs, threshold_percent, words).where("not kept").select("doc_id").distinct()
-    once = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").withColumn("_seqloom_once", once)
-    return kept.dropDuplicates(["doc_id", "_seqloom_once"]).select(docs.columns)
+    """The rows of ``docs`` whose document is the first of its group: of a group of near copies the one of least doc_id stays.
+
+    A row is a document by its doc_id and its text. Equal rows of that pair count once; rows that repeat a doc_id with
+    other texts stay, unless their own text is a near copy. Rows without doc_id or without a word stay (the latter once
+    per doc_id and text). An empty table gives an empty result; all columns are kept, whatever their names.
+
+    Only rows that a Bloom filter of the rows to decide on passes are shuffled.
+    """
+    rows = assigned(docs, threshold_percent, words).where("doc_id is not null")
+    rows = rows.withColumn("stays", F.col("first") & (F.col("doc_id") == F.col("class_id")))
+    # Of rows that share doc_id and set, which differ in white space or case only, the least text stays.
+    rows = materialize(rows.groupBy("doc_id", "k1", "k2", "stays", "text_key").agg(F.count("*").alias("n")), "rows")
+    several = rows.where("stays and k1 is not null").groupBy("doc_id", "k1", "k2").agg(F.min("text_key").alias("stays_key"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    rows = rows.join(several, ["doc_id", "k1", "k2"], "left")
+    stays = F.col("stays") & F.coalesce(F.col("stays_key") == F.col("text_key"), F.lit(True))
+    decided = materialize(rows.select("doc_id", "text_key", stays.alias("stays"), "n").where("not stays or n > 1").select(F.col("doc_id").alias("_seqloom_id"), F.col("text_key").alias("_seqloom_text"), F.col("stays").alias("_seqloom_stays")), "decided")
+    may = bloom(decided.select(F.xxhash64("_seqloom_id", "_seqloom_text").alias("key")))
+    tagged = docs.withColumns({"_seqloom_id": F.col("doc_id").cast("long"), "_seqloom_text": F.xxhash64("text")})
+    tagged = tagged.withColumn("_seqloom_may", F.col("_seqloom_id").isNotNull() & may(F.xxhash64("_seqloom_id", "_seqloom_text")))
+    sure = tagged.where("not _seqloom_may").select(docs.columns)
+    doubtful = tagged.where("_seqloom_may").join(decided, ["_seqloom_id", "_seqloom_text"], "left")
+    alone = doubtful.where("_seqloom_stays is null").select(docs.columns)
+    once = doubtful.where("_seqloom_stays").dropDuplicates(["_seqloom_id", "_seqloom_text"]).select(docs.columns)
+    return sure.union(alone).union(once)

@@ -1,5 +1,5 @@
 """What the training-data operators use of the library's tables module."""
 
-from ..operators.tables import SALTS, Forest, components, discard, group_values, in_units, materialize, salt_of, shared_dir, whole_units
+from ..operators.tables import SALTS, Forest, by_salt, components, discard, group_values, in_units, lookup, materialize, salt_of, salts_in_use, shared_dir, whole_units
 
-__all__ = ["SALTS", "Forest", "components", "discard", "group_values", "in_units", "materialize", "salt_of", "shared_dir", "whole_units"]
+__all__ = ["SALTS", "Forest", "by_salt", "components", "discard", "group_values", "in_units", "lookup", "materialize", "salt_of", "salts_in_use", "shared_dir", "whole_units"]
