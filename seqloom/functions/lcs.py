@@ -15,10 +15,10 @@ WORD = 64
 
 
 def encoded(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes (rows x longest, 0 beyond the end) and lengths of ASCII strings."""
+    """Bytes (rows x longest, 0 beyond the end) and lengths of ASCII strings; other letters are an error, as they would not compare."""
     lengths = np.array([len(s) for s in strings], np.int64)
     width = int(lengths.max(initial=0))
-    data = np.frombuffer("".join(s.ljust(width, "\0") for s in strings).encode("ascii", "replace"), np.uint8)
+    data = np.frombuffer("".join(s.ljust(width, "\0") for s in strings).encode("ascii"), np.uint8)
     return data.reshape(len(strings), width), lengths
 
 
@@ -89,7 +89,7 @@ def lcs_matrix(a: list[str], b: list[str]) -> np.ndarray:
 
 def lcs_column(a: Column, b: Column) -> Column:
     """LCS of two strings of at most 62 letters as a Spark expression (one 64-bit word, no Python)."""
-    size = F.length(a)
+    size = F.when(F.length(a) > 62, F.raise_error(F.lit("lcs_column: more than 62 letters"))).otherwise(F.length(a))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
     full = bit(size) - 1
     at = F.sequence(F.lit(0), size - 1)

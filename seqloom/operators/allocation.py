@@ -9,32 +9,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import lookup
+
+
+def _level(n: float, weights: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+    """``min(capacity, level * weights)`` with sum n: strata fill up in the order of capacity / weight, so one sort finds the level."""
+    weights = np.maximum(weights / weights.max(), 1e-200)
+    full_at = capacity / weights
+    order = np.argsort(full_at, kind="stable")
+    filled = np.concatenate([[0.0], np.cumsum(capacity[order])])[:-1]
+    open_weight = np.cumsum(weights[order][::-1])[::-1]
+    levels = (n - filled) / open_weight
+    reached = np.flatnonzero(levels <= full_at[order])
+    return np.minimum(capacity, (levels[reached[0]] if len(reached) else np.inf) * weights)
+
 
 def water_fill(n: int, weights: Sequence[float], capacity: Sequence[int]) -> np.ndarray:
     """Whole quotas with sum n, proportional to the weights, none above its capacity.
 
-    Strata that their share would fill are set to their capacity, and the rest is shared anew until none overflows
-    (equal shares where all weights left are zero). Fractions go to the largest remainders, ties to the first.
+    What the capacities of weighted strata cannot hold goes to those of weight zero in equal shares. Fractions go to
+    the largest remainders, ties to the first.
     """
     w, cap = np.asarray(weights, float), np.asarray(capacity, int)
     if w.ndim != 1 or w.shape != cap.shape or not np.isfinite(w).all() or (w < 0).any() or (cap < 0).any() or not 1 <= n <= cap.sum():
         raise ValueError("invalid count, weights or capacities")
-    share, open_, left = np.zeros(len(w)), cap > 0, float(n)
-    while left > 1e-9:
-        part = np.where(open_, w, 0.0)
-        part = part if part.any() else open_.astype(float)
-        want = left * part / part.sum()
-        full = open_ & (want >= cap - 1e-12)
-        if not full.any():
-            share[open_] = want[open_]
-            break
-        share[full] = cap[full]
-        left -= float(cap[full].sum())
-        open_ &= ~full
+    share, some = np.zeros(len(w)), w > 0
+    first = min(n, int(cap[some].sum()))
+    if first:
+        share[some] = _level(first, w[some], cap[some].astype(float))
+    if n > first:
+        share[~some] = _level(n - first, np.ones(int((~some).sum())), cap[~some].astype(float))
     quota = np.minimum(np.floor(share + 1e-10).astype(int), cap)
-    for j in np.argsort(quota - share, kind="stable"):
-        if quota.sum() < n and quota[j] < cap[j]:
-            quota[j] += 1
+    by_rest = np.argsort(quota - share, kind="stable")
+    by_rest = by_rest[quota[by_rest] < cap[by_rest]]
+    quota[by_rest[: n - int(quota.sum())]] += 1
     if quota.sum() != n:
         raise RuntimeError("quotas do not add up")
     return quota
@@ -75,34 +83,47 @@ def split_families(members: DataFrame, shares: dict[str, float], key: str = "seq
     """``(key, split)``: whole families are dealt to the splits so that each class comes close to its shares.
 
     Families go from the largest to the smallest (equal ones by a hash), each to the split where it lowers the sum of
-    squared relative deviations most. Only counts decide, so families of the same class counts are dealt as one
-    block of the table below: the driver gets one row per kind of family and not per member.
+    squared relative deviations most. Only counts decide, so families of the same class counts are dealt as blocks:
+    the driver gets one row per kind of family (not per family or member) and deals a kind in one step, and families
+    of a kind are numbered inside slices of their hash, so no kind is one task.
     """
     counts = members.groupBy(family, label).agg(F.count("*").alias("n"))
     kinds = counts.groupBy(family).agg(F.sort_array(F.collect_list(F.struct(label, "n"))).alias("kind"), F.sum("n").alias("size"))
-    order = Window.partitionBy("kind").orderBy(F.xxhash64(F.lit(seed), family), family)
-    kinds = kinds.withColumn("place", F.row_number().over(order))
-    table = kinds.groupBy("kind", "size").agg(F.count("*").alias("m")).collect()
+    # 4096 slices in the order of the hash: the sizes of a kind's slices say where each begins.
+    kinds = kinds.withColumn("hash", F.xxhash64(F.lit(seed), family)).withColumn("slice", F.shiftright("hash", 52))
+    sizes = kinds.groupBy("kind", "size", "slice").agg(F.count("*").alias("m"))
+    starts = sizes.withColumn("base", F.sum("m").over(Window.partitionBy("kind").orderBy("slice")) - F.col("m"))
+    place = F.row_number().over(Window.partitionBy("kind", "slice").orderBy("hash", family))
+    kinds = kinds.withColumn("inside", place).join(starts.select("kind", "slice", "base"), ["kind", "slice"]).withColumn("place", F.col("base") + F.col("inside"))
+    table = sizes.groupBy("kind", "size").agg(F.sum("m").alias("m")).collect()
     table = sorted(table, key=lambda r: (-r["size"], str(r["kind"])))
     labels = sorted({k[0] for r in table for k in r["kind"]}, key=str)
-    total = np.array([sum(r["m"] * sum(k[1] for k in r["kind"] if k[0] == x) for r in table) for x in labels], float)
-    names = list(shares)
-    target = np.array([[shares[s] * t for t in total] for s in names])
-    scale = np.maximum(target, 1.0)
-    held = np.zeros_like(target)
-    plan: list[tuple[int, int, str]] = []
+    column = {x: k for k, x in enumerate(labels)}
+    per_family = np.zeros((len(table), len(labels)))
     for number, r in enumerate(table):
-        add = np.array([sum(k[1] for k in r["kind"] if k[0] == x) for x in labels], float)
-        for place in range(1, r["m"] + 1):
-            cost = (((held + add - target) ** 2 - (held - target) ** 2) / scale).sum(axis=1)
-            s = int(cost.argmin())
-            held[s] += add
-            if plan and plan[-1][0] == number and plan[-1][2] == names[s]:
-                continue
-            plan.append((number, place, names[s]))
+        for x, n in r["kind"]:
+            per_family[number, column[x]] = n
+    number_of = np.array([r["m"] for r in table], float)
+    names = list(shares)
+    target = np.outer([shares[s] for s in names], number_of @ per_family)
+    weight, held = 1 / np.maximum(target, 1.0), np.zeros_like(target)
+    plan: list[tuple[int, int, int, str]] = []
+    for number, add in enumerate(per_family):
+        # The k-th family of a kind costs a split ``cost + rise * (k - 1)``: taking the cheapest each time fills all to one level.
+        cost = (weight * (2 * (held - target) * add + add**2)).sum(axis=1)
+        rise = 2 * (weight * add**2).sum(axis=1)
+        m = int(number_of[number])
+        order = np.argsort(cost, kind="stable")
+        level = (m + np.cumsum((cost / rise)[order])) / np.cumsum((1 / rise)[order])
+        deep = np.flatnonzero(level > cost[order])[-1]
+        taken = np.floor(np.maximum(0, (level[deep] - cost) / rise) + 1e-9).astype(int)
+        for _ in range(m - int(taken.sum())):
+            taken[int((cost + rise * taken).argmin())] += 1
+        held += np.outer(taken, add)
+        ends = np.cumsum(taken).tolist()
+        plan += [(number, stop - n + 1, stop + 1, s) for n, stop, s in zip(taken.tolist(), ends, names) if n]
     spark = members.sparkSession
     numbers = spark.createDataFrame([(k, r["kind"]) for k, r in enumerate(table)], f"number int, kind {kinds.schema['kind'].dataType.simpleString()}")
-    starts = spark.createDataFrame(plan, "number int, start int, split string")
-    starts = starts.withColumn("stop", F.coalesce(F.lead("start").over(Window.partitionBy("number").orderBy("start")), F.lit(1 << 30)))
-    dealt = kinds.join(numbers, "kind").join(starts, "number").where("place >= start and place < stop").select(family, "split")
-    return members.join(dealt, family).select(key, "split")
+    blocks = spark.createDataFrame(plan, "number int, start long, stop long, split string")
+    dealt = kinds.join(numbers, "kind").join(blocks, "number").where("place >= start and place < stop").select(family, "split")
+    return lookup(members, family, key, dealt).where("split is not null").select(key, "split")

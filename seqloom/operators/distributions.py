@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import Gaussian, frechet, median_bandwidth, random_kernel
+from ..functions.vectors import Gaussian, RandomFeatures, frechet, median_bandwidth
 from .ranking import running
 from .tables import in_units, whole_units
 
@@ -100,33 +100,32 @@ def median_squared_distance(reference: DataFrame, most: int = 512) -> float:
     return median_bandwidth(np.array([r[0] for r in rows], float), most)
 
 
-def feature_means(df: DataFrame, weights: np.ndarray, phases: np.ndarray, column: str = "embedding") -> np.ndarray | None:
-    """Mean of cos(x W + b) over all vectors; each task sends one sum. None without vectors."""
+def feature_means(df: DataFrame, phi: RandomFeatures, column: str = "embedding") -> np.ndarray | None:
+    """Mean of the random features over all vectors; each task sends one sum, and sums are added per feature on the cluster. None without vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros(len(phases))
+        n, total = 0, np.zeros(len(phi.phases))
         for batch in batches:
             x = np.array(batch.column(0).to_pylist(), float)
             if len(x):
-                n, total = n + len(x), total + np.cos(x @ weights + phases).sum(axis=0)
+                n, total = n + len(x), total + phi(x).sum(axis=0)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()])], names=["n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(np.full(len(total), n), pa.int64()), pa.array(total)], names=["k", "n", "total"])
 
-    parts = df.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "n long, total array<double>")
-    sums = F.aggregate(F.collect_list("total"), F.array().cast("array<double>"), lambda s, x: F.when(F.size(s) == 0, x).otherwise(F.zip_with(s, x, lambda p, q: p + q)))
-    # Two levels, so that the last step merges a bounded number of sums.
-    rows = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(32))).agg(F.sum("n").alias("n"), sums.alias("total")).collect()
-    return sum(np.array(r["total"]) for r in rows) / sum(r["n"] for r in rows) if rows else None
+    parts = df.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "k int, n long, total double")
+    rows = parts.groupBy("k").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()
+    return np.array([r["mean"] for r in sorted(rows, key=lambda r: r["k"])]) if rows else None
 
 
 def mmd_random(x: DataFrame, y: DataFrame, seed: int = 42, features: int = 256) -> float | None:
     """Biased squared MMD of all vectors ``(id, embedding)`` by random features; only the bandwidth is of the first 512 of y by id. None if either is empty."""
-    first = y.where(F.col("embedding").isNotNull()).orderBy("id").limit(1).collect()
+    y = y.where(F.col("embedding").isNotNull())
+    first = y.limit(1).collect()
     if not first:
         return None
-    weights, phases = random_kernel(len(first[0]["embedding"]), median_squared_distance(y.where(F.col("embedding").isNotNull())), seed, features)
-    mx, my = (feature_means(df, weights, phases) for df in (x, y))
-    return None if mx is None else float(2 / features * ((mx - my) ** 2).sum())
+    phi = RandomFeatures.of_bandwidth(len(first[0]["embedding"]), median_squared_distance(y), seed, features)
+    mx, my = feature_means(x, phi), feature_means(y, phi)
+    return None if mx is None else float(((mx - my) ** 2).sum())
 
 
 def knn_radius(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:
@@ -169,25 +168,32 @@ def precision_recall(x: DataFrame, y: DataFrame, k: int = 3) -> tuple[float | No
 
 
 def moments(df: DataFrame, column: str = "embedding") -> Gaussian:
-    """Count, sum and second moment; each task sends one d x d sum."""
+    """Count, mean and scatter; each task sends one d x d part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(parts: Iterator[Gaussian]) -> Iterator[pa.RecordBatch]:
         total: Gaussian | None = None
-        for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), float)
-            if len(x):
-                g = Gaussian.of(x)
-                total = g if total is None else Gaussian(total.n + g.n, total.total + g.total, total.second + g.second)
+        for g in parts:
+            total = g if total is None else total.merged(g)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.n], pa.int64()), pa.array([total.total.tolist()]), pa.array([total.second.ravel().tolist()])], names=["n", "total", "second"])
-
-    parts = df.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "n long, total array<double>, second array<double>")
-    tree = lambda c: F.aggregate(F.collect_list(c), F.array().cast("array<double>"), lambda s, x: F.when(F.size(s) == 0, x).otherwise(F.zip_with(s, x, lambda p, q: p + q)))
-    # Two levels, so that the last step merges a bounded number of sums.
-    some = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(32))).agg(F.sum("n").alias("n"), tree("total").alias("total"), tree("second").alias("second"))
-    rows = some.collect()
-    d = len(rows[0]["total"]) if rows else 0
-    return Gaussian(sum(r["n"] for r in rows), sum((np.array(r["total"]) for r in rows), np.zeros(d)), sum((np.array(r["second"]).reshape(d, d) for r in rows), np.zeros((d, d))))
+            yield pa.RecordBatch.from_arrays([pa.array([total.n], pa.int64()), pa.array([total.mean.tolist()]), pa.array([total.scatter.ravel().tolist()])], names=["n", "mean", "scatter"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merge(Gaussian.of(np.array(b.column(0).to_pylist(), float)) for b in batches if b.num_rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Gaussian]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield Gaussian(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1))
+
+    schema = "n long, mean array<double>, scatter array<double>"
+    parts = df.select(column).where(F.col(column).isNotNull()).mapInArrow(run, schema)
+    # Two levels, so that the driver merges at most 32 parts however many tasks there are.
+    some = parts.repartition(32).mapInArrow(lambda batches: merge(read(batches)), schema).collect()
+    total = Gaussian(0, np.zeros(0), np.zeros((0, 0)))
+    for r in some:
+        g = Gaussian(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1))
+        total = total.merged(g) if total.n else g
+    return total
 
 
 def frechet_distance(x: DataFrame, y: DataFrame, column: str = "embedding") -> float | None:

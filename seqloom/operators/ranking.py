@@ -100,12 +100,31 @@ def hash_halves(df: DataFrame, key: str, seed: int = 42) -> tuple[DataFrame, Dat
     return df.where(half == 0), df.where(half == 1)
 
 
+def numbered(df: DataFrame, key: str, out: str, slices: int = 64) -> DataFrame:
+    """``df`` with ``out``: its rows' numbers from 0 in the order of the key (of equal keys in any order; nulls are one key, the least).
+
+    Two levels, as for ranks: keys are counted, their running sums taken inside slices whose borders are data, and rows of
+    one key numbered among themselves, dealt over 64 salts. So the numbers do not depend on how a plan deals the rows.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
+    counts = salted.groupBy(F.col(key).alias("_key"), "_salt").agg(F.count("*").alias("cnt"))
+    inside = F.sum("cnt").over(Window.partitionBy("_key").orderBy("_salt")) - F.col("cnt")  # at most 64 rows a key
+    keys = counts.groupBy("_key").agg(F.sum("cnt").alias("cnt"))
+    some = _prefix(keys.where(F.col("_key").isNotNull()), "_key", slices).select(F.col("_key").alias("_k"), F.col("before").alias("_before"))
+    nulls = F.broadcast(keys.agg(F.coalesce(F.max(F.when(F.col("_key").isNull(), F.col("cnt"))), F.lit(0)).alias("_nulls")))  # one row
+    base = counts.withColumn("_inside", inside).join(some, F.col("_key") == F.col("_k"), "left").crossJoin(nulls)
+    start = F.when(F.col("_key").isNull(), F.col("_inside")).otherwise(F.col("_nulls") + F.col("_before") + F.col("_inside"))
+    base = base.select("_key", F.col("_salt").alias("_s"), start.alias("_start"))
+    within = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(F.lit(0))) - 1
+    rows = salted.withColumn("_within", within).join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_s")))
+    return rows.withColumn(out, (F.col("_start") + F.col("_within")).cast("long")).drop("_salt", "_s", "_within", "_key", "_start")
+
+
 def hash_sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``(draw, ...)``: n draws of rows, each by a hash of its number; rows are numbered by a total order on the key."""
-    numbered = df.withColumn("_row", F.row_number().over(Window.orderBy(key)) - 1)
     total = df.count()
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("_row"))
-    return draws.join(numbered, "_row").drop("_row")
+    return draws.join(numbered(df, key, "_row"), "_row").drop("_row")
 
 
 def first_occurrences(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -114,12 +133,8 @@ def first_occurrences(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``df`` with ``batch``, numbering rows in runs of ``size`` by the key: sorted ranges are counted, then numbered inside."""
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return ranged.withColumn("_place", place).join(F.broadcast(base), "_part").withColumn("batch", F.floor((F.col("_base") + F.col("_place")) / size)).drop("_part", "_place", "_base")
+    """``df`` with ``batch``, numbering rows in runs of ``size`` by the key."""
+    return numbered(df, key, "_row").withColumn("batch", F.floor(F.col("_row") / size)).drop("_row")
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
@@ -132,18 +147,21 @@ def model_votes(scores: DataFrame, penalty: float = 0.25) -> DataFrame:
     """``(seq, vote)`` from long scores ``(seq, model, family, kind, value)``.
 
     A model's percentile per row (of -log2 of a concentration, else of the value) is averaged in its family; a row's
-    vote is the mean over families minus ``penalty`` population deviations, clipped to [0, 1]. A row that lacks a
-    model is an error, since all cells must be finite.
+    vote is the mean over families minus ``penalty`` population deviations, clipped to [0, 1]. A value that is null or not
+    finite, and a row that lacks a model, are errors: all cells must be there.
     """
-    better = F.when(F.col("kind") == "mic_um", -F.log2("value")).otherwise(F.col("value"))
-    values = scores.withColumn("v", better)
+    better = F.when(F.col("kind") == "mic_um", -F.log2("value")).otherwise(F.col("value")).cast("double")
+    bad = better.isNull() | F.isnan(better) | (F.abs(better) == float("inf"))
+    values = scores.withColumn("v", F.when(bad, F.raise_error(F.concat(F.lit("nonfinite score of model "), F.col("model")))).otherwise(better))
     per_value = values.groupBy("model", "v").agg(F.count("*").alias("cnt"))
-    w = Window.partitionBy("model")
-    before = F.coalesce(F.sum("cnt").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = per_value.select("model", "v", ((before + (F.col("cnt") + 1) / 2 - 0.5) / F.sum("cnt").over(w)).alias("r"))
-    family = values.join(ranks, ["model", "v"]).groupBy("seq", "family").agg(F.avg("r").alias("f"))
-    vote = F.avg("f") - penalty * F.stddev_pop("f")
-    return family.groupBy("seq").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), vote)).alias("vote"))
+    ranks = _sliced_prefix(per_value, "model", "v", 64).select("model", "v", ((F.col("before") + (F.col("cnt") + 1) / 2 - 0.5) / F.col("total")).alias("r"))
+    models = F.broadcast(scores.agg(F.count_distinct("model").alias("_models")))  # one row
+    # One shuffle of rows by seq: a family's mean over its models, then the vote over the families.
+    family = values.join(ranks, ["model", "v"]).groupBy("seq", "family").agg(F.avg("r").alias("f"), F.count_distinct("model").alias("m"))
+    vote = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("f") - penalty * F.stddev_pop("f")))
+    out = family.groupBy("seq").agg(vote.alias("vote"), F.sum("m").alias("_m")).crossJoin(models)
+    missing = F.raise_error(F.concat(F.lit("scores of some models are missing for "), F.col("seq").cast("string")))
+    return out.select("seq", F.when(F.col("_m") < F.col("_models"), missing).otherwise(F.col("vote")).alias("vote"))
 
 
 def weight_grid(n: int, levels: Sequence[int] = (1, 2, 3, 4), heavy: float = 0.7) -> list[tuple[float, ...]]:

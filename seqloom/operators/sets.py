@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import coverage_gate, identity_gate
+from .tables import materialize
 
 
 def exclude(left: DataFrame, right: DataFrame, key: str = "seq") -> DataFrame:
@@ -72,7 +73,8 @@ def accumulate(pool: DataFrame, streams: list[DataFrame], target: int, key: str
         if n >= target:
             break
         fresh = exclude(s.select(key).distinct(), pool, key)
-        fresh = exclude(fresh, known, key) if known is not None else fresh
+        # Written once: each later stream reads the keys, not the plans of all streams before it.
+        fresh = materialize(exclude(fresh, known, key) if known is not None else fresh, "fresh")
         added.append(fresh.count())
         n += added[-1]
         pool = pool.union(fresh)

@@ -1,8 +1,9 @@
 """Fuzzy joins by normalised Indel similarity: best match, neighbours, edges, families, greedy clusters.
 
-Both sides are cut into chunks of the same length class, and a unit of work is a pair of chunks: rows are sent to
-their units by a shuffle, never by a cross join. A unit prunes by length and by shared letter counts before the
-bit-vector kernel runs. A reference that is small (its size is counted first) goes to the tasks as it is, once.
+Both sides are cut into chunks of the same length class, and a unit of work is a pair of chunks: each row names its
+units and is sent there by a shuffle, never by a cross join. In joins of a table with itself each pair of chunks
+meets once. A unit prunes by length and by shared letter counts before the bit-vector kernel runs, and where only
+the best match counts, by the best found so far. A reference that is small (its size is counted first) goes to the tasks as it is, once.
 """
 
 from __future__ import annotations
@@ -34,16 +35,77 @@ def _chunked(df: DataFrame, key: str, chunk: int) -> tuple[DataFrame, list[tuple
     return seqs.withColumn("at", F.pmod(F.xxhash64("seq"), F.element_at(number, F.col("len"))).cast("int")), sizes
 
 
-def _units(left: DataFrame, ls: list[tuple[int, int]], right: DataFrame, rs: list[tuple[int, int]], fits) -> DataFrame:
-    """Rows ``(unit, side, seq)`` for all pairs of chunks whose lengths pass ``fits``."""
-    spark = left.sparkSession
-    pairs = [(a, i, b, j) for a, n in ls for b, m in rs if fits(a, b) for i in range(n) for j in range(m)]
-    plan = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "unit long, a int, i int, b int, j int")
-    lu = left.join(plan.select("unit", F.col("a").alias("len"), F.col("i").alias("at")), ["len", "at"]).select("unit", F.lit(0).alias("side"), "seq")
-    ru = right.join(plan.select("unit", F.col("b").alias("len"), F.col("j").alias("at")), ["len", "at"]).select("unit", F.lit(1).alias("side"), "seq")
+def _partners(sizes: list[tuple[int, int]], percent: int | None, later_than: bool = False):
+    """The chunks ``(len, at)`` that the chunk in columns ``len``, ``at`` meets; ``later_than``: only itself and those after it."""
+    known = F.array(*(F.struct(F.lit(n).alias("len"), F.lit(k).alias("chunks")) for n, k in sizes))
+    fits = lambda x: F.lit(True) if percent is None else 200 * F.least(x["len"], F.col("len")) >= percent * (x["len"] + F.col("len"))
+    each = F.transform(F.filter(known, fits), lambda x: F.transform(F.sequence(F.lit(0), x["chunks"] - 1), lambda k: F.struct(x["len"].alias("len"), k.alias("at"))))
+    return F.filter(F.flatten(each), lambda y: (y["len"] > F.col("len")) | ((y["len"] == F.col("len")) & (y["at"] >= F.col("at")))) if later_than else F.flatten(each)
+
+
+def _units(left: DataFrame, ls: list[tuple[int, int]], right: DataFrame, rs: list[tuple[int, int]], percent: int | None) -> DataFrame:
+    """Rows ``(unit, side, seq)`` for all pairs of chunks whose lengths allow a similarity of ``percent``. Each row names its units itself."""
+    if not ls or not rs:
+        return left.select(F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), "seq").limit(0)
+    lu = left.withColumn("y", F.explode(_partners(rs, percent))).select(F.xxhash64("len", "at", "y.len", "y.at").alias("unit"), F.lit(0).alias("side"), "seq")
+    ru = right.withColumn("y", F.explode(_partners(ls, percent))).select(F.xxhash64("y.len", "y.at", "len", "at").alias("unit"), F.lit(1).alias("side"), "seq")
     return lu.union(ru)
 
 
+def _self_units(rows: DataFrame, sizes: list[tuple[int, int]], percent: int | None) -> DataFrame:
+    """Rows ``(unit, side, seq)`` for all pairs of chunks of one table, each pair once; the unit of a chunk with itself has side 0 only."""
+    if not sizes:
+        return rows.select(F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), "seq").limit(0)
+    first = rows.withColumn("y", F.explode(_partners(sizes, percent, True))).select(F.xxhash64("len", "at", "y.len", "y.at").alias("unit"), F.lit(0).alias("side"), "seq")
+    before = F.filter(_partners(sizes, percent), lambda y: (y["len"] < F.col("len")) | ((y["len"] == F.col("len")) & (y["at"] < F.col("at"))))
+    second = rows.withColumn("y", F.explode(before)).select(F.xxhash64("y.len", "y.at", "len", "at").alias("unit"), F.lit(1).alias("side"), "seq")
+    return first.union(second)
+
+
+def _each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
+    """The two sides of each unit."""
+    for table in whole_units(batches):
+        unit, side, seqs = np.array(_column(table, "unit")), np.array(_column(table, "side")), np.array(_column(table, "seq"), dtype=object)
+        for u in np.unique(unit):
+            yield seqs[(unit == u) & (side == 0)].tolist(), seqs[(unit == u) & (side == 1)].tolist()
+
+
+def _bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """Upper bounds of the similarity of all pairs, from the letters that two strings share."""
+    counts, lengths = common_letters(a + b)
+    ca, cb, la, lb = counts[: len(a)], counts[len(a) :], lengths[: len(a)], lengths[len(a) :]
+    shared = np.zeros((len(a), len(b)), np.int32)
+    for c in range(counts.shape[1]):
+        shared += np.minimum(ca[:, c][:, None], cb[:, c][None, :])
+    return 2 * shared / np.maximum(la[:, None] + lb[None, :], 1)
+
+
+#: Pairs of each row that are measured first, those of the greatest bounds.
+FIRST = 8
+
+
+def _best(a: list[str], b: list[str], skip: np.ndarray | None, floor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column indices and LCS of the pairs that may be a row's best, or have a bound of at least ``floor``.
+
+    The pairs of greatest bounds are measured first; what is bounded below the best found so far cannot win.
+    ``skip``: pairs that don't count.
+    """
+    bound = _bounds(a, b)
+    if skip is not None:
+        bound[skip] = -1
+    first = np.argpartition(-bound, min(FIRST, len(b)) - 1, axis=1)[:, :FIRST]
+    p, q = np.repeat(np.arange(len(a)), first.shape[1]), first.ravel()
+    n = lcs_pairs(a, b, p, q)
+    la, lb = np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64)
+    ratio = np.where(bound[p, q] < 0, -1, 2 * n / np.maximum(la[p] + lb[q], 1))
+    least = np.minimum(np.maximum(ratio.reshape(first.shape).max(axis=1), 0), floor)
+    todo = bound >= least[:, None] - 1e-12
+    todo[p, q] = False
+    r, t = np.nonzero(todo)
+    keep = bound[p, q] >= 0
+    return np.concatenate([p[keep], r]), np.concatenate([q[keep], t]), np.concatenate([n[keep], lcs_pairs(a, b, r, t)])
+
+
 def _candidates(a: list[str], b: list[str], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs whose letter counts allow a similarity of at least ``percent``."""
     counts, lengths = common_letters(a + b)
@@ -59,28 +121,39 @@ def _candidates(a: list[str], b: list[str], percent: int) -> tuple[np.ndarray, n
     return np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64)
 
 
+def _passing(a: list[str], b: list[str] | None, percent: int, strict: bool) -> pa.RecordBatch:
+    """``(a, b, lcs)`` of the pairs at the threshold; without ``b`` those inside ``a``, each once, in the order of the strings."""
+    p, q = _candidates(a, a if b is None else b, percent)
+    if b is None:
+        p, q, b = p[p < q], q[p < q], a
+    n = lcs_pairs(a, b, p, q)
+    total = np.array([len(s) for s in a], np.int64)[p] + np.array([len(s) for s in b], np.int64)[q]
+    ok = 200 * n > percent * total if strict else 200 * n >= percent * total
+    return pa.RecordBatch.from_arrays([pa.array([a[i] for i in p[ok]], pa.string()), pa.array([b[j] for j in q[ok]], pa.string()), pa.array(n[ok], pa.int32())], names=["a", "b", "lcs"])
+
+
 def pairs_at_least(left: DataFrame, right: DataFrame, percent: int = 80, strict: bool = False, left_key: str = "seq", right_key: str = "seq", chunk: int = CHUNK) -> DataFrame:
     """``(a, b, lcs)``: all pairs of distinct strings with a similarity of at least ``percent`` (``strict``: above it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches):
-            unit, side, seqs = np.array(_column(table, "unit")), np.array(_column(table, "side")), np.array(_column(table, "seq"), dtype=object)
-            for u in np.unique(unit):
-                a, b = seqs[(unit == u) & (side == 0)].tolist(), seqs[(unit == u) & (side == 1)].tolist()
-                p, q = _candidates(a, b, percent)
-                n = lcs_pairs(a, b, p, q)
-                total = np.array([len(a[i]) + len(b[j]) for i, j in zip(p.tolist(), q.tolist())], np.int64)
-                ok = 200 * n > percent * total if strict else 200 * n >= percent * total
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in p[ok]], pa.string()), pa.array([b[j] for j in q[ok]], pa.string()), pa.array(n[ok], pa.int32())], names=["a", "b", "lcs"])
+        for a, b in _each_unit(batches):
+            yield _passing(a, b, percent, strict)
 
     lu, ls = _chunked(left, left_key, chunk)
     ru, rs = _chunked(right, right_key, chunk)
-    return in_units(_units(lu, ls, ru, rs, lambda x, y: 200 * min(x, y) >= percent * (x + y)), run, "a string, b string, lcs int")
+    return in_units(_units(lu, ls, ru, rs, percent), run, "a string, b string, lcs int")
 
 
-def similarity_edges(df: DataFrame, percent: int = 80, strict: bool = False, key: str = "seq") -> DataFrame:
-    """``(a, b, lcs)`` with a < b: the pairs of distinct strings of ``df`` at the threshold."""
-    return pairs_at_least(df, df, percent, strict, key, key).where("a < b")
+def similarity_edges(df: DataFrame, percent: int = 80, strict: bool = False, key: str = "seq", chunk: int = CHUNK) -> DataFrame:
+    """``(a, b, lcs)`` with a < b: the pairs of distinct strings of ``df`` at the threshold. Each pair meets once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _each_unit(batches):
+            yield _passing(a, b or None, percent, strict)
+
+    rows, sizes = _chunked(df, key, chunk)
+    found = in_units(_self_units(rows, sizes, percent), run, "a string, b string, lcs int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lcs")
 
 
 def max_similarity(left: DataFrame, reference: DataFrame, key: str = "seq", reference_key: str = "seq", chunk: int = CHUNK) -> DataFrame:
@@ -99,11 +172,11 @@ def max_similarity(left: DataFrame, reference: DataFrame, key: str = "seq", refe
         rows = []
         for i in range(0, len(a), 64):
             part = a[i : i + 64]
-            p, q = np.divmod(np.arange(len(part) * len(b)), len(b))
-            n = lcs_pairs(part, b, p, q).reshape(len(part), len(b))
-            total = np.array([len(s) for s in part])[:, None] + lb[None, :]
-            top = (n / np.maximum(total, 1)).argmax(axis=1)  # strings are sorted: the first of equals is the least
-            rows += [(s, int(n[k, t]), int(total[k, t]), b[t]) for k, (s, t) in enumerate(zip(part, top.tolist()))]
+            p, q, n = _best(part, b, None)
+            total = np.array([len(s) for s in part], np.int64)[p] + lb[q]
+            order = np.lexsort((q, -(n / np.maximum(total, 1)), p))  # strings are sorted: the first of equals is the least
+            top = order[np.unique(p[order], return_index=True)[1]]
+            rows += [(part[p[k]], int(n[k]), int(total[k]), b[q[k]]) for k in top.tolist()]
         yield pa.RecordBatch.from_pylist([dict(zip(("seq", "best_lcs", "best_total", "best"), r)) for r in rows], schema=pa.schema([("seq", pa.string()), ("best_lcs", pa.int32()), ("best_total", pa.int32()), ("best", pa.string())]))
 
     if size <= SMALL_LETTERS:
@@ -111,26 +184,23 @@ def max_similarity(left: DataFrame, reference: DataFrame, key: str = "seq", refe
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from best_rows(_column(batch, "seq"), known)
+                if batch.num_rows:
+                    yield from best_rows(_column(batch, "seq"), known)
 
         seqs = left.select(F.col(key).alias("seq")).where(F.col("seq").isNotNull()).distinct()
         return seqs.mapInArrow(run, schema)
 
     def run_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches):
-            unit, side, seqs = np.array(_column(table, "unit")), np.array(_column(table, "side")), np.array(_column(table, "seq"), dtype=object)
-            for u in np.unique(unit):
-                a, b = seqs[(unit == u) & (side == 0)].tolist(), sorted(seqs[(unit == u) & (side == 1)].tolist())
-                if a and b:
-                    yield from best_rows(a, b)
+        for a, b in _each_unit(batches):
+            if a and b:
+                yield from best_rows(a, sorted(b))
 
     lu, ls = _chunked(left, key, chunk)
     ru, rs = _chunked(ref, "seq", chunk)
-    parts = in_units(_units(lu, ls, ru, rs, lambda x, y: True), run_units, schema)
-    rank = F.struct((F.col("best_lcs") / F.col("best_total")).alias("r"))
-    top = parts.groupBy("seq").agg(F.max(rank).alias("top"))
-    parts = parts.join(top, "seq").where(rank == F.col("top"))
-    return parts.groupBy("seq").agg(F.min(F.struct("best", "best_lcs", "best_total")).alias("m")).select("seq", "m.best_lcs", "m.best_total", "m.best")
+    parts = in_units(_units(lu, ls, ru, rs, None), run_units, schema)
+    # One pass: the greatest ratio, and of equal ones the least string, as the least of (-ratio, string).
+    rank = F.struct((-F.col("best_lcs") / F.col("best_total")).alias("r"), "best", "best_lcs", "best_total")
+    return parts.groupBy("seq").agg(F.min(rank).alias("m")).select("seq", "m.best_lcs", "m.best_total", "m.best")
 
 
 def neighbor_counts(df: DataFrame, percent: int = 80, key: str = "seq") -> DataFrame:
@@ -142,40 +212,40 @@ def neighbor_counts(df: DataFrame, percent: int = 80, key: str = "seq") -> DataF
     return seqs.join(counts, "seq", "left").select("seq", F.coalesce("n", F.lit(0)).cast("long").alias("neighbors"))
 
 
-def max_other(df: DataFrame, key: str = "seq", chunk: int = CHUNK) -> DataFrame:
-    """``(seq, best_lcs, best_total)``: each distinct string's best match among the others; 0 of 1 for a lone string."""
+def neighbor_bests(df: DataFrame, percent: int = 80, key: str = "seq", chunk: int = CHUNK) -> DataFrame:
+    """``(seq, neighbors, best_lcs, best_total)``: how many others are above the threshold, and the best match among the others (0 of 1 for a lone string).
+
+    Each pair of chunks meets once and serves both sides; only pairs that may be a best or a neighbour are measured.
+    """
+
+    def one_side(a: list[str], b: list[str], own: bool) -> Iterator[tuple[str, int, int, int]]:
+        lb = np.array([len(s) for s in b], np.int64)
+        for i in range(0, len(a) if b else 0, 64):
+            part = a[i : i + 64]
+            skip = np.arange(len(b))[None, :] == np.arange(i, i + len(part))[:, None] if own else None
+            p, q, n = _best(part, b, skip, percent / 100)
+            total = np.array([len(s) for s in part], np.int64)[p] + lb[q]
+            ratio = n / np.maximum(total, 1)
+            near = np.bincount(p[200 * n > percent * total], minlength=len(part))
+            order = np.lexsort((-ratio, p))
+            for k in order[np.unique(p[order], return_index=True)[1]].tolist():
+                yield part[p[k]], int(near[p[k]]), int(n[k]), int(total[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches):
-            unit, side, seqs = np.array(_column(table, "unit")), np.array(_column(table, "side")), np.array(_column(table, "seq"), dtype=object)
-            for u in np.unique(unit):
-                a, b = seqs[(unit == u) & (side == 0)].tolist(), seqs[(unit == u) & (side == 1)].tolist()
-                where = {s: k for k, s in enumerate(b)}
-                out = []
-                for i in range(0, len(a), 64):
-                    part = a[i : i + 64]
-                    p, q = np.divmod(np.arange(len(part) * len(b)), max(1, len(b)))
-                    n = lcs_pairs(part, b, p, q).reshape(len(part), len(b))
-                    total = np.array([len(s) for s in part])[:, None] + np.array([len(s) for s in b])[None, :]
-                    ratio = n / np.maximum(total, 1)
-                    for k, s in enumerate(part):
-                        if s in where:
-                            ratio[k, where[s]] = -1
-                        t = int(ratio[k].argmax()) if len(b) else 0
-                        if len(b) and ratio[k, t] >= 0:
-                            out.append((s, int(n[k, t]), int(total[k, t])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["seq", "best_lcs", "best_total"])
-
-    lu, ls = _chunked(df, key, chunk)
-    parts = in_units(_units(lu, ls, lu, ls, lambda x, y: True), run, "seq string, best_lcs int, best_total int")
-    top = parts.groupBy("seq").agg(F.max_by(F.struct("best_lcs", "best_total"), F.col("best_lcs") / F.col("best_total")).alias("m"))
-    seqs = lu.select("seq")
-    return seqs.join(top, "seq", "left").select("seq", F.coalesce("m.best_lcs", F.lit(0)).alias("best_lcs"), F.coalesce("m.best_total", F.lit(1)).alias("best_total"))
+        for a, b in _each_unit(batches):
+            out = [*one_side(a, b, False), *one_side(b, a, False)] if b else list(one_side(a, a, True))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3))], names=["seq", "near", "best_lcs", "best_total"])
+
+    rows, sizes = _chunked(df, key, chunk)
+    parts = in_units(_self_units(rows, sizes, None), run, "seq string, near int, best_lcs int, best_total int")
+    top = parts.groupBy("seq").agg(F.sum("near").alias("neighbors"), F.max(F.struct((F.col("best_lcs") / F.col("best_total")).alias("r"), "best_lcs", "best_total")).alias("m"))
+    out = rows.select("seq").join(top, "seq", "left")
+    return out.select("seq", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"), F.coalesce("m.best_lcs", F.lit(0)).alias("best_lcs"), F.coalesce("m.best_total", F.lit(1)).alias("best_total"))
 
 
 def neighbor_report(df: DataFrame, percent: int = 80, key: str = "seq") -> DataFrame:
     """One row of neighbourhood statistics over the distinct strings."""
-    rows = neighbor_counts(df, percent, key).join(max_other(df, key), "seq").withColumn("best", 2 * F.col("best_lcs") / F.col("best_total"))
+    rows = neighbor_bests(df, percent, key).withColumn("best", 2 * F.col("best_lcs") / F.col("best_total"))
     return rows.agg(
         F.count("*").alias("n"),
         F.avg((F.col("neighbors") > 0).cast("int")).alias("near_neighbor_fraction"),

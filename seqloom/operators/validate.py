@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.residues import ALPHABET, MAX_LENGTH, MIN_LENGTH
 from .similarity import pairs_at_least
+from .tables import lookup
 
 
 def _errors(df: DataFrame, checks: dict[str, Column], *keep: str) -> DataFrame:
@@ -15,19 +15,23 @@ def _errors(df: DataFrame, checks: dict[str, Column], *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(found).alias("error"))
 
 
+def _duplicates(records: DataFrame) -> DataFrame:
+    """``(record, error)`` of rows that share a seq. Keys are counted, and only those that repeat come back, their rows dealt over salts."""
+    twice = records.groupBy("seq").agg(F.count("*").alias("_n")).where("_n > 1")
+    return lookup(records.select("record", "seq"), "seq", "record", twice).where("_n > 1").select("record", F.lit("duplicate").alias("error"))
+
+
 def library_errors(records: DataFrame, count: int | None = None, low: int = MIN_LENGTH, high: int = MAX_LENGTH, alphabet: str = ALPHABET) -> DataFrame:
     """``(record, error)`` of ``records (record, header, seq)``; a wrong count is an error of record 0."""
     seq = F.coalesce("seq", F.lit(""))
-    twins = F.count("*").over(Window.partitionBy("seq"))
     checks = {
         "blank header": F.trim(F.coalesce("header", F.lit(""))) == "",
         "empty sequence": seq == "",
         "illegal letter": seq.rlike(f"[^{alphabet}]"),
         "too short": (F.length(seq) < low) & (seq != ""),
         "too long": F.length(seq) > high,
-        "duplicate": (twins > 1) & (seq != ""),
     }
-    out = _errors(records.withColumn("_n", twins), checks | {"duplicate": (F.col("_n") > 1) & (seq != "")}, "record")
+    out = _errors(records, checks, "record").unionByName(_duplicates(records.where(seq != "")))
     if count is not None:
         total = records.agg(F.count("*").alias("n")).where(F.col("n") != count)
         out = out.unionByName(total.select(F.lit(0).cast("long").alias("record"), F.concat(F.lit("count "), F.col("n").cast("string")).alias("error")))
@@ -36,8 +40,8 @@ def library_errors(records: DataFrame, count: int | None = None, low: int = MIN_
 
 def ranked_list_errors(top: DataFrame, library: DataFrame, k: int) -> DataFrame:
     """``(record, error)`` of a ranked list ``(record, seq)``: count, membership, duplicates."""
-    member = top.join(library.select("seq", F.lit(True).alias("_in")).distinct(), "seq", "left").withColumn("_n", F.count("*").over(Window.partitionBy("seq")))
-    out = _errors(member, {"not in library": F.col("_in").isNull(), "duplicate": F.col("_n") > 1}, "record")
+    member = top.join(library.select("seq", F.lit(True).alias("_in")).distinct(), "seq", "left")
+    out = _errors(member, {"not in library": F.col("_in").isNull()}, "record").unionByName(_duplicates(top))
     total = top.agg(F.count("*").alias("n")).where(F.col("n") != k)
     return out.unionByName(total.select(F.lit(0).cast("long").alias("record"), F.concat(F.lit("count "), F.col("n").cast("string")).alias("error")))
 

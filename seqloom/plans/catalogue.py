@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
-from ..functions.vectors import Gaussian, RandomFeatures, direction_scores, frechet_direction
+from ..functions.vectors import Gaussian, RandomFeatures, Slope
 from ..operators import align, allocation, distributions, learn, ranking, reports, selection, sets, similarity, tables, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,13 +573,13 @@ def embedding_moments(spark, d):
 @query()
 def fbd_direction(spark, d):
     a, b = _halves(spark, d)
-    direction = frechet_direction(distributions.moments(a), distributions.moments(b))
+    slope = Slope.between(distributions.moments(a), distributions.moments(b))
 
     @F.pandas_udf("double")
     def score(x):
         import pandas as pd
 
-        return pd.Series(direction_scores(np.array(x.tolist(), float), direction)) if len(x) else pd.Series([], dtype=float)
+        return pd.Series(slope(np.array(x.tolist(), float))) if len(x) else pd.Series([], dtype=float)
 
     return a.select("id", score("embedding").alias("score"))
 

@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.residues import canonical
+from ..operators.ranking import numbered
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +45,7 @@ def read_clean_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_template_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``(record, header, seq)`` with upper-case sequences, numbered from 1 in file order; nothing is filtered."""
     rows = read_fasta(spark, path).withColumn("_id", F.monotonically_increasing_id())
-    return rows.select(F.row_number().over(Window.orderBy("_id")).cast("long").alias("record"), "header", F.upper("seq").alias("seq"))
+    return numbered(rows, "_id", "record").select((F.col("record") + 1).alias("record"), "header", F.upper("seq").alias("seq"))
 
 
 def read_strict_fasta(spark: SparkSession, path: str, candidate: bool = False) -> DataFrame:

@@ -62,9 +62,11 @@ def write_table(df: DataFrame, path: str, sep: str = "\t", compression: str | No
     (writer.option("compression", compression) if compression else writer).csv(path)
 
 
-def write_npz(df: DataFrame, path: str, columns: list[str], order: str) -> None:
-    """A bounded table as NPZ arrays, in order."""
-    rows = df.orderBy(order).toPandas()
+def write_npz(df: DataFrame, path: str, columns: list[str], order: str, most: int = 1_000_000) -> None:
+    """A table of at most ``most`` rows as NPZ arrays, in order; more rows are an error, as the driver would hold them all."""
+    rows = df.orderBy(order).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one NPZ file")
     with open(f"{path}.part", "wb") as f:
         np.savez(f, **{c: np.array(rows[c].tolist()) for c in columns})
     os.replace(f"{path}.part", path)

@@ -92,7 +92,7 @@ def test_frechet():
     moved = a.swapped(x[:3], y[:3])
     assert vectors.frechet(moved, b) == pytest.approx(vectors.frechet(vectors.Gaussian.of(np.concatenate([x[3:], y[:3]])), b))
     # adding a vector against the direction lowers the distance
-    score = vectors.direction_scores(y, vectors.frechet_direction(a, b))
+    score = vectors.Slope.between(a, b)(y)
     best = y[score.argmin()][None]
     assert vectors.frechet(a.swapped(x[:0], best), b) < vectors.frechet(a, b)
 
@@ -143,6 +143,24 @@ def test_cell_allocation():
     assert np.abs(share - [0.5, 0.3, 0.2]).sum() < 0.25
 
 
+def test_cell_problem_bounds():
+    rng = np.random.default_rng(5)
+    for hits in (None, 9.0):
+        size = rng.integers(1, 9, 12).astype(float)
+        table = rng.random((4, 12))
+        problem = selection.CellProblem(size, rng.random(12), table, rng.random(4) * 15, np.full(4, 0.7), 20.0, np.arange(12) % 2 == 0, hits)
+        x, gap = problem.solve()
+        assert gap <= 0.01 * max(1, abs(problem.value(x))) and x.sum() == pytest.approx(20) and (x >= -1e-9).all() and (x <= size + 1e-9).all()
+        assert hits is None or x[::2].sum() >= hits - 1e-6
+        # no feasible point that a random search finds is better by more than the gap
+        for _ in range(300):
+            y = problem.project(rng.random(12) * 9)
+            assert problem.value(y) <= problem.value(x) + gap + 1e-6
+        order = rng.permutation(12)
+        whole = selection.whole_counts(x, order)
+        assert whole.sum() == 20 and (np.abs(whole - x) < 1 + 1e-6).all() and (whole <= size).all()
+
+
 def test_exchange_lowers_violation():
     c, rng = pool(150)
     start = np.argsort(c.props[:, 0])[:30]

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import lcs, residues, vectors
-from seqloom.operators import align, allocation, distributions, learn, ranking, reports, sets, similarity, tables, validate
+from seqloom.operators import align, allocation, distributions, learn, ranking, reports, selection, sets, similarity, tables, validate
 from seqloom.plans import catalogue
 
 
@@ -212,9 +212,77 @@ def test_learning_contracts(spark):
     assert learn.proxy_classifier(df.where("label = 1")) is None
 
 
-def test_batches(spark):
-    out = ranking.batches(spark.range(1050).withColumnRenamed("id", "k"), "k", 100).collect()
-    assert all(r["batch"] == r["k"] // 100 for r in out)
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_batches(spark, reuse):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        out = ranking.batches(spark.range(1050).withColumnRenamed("id", "k"), "k", 100).collect()
+        assert all(r["batch"] == r["k"] // 100 for r in out) and len(out) == 1050
+        ties = spark.range(90).select(F.when(F.col("id") >= 5, F.lit(7)).alias("k"), "id")
+        rows = ranking.batches(ties, "k", 10).collect()
+        assert sorted(r["batch"] for r in rows) == [k // 10 for k in range(90)] and all(r["batch"] == 0 for r in rows if r["k"] is None)
+        draws = ranking.hash_sample_with_replacement(spark.range(20).withColumnRenamed("id", "k"), "k", 50)
+        assert sorted(r["draw"] for r in draws.collect()) == list(range(50))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def greedy_split(rows, shares, seed=42):
+    """Family by family, from the largest, to the split that it fits best: what the blocks must add up to."""
+    labels = sorted({x for _, _, x in rows})
+    made = {}
+    for _, f, x in rows:
+        made.setdefault(f, [0] * len(labels))[labels.index(x)] += 1
+    target = np.outer(list(shares.values()), np.sum(list(made.values()), axis=0))
+    held = np.zeros_like(target)
+    kind = lambda v: str([{"label": x, "n": n} for x, n in zip(labels, v) if n])
+    for v in sorted(made.values(), key=lambda v: (-sum(v), kind(v))):
+        cost = (((held + v - target) ** 2 - (held - target) ** 2) / np.maximum(target, 1)).sum(axis=1)
+        held[int(cost.argmin())] += v
+    return (((held - target) ** 2) / np.maximum(target, 1)).sum()
+
+
+def test_split_of_many_equal_families(spark):
+    rows = [(f"s{k}", f"f{k}", 0) for k in range(3000)] + [(f"t{k}", "large", 1) for k in range(50)]
+    shares = {"train": 0.8, "dev": 0.1, "audit": 0.1}
+    out = allocation.split_families(spark.createDataFrame(rows, "seq string, family string, label int"), shares).collect()
+    assert len(out) == len(rows) == len({r["seq"] for r in out})
+    n = {s: sum(r["split"] == s and r["seq"][0] == "s" for r in out) for s in shares}
+    assert max(abs(n[s] - 3000 * shares[s]) for s in shares) <= 1
+    rng = np.random.default_rng(7)
+    rows = [(f"s{k}", f"f{rng.integers(0, 90)}", int(rng.random() < 0.3)) for k in range(400)]
+    out = {r["seq"]: r["split"] for r in allocation.split_families(spark.createDataFrame(rows, "seq string, family string, label int"), shares).collect()}
+    total = [sum(x == k for _, _, x in rows) for k in (0, 1)]
+    cost = sum((sum(out[s] == name and x == k for s, _, x in rows) - share * total[k]) ** 2 / max(share * total[k], 1) for name, share in shares.items() for k in (0, 1))
+    assert cost <= greedy_split(rows, shares) + 0.5
+
+
+def test_votes_demand_every_cell(spark):
+    rows = [("a", "m", "f", "p", 1.0), ("b", "m", "f", "p", 2.0), ("a", "n", "g", "p", 1.0), ("b", "n", "g", "p", 3.0)]
+    table = lambda r: spark.createDataFrame(r, "seq string, model string, family string, kind string, value double")
+    assert {r["seq"]: r["vote"] for r in ranking.model_votes(table(rows)).collect()} == {"a": 0.25, "b": 0.75}
+    with pytest.raises(Exception, match="missing for a"):
+        ranking.model_votes(table(rows[1:])).collect()
+    with pytest.raises(Exception, match="nonfinite"):
+        ranking.model_votes(table([*rows[:3], ("b", "n", "g", "p", None)])).collect()
+
+
+def test_winner_of_ties(spark):
+    rows = spark.createDataFrame([("b", 3, 1), ("a", 3, 1), ("c", 2, 9)], "k string, x int, y int").repartition(3)
+    assert tuple(selection.winner(rows, "k", [F.col("x"), F.col("y")]).first()) == ("a", 3, 1)
+
+
+def test_neighbors_of_many_chunks(spark):
+    seqs = random_seqs(70)
+    r = ratios(seqs, seqs)
+    got = {x["seq"]: x for x in similarity.neighbor_bests(frame(spark, seqs), chunk=9).collect()}
+    for s in seqs:
+        others = [r[s, t] for t in seqs if t != s]
+        assert got[s]["neighbors"] == sum(v > 0.8 + 1e-12 for v in others) and 2 * got[s]["best_lcs"] / got[s]["best_total"] == pytest.approx(max(others))
+    edges = {(x["a"], x["b"]) for x in similarity.similarity_edges(frame(spark, seqs), chunk=9).collect()}
+    assert edges == {(a, b) for (a, b), v in r.items() if a < b and v >= 0.8 - 1e-12}
+    best = {x["seq"]: x["best"] for x in similarity.max_similarity(frame(spark, seqs), frame(spark, seqs[::2])).collect()}
+    assert best == {s: min(seqs[::2], key=lambda t: (-round(r[s, t], 12), t)) for s in seqs}
 
 
 def test_random_mmd_reads_every_row(spark, tmp_path):
@@ -269,10 +337,10 @@ def test_feature_queries_give_values(spark, tmp_path):
     got = {r["id"]: [float(v) for v in r["rff"].split(",")] for r in catalogue.QUERIES["random_fourier_features"](spark, str(tmp_path)).collect()}
     b = x[1::2]
     gaps = ((b[:, None] - b[None]) ** 2).sum(axis=2)
-    rng = np.random.default_rng(42)
-    rng.choice(len(b), len(b), replace=False)
-    w, phase = rng.normal(size=(5, 128)) / np.sqrt(np.median(gaps[gaps > 1e-12])), rng.uniform(0, 2 * np.pi, 128)
-    assert sorted(got) == list(range(0, 60, 2)) and np.allclose([got[k] for k in sorted(got)], np.sqrt(2 / 128) * np.cos(x[::2] @ w + phase), atol=2e-6)
+    assert sorted(got) == list(range(0, 60, 2))
+    phi = np.array([got[k] for k in sorted(got)])
+    kernel = np.exp(-((x[::2][:, None] - x[::2][None]) ** 2).sum(axis=2) / (2 * np.median(gaps[gaps > 1e-12])))
+    assert phi.shape == (30, 128) and np.abs(phi @ phi.T - kernel).mean() < 0.1
     moments = {r["vec_id"]: [float(v) for v in r["moments"].split(",")] for r in catalogue.QUERIES["embedding_moments"](spark, str(tmp_path)).collect()}
     z = x - x.mean(axis=0)
     pc = z @ np.linalg.svd(z)[2][:4].T
