@@ -165,8 +165,8 @@ def conformity_scores(df: DataFrame, reference: DataFrame, columns: list[str], o
 
 
 def training_rows(seqs: DataFrame, means: dict[str, float], deviations: dict[str, float], width: int = 50) -> DataFrame:
-    """``(tokens, length, conditions)``: padded letter indices, length, and z-scored properties."""
+    """``(seq, tokens, length, conditions)``: padded letter indices, length, and z-scored properties."""
     from ..functions.residues import properties, tokens, z_score
 
     props = properties(F.col("seq"))
-    return seqs.select(tokens(F.col("seq"), width).alias("tokens"), F.length("seq").alias("length"), F.array(*(z_score(props[k], F.lit(means[k]), F.lit(deviations[k])) for k in props)).alias("conditions"))
+    return seqs.select("seq", tokens(F.col("seq"), width).alias("tokens"), F.length("seq").alias("length"), F.array(*(z_score(props[k], F.lit(means[k]), F.lit(deviations[k])) for k in props)).alias("conditions"))

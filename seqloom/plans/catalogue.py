@@ -1,8 +1,9 @@
 """Named queries over the driver's tables, and the SQL that gives the same rows.
 
 A document's sequence is the string of the canonical capital letters of its whole text; records of 8 to 50 letters
-pass the boundary check. Conversations give the known collection in the same way (any length). Numbers that sums of
-floats produce are rounded to six digits on both sides.
+pass the boundary check. The known collection are the sequences (any length) of conversations and of documents
+labelled toxic, so it overlaps the candidates. Numbers that sums of floats produce are rounded to six digits on both
+sides.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ LETTERS = f"[^{R.ALPHABET}]"
 SQL = {
     "c": f"c AS (SELECT doc_id, seq FROM (SELECT doc_id, regexp_replace(text, '{LETTERS}', '', 'g') AS seq FROM documents) WHERE length(seq) BETWEEN 8 AND 50)",
     "d": "d AS (SELECT DISTINCT seq FROM c)",
-    "k": f"k AS (SELECT conv_id, turn, seq FROM (SELECT conv_id, turn, regexp_replace(text, '{LETTERS}', '', 'g') AS seq FROM conversations) WHERE length(seq) >= 1)",
+    "k": f"k AS (SELECT conv_id, turn, seq FROM (SELECT conv_id, turn, regexp_replace(text, '{LETTERS}', '', 'g') AS seq FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1 - doc_id, 0, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))) WHERE length(seq) >= 1)",
     "li": "li AS (SELECT *, l_discount * 10 AS prob, l_quantity AS mic, l_tax AS known FROM lineitem)",
 }
 
@@ -57,7 +58,9 @@ def distinct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
+    toxic = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+    rows = rows.union(toxic.select(-1 - F.col("doc_id"), F.lit(0).cast("long"), "text"))
     return rows.select("conv_id", "turn", F.regexp_replace("text", LETTERS, "").alias("seq")).where(R.canonical(F.col("seq"), None, None))
 
 
@@ -197,13 +200,14 @@ def known_union(spark, d):
     return sets.known_union(candidates(spark, d), known(spark, d))
 
 
-_CLASSES = "p AS (SELECT seq, quality FROM c JOIN labels USING (doc_id))"
+_CLASSES = "lb AS (SELECT DISTINCT seq FROM c WHERE doc_id IN (SELECT doc_id FROM labels)), un AS (SELECT DISTINCT seq FROM c WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
 
 
-@query("SELECT DISTINCT seq, seq IN (SELECT seq FROM p WHERE quality = 1) AS conflict FROM p WHERE quality = 0", "c", _CLASSES)
+@query("SELECT seq, seq IN (SELECT seq FROM lb) AS conflict FROM un", "c", _CLASSES)
 def conflict_removal(spark, d):
-    rows = candidates(spark, d).join(table(spark, d, "labels"), "doc_id")
-    clean, conflicts = sets.remove_conflicts(rows.where("quality = 0").select("seq").distinct(), rows.where("quality = 1"))
+    """Sequences of documents without a label against those with one: copies make some of them both."""
+    rows, labels = candidates(spark, d), table(spark, d, "labels")
+    clean, conflicts = sets.remove_conflicts(rows.join(labels, "doc_id", "left_anti").select("seq").distinct(), rows.join(labels, "doc_id", "left_semi"))
     return clean.select("seq", F.lit(False).alias("conflict")).union(conflicts.select("seq", F.lit(True).alias("conflict")))
 
 
@@ -340,7 +344,13 @@ def largest_remainder_quota(spark, d):
     return allocation.largest_remainder(table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("weight")), 100, "label")
 
 
-@query()
+@query(
+    "SELECT label, (f + (row_number() OVER (ORDER BY round(share - f, 9) DESC, label) <= 120 - sum(f) OVER ())::INT)::BIGINT AS quota FROM (SELECT *, floor(share + 1e-10) AS f FROM wf)",
+    "g AS (SELECT label, count(*) AS w, least(count(*), 30) AS cap FROM embeddings GROUP BY label)",
+    # the level that fills all strata that overflow at it, and shares the rest by weight
+    "lv AS (SELECT label, w, cap, (120 - coalesce(sum(cap) OVER (ORDER BY cap / w, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, label ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM g)",
+    "wf AS (SELECT label, least(cap, w * (SELECT level FROM lv WHERE level <= cap / w ORDER BY cap / w, label LIMIT 1)) AS share FROM lv)",
+)
 def water_fill_quotas(spark, d):
     strata = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("weight"), F.least(F.count("*"), F.lit(30)).alias("capacity"))
     return allocation.allocate(strata, 120, "label")
@@ -487,14 +497,43 @@ def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
     return ranking.weighted_utility(tables.materialize(rows.join(best.select("seq", "known", "eligible"), "seq"), "ranked"), "prob", "mic", "known")
 
 
-@query()
+_RANKED_SQL = (
+    "dl AS (SELECT seq, avg(quality::DOUBLE) AS prob, min(1 + n_chars / 100) AS mic FROM (SELECT regexp_replace(text, '" + LETTERS + "', '', 'g') AS seq, quality, n_chars FROM documents JOIN labels USING (doc_id)) WHERE length(seq) BETWEEN 8 AND 50 GROUP BY seq), "
+    "kn AS (SELECT a AS seq, max(2 * lcs / (length(a) + length(b))) AS known, max(5 * lcs - 2 * (length(a) + length(b))) <= 0 AS eligible FROM l GROUP BY a), "
+    f"ut AS (SELECT seq, mic, known, eligible, 0.55 * ({_rank_sql('-log2(mic)')}) + 0.45 * ({_rank_sql('prob')}) - 0.05 * ({_rank_sql('known')}) AS utility FROM dl JOIN kn USING (seq))"
+)
+_KNOWN_SQL = ("c", "d", "k", _CHARS_SQL, _TO_KNOWN_SQL, _LCS_SQL, _RANKED_SQL)
+#: Strings in an order (place, seq) that follow one they exclude, each with those; then one after the other: refused, if one of them was not.
+_REFUSED_SQL = (
+    "nr AS (SELECT b AS seq, list(a) AS near, row_number() OVER (ORDER BY any_value(place)) AS i FROM ex GROUP BY b), "
+    "rf(i, gone) AS (SELECT 0, [''] UNION ALL SELECT rf.i + 1, CASE WHEN len(list_filter(near, lambda s: NOT list_contains(gone, s))) > 0 THEN list_append(gone, nr.seq) ELSE gone END FROM rf JOIN nr ON nr.i = rf.i + 1), "
+    "go AS (SELECT unnest(arg_max(gone, i)) AS seq FROM rf)"
+)
+_EXCLUSION_SQL = (
+    _RANKED_SQL, "od AS (SELECT seq, row_number() OVER (ORDER BY utility DESC, mic, seq) AS place FROM ut WHERE eligible)",
+    "po AS (SELECT p.seq AS a, q.seq AS b, q.place FROM od AS p JOIN od AS q ON p.place < q.place)",
+)
+
+
+@query(
+    "SELECT row_number() OVER (ORDER BY place)::INT AS place, seq FROM od WHERE seq NOT IN (SELECT seq FROM go) ORDER BY place LIMIT 25",
+    "c", "d", "k", _CHARS_SQL, _TO_KNOWN_SQL, _LCS_SQL, *_EXCLUSION_SQL,
+    _LCS_SQL.replace("r(a,", "r2(a,").replace("FROM pr ", "FROM po ").replace("r.", "r2.").replace("FROM r LEFT", "FROM r2 LEFT").replace("FROM r WHERE", "FROM r2 WHERE").replace("l AS (", "l2 AS (").split("), ", 1)[1],
+    "ex AS (SELECT a, b, place FROM l2 JOIN po USING (a, b) WHERE 5 * lcs > 2 * (length(a) + length(b)))", _REFUSED_SQL, recursive=True,
+)
 def top_k_mutual_exclusion(spark, d):
     ranked = ranked_candidates(spark, d).where("eligible")
     top = similarity.top_exclusive(ranked, 25, order=(F.desc("utility"), F.asc("mic"), F.asc("seq")))
     return spark.createDataFrame([(k + 1, s) for k, s in enumerate(top)], "place int, seq string")
 
 
-@query()
+_GREEDY_SQL = (
+    "ex AS (SELECT a, b, lcs, b AS place FROM l WHERE 5 * lcs >= 2 * (length(a) + length(b)))", _REFUSED_SQL,
+    "gc AS (SELECT seq, seq AS representative FROM d WHERE seq NOT IN (SELECT seq FROM go) UNION ALL SELECT b, first(a ORDER BY 2 * lcs / (length(a) + length(b)) DESC, a) FROM ex WHERE b IN (SELECT seq FROM go) AND a NOT IN (SELECT seq FROM go) GROUP BY b)",
+)
+
+
+@query("SELECT seq, representative FROM gc", "c", "d", _CHARS_SQL, _SELF_SQL, _LCS_SQL, *_GREEDY_SQL, recursive=True)
 def greedy_clusters(spark, d):
     return similarity.greedy_clusters(distinct_candidates(spark, d))
 
@@ -660,7 +699,10 @@ def quota_selection_backfill(spark, d):
     return allocation.quota_selection(rows, 150, "label", quotas, [F.asc("vec_id")]).select("vec_id", "label")
 
 
-@query()
+_WINDOWS_SQL = "wn AS (SELECT x.seq, st.k AS start, least(11, length(x.seq)) AS width, sum(v * cos((x.k - st.k) * radians(100))) AS a, sum(v * sin((x.k - st.k) * radians(100))) AS b FROM x JOIN h USING (aa) JOIN x AS st ON st.seq = x.seq AND st.k <= length(x.seq) - least(11, length(x.seq)) + 1 AND x.k BETWEEN st.k AND st.k + least(11, length(x.seq)) - 1 GROUP BY x.seq, st.k)"
+
+
+@query("SELECT seq, round(avg(sqrt(a * a + b * b) / width), 6) AS moment FROM wn GROUP BY seq", "c", "d", _SCALE_SQL, _CHARS_SQL, _WINDOWS_SQL)
 def windowed_moments(spark, d):
     return distinct_candidates(spark, d).select("seq", r6(R.windowed_moment(F.col("seq"))).alias("moment"))
 
@@ -687,12 +729,23 @@ def reference_floor(spark, d):
     return spark.createDataFrame([(k, float(m), float(s)) for k, (m, s) in out.items()], "metric string, mean double, deviation double")
 
 
-@query()
+_PROPERTIES_SQL = (
+    f"pp AS (SELECT seq, length(seq)::DOUBLE AS p1, 1 / (1 + pow(10, 7 - 8.0)) - 1 / (1 + pow(10, 3.1 - 7)) + {_counts_sql(_CHARGES)} AS p2, ({_counts_sql(R.EISENBERG)}) / length(seq) AS p3 FROM d), "
+    "pm AS (SELECT seq, sqrt(pow(sum(v * cos((k - 1) * radians(100))), 2) + pow(sum(v * sin((k - 1) * radians(100))), 2)) / length(seq) AS p4 FROM x JOIN h USING (aa) GROUP BY seq)"
+)
+_Z_SQL = ", ".join(f"round((p{k} - avg(p{k}) OVER ()) / greatest(stddev_pop(p{k}) OVER (), 0.01), 6) + 0 AS {name}" for k, name in enumerate(("z_length", "z_charge", "z_hydrophobicity", "z_moment"), 1))
+
+
+@query(
+    f"SELECT seq, array_to_string(list_concat(list_transform(string_split(seq, ''), lambda a: strpos('{R.ALPHABET}', a) - 1), list_transform(range(length(seq), 50), lambda a: {R.PAD})), ',') AS tokens, length(seq)::INT AS length, {_Z_SQL} FROM pp JOIN pm USING (seq)",
+    "c", "d", _SCALE_SQL, _CHARS_SQL, _PROPERTIES_SQL,
+)
 def training_rows(spark, d):
     rows = distinct_candidates(spark, d)
     props = R.properties(F.col("seq"))
     stats = rows.select(*(c.alias(k) for k, c in props.items())).agg(*(F.avg(k).alias(f"m_{k}") for k in props), *(F.stddev_pop(k).alias(f"s_{k}") for k in props)).first()
-    return learn.training_rows(rows, {k: stats[f"m_{k}"] for k in props}, {k: stats[f"s_{k}"] for k in props})
+    out = learn.training_rows(rows, {k: stats[f"m_{k}"] for k in props}, {k: stats[f"s_{k}"] for k in props})
+    return out.select("seq", joined(F.col("tokens")).alias("tokens"), "length", *((r6(F.col("conditions")[k]) + 0.0).alias(f"z_{name}") for k, name in enumerate(props)))
 
 
 @query()
@@ -762,16 +815,24 @@ def too_similar(spark, d):
     return validate.too_similar(distinct_candidates(spark, d), known(spark, d))
 
 
+MOST_REGIONS = 64
+
+
 def _selection(spark: SparkSession, d: str) -> tuple[selection.Candidates, np.ndarray, np.ndarray, Gaussian, np.ndarray]:
-    """Candidates with properties as vectors, regions by language, and the reference statistics of all known sequences."""
-    langs = {x: k for k, x in enumerate(("de", "en", "es", "fr"))}
-    region = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in langs.items() for x in kv)), F.col("lang")), F.lit(0))
+    """Candidates with properties as vectors, regions by language (the MOST_REGIONS most frequent), and the reference statistics of all known sequences."""
+    names = [r[0] for r in table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_REGIONS).collect() if r[0] is not None]
+    langs = {x: k for k, x in enumerate(sorted(names))}
+    # Languages beyond the most frequent ones, and none, share the last region.
+    region = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in langs.items() for x in kv)), F.col("lang")), F.lit(len(langs))) if langs else F.lit(0)
     props = R.properties(F.col("seq"))
     rows = ranked_candidates(spark, d).select("seq", "prob", "mic", "known", "utility", region.alias("region"), F.array(*props.values()).alias("props"))
     c = selection.candidate_table(rows.withColumn("embedding", F.col("props")))
     reference = known(spark, d).where(F.length("seq") >= 2).select("seq").distinct().select(*(v.alias(k) for k, v in props.items()))
-    rp = reference.toPandas().to_numpy(float)
-    weights = np.bincount(c.region, minlength=len(langs)) / len(c.seq)
+    held = reference.limit(selection.MOST_CANDIDATES + 1).toPandas()
+    if len(held) > selection.MOST_CANDIDATES:
+        raise ValueError(f"more than {selection.MOST_CANDIDATES} known sequences for a selection")
+    rp = held.to_numpy(float)
+    weights = np.bincount(c.region, minlength=len(langs) + 1) / len(c.seq)
     n = max(4, len(c.seq) // 4)
     return c, rp, selection.quota_start(c, selection.region_quotas(c, n, weights)), Gaussian.of(rp), weights
 
@@ -854,10 +915,13 @@ def stream_dedupe_batches(spark, d):
     return spark.read.parquet(f"{base}/out").select("user_id")
 
 
+@query("SELECT seq, round(utility, 6) AS utility, round(known, 6) AS known, mic FROM ut WHERE eligible ORDER BY ut.utility DESC, mic, seq LIMIT 100", *_KNOWN_SQL, recursive=True)
+def flagship_top100(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank the distinct sequences that are not too similar to the known set by weighted utility; the top 100."""
     ranked = ranked_candidates(spark, sf_dir).where("eligible")
     return ranked.select("seq", r6(F.col("utility")).alias("utility"), r6(F.col("known")).alias("known"), "mic").orderBy(F.desc("utility"), "mic", "seq").limit(100)
 
-
-QUERIES["flagship_top100"] = flagship
