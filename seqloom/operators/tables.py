@@ -71,11 +71,12 @@ def group_values(rows: DataFrame, key: str | list[str], aggs: dict[str, Column],
     return by_salt(groups if having is None else groups.where(having))
 
 
-def lookup(rows: DataFrame, key: str, member: str, values: DataFrame) -> DataFrame:
-    """``rows`` left-joined to ``values`` (one row per ``key``), the rows of a hot key dealt over salts by ``member``."""
-    salted = rows.withColumn("salt", salt_of(F.col(member)))
-    used = by_salt(salted.groupBy(key).agg(salts_in_use()).join(values, key))
-    return salted.join(used, [key, "salt"], "left").drop("salt")
+def lookup(rows: DataFrame, key: str | list[str], member: str, values: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``values`` on ``key``, the rows of a hot key dealt over salts by ``member``."""
+    keys = [key] if isinstance(key, str) else key
+    salted = rows.withColumn("_seqloom_salt", salt_of(F.col(member)))
+    used = salted.select(*keys, F.col("_seqloom_salt").alias("salt")).groupBy(*keys).agg(salts_in_use()).join(values, keys)
+    return salted.join(by_salt(used).withColumnRenamed("salt", "_seqloom_salt"), [*keys, "_seqloom_salt"], "left").drop("_seqloom_salt")
 
 
 class Forest:
