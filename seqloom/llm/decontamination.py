@@ -1,26 +1,29 @@
 """Benchmark decontamination: short test items inside long documents by size-partitioned MinHash containment.
 
-Items are partitioned by the size of their shingle set, in powers of two. The partition fixes how many minwise
-values an item is searched by: one more than the shingles that an item of the partition's largest size may lack
-at the threshold. A document that contains enough of an item therefore holds at least one of these values,
-whatever its own length, so the search loses nothing. Candidates are verified by the exact share of the item's
-shingles that the document holds.
+Items are partitioned by the size of their shingle set, in powers of two, and sketched by their minwise shingles. The
+partition fixes the sketch: with L the shingles that its largest item may lack at the threshold, 2 (L + 1) values.
+A document that contains an item of which l shingles may be missing holds all but l of the sketch, whatever the
+document's own length, so a count of sketch values in a document is a containment test that loses nothing.
+What it passes is verified by the exact share of the item's shingles that the document holds.
+
+Everything is a join on shingle hashes, so neither driver nor executors hold the benchmark. Documents are read once:
+a Bloom filter of fixed size over the items' shingles picks the shingles that are written and joined; what it passes
+by chance falls out in the join. Both joins deal the documents of a hot shingle or item over salts.
+Contamination depends on the text alone, so it is kept by two 64-bit hashes of the text.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .kernels import U, distinct_sets, shingle_hashes, text_chunks, word_hashes
-
-LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("shared", T.IntegerType()), T.StructField("item_shingles", T.IntegerType())]))
+from .kernels import distinct_sets, shingle_hashes, text_chunks, word_hashes
+from .minhash import set_keys
+from .shared import bloom_bits, in_bloom, lookup, materialize, may_be_among
 
 
 def separators() -> np.ndarray:
@@ -32,113 +35,108 @@ def separators() -> np.ndarray:
 
 
 def shingle_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows [i, j) with their distinct shingle hashes and where each row's begin."""
     for i, j, data, offsets in text_chunks(batch):
-        yield i, j, *shingle_hashes(*word_hashes(data, offsets, separators()), words)
-
-
-class Index:
-    """The items of one block: exact shingle sets, and the minwise values that find them."""
-
-    def __init__(self, items: list[tuple[int, str]], words: int, threshold_percent: int) -> None:
-        batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.string())], names=["text"])
-        self.sets: list[np.ndarray] = []
-        for _, _, hashes, begin in shingle_sets(batch, words):
-            values, at = distinct_sets(hashes, begin)
-            self.sets += [values[a:b].copy() for a, b in zip(at[:-1], at[1:])]
-        self.ids = [i for i, _ in items]
-        # ceil of the threshold, in whole shingles
-        self.need = [-(-threshold_percent * len(s) // 100) for s in self.sets]
-        by_value: dict[int, list[int]] = defaultdict(list)
-        for k, s in enumerate(self.sets):
-            if len(s):
-                largest = 2 ** len(s).bit_length() - 1
-                signature = largest - (-(-threshold_percent * largest // 100)) + 1
-                for v in s[: min(len(s), signature)].tolist():
-                    by_value[v].append(k)
-        self.values = np.array(sorted(by_value), dtype=U)
-        self.items = [by_value[v] for v in self.values.tolist()]
-        bits = max(16, int(len(self.values) * 16).bit_length())
-        self.mask = U((1 << bits) - 1)
-        self.seen = np.zeros(1 << bits, dtype=bool)
-        self.seen[self.values & self.mask] = True
-
-    def search(self, hashes: np.ndarray, begin: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """Row -> its items as (item, shared shingles, shingles of the item)."""
-        hits = np.flatnonzero(self.seen[hashes & self.mask])
-        if not len(hits):
-            return {}
-        where = np.searchsorted(self.values, hashes[hits])
-        where[where == len(self.values)] = 0
-        real = self.values[where] == hashes[hits]
-        hits, where = hits[real], where[real]
-        rows = np.searchsorted(begin, hits, side="right") - 1
-        candidates: dict[int, set[int]] = defaultdict(set)
-        for row, w in zip(rows.tolist(), where.tolist()):
-            candidates[row].update(self.items[w])
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        for row, items in candidates.items():
-            held = np.unique(hashes[begin[row] : begin[row + 1]])
-            for k in sorted(items):
-                shared = int(np.isin(self.sets[k], held, assume_unique=True).sum())
-                if shared >= self.need[k]:
-                    out.setdefault(row, []).append((self.ids[k], shared, len(self.sets[k])))
-        return out
-
-
-def indexes(benchmark: DataFrame, words: int, threshold_percent: int, block_mb: int) -> Iterator[Index]:
-    """The benchmark's items with a text, in blocks of about ``block_mb`` MB, which the driver gathers one at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where(F.col("text").isNotNull())
-    blocks = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]) // (block_mb << 20)
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield Index([(r["item_id"], r["text"]) for r in block.collect()], words, threshold_percent)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80, block_mb: int = 8) -> DataFrame:
-    """``docs`` with ``leaks``: the benchmark items of which a text holds ``threshold_percent`` of the distinct shingles.
-
-    Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case. An item of fewer than
-    ``words`` words is one shingle, which only a text of just these words holds; items and texts that are null or
-    have no word match nothing. Repeated items are reported each under its id. Items go to the workers in blocks
-    of about ``block_mb`` MB of text, whose number grows with the benchmark: what is broadcast stays bounded, and
-    each block is one more pass in the same stage. All columns of ``docs`` are kept, a ``leaks`` of its own is replaced.
+        yield i, j, *distinct_sets(*shingle_hashes(*word_hashes(data, offsets, separators()), words))
+
+
+def item_sets(benchmark: DataFrame, words: int) -> DataFrame:
+    """``item_id, k1, k2, values``: the key of each item's set, and its shingle hashes in order. Items without a word are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, values, at in shingle_sets(batch, words):
+                k1, k2 = set_keys(values, at)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), lists], names=["item_id", "k1", "k2", "values"])
+
+    out = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, k1 long, k2 long, values array<long>")
+    return out.where(F.size("values") > 0)
+
+
+def least_share(size: Column, threshold_percent: int) -> Column:
+    """The threshold in whole shingles, upwards."""
+    return F.floor((size * threshold_percent + 99) / 100).cast("int")
+
+
+def text_keys(text: str = "text") -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2")]
+
+
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, words: int, threshold_percent: int) -> DataFrame:
+    """``t1, t2, item_id, shared, item_shingles``: the texts (by their keys) that contain an item, and each item in them."""
+    items = materialize(item_sets(benchmark, words), "items")
+    sets = items.dropDuplicates(["k1", "k2"]).select("k1", "k2", "values", F.size("values").alias("n"))
+    # The largest size of the partition decides the sketch's length.
+    largest = (F.expr("shiftleft(1L, cast(floor(log2(n)) as int) + 1)") - 1).cast("int")
+    sets = sets.withColumn("need", least_share(F.col("n"), threshold_percent))
+    sets = sets.withColumn("sketch", F.least(F.col("n"), 2 * (largest - least_share(largest, threshold_percent) + 1)))
+    sets = materialize(sets.withColumn("least", F.greatest(F.lit(1), F.col("sketch") - (F.col("n") - F.col("need")))).withColumn("node", F.monotonically_increasing_id()), "sets")
+    octets = bloom_bits(sets.select(F.explode("values")))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, _, values, at in shingle_sets(batch, words):
+                hit = np.flatnonzero(in_bloom(octets, values))
+                row = i + np.searchsorted(at, hit, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(t1[row]), pa.array(t2[row]), pa.array(values[hit].view(np.int64))], names=["t1", "t2", "value"])
+
+    hits = docs.where("text is not null").select(*text_keys(), "text").mapInArrow(probe, "t1 long, t2 long, value long").distinct()
+    hits = materialize(hits, "hits")
+    minwise = sets.select("node", "least", F.explode(F.expr("slice(values, 1, sketch)")).alias("value"))
+    found = lookup(hits, "value", "t1", minwise).where("node is not null")
+    found = found.groupBy("t1", "t2", "node").agg(F.count("*").alias("held"), F.max("least").alias("least")).where("held >= least").select("t1", "t2", "node")
+    # Each candidate's whole set against what its text holds of it.
+    asked = lookup(materialize(found, "candidates"), "node", "t1", sets.select("node", "n", "need", "k1", "k2", "values")).withColumn("value", F.explode("values"))
+    leaks = asked.join(hits, ["t1", "t2", "value"]).groupBy("t1", "t2", "node").agg(F.count("*").cast("int").alias("shared"), *(F.first(c).alias(c) for c in ("n", "need", "k1", "k2"))).where("shared >= need")
+    # Repeated items are one set; each comes back under its id.
+    leaks = leaks.select("t1", "t2", "k1", "k2", "shared", F.col("n").alias("item_shingles")).join(items.select("k1", "k2", "item_id"), ["k1", "k2"])
+    return materialize(leaks.select("t1", "t2", "item_id", "shared", "item_shingles"), "leaks")
+
+
+def leak_pairs(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
+    """One row per document and item found in it: ``doc_id, item_id, shared, item_shingles, containment``.
+
+    A text holds an item if it holds ``threshold_percent`` of its distinct shingles, exactly that share included. Words
+    are runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case. An item of fewer than ``words``
+    words is one shingle, which only a text of just these words holds; items and texts that are null or have no word
+    match nothing. Rows that repeat are rows like any other, and repeated items are each reported under their id.
+    Texts of any length are read whole; an empty table on either side gives an empty result; other columns are not read.
+    """
+    leaks = leaked_texts(docs, benchmark, words, threshold_percent)
+    may = may_be_among(leaks.select("t1"))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys()).where(may("t1"))
+    out = lookup(rows, ["t1", "t2"], "doc_id", leaks).where("shared is not null")
+    return out.select("doc_id", "item_id", "shared", "item_shingles").withColumn("containment", F.col("shared") / F.col("item_shingles"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
+    """``docs`` with ``leaks``: the benchmark items in each text, as :func:`leak_pairs` finds them. A column ``leaks`` of its own is replaced.
+
+    A text's leaks are one array, so the items in one text must fit in a row.
     """
+    leaks = leaked_texts(docs, benchmark, words, threshold_percent)
+    each = leaks.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("item_id", "shared", "item_shingles"))).alias("leaks"))
     docs = docs.drop("leaks")
-    out = docs.withColumn("leaks", F.array().cast(LEAKS))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int32()), ("item_shingles", pa.int32())]))
-    for index in indexes(benchmark, words, threshold_percent, block_mb):
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index("leaks")
-                found = batch.column(at).to_pylist()
-                for i, _, hashes, begin in shingle_sets(batch, words):
-                    for row, leaks in index.search(hashes, begin).items():
-                        found[i + row] = found[i + row] + [{"item_id": x, "shared": y, "item_shingles": z} for x, y, z in leaks]
-                yield batch.set_column(at, "leaks", pa.array(found, kind))
-
-        out = out.mapInArrow(run, out.schema)
-    return out
-
-
-def leak_pairs(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """One row per document and item found in it: ``doc_id, item_id, shared, item_shingles, containment``."""
-    out = find_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, **options)
-    out = out.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
-    return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80, block_mb: int = 8) -> DataFrame:
-    """The documents in which :func:`find_leaks` finds nothing. All columns stay as they are."""
-    out = docs
-    for index in indexes(benchmark, words, threshold_percent, block_mb):
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for i, _, hashes, begin in shingle_sets(batch, words):
-                    clean[[i + row for row in index.search(hashes, begin)]] = False
-                yield batch.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    each = each.withColumnRenamed("t1", "_seqloom_t1").withColumnRenamed("t2", "_seqloom_t2")
+    rows = docs.withColumns({"_seqloom_t1": text_keys()[0], "_seqloom_t2": text_keys()[1]})
+    out = lookup(rows, ["_seqloom_t1", "_seqloom_t2"], "doc_id" if "doc_id" in docs.columns else "_seqloom_t1", each)
+    return out.select(*docs.columns, F.coalesce("leaks", F.array().cast(each.schema["leaks"].dataType)).alias("leaks"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
+    """The documents in which :func:`leak_pairs` finds nothing. All columns stay as they are.
+
+    Only rows whose text a Bloom filter of the leaked ones passes are joined; the others stay where they are.
+    """
+    texts = leaked_texts(docs, benchmark, words, threshold_percent).select(F.col("t1").alias("_seqloom_t1"), F.col("t2").alias("_seqloom_t2")).distinct()
+    texts = materialize(texts, "texts")
+    may = may_be_among(texts.select("_seqloom_t1"))
+    tagged = docs.withColumns({"_seqloom_t1": text_keys()[0], "_seqloom_t2": text_keys()[1]})
+    tagged = tagged.withColumn("_seqloom_may", F.col("text").isNotNull() & may("_seqloom_t1"))
+    sure = tagged.where("not _seqloom_may").select(docs.columns)
+    member = "doc_id" if "doc_id" in docs.columns else "_seqloom_t1"
+    doubtful = lookup(tagged.where("_seqloom_may"), ["_seqloom_t1", "_seqloom_t2"], member, texts.withColumn("_seqloom_leaks", F.lit(True)))
+    alone = doubtful.where("_seqloom_leaks is null").select(docs.columns)
+    return sure.union(alone)

@@ -23,13 +23,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U, distinct_sets, mix, numbers, shingle_hashes, sketches, text_chunks, word_hashes
-from .shared import Forest, by_salt, components, group_values, in_units, lookup, materialize, salt_of, salts_in_use, whole_units
+from .shared import Forest, by_salt, components, group_values, in_units, lookup, materialize, may_be_among, salt_of, salts_in_use, whole_units
 
 SKETCH = 64
 TREES = 10
@@ -39,9 +38,6 @@ SMALL = 256
 FEW = 1024
 #: Documents in one confirming task, and in one side of a block.
 BLOCK = 200
-#: Bits of a Bloom filter, whatever the input; full of members it passes all, and the join after it decides alone.
-BLOOM_BITS = 1 << 24
-BLOOM_HASHES = 3
 LINKS = "a long, b long"
 UNIT = ("unit", "node", "n_shingles", "label", "mute", "brief")
 
@@ -114,29 +110,6 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, k1 long, k2 long, hashes binary")
 
 
-def places(key: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(20 + k)), F.lit(BLOOM_BITS)) for k in range(BLOOM_HASHES)]
-
-
-def bloom(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test "may be among ``keys (key)``" as a Bloom filter of BLOOM_BITS bits, whose words are gathered as such."""
-    bits = keys.select(F.explode(F.array(*places(F.col("key")))).alias("p"))
-    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
-    table = np.zeros(BLOOM_BITS // 64, np.int64)
-    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    octets = table.view(np.uint8)
-
-    @F.pandas_udf("boolean")
-    def test(*at: pd.Series) -> pd.Series:
-        ok = np.ones(len(at[0]), bool)
-        for p in at:
-            p = p.to_numpy()
-            ok &= (octets[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(ok)
-
-    return lambda key: test(*places(key))
-
-
 def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Compare the pairs of each unit ``(unit, node, n_shingles, label, mute, brief)`` by sketch and size; give forest edges ``(a, b)``.
 
@@ -313,8 +286,8 @@ def confirmed_parts(docs: DataFrame, reps: DataFrame, nominated: DataFrame, thre
     group = materialize(components(nominated).join(reps.select("node", "id", "k1", "k2", "brief"), "node"), "group")
     sizes = group.withColumn("salt", salt_of(F.col("node"))).groupBy("component").agg(F.count("*").alias("n"), salts_in_use()).where(F.col("n") > BLOCK)
     sizes = materialize(sizes, "sizes")
-    may = bloom(group.select(F.col("id").alias("key")))
-    sets = full_sets(docs.where(may(F.col("doc_id").cast("long"))), words).dropDuplicates(["id", "k1", "k2"])
+    may = may_be_among(group.select(F.xxhash64("id")))
+    sets = full_sets(docs.where(may(F.xxhash64(F.col("doc_id").cast("long")))), words).dropDuplicates(["id", "k1", "k2"])
     members = group.withColumn("salt", salt_of(F.col("node"))).join(by_salt(sizes), ["component", "salt"], "left").drop("salt")
     members = materialize(members.join(sets, ["id", "k1", "k2"]).select("component", "node", "n", "brief", "hashes"), "members")
     small = members.where("n is null").select(F.col("component").alias("unit"), "node", F.lit(True).alias("probe"), "brief", "hashes")
@@ -394,7 +367,7 @@ def keep_first(docs: DataFrame, threshold_percent: int = 80, words: int = 5) ->
     rows = rows.join(several, ["doc_id", "k1", "k2"], "left")
     stays = F.col("stays") & F.coalesce(F.col("stays_key") == F.col("text_key"), F.lit(True))
     decided = materialize(rows.select("doc_id", "text_key", stays.alias("stays"), "n").where("not stays or n > 1").select(F.col("doc_id").alias("_seqloom_id"), F.col("text_key").alias("_seqloom_text"), F.col("stays").alias("_seqloom_stays")), "decided")
-    may = bloom(decided.select(F.xxhash64("_seqloom_id", "_seqloom_text").alias("key")))
+    may = may_be_among(decided.select(F.xxhash64("_seqloom_id", "_seqloom_text")))
     tagged = docs.withColumns({"_seqloom_id": F.col("doc_id").cast("long"), "_seqloom_text": F.xxhash64("text")})
     tagged = tagged.withColumn("_seqloom_may", F.col("_seqloom_id").isNotNull() & may(F.xxhash64("_seqloom_id", "_seqloom_text")))
     sure = tagged.where("not _seqloom_may").select(docs.columns)

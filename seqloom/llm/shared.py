@@ -1,5 +1,49 @@
-"""What the training-data operators use of the library's tables module."""
+"""What the training-data operators use of the library's tables module, and Bloom filters of a fixed size."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.tables import SALTS, Forest, by_salt, components, discard, group_values, in_units, lookup, materialize, salt_of, salts_in_use, shared_dir, whole_units
 
-__all__ = ["SALTS", "Forest", "by_salt", "components", "discard", "group_values", "in_units", "lookup", "materialize", "salt_of", "salts_in_use", "shared_dir", "whole_units"]
+__all__ = ["SALTS", "Forest", "bloom_bits", "by_salt", "components", "discard", "group_values", "in_bloom", "in_units", "lookup", "materialize", "may_be_among", "salt_of", "salts_in_use", "shared_dir", "whole_units"]
+
+#: Bits of a Bloom filter, whatever the input: one that is full passes all, and the join that follows decides alone.
+BLOOM_BITS = 1 << 24
+#: Places of a 64-bit hash in the filter: the 24 bits from each of these on.
+PLACES = (0, 20, 40)
+
+
+def bloom_bits(hashes: DataFrame) -> np.ndarray:
+    """The filter of the first column (a well-mixed long), as bytes. The driver gathers its words, at most BLOOM_BITS / 64."""
+    h = hashes.columns[0]
+    at = F.explode(F.array(*(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BLOOM_BITS - 1)) for k in PLACES))).alias("p")
+    words = hashes.select(at).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(BLOOM_BITS // 64, np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return table.view(np.uint8)
+
+
+def in_bloom(octets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (64-bit numbers) the filter may hold."""
+    ok = np.ones(len(hashes), bool)
+    for k in PLACES:
+        p = (hashes.view(np.uint64) >> np.uint64(k)) & np.uint64(BLOOM_BITS - 1)
+        ok &= (octets[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def may_be_among(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test "this hash may be among the first column of ``hashes``"; only the hash goes to Python."""
+    octets = bloom_bits(hashes)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(octets, h.to_numpy()))
+
+    return test

@@ -161,7 +161,10 @@ def test_leaks_match_brute_force(spark):
     expected = {(i, j) for i, t in enumerate(texts) for j, b in enumerate(items) if (q := clean(b)) and 100 * len(q & clean(t)) >= 80 * len(q)}
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leak_pairs(df, bench).collect()}
     assert got == expected and len(got) > 20
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leak_pairs(df, bench, block_mb=1).collect()} == expected
+    leaks = {(r["doc_id"], x["item_id"]) for r in decontamination.find_leaks(df, bench).collect() for x in r["leaks"]}
+    assert leaks == expected
+    twice = df.union(df.where("doc_id >= 11")).withColumns({"salt": F.lit("clash"), "t1": F.lit("clash")})
+    assert decontamination.leak_pairs(twice, bench).count() == 2 * len(expected)
     kept = decontamination.drop_contaminated(df.drop("leaks"), bench)
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in expected} and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     assert decontamination.leak_pairs(df.limit(0), bench).count() == 0 == decontamination.leak_pairs(df, bench.limit(0)).count()
