@@ -65,7 +65,34 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language, op3_licenses, op4_secrets, op5_quality, op6_embeddings, op7_chat, op8_bpe, op9_decontamination, op10_minhash)}
 
+def shingles_sql(name: str, table_name: str, key: str, word: str) -> str:
+    """Tables ``{name}_w`` (key, its words) and ``{name}`` (key, its distinct five-word shingles; of fewer words, all of them)."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return (
+        f"{name}_w AS (SELECT {key}, regexp_extract_all({lower}, '{word}') AS w FROM {table_name} WHERE text IS NOT NULL), "
+        f"{name} AS (SELECT DISTINCT {key}, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM {name}_w WHERE len(w) > 0))"
+    )
+
+
 ORACLES: dict[str, str] = {
+    "op6_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v AS a, v AS b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+r(i, j) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.i, p.j FROM r JOIN p ON p.i = r.j)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.i = vec_id)::BIGINT AS n_links, (SELECT min(j) FROM r WHERE r.i = vec_id) AS component_id, (SELECT min(j) FROM r WHERE r.i = vec_id) = vec_id AS kept FROM embeddings""",
+    "op9_decontamination": f"""
+WITH {shingles_sql("d", "documents", "doc_id", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")}, {shingles_sql("b", "benchmark", "item_id", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")},
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id), f AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared::INT AS shared, n::INT AS item_shingles, shared / n AS containment FROM f JOIN n USING (item_id) WHERE 100 * shared >= 80 * n""",
+    "op10_minhash": f"""
+WITH RECURSIVE {shingles_sql("d", "documents", "doc_id", r"[^\x20\x09-\x0D]+")},
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+p AS (SELECT i, j FROM (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM d AS a JOIN d AS b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) JOIN n AS x ON x.doc_id = i JOIN n AS y ON y.doc_id = j WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, p.j FROM r JOIN p ON p.i = r.j),
+top AS (SELECT i AS doc_id, min(j) AS component_id FROM r GROUP BY i)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN top USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op7_chat": rf"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
