@@ -57,6 +57,9 @@ def propagate(links: DataFrame, n_rows: int, n_shards: int, rounds: int) -> Data
         quota = {(f, t): (swap[f, t] + rest[f, t] * min(1.0, free[t] / max(1, asked[t]))) / n for (f, t), n in want.items()}
         opened = [s for s in shards if free[s] > asked[s] * 0.999 and free[s] > cap // 1000] or opened
         draw = F.pmod(F.xxhash64("rid", F.lit(1000 + k)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        if k >= rounds // 2:
+            # Late rounds move half of the rows at a time: neighbours that want to change places would follow each other for ever.
+            draw = F.when(F.pmod(F.xxhash64("rid", F.lit(77 + k // 2)), F.lit(2)) == k % 2, draw).otherwise(F.lit(1.0))
         admit = F.lit(0.0)
         for (f, t), q in quota.items():
             admit = F.when((F.col("shard") == f) & (F.col("best") == t), F.lit(float(q))).otherwise(admit)
@@ -69,10 +72,13 @@ def propagate(links: DataFrame, n_rows: int, n_shards: int, rounds: int) -> Data
 def shard_rows(rows: DataFrame, links: DataFrame, n_shards: int = 8, rounds: int = 8, rows_per_bucket: int = 50_000) -> DataFrame:
     """``rows (rid, ...)`` with ``shard`` (counts at most one apart) and ``slot`` (gapless from 0 in each shard).
 
-    ``rid`` must be unique and not null; every other column is kept and may hold anything. Slots come from a
+    ``rid`` must be unique and not null; every other column is kept, whatever its name, but ``shard`` and ``slot``, which
+    are replaced. The result depends on the rids and links alone, not on how the rows are dealt. Slots come from a
     two-level rank: counts by (shard, linked, bucket) are prefix-summed over at most 2 * n_shards * 4096 rows,
     and rows are numbered inside their bucket, so no shard is sorted in one task. An empty table gives an empty one.
     """
+    others = [c for c in rows.columns if c not in ("rid", "shard", "slot")]
+    rows = rows.select("rid", F.struct(*(F.col(f"`{c}`") for c in others)).alias("payload") if others else F.lit(None).alias("payload"))
     n = rows.count()
     state = propagate(links, n, n_shards, rounds)
     start = F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int")
@@ -105,23 +111,36 @@ def shard_rows(rows: DataFrame, links: DataFrame, n_shards: int = 8, rounds: int
             shard = F.when(here, F.lit(t)).otherwise(shard)
             slot = F.when(here, F.lit(held[t]) + queue - F.lit(start_at)).otherwise(slot)
             start_at += missing[t]
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")).drop("from_shard", "linked", "bucket", "offset", "rank")
+    return ranked.select("rid", *(F.col("payload")[c].alias(c) for c in others), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """Shards of documents where equal texts are linked: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     Null texts have size 1 and crc32 0 and are linked with nothing; empty texts are equal to each other. Repeated
-    rows and repeated or null doc_ids are rows like any other. Further columns of ``docs`` are not read.
+    rows and repeated or null doc_ids are rows like any other. Texts of any length are read whole; an empty table gives
+    an empty result. Further columns of ``docs`` are not read. The rows of the result do not depend on partitions.
     """
     text = F.col("text").cast("binary")
     base = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("hub"),
+        F.monotonically_increasing_id().alias("at"),
     )
-    base = materialize(base, "rows")
-    out = shard_rows(base.drop("hub"), base.select("rid", "hub"), n_shards)
+    # A row is named by its content, and equal rows by their number: the same names however the table is dealt.
+    content = F.unhex(F.md5(F.concat(F.coalesce("hub", F.lit(b"")), F.lit(b"|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
+    base = materialize(base.withColumn("content", content).withColumn("salt", salt_of(F.col("at"))), "rows")
+    counts = base.groupBy("content", "salt").agg(F.count("*").alias("n"))
+    several = counts.groupBy("content").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
+    # Equal rows are dealt over salts and numbered inside them; at most 64 counts of one content are summed in a window.
+    before = F.sum("n").over(Window.partitionBy("content").orderBy("salt")) - F.col("n")
+    offsets = materialize(counts.join(several, "content").withColumn("before", before).drop("n"), "repeats")
+    numbered = base.join(offsets, ["content", "salt"]).withColumn("number", F.col("before") + F.row_number().over(Window.partitionBy("content", "salt").orderBy("at")) - 1).drop("before")
+    alone = base.join(offsets.select("content").distinct(), "content", "left_anti").withColumn("number", F.lit(0).cast("long"))
+    named = alone.unionByName(numbered) if not offsets.isEmpty() else alone
+    rid = F.concat("content", F.unhex(F.lpad(F.hex("number"), 16, "0")))
+    named = materialize(named.select(rid.alias("rid"), "doc_id", "size", "text_crc32", "hub"), "named")
+    out = shard_rows(named.drop("hub"), named.select("rid", "hub"), n_shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
