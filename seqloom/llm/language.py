@@ -2,8 +2,8 @@
 
 A language's model is its smoothed log frequencies of letter trigrams (hashed to 2^16 bins, word borders
 included), learnt from a bounded sample of labelled texts. A word's score is the sum over its trigrams; languages
-that don't use the word's script are out. Viterbi with a switching penalty then labels all words of a text. It runs
-in blocks of words: each block gives the best score from every entering to every leaving language, blocks are
+that don't use the word's script are out. Viterbi with a switching penalty then labels all words of a text. With few
+languages it runs in blocks of words: each block gives the best score from every entering to every leaving language, blocks are
 chained, and the labels are read back inside all blocks at once, so a long text costs numpy steps per block
 length and not per word.
 """
@@ -40,6 +40,11 @@ SCRIPTS = {
 BINS = 1 << 16
 PENALTY = 8.0
 BLOCK = 128
+#: Labels up to which Viterbi runs in blocks, and most languages that a model learns (the most frequent ones).
+BLOCK_LABELS = 12
+MOST_LANGUAGES = 256
+#: Least share of a text's letters that its language must have for the text to be kept.
+LEAST_SHARE = 0.5
 OUT = np.float32(-1e4)
 
 
@@ -103,13 +108,61 @@ class Model:
         """Words x languages."""
         if not len(w.start):
             return np.zeros((0, len(self.names)), np.float32)
-        out = np.stack([np.add.reduceat(row[w.grams], w.first_gram) for row in self.table], axis=1)
-        allowed = self.uses[:, w.script].T
-        return np.where(allowed | ~allowed.any(axis=1, keepdims=True), out, OUT)
+        allowed = self.uses[:, w.script]
+        allowed |= ~allowed.any(axis=0)
+        out = np.full((len(w.start), len(self.names)), OUT, np.float32)
+        size = np.diff(np.append(w.first_gram, len(w.grams)))
+        for k, row in enumerate(self.table):
+            mine = np.flatnonzero(allowed[k])
+            if len(mine) == len(w.start):
+                out[:, k] = np.add.reduceat(row[w.grams], w.first_gram)
+            elif len(mine):
+                # Only the words whose script the language uses are looked up.
+                n = size[mine]
+                first = np.cumsum(n) - n
+                at = np.repeat(w.first_gram[mine] - first, n) + np.arange(int(n.sum()))
+                out[mine, k] = np.add.reduceat(row[w.grams[at]], first)
+        return out
 
 
 def viterbi(scores: np.ndarray, begin: np.ndarray, penalty: float) -> np.ndarray:
-    """The best label of each row of ``scores``; sequence i is rows ``begin[i]:begin[i + 1]``; a change of label costs ``penalty``."""
+    """The best label of each row of ``scores``; sequence i is rows ``begin[i]:begin[i + 1]``; a change of label costs ``penalty``.
+
+    Few labels: in blocks, whose tables are squares of them. More than BLOCK_LABELS: word by word, in time and
+    memory of words x labels.
+    """
+    return viterbi_blocks(scores, begin, penalty) if scores.shape[1] <= BLOCK_LABELS else viterbi_steps(scores, begin, penalty)
+
+
+def viterbi_steps(scores: np.ndarray, begin: np.ndarray, penalty: float) -> np.ndarray:
+    """All sequences at once, one word after the other: with one penalty for all changes, a word only needs its own best and the best of all."""
+    n, k = scores.shape
+    sizes = np.diff(begin)
+    order = np.argsort(-sizes, kind="stable")
+    at = begin[:-1][order]
+    live = np.array([int(np.searchsorted(-sizes[order], -t, side="left")) for t in range(int(sizes.max(initial=0)) + 1)])  # sequences longer than t
+    best = np.zeros((len(sizes), k))
+    changed, top = np.zeros((n, k), bool), np.zeros(n, np.int64)
+    for t in range(int(sizes.max(initial=0))):
+        m = live[t]
+        rows = at[:m] + t
+        if t:
+            now = best[:m]
+            top[rows] = now.argmax(axis=1)
+            jump = now[np.arange(m), top[rows]][:, None] - penalty
+            changed[rows] = jump > now
+            best[:m] = np.maximum(now, jump)
+        best[:m] += scores[rows]
+    labels = np.zeros(n, np.int64)
+    state = best.argmax(axis=1)
+    for t in range(int(sizes.max(initial=0)) - 1, -1, -1):
+        rows = at[: live[t]] + t
+        labels[rows] = state[: live[t]]
+        state[: live[t]] = np.where(changed[rows, labels[rows]], top[rows], labels[rows])
+    return labels
+
+
+def viterbi_blocks(scores: np.ndarray, begin: np.ndarray, penalty: float) -> np.ndarray:
     n, k = scores.shape
     sizes = np.diff(begin)
     blocks = -(-sizes // BLOCK)
@@ -192,10 +245,11 @@ def parts(texts: list[str], limit: int = 1 << 19) -> Iterator[list[str]]:
 def train(labelled: DataFrame, per_language: int = 1500) -> Model:
     """Fit on whole texts of ``labelled (doc_id, text, lang)``: of each language about ``per_language`` rows, chosen by a hash of doc_id.
 
-    Rows with a null text, language or doc_id teach nothing. The driver gets one count per language and bin.
+    Rows with a null text, language or doc_id teach nothing, nor do languages beyond the MOST_LANGUAGES most frequent ones.
+    The driver gets one count per language and bin.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     names = sorted(sizes)
     if not names:
         return Model(["und"], np.zeros((1, BINS), np.float32), np.ones((1, len(SCRIPTS) + 1), bool))
@@ -262,7 +316,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     ``lang_pred`` is the language with most letters in its spans (ties: the first name), ``score`` their share; ``und``
     and 0 where a text is null or has no letter. A null doc_id is not held out and teaches nothing; rows that repeat
-    are rows like any other. Without any labelled row every text with a letter is ``und``, with score 1.
+    are rows like any other. Texts of any length are read whole; an empty table gives an empty result; other columns are
+    not read. Without any labelled row every text with a letter is ``und``, with score 1.
     """
     learn, held = learnable(F.col("doc_id"))
     model = train(docs.where(learn))
@@ -270,14 +325,22 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that have a language: those whose text is null or has no letter go. All columns stay as they are."""
+def keep_identified(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The documents that have a language, with it in ``lang`` (if there is such a string column).
+
+    Rejected are texts that are null or have no letter, and those of which no language's spans hold ``least_share`` of
+    the letters. All other columns stay as they are; rows that repeat are rows like any other.
+    """
     learn, _ = learnable(F.col("doc_id"))
-    model = train(docs.where(learn))
+    model = train(docs.where(learn)) if "lang" in docs.columns else train(docs.limit(0).select("doc_id", "text", F.lit("").alias("lang")))
+    at = next((k for k, f in enumerate(docs.schema.fields) if f.name == "lang" and isinstance(f.dataType, T.StringType)), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.filter(pa.array([r[1] > 0 for p in parts(texts) for r in label(model, p)], pa.bool_()))
+            rows = [r for p in parts(texts) for r in label(model, p)]
+            if at is not None:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([r[0] for r in rows], batch.schema.field(at).type))
+            yield batch.filter(pa.array([r[1] > 0 and r[1] >= least_share for r in rows], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
