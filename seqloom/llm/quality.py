@@ -157,13 +157,16 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Forest:
-    """Fit on about ``most`` labelled rows chosen by a hash of doc_id; rows with null doc_id or label teach nothing, of several labels of one document the largest counts."""
+    """Fit on about ``most`` labelled rows chosen by a hash of doc_id; rows with null doc_id or label teach nothing, of several labels of one document the largest counts, and of several rows with one doc_id the text of least hash."""
     labels = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = labels.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # At most `most` rows and a chance excess: small enough to be broadcast whatever the table's size.
     sample = labels.where(draw < min(1.0, most / max(1, n)))
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "quality"]).select("quality", "statistics").toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("pick", F.xxhash64("text"))
+    # Of rows that share a doc_id one teaches, so the driver gets no more rows than there are sampled labels.
+    once = with_statistics(texts, ["doc_id", "quality", "pick"]).groupBy("doc_id").agg(F.min(F.struct("pick", "quality", "statistics")).alias("row"))
+    rows = once.select("row.quality", "row.statistics").toPandas()
     x = np.array(rows["statistics"].tolist(), float).reshape(len(rows), len(STATISTICS))
     order = np.lexsort(x.T) if len(x) else np.zeros(0, np.int64)  # rows arrive in any order; sums should not depend on it
     return grow(x[order], (rows["quality"].to_numpy() > 0).astype(float)[order])
@@ -187,7 +190,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     """``doc_id, held_out, score, predicted`` of every document; learns only labels of rows that are not held out.
 
     Null and empty texts have all statistics 0 and get that leaf's score. A null doc_id is not held out and has no
-    label; rows that repeat are rows like any other. Without labels every score is 0.5.
+    label; rows that repeat are rows like any other. Texts of any length are read whole; a score of exactly the
+    threshold is 1; an empty table gives an empty result; other columns are not read. Without labels every score is 0.5.
     """
     learn: Column
     learn, held = learnable(F.col("doc_id"), 5, 0)
