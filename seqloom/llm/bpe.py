@@ -36,6 +36,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def require_supported(spec: dict) -> None:
+    """An error for a tokenizer file with a part that this encoder does not implement: it would give other ids without notice."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        name
+        for name, bad in {
+            "model type": model.get("type", "BPE") != "BPE",
+            "normalizer": spec.get("normalizer") is not None,
+            "pre-tokenizer": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True),
+            "decoder": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+            "model options": any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+            "added tokens": any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")),
+        }.items()
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"tokenizer file: not implemented: {', '.join(wrong)}")
+
+
 class Encoder(dict):
     """Maps a word (text between spaces, with its leading space) to its ids as little-endian 32-bit bytes."""
 
@@ -44,6 +63,7 @@ class Encoder(dict):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
+        require_supported(spec)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -207,7 +227,12 @@ def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Encode and decode every whole text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    """Encode and decode every whole text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+
+    Null texts count as empty: no tokens, digests of nothing. Texts of any length are encoded whole; rows that repeat are
+    rows like any other; an empty table gives an empty result; other columns are not read. A tokenizer file with parts
+    that are not implemented is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
