@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 
@@ -58,6 +59,40 @@ def test_general_links_with_several_hubs(spark):
     assert cut <= 15
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    texts = [f"text {k % 90 if k < 200 else k}" for k in range(600)] + [None, ""]
+    df = docs_of(spark, texts, rank=1, bucket="b")
+    df = df.union(df.where("doc_id % 7 = 0")).union(df.where("doc_id = 7")).union(spark.createDataFrame([(None, "no id", None, None, None, 1, "b")] * 3, df.schema))
+    results = [sorted((tuple(r) for r in sharding.shard_documents(df.repartition(n)).collect()), key=str) for n in (1, 7)]
+    assert results[0] == results[1] and len(results[0]) == df.count()
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["bucket", "rank", "offset", "linked", "from_shard", "n", "payload", "moved"]
+    rows = spark.range(40).withColumnRenamed("id", "rid").withColumns({c: F.col("rid") * 10 for c in names} | {"shard": F.lit("x")})
+    out = sharding.shard_rows(rows, spark.createDataFrame([(1, "a"), (2, "a")], "rid long, hub string"), 4).collect()
+    assert len(out) == 40 and all(r[c] == r["rid"] * 10 for r in out for c in names) and {r["shard"] for r in out} == {0, 1, 2, 3}
+
+
+def test_cut_against_every_balanced_assignment(spark):
+    rng = np.random.default_rng(4)
+    gaps, means = [], []
+    for _ in range(5):
+        # two communities of six rows, linked inside, and one link across
+        order = rng.permutation(12)
+        hubs = [order[6 * side + rng.choice(6, 3, replace=False)] for side in (0, 1) for _ in range(4)] + [order[[0, 11]]]
+        links = [(int(r), f"h{k}") for k, h in enumerate(hubs) for r in h]
+        rows = spark.range(12).withColumnRenamed("id", "rid")
+        out = {r["rid"]: r["shard"] for r in sharding.shard_rows(rows, spark.createDataFrame(links, "rid long, hub string"), 2).collect()}
+        cut = lambda side: sum(len({side[r] for r in h}) > 1 for h in map(list, hubs))  # noqa: E731, B023
+        every = [cut({r: int(r in half) for r in range(12)}) for half in itertools.combinations(range(12), 6)]
+        assert sorted(out.values()) == [0] * 6 + [1] * 6
+        gaps.append(cut(out) - min(every))
+        means.append(np.mean(every) - min(every))
+    # between the best of all assignments and the mean of them, nearer to the best
+    assert np.mean(gaps) <= np.mean(means) / 2, (gaps, means)
+
+
 # --- chat
 
 
@@ -157,9 +192,36 @@ def test_keep_first(spark):
     assert minhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    alpha, beta, gamma = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, alpha), (1, beta), (1, alpha), (2, alpha + " more"), (3, gamma), (2, beta), (4, gamma.upper()), (1, beta + "  ")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
+    assert out == sorted((i, 27 if t.endswith("more") else 26, 3 if t.lower() == gamma else 1) for i, t in rows)
+    kept = sorted((r["doc_id"], " ".join(r["text"].split())) for r in minhash.keep_first(df).collect())
+    assert kept == [(1, alpha), (1, beta), (3, gamma)]
+
+
 # --- embeddings
 
 
+@pytest.mark.parametrize("gap", [2e-9, -2e-9])
+def test_cosine_at_the_threshold_in_double_precision(spark, gap):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        a, b = rng.normal(size=(2, 16)) * 10.0 ** rng.integers(-160, 160)
+        a, b = a / np.abs(a).max(), b / np.abs(b).max()
+        b -= a * (a @ b) / (a @ a)
+        cosine = 0.95 + gap
+        v = cosine * a / np.linalg.norm(a) + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)
+        rows += [(2 * k, (a * 1e-170 if k % 3 == 0 else a * 1e170).tolist()), (2 * k + 1, v.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert set(links.values()) == ({1} if gap > 0 else {0})
+
+
+
 def test_vectors_match_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(150, 24)).astype(np.float32)

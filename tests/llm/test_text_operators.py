@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import json
 import math
 import re
+import timeit
 import zlib
 
 import numpy as np
@@ -173,6 +175,25 @@ def test_leaks_match_brute_force(spark):
 # --- language
 
 
+def test_viterbi_word_by_word_agrees_with_blocks():
+    rng = np.random.default_rng(2)
+    begin = np.concatenate([[0], np.cumsum([0, 1, 7, 400, 130, 0, 3])])
+    scores = rng.normal(size=(begin[-1], 5)).astype(np.float32)
+    value = lambda path: sum(scores[np.arange(a, b), path[a:b]].astype(float).sum() - 2 * (path[a + 1 : b] != path[a : b - 1]).sum() for a, b in zip(begin[:-1], begin[1:]) if b > a)
+    assert value(language.viterbi_steps(scores, begin, 2.0)) == pytest.approx(value(language.viterbi_blocks(scores, begin, 2.0)), abs=1e-2)
+
+
+def test_rejected_documents(spark):
+    third = "the dog went with that thing " * 3
+    texts = [EN, DE, None, "12 34", third, EN + DE]
+    rows = [(k, t, "en" if t == EN else "de") for k, t in enumerate([EN, DE] * 40)]
+    df = spark.createDataFrame(rows + [(1000 + k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in language.keep_identified(df).where("doc_id >= 1000").collect()}
+    assert kept == {1000: "en", 1001: "de", 1004: "en", 1005: kept[1005]}
+    strict = {r["doc_id"] for r in language.keep_identified(df, 0.9).where("doc_id >= 1000").collect()}
+    assert strict == {1000, 1001, 1004}
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(0)
     sizes = [0, 1, 5, 300, 128, 129, 0, 700]
@@ -331,3 +352,61 @@ def test_quality_rows(spark):
 
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+
+
+# --- planted secrets
+
+
+def test_planted_keys_that_no_pattern_covers(spark):
+    rng = np.random.default_rng(11)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null").collect()
+    planted = {}
+    rows = []
+    for k, r in enumerate(docs):
+        key = "".join(rng.choice(letters, int(rng.integers(24, 48)))) if k % 2 else None
+        if k % 6 == 1:
+            key = "".join(rng.choice(list("0123456789ABCDEF"), 40))
+        text = r["text"] if key is None else f"{r['text']} see {key} now"
+        planted[r["doc_id"]] = None if key is None else (len(r["text"]) + 5, len(r["text"]) + 5 + len(key))
+        rows.append((r["doc_id"], text))
+    out = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = false = 0
+    for i, place in planted.items():
+        spans = [s.split(":") for s in out[i]["spans"].split(",") if s.startswith("entropy")]
+        inside = [s for s in spans if place and place[0] <= int(s[1]) and int(s[2]) <= place[1] and 2 * (int(s[2]) - int(s[1])) >= place[1] - place[0]]
+        found += bool(inside)
+        false += len(spans) - len(inside)
+    n = sum(p is not None for p in planted.values())
+    assert found >= 0.97 * n and false <= 0.01 * len(rows)
+
+
+def test_a_placeholder_clears_only_itself():
+    key = "9fK2mPq7Rt4Zx8Bv3Nc6Wd1L"
+    _, spans = secrets.secret_spans(f"/repos/example-{key}")
+    assert any(kind == "entropy_base64" for _, _, kind in spans)
+    assert not [s for s in secrets.secret_spans("see 123E4567-E89B-12D3-A456-426614174000 and exampleEXAMPLEexample0123456789")[1] if s[2].startswith("entropy")]
+
+
+def test_many_secrets_cost_time_in_proportion():
+    rng = np.random.default_rng(1)
+    dump = lambda n: " ".join("".join(rng.choice(list("0123456789ABCDEF"), 32)) for _ in range(n))
+    small, large = dump(1500), dump(6000)
+    clock = lambda t: min(timeit.repeat(lambda: secrets.secret_spans(t), number=1, repeat=3))
+    assert clock(large) < 8 * clock(small)
+    assert len(secrets.secret_spans(small)[1]) > 1300
+
+
+def test_unknown_tokenizer_parts_are_errors(tmp_path):
+    spec = json.load(open(VOCABULARY, encoding="utf-8"))
+    bpe.require_supported(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {**spec["model"], "byte_fallback": True}}):
+        with pytest.raises(ValueError, match="not implemented"):
+            bpe.require_supported({**spec, **change})
+
+
+def test_one_hot_document_teaches_once(spark):
+    docs = spark.createDataFrame([(1, f"hot text number {k} " * 5) for k in range(200)] + [(k, f"plain words {k} " * 9) for k in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)], "doc_id long, quality int")
+    out = quality.score_documents(docs, labels).collect()
+    assert len(out) == 258 and all(0 <= r["score"] <= 1 for r in out)
