@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import slices
+
 #: Ranges of code points by script (fixed values); every letter outside them is of one further script.
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
@@ -44,7 +46,7 @@ BLOCK = 128
 BLOCK_LABELS = 12
 MOST_LANGUAGES = 256
 #: Least share of a text's letters that its language must have for the text to be kept.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 OUT = np.float32(-1e4)
 
 
@@ -299,7 +301,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     schema = T.StructType([*docs.schema.fields, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             rows = [r for p in parts(texts) for r in label(model, p, penalty)]
             spans = [[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows]
@@ -336,7 +338,7 @@ def keep_identified(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFr
     at = next((k for k, f in enumerate(docs.schema.fields) if f.name == "lang" and isinstance(f.dataType, T.StringType)), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             rows = [r for p in parts(texts) for r in label(model, p)]
             if at is not None:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U, distinct_sets, mix, numbers, shingle_hashes, sketches, text_chunks, word_hashes
-from .shared import Forest, by_salt, components, group_values, in_units, lookup, materialize, may_be_among, salt_of, salts_in_use, whole_units
+from .shared import Forest, bloom_bits, by_salt, components, group_values, in_bloom, in_units, lookup, materialize, may_be_among, salt_of, salts_in_use, whole_units
 
 SKETCH = 64
 TREES = 10
@@ -97,17 +97,23 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``id, k1, k2, hashes``: each row's whole set as sorted 64-bit hashes."""
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id, k1, k2, hashes``: the whole set, as sorted 64-bit hashes, of each row whose doc_id a Bloom filter of ``ids`` passes.
+
+    The filter is asked in the same Python worker, so a task needs one.
+    """
+    octets = bloom_bits(ids.select(F.xxhash64(ids.columns[0])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_bloom(octets, batch.column(1).to_numpy())))
             for i, j, data, offsets in text_chunks(batch):
                 values, at = distinct_sets(*shingle_hashes(*word_hashes(data, offsets), words))
                 k1, k2 = set_keys(values, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), binary_rows(values, 8 * at)], names=["id", "k1", "k2", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, k1 long, k2 long, hashes binary")
+    own = F.col("doc_id").cast("long")
+    return docs.select(own.alias("id"), F.xxhash64(own).alias("h"), "text").mapInArrow(run, "id long, k1 long, k2 long, hashes binary")
 
 
 def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -286,8 +292,7 @@ def confirmed_parts(docs: DataFrame, reps: DataFrame, nominated: DataFrame, thre
     group = materialize(components(nominated).join(reps.select("node", "id", "k1", "k2", "brief"), "node"), "group")
     sizes = group.withColumn("salt", salt_of(F.col("node"))).groupBy("component").agg(F.count("*").alias("n"), salts_in_use()).where(F.col("n") > BLOCK)
     sizes = materialize(sizes, "sizes")
-    may = may_be_among(group.select(F.xxhash64("id")))
-    sets = full_sets(docs.where(may(F.xxhash64(F.col("doc_id").cast("long")))), words).dropDuplicates(["id", "k1", "k2"])
+    sets = full_sets(docs, group.select("id"), words).dropDuplicates(["id", "k1", "k2"])
     members = group.withColumn("salt", salt_of(F.col("node"))).join(by_salt(sizes), ["component", "salt"], "left").drop("salt")
     members = materialize(members.join(sets, ["id", "k1", "k2"]).select("component", "node", "n", "brief", "hashes"), "members")
     small = members.where("n is null").select(F.col("component").alias("unit"), "node", F.lit(True).alias("probe"), "brief", "hashes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +42,8 @@ def may_be_among(hashes: DataFrame) -> Callable[[Column], Column]:
     """A test "this hash may be among the first column of ``hashes``"; only the hash goes to Python."""
     octets = bloom_bits(hashes)
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(in_bloom(octets, h.to_numpy()))
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        return pa.array(in_bloom(octets, h.to_numpy()))
 
     return test

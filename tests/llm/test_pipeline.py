@@ -24,7 +24,7 @@ def test_run_matches_brute_force(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{D}/documents.parquet' ORDER BY doc_id").fetchall()
     items = [t for (t,) in duckdb.sql(f"SELECT text FROM '{D}/benchmark.parquet'").fetchall()]
     model = language.train(spark.read.parquet(f"{D}/documents.parquet").where("lang is not null").where(language.learnable(F.col("doc_id"))[0]))
-    docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t) and language.label(model, [t])[0][1] >= 0.5]
+    docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t) and language.label(model, [t])[0][1] >= language.LEAST_SHARE]
     sets = [shingles(t) for _, t in docs]
     links = [(i, j) for i, a in enumerate(sets) for j in range(i) if (b := sets[j]) and 100 * len(a & b) >= 80 * len(a | b)]
     docs = [d for k, d in enumerate(docs) if components_of(len(docs), links)[k] == k]
