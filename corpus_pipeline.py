@@ -13,7 +13,7 @@ from seqloom.llm.shared import shared_dir
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID places, with the language it finds in ``lang``; those without a letter, and those without a language of half their letters, go."""
+    """Documents that language ID places, with the language it finds in ``lang``; those without a letter, and those of which no language holds 30 % of the letters, go."""
     return language.keep_identified(docs)
 
 
