@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .kernels import distinct_sets, shingle_hashes, text_chunks, word_hashes
 from .minhash import set_keys
-from .shared import bloom_bits, in_bloom, lookup, materialize, may_be_among
+from .shared import bloom_bits, in_bloom, lookup, mark_among, materialize
 
 
 def separators() -> np.ndarray:
@@ -105,8 +105,8 @@ def leak_pairs(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_
     Texts of any length are read whole; an empty table on either side gives an empty result; other columns are not read.
     """
     leaks = leaked_texts(docs, benchmark, words, threshold_percent)
-    may = may_be_among(leaks.select("t1"))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys()).where(may("t1"))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys())
+    rows = mark_among(rows, F.col("t1"), leaks.select("t1"), "may").where("may").drop("may")
     out = lookup(rows, ["t1", "t2"], "doc_id", leaks).where("shared is not null")
     return out.select("doc_id", "item_id", "shared", "item_shingles").withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
@@ -128,13 +128,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
     """The documents in which :func:`leak_pairs` finds nothing. All columns stay as they are.
 
-    Only rows whose text a Bloom filter of the leaked ones passes are joined; the others stay where they are.
+    Only rows whose text a bitmap of the leaked ones passes are joined; the others stay where they are.
     """
     texts = leaked_texts(docs, benchmark, words, threshold_percent).select(F.col("t1").alias("_seqloom_t1"), F.col("t2").alias("_seqloom_t2")).distinct()
     texts = materialize(texts, "texts")
-    may = may_be_among(texts.select("_seqloom_t1"))
     tagged = docs.withColumns({"_seqloom_t1": text_keys()[0], "_seqloom_t2": text_keys()[1]})
-    tagged = tagged.withColumn("_seqloom_may", F.col("text").isNotNull() & may("_seqloom_t1"))
+    tagged = mark_among(tagged, F.col("_seqloom_t1"), texts.select("_seqloom_t1"), "_seqloom_may")
+    tagged = tagged.withColumn("_seqloom_may", F.col("text").isNotNull() & F.col("_seqloom_may"))
     sure = tagged.where("not _seqloom_may").select(docs.columns)
     member = "doc_id" if "doc_id" in docs.columns else "_seqloom_t1"
     doubtful = lookup(tagged.where("_seqloom_may"), ["_seqloom_t1", "_seqloom_t2"], member, texts.withColumn("_seqloom_leaks", F.lit(True)))

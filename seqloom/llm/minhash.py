@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U, distinct_sets, mix, numbers, shingle_hashes, sketches, text_chunks, word_hashes
-from .shared import Forest, bloom_bits, by_salt, components, group_values, in_bloom, in_units, lookup, materialize, may_be_among, salt_of, salts_in_use, whole_units
+from .shared import Forest, bloom_bits, by_salt, components, group_values, in_bloom, in_units, lookup, mark_among, materialize, salt_of, salts_in_use, whole_units
 
 SKETCH = 64
 TREES = 10
@@ -362,7 +362,7 @@ def keep_first(docs: DataFrame, threshold_percent: int = 80, words: int = 5) ->
     other texts stay, unless their own text is a near copy. Rows without doc_id or without a word stay (the latter once
     per doc_id and text). An empty table gives an empty result; all columns are kept, whatever their names.
 
-    Only rows that a Bloom filter of the rows to decide on passes are shuffled.
+    Only rows that a bitmap of the rows to decide on passes are shuffled.
     """
     rows = assigned(docs, threshold_percent, words).where("doc_id is not null")
     rows = rows.withColumn("stays", F.col("first") & (F.col("doc_id") == F.col("class_id")))
@@ -372,9 +372,9 @@ def keep_first(docs: DataFrame, threshold_percent: int = 80, words: int = 5) ->
     rows = rows.join(several, ["doc_id", "k1", "k2"], "left")
     stays = F.col("stays") & F.coalesce(F.col("stays_key") == F.col("text_key"), F.lit(True))
     decided = materialize(rows.select("doc_id", "text_key", stays.alias("stays"), "n").where("not stays or n > 1").select(F.col("doc_id").alias("_seqloom_id"), F.col("text_key").alias("_seqloom_text"), F.col("stays").alias("_seqloom_stays")), "decided")
-    may = may_be_among(decided.select(F.xxhash64("_seqloom_id", "_seqloom_text")))
     tagged = docs.withColumns({"_seqloom_id": F.col("doc_id").cast("long"), "_seqloom_text": F.xxhash64("text")})
-    tagged = tagged.withColumn("_seqloom_may", F.col("_seqloom_id").isNotNull() & may(F.xxhash64("_seqloom_id", "_seqloom_text")))
+    tagged = mark_among(tagged, F.xxhash64("_seqloom_id", "_seqloom_text"), decided.select(F.xxhash64("_seqloom_id", "_seqloom_text")), "_seqloom_may")
+    tagged = tagged.withColumn("_seqloom_may", F.col("_seqloom_id").isNotNull() & F.col("_seqloom_may"))
     sure = tagged.where("not _seqloom_may").select(docs.columns)
     doubtful = tagged.where("_seqloom_may").join(decided, ["_seqloom_id", "_seqloom_text"], "left")
     alone = doubtful.where("_seqloom_stays is null").select(docs.columns)

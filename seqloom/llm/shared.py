@@ -1,17 +1,14 @@
-"""What the training-data operators use of the library's tables module, and Bloom filters of a fixed size."""
+"""What the training-data operators use of the library's tables module, and filters of a fixed size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import SALTS, Forest, by_salt, components, discard, group_values, in_units, lookup, materialize, salt_of, salts_in_use, shared_dir, whole_units
 
-__all__ = ["SALTS", "Forest", "bloom_bits", "by_salt", "components", "discard", "group_values", "in_bloom", "in_units", "lookup", "materialize", "may_be_among", "salt_of", "salts_in_use", "shared_dir", "whole_units"]
+__all__ = ["SALTS", "Forest", "bloom_bits", "by_salt", "components", "discard", "group_values", "in_bloom", "in_units", "lookup", "materialize", "mark_among", "salt_of", "salts_in_use", "shared_dir", "whole_units"]
 
 #: Bits of a Bloom filter, whatever the input: one that is full passes all, and the join that follows decides alone.
 BLOOM_BITS = 1 << 24
@@ -38,12 +35,17 @@ def in_bloom(octets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ok
 
 
-def may_be_among(hashes: DataFrame) -> Callable[[Column], Column]:
-    """A test "this hash may be among the first column of ``hashes``"; only the hash goes to Python."""
-    octets = bloom_bits(hashes)
-
-    @F.arrow_udf("boolean")
-    def test(h: pa.Array) -> pa.Array:
-        return pa.array(in_bloom(octets, h.to_numpy()))
-
-    return test
+def mark_among(rows: DataFrame, hash_: Column, hashes: DataFrame, out: str) -> DataFrame:
+    """``rows`` with ``out``: whether the row's hash may be among the first column of ``hashes``. False is certain.
+
+    A join with a bitmap of BLOOM_BITS bits, one word a row: at most BLOOM_BITS / 64 rows of two longs whatever the
+    input, so it is broadcast. No row goes to Python or through a shuffle.
+    """
+    at = lambda h: h.bitwiseAND(F.lit(BLOOM_BITS - 1))
+    p = at(F.col(hashes.columns[0]))
+    words = hashes.select(F.shiftright(p, 6).alias("_seqloom_w"), p.alias("p"))
+    words = words.groupBy("_seqloom_w").agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_seqloom_b"))
+    marked = rows.withColumn("_seqloom_p", at(hash_)).withColumn("_seqloom_w", F.shiftright("_seqloom_p", 6))
+    marked = marked.join(F.broadcast(materialize(words, "bitmap")), "_seqloom_w", "left")
+    bit = F.getbit("_seqloom_b", F.col("_seqloom_p").bitwiseAND(F.lit(63)).cast("int")) == 1
+    return marked.withColumn(out, F.coalesce(bit, F.lit(False))).drop("_seqloom_w", "_seqloom_b", "_seqloom_p")
