@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import releasing
+
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded words that a worker keeps; the table starts anew when it is full. Speed only.
@@ -94,7 +96,8 @@ class Encoder(dict):
         for b, i in vocab.items():
             self.shorter[i] = next((vocab[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in vocab), -1)
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.size = size
+        self.compatible: dict[int, bool] = {}  # by a * size + b
         self.pieces: dict[str, bytes] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -111,29 +114,36 @@ class Encoder(dict):
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b gives a and b: no merge across comes before both sides' own (of equal rank, the left one goes first)."""
-        if (got := self.compatible.get((a, b))) is None:
+        if (got := self.compatible.get(a * self.size + b)) is None:
             got = not any((r := self.rank.get((x, y))) is not None and r < ux and r <= uy for x, ux in self.spine(a, 1) for y, uy in self.spine(b, 0))
             if len(self.compatible) >= 4 * KEEP:
                 self.compatible.clear()
-            self.compatible[a, b] = got
+            self.compatible[a * self.size + b] = got
         return got
 
     def piece(self, text: str) -> bytes:
-        if (got := self.pieces.get(text)) is not None:
-            return got
+        if (got := self.pieces.get(text)) is None:
+            got = self.merged(text)
+            if len(text) <= 64:
+                if len(self.pieces) >= KEEP:
+                    self.pieces.clear()
+                self.pieces[text] = got
+        return got
+
+    def merged(self, text: str) -> bytes:
         data = text.encode("utf-8", "surrogatepass")
         n = len(data)
         best = [-1] * (n + 1)
         for end, (length, token) in self.automaton.iter(data.decode("latin-1")):
             best[end + 1 - length] = token  # a later end is a longer match
         out: list[int] = []
-        known, sizes = self.compatible, self.sizes
+        known, sizes, size = self.compatible, self.sizes, self.size
         dead: set[int] = set()
         pos, token, last = 0, best[0], -1
         while pos < n:
             while token >= 0:
                 end = pos + sizes[token]
-                if end not in dead and (last < 0 or (known.get((last, token)) or (last, token) not in known and self.fits(last, token))):
+                if end not in dead and (last < 0 or ((fit := known.get(last * size + token)) or fit is None and self.fits(last, token))):
                     break
                 token = self.shorter[token]
             if token >= 0:
@@ -148,15 +158,12 @@ class Encoder(dict):
                 token = self.shorter[token]
             else:
                 raise ValueError(f"no encoding for {text[:50]!r}")
-        got = struct.pack(f"<{len(out)}I", *out)
-        if n <= 64:
-            if len(self.pieces) >= KEEP:
-                self.pieces.clear()
-            self.pieces[text] = got
-        return got
+        return struct.pack(f"<{len(out)}I", *out)
 
     def __missing__(self, word: str) -> bytes:
-        got = b"".join(map(self.piece, self.find(word)))
+        found = self.find(word)
+        # What is one piece is kept as a word alone.
+        got = self.merged(word) if len(found) == 1 else b"".join(map(self.piece, found))
         if len(word) <= 64:
             if len(self) >= KEEP:
                 self.clear()
@@ -196,6 +203,7 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
     """``(key, ids array<int>)`` of every whole text; null and empty texts have no ids. ``vocabulary``: a tokenizer file that every worker can open."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
@@ -211,6 +219,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
 def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
     """``(key, text)`` of ``(key, ids)``; null ids give an empty text."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
@@ -234,6 +243,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     that are not implemented is an error.
     """
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -249,6 +259,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode every whole text and decode it again: ``doc_id, ids, n_tokens, decoded_sha256``."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:

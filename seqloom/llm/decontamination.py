@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import distinct_sets, shingle_hashes, text_chunks, word_hashes
+from .kernels import distinct_sets, releasing, shingle_hashes, text_chunks, word_hashes
 from .minhash import set_keys
 from .shared import bloom_bits, in_bloom, lookup, mark_among, materialize
 
@@ -43,6 +43,7 @@ def shingle_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int,
 def item_sets(benchmark: DataFrame, words: int) -> DataFrame:
     """``item_id, k1, k2, values``: the key of each item's set, and its shingle hashes in order. Items without a word are left out."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, values, at in shingle_sets(batch, words):
@@ -74,6 +75,7 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, words: int, threshold_pe
     sets = materialize(sets.withColumn("least", F.greatest(F.lit(1), F.col("sketch") - (F.col("n") - F.col("need")))).withColumn("node", F.monotonically_increasing_id()), "sets")
     octets = bloom_bits(sets.select(F.explode("values")))
 
+    @releasing
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .kernels import numbers
+from .kernels import numbers, releasing
 from .shared import Forest, components, group_values, in_units, materialize, salt_of, whole_units
 
 WIDTH = 8
@@ -86,6 +86,7 @@ def visits(y: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, n
 
 
 def place(threshold: float):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -106,6 +107,7 @@ def place(threshold: float):
 def compare(threshold: float):
     """Count the links inside units: rows ``(id, links, other)``, where ``other`` (may be null) is a forest edge."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
             unit = table.column("unit").to_numpy()

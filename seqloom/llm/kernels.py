@@ -6,15 +6,33 @@ touched a fixed number of times), then mixed. Two different words or shingles ag
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that a kernel works on at once: bounds memory at about 60 times as much, and fits the cache.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, giving memory that it freed back to the system at the end of a task: workers outlive their tasks, and allocators keep what they had."""
+
+    @functools.wraps(run)
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
 
 
 def mix(x: np.ndarray) -> np.ndarray:

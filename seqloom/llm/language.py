@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
+from .kernels import releasing
 
 #: Ranges of code points by script (fixed values); every letter outside them is of one further script.
 SCRIPTS = {
@@ -231,7 +232,7 @@ def label(model: Model, texts: list[str], penalty: float = PENALTY) -> list[tupl
     return [(model.names[top[i]], float(weight[i, top[i]] / total[i]), spans[i]) if total[i] else ("und", 0.0, []) for i in range(len(texts))]
 
 
-def parts(texts: list[str], limit: int = 1 << 19) -> Iterator[list[str]]:
+def parts(texts: list[str], limit: int = 1 << 18) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters; a longer text is a run of its own."""
     run, size = [], 0
     for t in texts:
@@ -262,6 +263,7 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model:
     number = {name: k for k, name in enumerate(names)}
     width = BINS + len(SCRIPTS) + 1  # bins, then words by script
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -300,6 +302,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     more = T._parse_datatype_string("lang_pred string, lang_score double, lang_spans array<struct<start: int, end: int, lang: string>>")
     schema = T.StructType([*docs.schema.fields, *more.fields])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
@@ -337,6 +340,7 @@ def keep_identified(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFr
     model = train(docs.where(learn)) if "lang" in docs.columns else train(docs.limit(0).select("doc_id", "text", F.lit("").alias("lang")))
     at = next((k for k, f in enumerate(docs.schema.fields) if f.name == "lang" and isinstance(f.dataType, T.StringType)), None)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]

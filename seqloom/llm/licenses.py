@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontamination import separators
-from .kernels import U, mix, numbers, text_chunks, word_hashes
+from .kernels import U, mix, numbers, releasing, text_chunks, word_hashes
 
 # Usual notices of each family.
 NOTICES = {
@@ -309,6 +309,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     model = train()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, distinct_sets, mix, numbers, shingle_hashes, sketches, text_chunks, word_hashes
+from .kernels import U, distinct_sets, mix, numbers, releasing, shingle_hashes, sketches, text_chunks, word_hashes
 from .shared import Forest, bloom_bits, by_salt, components, group_values, in_bloom, in_units, lookup, mark_among, materialize, salt_of, salts_in_use, whole_units
 
 SKETCH = 64
@@ -82,6 +82,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, k1, k2, tokens, brief`` per row: the key of its set (null if that is empty), a token per tree, and the low bytes of its sketch."""
     schema = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, tokens array<int>, brief binary"
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
@@ -104,6 +105,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """
     octets = bloom_bits(ids.select(F.xxhash64(ids.columns[0])))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bloom(octets, batch.column(1).to_numpy())))
@@ -123,6 +125,7 @@ def nominate(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     """
     least = least_agreement(threshold_percent)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
             unit, ids, size = (table.column(c).to_numpy() for c in ("unit", "node", "n_shingles"))
@@ -162,6 +165,7 @@ def near_lead(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
     """``(unit, salt, node, n_shingles, brief, label, fits)``: rows whose sketch agrees with their lead's get its label."""
     least = least_agreement(threshold_percent)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -268,6 +272,7 @@ def each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in each_unit(batches):
             edges, _, _ = linked(threshold_percent, part)
@@ -279,6 +284,7 @@ def confirm(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def settle(threshold_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Units that hold whole nominated components: ``(node, part)`` for each row, where part is the least node it is linked to."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in each_unit(batches):
             _, ids, forest = linked(threshold_percent, part)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import distinct_sets, shingle_hashes, text_chunks, word_hashes
+from .kernels import distinct_sets, releasing, shingle_hashes, text_chunks, word_hashes
 from .language import learnable
 
 STATISTICS = (
@@ -145,6 +145,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs``, and ``statistics`` of the whole text as an array of doubles."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", statistics array<double>"
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``score``, the probability of label 1 (null texts count as empty)."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):

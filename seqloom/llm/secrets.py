@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .kernels import releasing
 
 #: The base patterns (fixed values). Letters of the first one's words in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -135,6 +136,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -161,6 +163,7 @@ def mask(text: str, mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text``, and ``n_chars`` (if there) of the new text. Null texts stay null."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
