@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, embeddings, language, licenses, minhash, quality, secrets, sharding
+from . import bpe, chat, decontamination, embeddings, language, licenses, minhash, quality, secrets, sharding, spelling
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -63,7 +63,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold_percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language, op3_licenses, op4_secrets, op5_quality, op6_embeddings, op7_chat, op8_bpe, op9_decontamination, op10_minhash)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_sharding, op2_language, op3_licenses, op4_secrets, op5_quality, op6_embeddings, op7_chat, op8_bpe, op9_decontamination, op10_minhash, op12_spelling)
+}
+
+#: The lower-case form of A-Z only, and the CRC-32 of a string's UTF-8 bytes (DuckDB has no such function).
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CRC_TABLE_SQL = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k)) AS t)"
+CRC_SQL = "xor(list_reduce(list_transform(range(0, octet_length(encode({0}))), lambda k: ('0x' || substr(hex(encode({0})), (2 * k + 1)::INT, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
 
 def shingles_sql(name: str, table_name: str, key: str, word: str) -> str:
     """Tables ``{name}_w`` (key, its words) and ``{name}`` (key, its distinct five-word shingles; of fewer words, all of them)."""
@@ -93,6 +106,23 @@ p AS (SELECT i, j FROM (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM
 r(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, p.j FROM r JOIN p ON p.i = r.j),
 top AS (SELECT i AS doc_id, min(j) AS component_id FROM r GROUP BY i)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN top USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op12_spelling": f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, unnest(regexp_extract_all({LOWER_SQL.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+g AS (SELECT id || w AS s, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY id, w),
+h AS (SELECT w, n, {CRC_SQL.format("s")} AS h FROM g, crc),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, k, left(word, k::INT) || substr(word, k::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS k FROM v)),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d AS a JOIN d AS b USING (k, rest) WHERE a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest
+),
+q AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, near_n, (SELECT min(near) FROM p WHERE p.word = v.word AND p.near_n = q.near_n) AS near FROM v LEFT JOIN q ON q.word = v.word),
+e AS (SELECT word, n, n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM f),
+c(word, top) AS (SELECT word, word FROM e UNION ALL SELECT c.word, e.form FROM c JOIN e ON e.word = c.top WHERE e.form IS NOT NULL)
+SELECT e.word, e.form, c.top AS root, e.n, e.n_near::BIGINT AS n_near, e.form_n FROM e JOIN c ON c.word = e.word JOIN e AS z ON z.word = c.top AND z.form IS NULL""",
     "op7_chat": rf"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
