@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, embeddings, language, licenses, minhash, quality, secrets, sharding, spelling
+from . import bpe, chat, decontamination, embeddings, html, language, licenses, minhash, quality, secrets, sharding, spelling
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -63,13 +63,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold_percent=85)
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_language, op3_licenses, op4_secrets, op5_quality, op6_embeddings, op7_chat, op8_bpe, op9_decontamination, op10_minhash, op12_spelling)
+    for f in (op1_sharding, op2_language, op3_licenses, op4_secrets, op5_quality, op6_embeddings, op7_chat, op8_bpe, op9_decontamination, op10_minhash, op11_html, op12_spelling)
 }
 
 #: The lower-case form of A-Z only, and the CRC-32 of a string's UTF-8 bytes (DuckDB has no such function).
@@ -106,6 +110,13 @@ p AS (SELECT i, j FROM (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM
 r(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, p.j FROM r JOIN p ON p.i = r.j),
 top AS (SELECT i AS doc_id, min(j) AS component_id FROM r GROUP BY i)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN top USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    # The rules' result where a page has one article element and no further structure in it, as in the given tables.
+    "op11_html": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(h, '<br>', ' ', 'g'), '</?(?:p|h1)>') AS blocks FROM a),
+c AS (SELECT page_id, url, list_transform(blocks, lambda x: replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS blocks FROM b),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""".replace("\\\\", "\\"),
     "op12_spelling": f"""
 WITH RECURSIVE {CRC_TABLE_SQL},
 r AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, unnest(regexp_extract_all({LOWER_SQL.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
