@@ -79,6 +79,21 @@ def shortages(strata: DataFrame, key: str, desired: str = "desired", capacity: s
     return strata.withColumn("_lack", lack).where("_lack > 0").select(key, F.explode(F.sequence(F.lit(1), F.col("_lack"))).alias("copy"))
 
 
+def hash_split(members: DataFrame, percent: dict[str, int], family: str = "family", seed: int = 42) -> DataFrame:
+    """``members`` with ``split``: whole families go to the splits by a hash of their name, close to the shares in percent.
+
+    No family is counted and nothing is shuffled; a family keeps its split when others come or go.
+    """
+    if sum(percent.values()) != 100 or min(percent.values()) < 0:
+        raise ValueError("the shares must add up to 100 percent")
+    point = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(family)), 256), 1, 8), 16, 10).cast("long") % 100
+    split, upto = F.lit(None).cast("string"), 100
+    for name, share in reversed(percent.items()):
+        split = F.when(point < upto, F.lit(name)).otherwise(split)
+        upto -= share
+    return members.withColumn("split", split)
+
+
 def split_families(members: DataFrame, shares: dict[str, float], key: str = "seq", family: str = "family", label: str = "label", seed: int = 42) -> DataFrame:
     """``(key, split)``: whole families are dealt to the splits so that each class comes close to its shares.
 
