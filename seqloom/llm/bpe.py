@@ -87,7 +87,7 @@ class Encoder(dict):
         self.lengths, self.offsets = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
         self.blob = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         self.find = regex.compile(PIECES).findall
-        self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
+        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.automaton = ahocorasick.Automaton()
         for b, i in vocab.items():
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
@@ -256,18 +256,24 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Encode every whole text and decode it again: ``doc_id, ids, n_tokens, decoded_sha256``."""
+def tokenized(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode every whole text and decode it again: ``doc_id``, the columns ``keep``, ``ids, n_tokens, decoded_sha256``.
+
+    Null texts count as empty; texts of any length are encoded whole; rows that repeat are rows like any other; an empty
+    table gives an empty result; columns that are not kept are not read.
+    """
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", ids array<int>, n_tokens long, decoded_sha256 string"
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
             for part in slices(batch):
-                ids = [np.frombuffer(bpe.encode(t or ""), dtype="<u4").astype(np.int64) for t in part.column(1).to_pylist()]
+                ids = [np.frombuffer(bpe.encode(t or ""), dtype="<u4").astype(np.int64) for t in part.column(len(keep) + 1).to_pylist()]
                 counts = [len(x) for x in ids]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int64)]), pa.int32()))
                 back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(counts, pa.int64()), pa.array(back, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(counts, pa.int64()), pa.array(back, pa.string())], names=[*part.schema.names[:-1], "ids", "n_tokens", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string")
+    return kept.mapInArrow(run, schema)

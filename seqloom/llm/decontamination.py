@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import distinct_sets, releasing, shingle_hashes, text_chunks, word_hashes
+from .kernels import CHUNK, releasing, shingle_sets
 from .minhash import set_keys
 from .shared import bloom_bits, in_bloom, lookup, mark_among, materialize
 
@@ -34,19 +34,13 @@ def separators() -> np.ndarray:
     return s
 
 
-def shingle_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows [i, j) with their distinct shingle hashes and where each row's begin."""
-    for i, j, data, offsets in text_chunks(batch):
-        yield i, j, *distinct_sets(*shingle_hashes(*word_hashes(data, offsets, separators()), words))
-
-
 def item_sets(benchmark: DataFrame, words: int) -> DataFrame:
     """``item_id, k1, k2, values``: the key of each item's set, and its shingle hashes in order. Items without a word are left out."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, values, at in shingle_sets(batch, words):
+            for i, j, values, at in shingle_sets(batch, words, separators()):
                 k1, k2 = set_keys(values, at)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), lists], names=["item_id", "k1", "k2", "values"])
@@ -64,8 +58,8 @@ def text_keys(text: str = "text") -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2")]
 
 
-def leaked_texts(docs: DataFrame, benchmark: DataFrame, words: int, threshold_percent: int) -> DataFrame:
-    """``t1, t2, item_id, shared, item_shingles``: the texts (by their keys) that contain an item, and each item in them."""
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, words: int, threshold_percent: int) -> tuple[DataFrame, DataFrame]:
+    """``t1, t2, k1, k2, shared, item_shingles``: the texts (by their keys) that contain an item, and the key of each item's set; and ``k1, k2, item_id``, its members."""
     items = materialize(item_sets(benchmark, words), "items")
     sets = items.dropDuplicates(["k1", "k2"]).select("k1", "k2", "values", F.size("values").alias("n"))
     # The largest size of the partition decides the sketch's length.
@@ -79,8 +73,8 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, words: int, threshold_pe
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, _, values, at in shingle_sets(batch, words):
-                hit = np.flatnonzero(in_bloom(octets, values))
+            for i, _, values, at in shingle_sets(batch, words, separators()):
+                hit = np.concatenate([s + np.flatnonzero(in_bloom(octets, values[s : s + CHUNK])) for s in range(0, len(values), CHUNK)] or [np.empty(0, np.int64)])
                 row = i + np.searchsorted(at, hit, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(t1[row]), pa.array(t2[row]), pa.array(values[hit].view(np.int64))], names=["t1", "t2", "value"])
 
@@ -92,9 +86,12 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, words: int, threshold_pe
     # Each candidate's whole set against what its text holds of it.
     asked = lookup(materialize(found, "candidates"), "node", "t1", sets.select("node", "n", "need", "k1", "k2", "values")).withColumn("value", F.explode("values"))
     leaks = asked.join(hits, ["t1", "t2", "value"]).groupBy("t1", "t2", "node").agg(F.count("*").cast("int").alias("shared"), *(F.first(c).alias(c) for c in ("n", "need", "k1", "k2"))).where("shared >= need")
-    # Repeated items are one set; each comes back under its id.
-    leaks = leaks.select("t1", "t2", "k1", "k2", "shared", F.col("n").alias("item_shingles")).join(items.select("k1", "k2", "item_id"), ["k1", "k2"])
-    return materialize(leaks.select("t1", "t2", "item_id", "shared", "item_shingles"), "leaks")
+    return materialize(leaks.select("t1", "t2", "k1", "k2", "shared", F.col("n").alias("item_shingles")), "leaks"), items.select("k1", "k2", "item_id")
+
+
+def leaked_items(leaks: DataFrame, items: DataFrame) -> DataFrame:
+    """``t1, t2, item_id, shared, item_shingles``: repeated items are one set, and each comes back under its id."""
+    return leaks.join(items, ["k1", "k2"]).select("t1", "t2", "item_id", "shared", "item_shingles")
 
 
 def leak_pairs(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
@@ -106,7 +103,7 @@ def leak_pairs(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_
     match nothing. Rows that repeat are rows like any other, and repeated items are each reported under their id.
     Texts of any length are read whole; an empty table on either side gives an empty result; other columns are not read.
     """
-    leaks = leaked_texts(docs, benchmark, words, threshold_percent)
+    leaks = materialize(leaked_items(*leaked_texts(docs, benchmark, words, threshold_percent)), "pairs")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys())
     rows = mark_among(rows, F.col("t1"), leaks.select("t1"), "may").where("may").drop("may")
     out = lookup(rows, ["t1", "t2"], "doc_id", leaks).where("shared is not null")
@@ -118,7 +115,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_
 
     A text's leaks are one array, so the items in one text must fit in a row.
     """
-    leaks = leaked_texts(docs, benchmark, words, threshold_percent)
+    leaks = leaked_items(*leaked_texts(docs, benchmark, words, threshold_percent))
     each = leaks.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("item_id", "shared", "item_shingles"))).alias("leaks"))
     docs = docs.drop("leaks")
     each = each.withColumnRenamed("t1", "_seqloom_t1").withColumnRenamed("t2", "_seqloom_t2")
@@ -132,7 +129,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, thr
 
     Only rows whose text a bitmap of the leaked ones passes are joined; the others stay where they are.
     """
-    texts = leaked_texts(docs, benchmark, words, threshold_percent).select(F.col("t1").alias("_seqloom_t1"), F.col("t2").alias("_seqloom_t2")).distinct()
+    texts = leaked_texts(docs, benchmark, words, threshold_percent)[0].select(F.col("t1").alias("_seqloom_t1"), F.col("t2").alias("_seqloom_t2")).distinct()
     texts = materialize(texts, "texts")
     tagged = docs.withColumns({"_seqloom_t1": text_keys()[0], "_seqloom_t2": text_keys()[1]})
     tagged = mark_among(tagged, F.col("_seqloom_t1"), texts.select("_seqloom_t1"), "_seqloom_may")

@@ -138,6 +138,74 @@ def distinct_sets(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([*sets, np.empty(0, U)]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
+def word_stream(data: np.ndarray, space: np.ndarray | None = None, size: int = 0) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The words of one text of any length, piece by piece: bytes [i, j) and the hashes of the words in them.
+
+    Pieces are of at most ``size`` bytes (0: CHUNK) and end behind a separator; a longer word is a piece of its own, and hashed in slices.
+    """
+    size, space = size or CHUNK, white() if space is None else space
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + size, n)
+        gaps = np.flatnonzero(space[data[at:end]]) if end < n else None
+        if gaps is None or len(gaps):
+            end = n if gaps is None else at + int(gaps[-1]) + 1
+            yield at, end, word_hashes(data[at:end], np.array([0, end - at]), space)[0]
+        else:
+            total, end = 0, at
+            while end < n:
+                part = data[end : end + size]
+                gap = np.flatnonzero(space[part])
+                part = part[: gap[0]] if len(gap) else part
+                total += int((byte_values()[part] * powers_to(len(part))[0][: len(part)]).sum(dtype=U)) * pow(BASE, end - at, 1 << 64)
+                end += len(part)
+                if len(gap):
+                    break
+            yield at, end, mix(np.array([total % (1 << 64)], U))
+        at = end
+
+
+class Distinct:
+    """Distinct hashes gathered piece by piece: sorted runs that are merged as they grow, so memory stays near the result's."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.runs.append(np.unique(hashes))
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            self.runs.append(np.unique(np.concatenate([self.runs.pop(), self.runs.pop()])))
+
+    def values(self) -> np.ndarray:
+        return np.unique(np.concatenate([*self.runs, np.empty(0, U)]))
+
+
+def long_shingles(data: np.ndarray, k: int, space: np.ndarray | None = None, size: int = 0) -> np.ndarray:
+    """The distinct k-word shingles of one text of any length: those of its pieces, each with the last k - 1 words before it."""
+    found, held = Distinct(), np.empty(0, U)
+    n = 0
+    for _, _, words in word_stream(data, space, size):
+        n += len(words)
+        held = np.concatenate([held, words])
+        if len(held) >= k:
+            found.add(shingle_hashes(held, np.array([0, len(held)]), k)[0])
+            held = held[len(held) - k + 1 :]
+    if 0 < n < k:
+        return shingle_hashes(held, np.array([0, n]), k)[0]
+    return found.values()
+
+
+def shingle_sets(batch: pa.RecordBatch, k: int, space: np.ndarray | None = None, limit: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows [i, j) with their distinct k-word shingles, sorted, and where each row's begin. A text above the limit is read in pieces."""
+    limit = limit or CHUNK
+    for i, j, data, offsets in text_chunks(batch, limit=limit):
+        if len(data) <= limit:
+            yield i, j, *distinct_sets(*shingle_hashes(*word_hashes(data, offsets, space), k))
+        else:
+            values = long_shingles(data, k, space, limit)
+            yield i, j, values, np.array([0, len(values)])
+
+
 def sketches(values: np.ndarray, begin: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     """Minwise sketches (n x k of uint32); those of empty sets are all ones."""
     out = np.full((len(begin) - 1, k), 0xFFFFFFFF, dtype=np.uint32)
@@ -145,8 +213,10 @@ def sketches(values: np.ndarray, begin: np.ndarray, k: int, seed: int = 5) -> np
     if len(some):
         starts = begin[:-1][some]
         for j, a in enumerate(numbers(seed, k, odd=True)):
-            h = ((values * a) >> U(32)).astype(np.uint32)
-            out[some, j] = np.minimum.reduceat(h, starts)
+            if len(some) == 1:  # one set of any size, in slices
+                out[some, j] = min(int(((values[s : s + CHUNK] * a) >> U(32)).min()) for s in range(0, len(values), CHUNK))
+            else:
+                out[some, j] = np.minimum.reduceat(((values * a) >> U(32)).astype(np.uint32), starts)
     return out
 
 

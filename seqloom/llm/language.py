@@ -42,10 +42,11 @@ SCRIPTS = {
 }
 BINS = 1 << 16
 PENALTY = 8.0
+#: Characters above which a text is read in pieces.
+LONG = 1 << 20
 BLOCK = 128
-#: Labels up to which Viterbi runs in blocks, and most languages that a model learns (the most frequent ones).
+#: Labels up to which Viterbi runs in blocks. Both forms compute in double precision and give the same labels.
 BLOCK_LABELS = 12
-MOST_LANGUAGES = 256
 #: Least share of a text's letters that its language must have for the text to be kept.
 LEAST_SHARE = 0.3
 OUT = np.float32(-1e4)
@@ -177,14 +178,14 @@ def viterbi_blocks(scores: np.ndarray, begin: np.ndarray, penalty: float) -> np.
     at = begin[of] + (np.arange(nb) - first[of]) * BLOCK
     length = np.minimum(BLOCK, begin[of + 1] - at)
     steps = int(length.max())
-    cur = np.full((nb, k, k), -np.inf, np.float32)
+    cur = np.full((nb, k, k), -np.inf)
     cur[:, range(k), range(k)] = 0
     switched, source = np.zeros((steps, nb, k, k), bool), np.zeros((steps, nb, k), np.int16)
-    padded = np.concatenate([scores, np.zeros((BLOCK, k), np.float32)])
+    padded = np.concatenate([scores, np.zeros((BLOCK, k), scores.dtype)])
     for t in range(steps):
         s = np.where((t < length)[:, None], padded[at + t], 0)
         source[t] = cur.argmax(axis=2)
-        jump = cur.max(axis=2, keepdims=True) - np.float32(penalty)
+        jump = cur.max(axis=2, keepdims=True) - penalty
         switched[t] = jump > cur
         cur = np.maximum(cur, jump) + s[:, None, :]
     # Chain the blocks of each sequence: many sequences at once, one step per block.
@@ -232,6 +233,81 @@ def label(model: Model, texts: list[str], penalty: float = PENALTY) -> list[tupl
     return [(model.names[top[i]], float(weight[i, top[i]] / total[i]), spans[i]) if total[i] else ("und", 0.0, []) for i in range(len(texts))]
 
 
+def viterbi_table(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """Labels x labels: the best score of one sequence from each label before it to each label at its end."""
+    n, k = scores.shape
+    nb = -(-n // BLOCK)
+    padded = np.concatenate([scores, np.zeros((nb * BLOCK - n, k), scores.dtype)]).reshape(nb, BLOCK, k)
+    cur = np.full((nb, k, k), -np.inf)
+    cur[:, range(k), range(k)] = 0
+    for t in range(min(n, BLOCK)):
+        step = np.maximum(cur, cur.max(axis=2, keepdims=True) - penalty) + padded[:, t, None, :]
+        cur = step if (nb - 1) * BLOCK + t < n else np.concatenate([step[:-1], cur[-1:]])
+    out = cur[0]
+    for b in cur[1:]:
+        out = (out[:, :, None] + b).max(axis=1)
+    return out
+
+
+def cut(text: str, limit: int) -> list[str]:
+    """A text in pieces of about ``limit`` characters that end behind a word."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + limit
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def label_long(model: Model, text: str, penalty: float = PENALTY, limit: int = LONG) -> tuple[str, float, list[tuple[int, int, str]]]:
+    """What :func:`label` gives for one text, in memory of a piece at a time.
+
+    Forwards, each piece is a table from the label before it to that at its end; those tables are chained. Backwards,
+    each piece is read again with the labels at its two ends known.
+    """
+    k = len(model.names)
+    pieces = cut(text, limit)
+    best, enter = np.zeros(k), []
+    for piece in pieces:
+        scores = model.scores(words_of([piece]))
+        if len(scores):
+            through = best[:, None] + viterbi_table(scores, penalty)
+            enter.append(through.argmax(axis=0))
+            best = through.max(axis=0)
+        else:
+            enter.append(np.arange(k))
+    state, ends = int(best.argmax()), []
+    for e in reversed(enter):
+        ends.append((int(e[state]), state))
+        state = int(e[state])
+    weight, spans, at = np.zeros(k), [], 0
+    for piece, (before, after) in zip(pieces, reversed(ends)):
+        w = words_of([piece])
+        if len(w.start):
+            scores = model.scores(w).astype(float)
+            scores[-1, np.arange(k) != after] = -np.inf
+            lead = np.full((1, k), -np.inf)
+            lead[0, before] = 0
+            labels = viterbi_steps(np.concatenate([lead, scores]), np.array([0, len(scores) + 1]), penalty)[1:] if k > BLOCK_LABELS else viterbi_blocks(np.concatenate([lead, scores]), np.array([0, len(scores) + 1]), penalty)[1:]
+            weight += np.bincount(labels, weights=w.end - w.start, minlength=k)
+            heads = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
+            for a, b, x in zip((w.start[heads] + at).tolist(), (w.end[np.append(heads[1:], len(labels)) - 1] + at).tolist(), labels[heads].tolist()):
+                if spans and spans[-1][2] == model.names[x]:
+                    spans[-1] = (spans[-1][0], b, model.names[x])
+                else:
+                    spans.append((a, b, model.names[x]))
+        at += len(piece)
+    total = weight.sum()
+    return (model.names[int(weight.argmax())], float(weight.max() / total), spans) if total else ("und", 0.0, [])
+
+
+def label_all(model: Model, texts: list[str], penalty: float = PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """:func:`label` of any number of texts of any length, in bounded memory."""
+    return [r for run in parts(texts) for r in (label(model, run, penalty) if len(run) > 1 or len(run[0]) <= LONG else [label_long(model, run[0], penalty)])]
+
+
 def parts(texts: list[str], limit: int = 1 << 18) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters; a longer text is a run of its own."""
     run, size = [], 0
@@ -248,17 +324,15 @@ def parts(texts: list[str], limit: int = 1 << 18) -> Iterator[list[str]]:
 def train(labelled: DataFrame, per_language: int = 1500) -> Model:
     """Fit on whole texts of ``labelled (doc_id, text, lang)``: of each language about ``per_language`` rows, chosen by a hash of doc_id.
 
-    Rows with a null text, language or doc_id teach nothing, nor do languages beyond the MOST_LANGUAGES most frequent ones.
-    The driver gets one count per language and bin.
+    Rows with a null text, language or doc_id teach nothing. Every other value of ``lang`` is learnt, however rare; the
+    driver gets one count per language and bin, and tasks a table of BINS numbers a language.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return Model(["und"], np.zeros((1, BINS), np.float32), np.ones((1, len(SCRIPTS) + 1), bool))
-    share: Column = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
+    share = F.element_at(F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / n)))), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     number = {name: k for k, name in enumerate(names)}
     width = BINS + len(SCRIPTS) + 1  # bins, then words by script
@@ -269,7 +343,7 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model:
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for name in set(langs):
-                for run in parts([t for t, x in zip(batch.column(0).to_pylist(), langs) if x == name]):
+                for run in parts([p for t, x in zip(batch.column(0).to_pylist(), langs) if x == name for p in cut(t, LONG)]):
                     w = words_of(run)
                     seen = np.bincount(w.grams, minlength=width)
                     seen[BINS:] += np.bincount(w.script, minlength=width - BINS)
@@ -306,7 +380,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            rows = [r for p in parts(texts) for r in label(model, p, penalty)]
+            rows = label_all(model, texts, penalty)
             spans = [[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array(spans, kind)],
@@ -344,7 +418,7 @@ def keep_identified(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            rows = [r for p in parts(texts) for r in label(model, p)]
+            rows = label_all(model, texts)
             if at is not None:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array([r[0] for r in rows], batch.schema.field(at).type))
             yield batch.filter(pa.array([r[1] > 0 and r[1] >= least_share for r in rows], pa.bool_()))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, distinct_sets, mix, numbers, releasing, shingle_hashes, sketches, text_chunks, word_hashes
+from .kernels import CHUNK, U, mix, numbers, releasing, shingle_sets, sketches
 from .shared import Forest, bloom_bits, by_salt, components, group_values, in_bloom, in_units, lookup, mark_among, materialize, salt_of, salts_in_use, whole_units
 
 SKETCH = 64
@@ -73,8 +73,13 @@ def set_keys(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     some = np.flatnonzero(n)
     if len(some):
         a, b = numbers(9, 2, odd=True)
-        k1[some] = np.add.reduceat(mix(values * a), at[:-1][some])
-        k2[some] = np.add.reduceat(mix(values ^ b), at[:-1][some])
+        if len(some) == 1:  # one set of any size, in slices
+            cuts = range(0, len(values), CHUNK)
+            k1[some] = np.sum([mix(values[s : s + CHUNK] * a).sum(dtype=U) for s in cuts], dtype=U)
+            k2[some] = np.sum([mix(values[s : s + CHUNK] ^ b).sum(dtype=U) for s in cuts], dtype=U)
+        else:
+            k1[some] = np.add.reduceat(mix(values * a), at[:-1][some])
+            k2[some] = np.add.reduceat(mix(values ^ b), at[:-1][some])
     return k1.view(np.int64), k2.view(np.int64)
 
 
@@ -85,8 +90,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch):
-                values, at = distinct_sets(*shingle_hashes(*word_hashes(data, offsets), words))
+            for i, j, values, at in shingle_sets(batch, words):
                 n, none = np.diff(at), np.diff(at) == 0
                 k1, k2 = (pa.array(k, pa.int64(), mask=none) for k in set_keys(values, at))
                 minwise = sketches(values, at, SKETCH)
@@ -109,8 +113,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bloom(octets, batch.column(1).to_numpy())))
-            for i, j, data, offsets in text_chunks(batch):
-                values, at = distinct_sets(*shingle_hashes(*word_hashes(data, offsets), words))
+            for i, j, values, at in shingle_sets(batch, words):
                 k1, k2 = set_keys(values, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), binary_rows(values, 8 * at)], names=["id", "k1", "k2", "hashes"])
 

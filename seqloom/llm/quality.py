@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import distinct_sets, releasing, shingle_hashes, text_chunks, word_hashes
+from .kernels import CHUNK, U, Distinct, distinct_sets, releasing, shingle_hashes, text_chunks, word_hashes, word_stream
 from .language import learnable
 
 STATISTICS = (
@@ -75,6 +75,55 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ])
 
 
+def long_statistics(data: np.ndarray, size: int = 0) -> np.ndarray:
+    """The same of one text of any length, summed over its pieces."""
+    each = np.zeros(256)
+    many = three_many = 0
+    sums = np.zeros(6)  # length, its square, short, long, capital, marked
+    distinct, three, lines, held, line_count = Distinct(), Distinct(), Distinct(), np.empty(0, U), 0
+    for i, j, words in word_stream(data, size=size):
+        part = data[i:j]
+        for s in range(0, len(part), CHUNK):
+            each += np.bincount(part[s : s + CHUNK], minlength=256)
+        if len(words):
+            if j - i <= (size or CHUNK):
+                inside = np.concatenate([[False], CLASSES[part] != 3, [False]])
+                first, last = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:])
+            else:  # one long word
+                first, last = np.array([0]), np.array([j - i - 1])
+            length = (last - first + 1).astype(float)
+            sums += length.sum(), (length**2).sum(), (length <= 3).sum(), (length > 14).sum(), (CLASSES[part[first]] == 0).sum(), (CLASSES[part[last]] >= 5).sum()
+            distinct.add(words)
+            held = np.concatenate([held, words])
+            many += len(words)
+            if len(held) >= 3:
+                found = shingle_hashes(held, np.array([0, len(held)]), 3)[0]
+                three_many += len(found)
+                three.add(found)
+                held = held[len(held) - 2 :]
+    for _, _, words in word_stream(data, NEWLINE, size):
+        line_count += len(words)
+        lines.add(words)
+    if 0 < many < 3:
+        three_many = 1
+    n, share = max(len(data), 1), each / max(len(data), 1)
+    w = max(many, 1)
+    mean = sums[0] / w
+    kinds = np.bincount(CLASSES, weights=each, minlength=9) / n
+    ratio = lambda d, c: len(d.values()) / max(c, 1)
+    return np.array([
+        np.log1p(len(data)), np.log1p(many), np.log1p(line_count), mean, np.sqrt(max(sums[1] / w - mean**2, 0)), sums[2] / w, sums[3] / w, ratio(distinct, many),
+        ratio(three, three_many) if many >= 3 else float(many > 0), *kinds, sums[4] / w, sums[5] / w, np.log1p(many / max(line_count, 1)), ratio(lines, line_count),
+        -(share * np.log2(np.where(share > 0, share, 1))).sum(), share.max(initial=0),
+    ])
+
+
+def each_statistics(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of rows [i, j) and their statistics."""
+    for i, j, data, offsets in text_chunks(batch):
+        yield i, j, statistics(data, offsets) if len(data) <= CHUNK else long_statistics(data)[None, :]
+
+
 @dataclass
 class Forest:
     """``edges``: bin borders of each column; ``column``, ``bin``: trees x inner nodes (a row goes left if its bin is at most ``bin``); ``value``: trees x leaves."""
@@ -148,9 +197,8 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch):
+            for i, j, x in each_statistics(batch):
                 part = batch.slice(i, j - i)
-                x = statistics(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), lists], names=[*keep, "statistics"])
 
@@ -180,9 +228,9 @@ def predict(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch):
+            for i, j, x in each_statistics(batch):
                 part = batch.slice(i, j - i)
-                score = pa.array(forest.score(statistics(data, offsets)), pa.float64())
+                score = pa.array(forest.score(x), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), score], names=[*keep, "score"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, decontamination, kernels, language, licenses, quality, queries, secrets
+from seqloom.llm import bpe, decontamination, kernels, language, licenses, minhash, quality, queries, secrets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,36 @@ def test_shingle_sets_match_python(texts):
             assert len(got[i] & got[j]) == len(expected[i] & expected[j])
 
 
+ODD_BYTES = ["", "a", "a b", "  a  b  c d e f ", "xé日 " * 50, "w" * 500, "A b\n" + "long" * 90 + " c. d e f g\n\nA b\n" * 5, " " * 300, "one two three four five six " * 40]
+
+
+@pytest.mark.parametrize("size", [5, 64, 1000])
+def test_long_texts_are_read_in_pieces(size):
+    """Shingles, keys, sketches and statistics of a text in pieces are those of the whole."""
+    for text in ODD_BYTES:
+        data = np.frombuffer(text.encode(), np.uint8)
+        whole = np.array([0, len(data)])
+        for space in (None, decontamination.separators()):
+            words = [w for i, j, h in kernels.word_stream(data, space, size) for w in h.tolist()]
+            assert words == kernels.word_hashes(data, whole, space)[0].tolist()
+            for k in (3, 5):
+                assert kernels.long_shingles(data, k, space, size).tolist() == kernels.distinct_sets(*kernels.shingle_hashes(*kernels.word_hashes(data, whole, space), k))[0].tolist()
+        assert quality.long_statistics(data, size) == pytest.approx(quality.statistics(data, whole)[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([*ODD_BYTES, None], pa.string())], names=["text"])
+    get = lambda limit: [values[a:b].tolist() for _, _, values, at in kernels.shingle_sets(batch, 5, limit=limit) for a, b in zip(at[:-1], at[1:])]
+    assert get(size) == get(1 << 20)
+
+
+def test_sketches_and_keys_of_a_large_set_are_taken_in_slices(monkeypatch):
+    values = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64))
+    one, two = np.array([0, len(values)]), np.array([0, len(values), len(values) + 1])
+    more = np.append(values, np.uint64(7))
+    for module in (kernels, minhash):
+        monkeypatch.setattr(module, "CHUNK", 777)
+    assert (kernels.sketches(values, one, 8)[0] == kernels.sketches(more, two, 8)[0]).all()
+    assert [k[0] for k in minhash.set_keys(values, one)] == [k[0] for k in minhash.set_keys(more, two)]
+
+
 # --- BPE
 
 
@@ -176,11 +206,27 @@ def test_leaks_match_brute_force(spark):
 
 
 def test_viterbi_word_by_word_agrees_with_blocks():
-    rng = np.random.default_rng(2)
-    begin = np.concatenate([[0], np.cumsum([0, 1, 7, 400, 130, 0, 3])])
-    scores = rng.normal(size=(begin[-1], 5)).astype(np.float32)
-    value = lambda path: sum(scores[np.arange(a, b), path[a:b]].astype(float).sum() - 2 * (path[a + 1 : b] != path[a : b - 1]).sum() for a, b in zip(begin[:-1], begin[1:]) if b > a)
-    assert value(language.viterbi_steps(scores, begin, 2.0)) == pytest.approx(value(language.viterbi_blocks(scores, begin, 2.0)), abs=1e-2)
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        begin = np.concatenate([[0], np.cumsum([0, 1, 7, 400, 130, 0, 3])])
+        scores = rng.normal(size=(begin[-1], 6)).astype(np.float32)
+        assert language.viterbi_steps(scores, begin, 2.0).tolist() == language.viterbi_blocks(scores, begin, 2.0).tolist()
+
+
+def test_long_texts_are_labelled_in_pieces():
+    rng = np.random.default_rng(4)
+    texts = {"en": EN, "de": DE, "ru": RU}
+    table = {x: language.words_of([t]) for x, t in texts.items()}
+    counts = np.array([np.bincount(w.grams, minlength=language.BINS) + 0.2 for w in table.values()])
+    model = language.Model(list(texts), np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.ones((3, len(language.SCRIPTS) + 1), bool))
+    text = "".join(rng.choice(list("  .\n") + [EN, DE, RU, " 12 ", "das ", "the ", "которое "]) for _ in range(300))
+    whole = language.label(model, [text])[0]
+    for limit in (1, 7, 100, 3000, len(text)):
+        got = language.label_long(model, text, limit=limit)
+        assert got[0] == whole[0] and got[1] == pytest.approx(whole[1]) and got[2] == whole[2] and "".join(language.cut(text, limit)) == text
+    many = language.Model([f"l{k}" for k in range(14)], rng.normal(size=(14, language.BINS)).astype(np.float32), np.ones((14, len(language.SCRIPTS) + 1), bool))
+    assert language.label_long(many, text, limit=500)[2] == language.label(many, [text])[0][2]
+    assert language.label_long(model, "12 34 " * 9, limit=10) == ("und", 0.0, [])
 
 
 def test_rejected_documents(spark):
