@@ -33,8 +33,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text, with the digest of their decoded text."""
-    return bpe.tokenized(docs, vocabulary())
+    """Token ids of every whole text, with the digest of their decoded text; the language that the first stage found and the source come along."""
+    return bpe.tokenized(docs, vocabulary(), ("lang", "source"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
