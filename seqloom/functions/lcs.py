@@ -1,59 +1,120 @@
 """Longest common subsequence in bit vectors: numpy kernels for blocks and pair lists, and one Spark expression.
 
 Indel similarity is 2 LCS / (la + lb). All thresholds compare whole numbers, so a pair exactly on the border is
-decided exactly. The kernels hold one string of each pair in a 64-bit word; longer pairs use Python's integers.
+decided exactly. Strings lie one behind the other in one array, so a long one costs its own length and nothing more.
+The kernels hold one string of each pair in a 64-bit word; pairs of two longer ones use Python's integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 U = np.uint64
 WORD = 64
+#: Pairs, and letters, that a kernel works on at once.
+PAIRS, LETTERS = 1 << 15, 1 << 22
+
+
+class Strings:
+    """ASCII strings in a row: ``codes[start[i] : start[i] + size[i]]`` is string i. Other letters are an error, as they would not compare."""
+
+    def __init__(self, strings: list[str]) -> None:
+        self.strings = strings
+        self.size = np.array([len(s) for s in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.codes = np.frombuffer("".join(strings).encode("ascii"), np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.strings)
+
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of strings with about LETTERS letters."""
+        at = 0
+        while at < len(self):
+            end = max(at + 1, int(np.searchsorted(self.start, self.start[at] + LETTERS)))
+            yield at, end
+            at = end
+
+    def counts(self, letters: np.ndarray, most: int) -> np.ndarray:
+        """How often each string has each of the letters, up to ``most``, in the least type that holds that."""
+        k = len(letters)
+        column = np.full(256, k)
+        column[letters] = np.arange(k)
+        out = np.zeros((len(self), k), np.min_scalar_type(most))
+        for i, j in self.blocks():
+            row = np.repeat(np.arange(j - i), self.size[i:j])
+            seen = np.bincount(row * (k + 1) + column[self.codes[self.start[i] : self.start[j - 1] + self.size[j - 1]]], minlength=(j - i) * (k + 1))
+            out[i:j] = np.minimum(seen.reshape(j - i, k + 1)[:, :k], most)
+        return out
+
+
+class Shared:
+    """Letters that two strings share, for all pairs: an upper bound of their LCS."""
+
+    def __init__(self, a: Strings, b: Strings) -> None:
+        letters = np.intersect1d(np.unique(a.codes), np.unique(b.codes))
+        # What two strings share is at most the shorter's length, so counts above that need not be told apart.
+        most = int(min(a.size.max(initial=0), b.size.max(initial=0)))
+        self.a, self.b = a.counts(letters, most), b.counts(letters, most)
+
+    def matrix(self, rows: np.ndarray | slice, columns: np.ndarray | slice) -> np.ndarray:
+        a, b = self.a[rows], self.b[columns]
+        out = np.zeros((len(a), len(b)), a.dtype)
+        for x, y in zip(a.T, b.T):
+            out += np.minimum(x[:, None], y[None, :])
+        return out
+
+
+def _by_words(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """LCS lengths of pairs whose string of ``a`` has at most WORD letters, by steps over the letters of ``b``."""
+    rows, i = np.unique(i, return_inverse=True)
+    letters = np.unique(b.codes)
+    column = np.full(256, len(letters))
+    column[letters] = np.arange(len(letters))
+    table = np.zeros((len(rows), len(letters) + 1), U)
+    size = a.size[rows]
+    which = np.repeat(np.arange(len(rows)), size)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    np.bitwise_or.at(table, (which, column[a.codes[a.start[rows][which] + place]]), U(1) << place.astype(U))
+    table[:, -1] = 0
+    full = np.where(size >= WORD, ~U(0), (U(1) << np.minimum(size, WORD - 1).astype(U)) - U(1))
+    out = np.zeros(len(i), np.int64)
+    order = np.argsort(-b.size[j], kind="stable")
+    for at in range(0, len(i), PAIRS):
+        some = order[at : at + PAIRS]
+        p, start, length = i[some], b.start[j[some]], -b.size[j[some]]
+        s = np.full(len(some), ~U(0))
+        for k in range(-int(length[0])):
+            n = int(np.searchsorted(length, -k))  # pairs whose string goes on
+            m = table[p[:n], column[b.codes[start[:n] + k]]]
+            t = s[:n]
+            s[:n] = (t + (t & m)) | (t & ~m)
+        out[some] = np.bitwise_count(~s & full[p])
+    return out
 
 
-def encoded(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes (rows x longest, 0 beyond the end) and lengths of ASCII strings; other letters are an error, as they would not compare."""
-    lengths = np.array([len(s) for s in strings], np.int64)
-    width = int(lengths.max(initial=0))
-    data = np.frombuffer("".join(s.ljust(width, "\0") for s in strings).encode("ascii"), np.uint8)
-    return data.reshape(len(strings), width), lengths
-
-
-def masks(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per row and byte, the positions of that byte (rows x 128)."""
-    out = np.zeros((len(data), 128), U)
-    for k in range(data.shape[1]):
-        rows = np.flatnonzero(lengths > k)
-        out[rows, data[rows, k]] |= U(1) << U(k)
-    out[:, 0] = 0
+def lcs_of(a: Strings, b: Strings, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """LCS lengths of the pairs ``(left[k], right[k])``."""
+    out = np.zeros(len(left), np.int64)
+    la, lb = a.size[left], b.size[right]
+    by_a = (la <= WORD) & ((lb > WORD) | (lb <= la))  # a word for the longer one, where it fits, and steps over the shorter
+    by_b = ~by_a & (lb <= WORD)
+    if by_a.any():
+        out[by_a] = _by_words(a, b, left[by_a], right[by_a])
+    if by_b.any():
+        out[by_b] = _by_words(b, a, right[by_b], left[by_b])
+    for k in np.flatnonzero(~by_a & ~by_b).tolist():
+        out[k] = lcs_long(a.strings[left[k]], b.strings[right[k]])
     return out
 
 
 def lcs_pairs(a: list[str], b: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """LCS lengths of the pairs ``(a[left[k]], b[right[k]])``."""
-    if not len(left):
-        return np.zeros(0, np.int64)
-    if max(map(len, a), default=0) > WORD:
-        if max(map(len, b), default=0) <= WORD:
-            return lcs_pairs(b, a, right, left)
-        return np.array([lcs_long(a[i], b[j]) for i, j in zip(left.tolist(), right.tolist())], np.int64)
-    da, la = encoded(a)
-    db, lb = encoded(b)
-    table = masks(da, la)
-    out = np.zeros(len(left), np.int64)
-    for at in range(0, len(left), 1 << 16):
-        i, j = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
-        s = np.full(len(i), ~U(0))
-        for k in range(int(lb[j].max(initial=0))):
-            m = table[i, db[j, k]]
-            s = (s + (s & m)) | (s & ~m)
-        size = la[i]
-        inside = np.where(size >= WORD, ~U(0), (U(1) << np.minimum(size, WORD - 1).astype(U)) - U(1))
-        out[at : at + (1 << 16)] = np.bitwise_count(~s & inside)
-    return out
+    return lcs_of(Strings(a), Strings(b), np.asarray(left, np.int64), np.asarray(right, np.int64))
 
 
 def lcs_long(a: str, b: str) -> int:
@@ -68,25 +129,86 @@ def lcs_long(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
-def letter_counts(strings: list[str]) -> np.ndarray:
-    data, lengths = encoded(strings)
-    out = np.zeros((len(strings), 128), np.int16)
-    for k in range(data.shape[1]):
-        rows = np.flatnonzero(lengths > k)
-        np.add.at(out, (rows, data[rows, k]), 1)
-    return out[:, out.any(axis=0)] if len(out) else out
-
-
-def common_letters(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter counts over the letters that occur, and lengths: their shared minimum bounds the LCS from above."""
-    return letter_counts(strings), np.array([len(s) for s in strings], np.int64)
-
-
 def lcs_matrix(a: list[str], b: list[str]) -> np.ndarray:
     i, j = np.divmod(np.arange(len(a) * len(b)), max(1, len(b)))
     return lcs_pairs(a, b, i, j).reshape(len(a), len(b))
 
 
+def near_pairs(a: Strings, b: Strings | None, percent: int, strict: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, lcs)`` of the pairs with a similarity of at least ``percent`` (``strict``: above it); without ``b`` those inside ``a``, each once.
+
+    Strings are sorted by length: a run of equal lengths meets a window of lengths, and only pairs that share enough
+    letters are measured.
+    """
+    own, b = b is None, a if b is None else b
+    oa, ob = np.argsort(a.size, kind="stable"), np.argsort(b.size, kind="stable")
+    sa, sb = a.size[oa], b.size[ob]
+    shared = Shared(a, b)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(oa):
+        n = int(sa[at])
+        end = min(int(np.searchsorted(sa, n, side="right")), at + 256)
+        low = np.searchsorted(sb * (200 - percent), percent * n)
+        high = np.searchsorted(sb * percent, n * (200 - percent), side="right")
+        low = max(int(low), at) if own else int(low)
+        for c in range(low, int(high), 1 << 15):
+            window = slice(c, min(c + (1 << 15), int(high)))
+            need = (-(-percent * (n + sb[window]) // 200)).astype(shared.a.dtype)  # no more than the shorter length in this window
+            i, j = np.nonzero(shared.matrix(oa[at:end], ob[window]) >= need)
+            i, j = i + at, j + c
+            ok = i < j if own else slice(None)
+            left.append(oa[i[ok]])
+            right.append(ob[j[ok]])
+        at = end
+    i, j = np.concatenate(left), np.concatenate(right)
+    n, total = lcs_of(a, b, i, j), a.size[i] + b.size[j]
+    ok = 200 * n > percent * total if strict else 200 * n >= percent * total
+    return i[ok], j[ok], n[ok]
+
+
+#: Pairs of each row that are measured in each wave, those of the greatest bounds first.
+WAVES = (4, 12, 48)
+
+
+def best_pairs(a: Strings, b: Strings, rows: np.ndarray, shared: Shared, own: bool = False, floor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, lcs)`` of the pairs of some rows that may be a row's best, or whose bound is at least ``floor``.
+
+    Each row goes down its partners by falling bound, in waves, and leaves once its best is proven: what is bounded
+    below the best found so far cannot win. ``own``: b is a, and a string is no partner of itself.
+    """
+    total = np.maximum(a.size[rows][:, None] + b.size[None, :], 1)
+    bound = 2.0 * shared.matrix(rows, slice(None)) / total
+    if own:
+        bound[np.arange(len(rows)), rows] = -1
+    width = min(sum(WAVES), len(b))
+    top = np.argpartition(-bound, width - 1, axis=1)[:, :width]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(bound, top, axis=1), axis=1, kind="stable"), axis=1)
+    best, found, at = np.zeros(len(rows)), [], 0
+    todo = np.ones(bound.shape, bool)
+    live = np.arange(len(rows))
+
+    def measure(p: np.ndarray, q: np.ndarray) -> None:
+        n = lcs_of(a, b, rows[p], q)
+        found.append((rows[p], q, n))
+        np.maximum.at(best, p, 2 * n / total[p, q])
+
+    for wave in WAVES:
+        if at >= width or not len(live):
+            break
+        # The wave's first bound decides whether a row goes on; equal bounds may still tie.
+        live = live[bound[live, top[live, at]] >= np.maximum(np.minimum(best[live], floor) - 1e-12, 0)]
+        p, q = np.repeat(live, len(top[0, at : at + wave])), top[live, at : at + wave].ravel()
+        todo[p, q] = False
+        ok = bound[p, q] >= 0
+        measure(p[ok], q[ok])
+        at += wave
+    todo &= bound >= np.maximum(np.minimum(best, floor)[:, None] - 1e-12, 0)
+    p, q = np.nonzero(todo)
+    measure(p, q)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def lcs_column(a: Column, b: Column) -> Column:
     """LCS of two strings of at most 62 letters as a Spark expression (one 64-bit word, no Python)."""
     size = F.when(F.length(a) > 62, F.raise_error(F.lit("lcs_column: more than 62 letters"))).otherwise(F.length(a))

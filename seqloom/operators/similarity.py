@@ -1,9 +1,14 @@
 """Fuzzy joins by normalised Indel similarity: best match, neighbours, edges, families, greedy clusters.
 
-Both sides are cut into chunks of the same length class, and a unit of work is a pair of chunks: each row names its
+Both sides are cut into chunks of similar lengths, and a unit of work is a pair of chunks: each row names its
 units and is sent there by a shuffle, never by a cross join. In joins of a table with itself each pair of chunks
-meets once. A unit prunes by length and by shared letter counts before the bit-vector kernel runs, and where only
-the best match counts, by the best found so far. A reference that is small (its size is counted first) goes to the tasks as it is, once.
+meets once. A unit prunes by windows of lengths and by shared letter counts (8-bit sums, some nanoseconds a pair) before
+the bit-vector kernel runs, and where only the best match counts, by the best found so far. A reference that is small
+(its size is counted first) goes to the tasks as it is, once.
+
+An index of segments was measured and left out: a pair at 80 % has up to 0.4 edits a letter, so the segments of which one
+must survive have two or three letters, and on the driver's sequences 47 % of the pairs of fitting lengths share one at a
+near place, against 3 % that share enough letters (boxes of letter counts around 2048 strings: 60 %).
 """
 
 from __future__ import annotations
@@ -12,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lcs import common_letters, lcs_pairs
-from .tables import components, in_units, materialize, whole_units
+from ..functions.lcs import Shared, Strings, best_pairs, lcs_pairs, near_pairs
+from .tables import components, discard, in_units, lookup, materialize, whole_units
 
-#: Strings of a chunk, and letters of a reference that may go to every task as a whole.
-CHUNK = 2048
+#: Strings of a chunk (fewer of a small table, but so many), and letters of a reference that may go to every task as a whole.
+CHUNK, LEAST_CHUNK = 2048, 256
 SMALL_LETTERS = 8 << 20
 
 
@@ -27,39 +32,56 @@ def _column(part: pa.RecordBatch | pa.Table, name: str) -> list:
     return part.column(part.schema.get_field_index(name)).to_pylist()
 
 
-def _chunked(df: DataFrame, key: str, chunk: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """``(seq, len, at)`` and the number of chunks of each length; the driver gets one count per length."""
+def _chunked(df: DataFrame, key: str, chunk: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``(seq, band, at)``, and the bands: least and greatest length, and number of chunks.
+
+    A band is a run of lengths with about a chunk of strings, or one length with more; the driver gets one count per
+    length. Chunks are smaller where strings are few, so that there is work for all tasks.
+    """
     seqs = df.select(F.col(key).alias("seq")).where(F.col("seq").isNotNull()).distinct().withColumn("len", F.length("seq"))
-    sizes = sorted((r["len"], -(-r["n"] // chunk)) for r in seqs.groupBy("len").agg(F.count("*").alias("n")).collect())
-    number = F.create_map(*(F.lit(x) for kv in sizes for x in kv)) if sizes else F.create_map(F.lit(0), F.lit(1))
-    return seqs.withColumn("at", F.pmod(F.xxhash64("seq"), F.element_at(number, F.col("len"))).cast("int")), sizes
+    counts = sorted((r["len"], r["n"]) for r in seqs.groupBy("len").agg(F.count("*").alias("n")).collect())
+    chunk = max(1, min(chunk, max(LEAST_CHUNK, -(-sum(n for _, n in counts) // 12))))
+    bands: list[list[int]] = []
+    for size, n in counts:
+        if bands and bands[-1][2] + n <= chunk:
+            bands[-1][1:] = size, bands[-1][2] + n
+        else:
+            bands.append([size, size, n])
+    sizes = [(low, high, -(-n // chunk)) for low, high, n in bands]
+    borders = F.array(*(F.lit(low) for low, _, _ in sizes)) if sizes else F.array(F.lit(0))
+    seqs = seqs.withColumn("band", F.size(F.filter(borders, lambda x: x <= F.col("len"))) - 1)
+    number = F.array(*(F.lit(n) for _, _, n in sizes)) if sizes else F.array(F.lit(1))
+    return seqs.select("seq", "band", F.pmod(F.xxhash64("seq"), F.element_at(number, F.col("band") + 1)).cast("int").alias("at")), sizes
+
 
+def _partners(own: list[tuple[int, int, int]], sizes: list[tuple[int, int, int]], percent: int | None) -> Column:
+    """The chunks ``(band, at)`` that the chunk in columns ``band`` (of ``own``) and ``at`` meets: those whose lengths allow a similarity of ``percent``."""
 
-def _partners(sizes: list[tuple[int, int]], percent: int | None, later_than: bool = False):
-    """The chunks ``(len, at)`` that the chunk in columns ``len``, ``at`` meets; ``later_than``: only itself and those after it."""
-    known = F.array(*(F.struct(F.lit(n).alias("len"), F.lit(k).alias("chunks")) for n, k in sizes))
-    fits = lambda x: F.lit(True) if percent is None else 200 * F.least(x["len"], F.col("len")) >= percent * (x["len"] + F.col("len"))
-    each = F.transform(F.filter(known, fits), lambda x: F.transform(F.sequence(F.lit(0), x["chunks"] - 1), lambda k: F.struct(x["len"].alias("len"), k.alias("at"))))
-    return F.filter(F.flatten(each), lambda y: (y["len"] > F.col("len")) | ((y["len"] == F.col("len")) & (y["at"] >= F.col("at")))) if later_than else F.flatten(each)
+    def fits(x: tuple[int, int, int], y: tuple[int, int, int]) -> bool:
+        x, y = sorted((x, y))
+        return percent is None or y[0] <= x[1] or 200 * x[1] >= percent * (x[1] + y[0])
 
+    known = F.array(*(F.array(*(F.struct(F.lit(k).alias("band"), F.lit(y[2]).alias("chunks")) for k, y in enumerate(sizes) if fits(x, y))).cast("array<struct<band: int, chunks: int>>") for x in own))
+    return F.flatten(F.transform(F.element_at(known, F.col("band") + 1), lambda x: F.transform(F.sequence(F.lit(0), x["chunks"] - 1), lambda k: F.struct(x["band"].alias("band"), k.alias("at")))))
 
-def _units(left: DataFrame, ls: list[tuple[int, int]], right: DataFrame, rs: list[tuple[int, int]], percent: int | None) -> DataFrame:
+
+def _units(left: DataFrame, ls: list[tuple[int, int, int]], right: DataFrame, rs: list[tuple[int, int, int]], percent: int | None) -> DataFrame:
     """Rows ``(unit, side, seq)`` for all pairs of chunks whose lengths allow a similarity of ``percent``. Each row names its units itself."""
     if not ls or not rs:
         return left.select(F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), "seq").limit(0)
-    lu = left.withColumn("y", F.explode(_partners(rs, percent))).select(F.xxhash64("len", "at", "y.len", "y.at").alias("unit"), F.lit(0).alias("side"), "seq")
-    ru = right.withColumn("y", F.explode(_partners(ls, percent))).select(F.xxhash64("y.len", "y.at", "len", "at").alias("unit"), F.lit(1).alias("side"), "seq")
+    lu = left.withColumn("y", F.explode(_partners(ls, rs, percent))).select(F.xxhash64("band", "at", "y.band", "y.at").alias("unit"), F.lit(0).alias("side"), "seq")
+    ru = right.withColumn("y", F.explode(_partners(rs, ls, percent))).select(F.xxhash64("y.band", "y.at", "band", "at").alias("unit"), F.lit(1).alias("side"), "seq")
     return lu.union(ru)
 
 
-def _self_units(rows: DataFrame, sizes: list[tuple[int, int]], percent: int | None) -> DataFrame:
+def _self_units(rows: DataFrame, sizes: list[tuple[int, int, int]], percent: int | None) -> DataFrame:
     """Rows ``(unit, side, seq)`` for all pairs of chunks of one table, each pair once; the unit of a chunk with itself has side 0 only."""
     if not sizes:
         return rows.select(F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), "seq").limit(0)
-    first = rows.withColumn("y", F.explode(_partners(sizes, percent, True))).select(F.xxhash64("len", "at", "y.len", "y.at").alias("unit"), F.lit(0).alias("side"), "seq")
-    before = F.filter(_partners(sizes, percent), lambda y: (y["len"] < F.col("len")) | ((y["len"] == F.col("len")) & (y["at"] < F.col("at"))))
-    second = rows.withColumn("y", F.explode(before)).select(F.xxhash64("y.len", "y.at", "len", "at").alias("unit"), F.lit(1).alias("side"), "seq")
-    return first.union(second)
+    met = rows.withColumn("y", F.explode(_partners(sizes, sizes, percent)))
+    later = (F.col("y.band") > F.col("band")) | ((F.col("y.band") == F.col("band")) & (F.col("y.at") >= F.col("at")))
+    unit = F.when(later, F.xxhash64("band", "at", "y.band", "y.at")).otherwise(F.xxhash64("y.band", "y.at", "band", "at"))
+    return met.select(unit.alias("unit"), F.when(later, 0).otherwise(1).alias("side"), "seq")
 
 
 def _each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
@@ -70,66 +92,15 @@ def _each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], l
             yield seqs[(unit == u) & (side == 0)].tolist(), seqs[(unit == u) & (side == 1)].tolist()
 
 
-def _bounds(a: list[str], b: list[str]) -> np.ndarray:
-    """Upper bounds of the similarity of all pairs, from the letters that two strings share."""
-    counts, lengths = common_letters(a + b)
-    ca, cb, la, lb = counts[: len(a)], counts[len(a) :], lengths[: len(a)], lengths[len(a) :]
-    shared = np.zeros((len(a), len(b)), np.int32)
-    for c in range(counts.shape[1]):
-        shared += np.minimum(ca[:, c][:, None], cb[:, c][None, :])
-    return 2 * shared / np.maximum(la[:, None] + lb[None, :], 1)
-
-
-#: Pairs of each row that are measured first, those of the greatest bounds.
-FIRST = 8
-
-
-def _best(a: list[str], b: list[str], skip: np.ndarray | None, floor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and column indices and LCS of the pairs that may be a row's best, or have a bound of at least ``floor``.
-
-    The pairs of greatest bounds are measured first; what is bounded below the best found so far cannot win.
-    ``skip``: pairs that don't count.
-    """
-    bound = _bounds(a, b)
-    if skip is not None:
-        bound[skip] = -1
-    first = np.argpartition(-bound, min(FIRST, len(b)) - 1, axis=1)[:, :FIRST]
-    p, q = np.repeat(np.arange(len(a)), first.shape[1]), first.ravel()
-    n = lcs_pairs(a, b, p, q)
-    la, lb = np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64)
-    ratio = np.where(bound[p, q] < 0, -1, 2 * n / np.maximum(la[p] + lb[q], 1))
-    least = np.minimum(np.maximum(ratio.reshape(first.shape).max(axis=1), 0), floor)
-    todo = bound >= least[:, None] - 1e-12
-    todo[p, q] = False
-    r, t = np.nonzero(todo)
-    keep = bound[p, q] >= 0
-    return np.concatenate([p[keep], r]), np.concatenate([q[keep], t]), np.concatenate([n[keep], lcs_pairs(a, b, r, t)])
-
-
-def _candidates(a: list[str], b: list[str], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose letter counts allow a similarity of at least ``percent``."""
-    counts, lengths = common_letters(a + b)
-    ca, cb, la, lb = counts[: len(a)], counts[len(a) :], lengths[: len(a)], lengths[len(a) :]
-    left, right = [], []
-    for i in range(0, len(a), 256):
-        shared = np.zeros((len(ca[i : i + 256]), len(b)), np.int32)
-        for c in range(counts.shape[1]):
-            shared += np.minimum(ca[i : i + 256, c][:, None], cb[:, c][None, :])
-        p, q = np.nonzero(200 * shared >= percent * (la[i : i + 256][:, None] + lb[None, :]))
-        left.append(p + i)
-        right.append(q)
-    return np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64)
+def _passing(a: list[str], b: list[str] | None, percent: int, strict: bool) -> pa.RecordBatch:
+    """``(a, b, lcs)`` of the pairs at the threshold; without ``b`` those inside ``a``, each once."""
+    i, j, n = near_pairs(Strings(a), None if b is None else Strings(b), percent, strict)
+    left, right = pa.array(a, pa.string()), pa.array(a if b is None else b, pa.string())
+    return pa.RecordBatch.from_arrays([left.take(pa.array(i)), right.take(pa.array(j)), pa.array(n, pa.int32())], names=["a", "b", "lcs"])
 
 
-def _passing(a: list[str], b: list[str] | None, percent: int, strict: bool) -> pa.RecordBatch:
-    """``(a, b, lcs)`` of the pairs at the threshold; without ``b`` those inside ``a``, each once, in the order of the strings."""
-    p, q = _candidates(a, a if b is None else b, percent)
-    if b is None:
-        p, q, b = p[p < q], q[p < q], a
-    n = lcs_pairs(a, b, p, q)
-    total = np.array([len(s) for s in a], np.int64)[p] + np.array([len(s) for s in b], np.int64)[q]
-    ok = 200 * n > percent * total if strict else 200 * n >= percent * total
-    return pa.RecordBatch.from_arrays([pa.array([a[i] for i in p[ok]], pa.string()), pa.array([b[j] for j in q[ok]], pa.string()), pa.array(n[ok], pa.int32())], names=["a", "b", "lcs"])
+#: Rows whose bounds to all partners are held at once.
+ROWS = 64
 
 
 def pairs_at_least(left: DataFrame, right: DataFrame, percent: int = 80, strict: bool = False, left_key: str = "seq", right_key: str = "seq", chunk: int = CHUNK) -> DataFrame:
@@ -167,25 +138,25 @@ def max_similarity(left: DataFrame, reference: DataFrame, key: str = "seq", refe
         raise ValueError("empty similarity reference")
     schema = "seq string, best_lcs int, best_total int, best string"
 
-    def best_rows(a: list[str], b: list[str]) -> Iterator[pa.RecordBatch]:
-        lb = np.array([len(s) for s in b], np.int64)
-        rows = []
-        for i in range(0, len(a), 64):
-            part = a[i : i + 64]
-            p, q, n = _best(part, b, None)
-            total = np.array([len(s) for s in part], np.int64)[p] + lb[q]
-            order = np.lexsort((q, -(n / np.maximum(total, 1)), p))  # strings are sorted: the first of equals is the least
+    def best_rows(left: list[str], b: Strings) -> Iterator[pa.RecordBatch]:
+        a = Strings(left)
+        shared, rows = Shared(a, b), []
+        for at in range(0, len(a), ROWS):
+            p, q, n = best_pairs(a, b, np.arange(at, min(at + ROWS, len(a))), shared)
+            total = a.size[p] + b.size[q]
+            order = np.lexsort((q, -(n / np.maximum(total, 1)), p))  # b is sorted: the first of equals is the least
             top = order[np.unique(p[order], return_index=True)[1]]
-            rows += [(part[p[k]], int(n[k]), int(total[k]), b[q[k]]) for k in top.tolist()]
+            rows += [(left[p[k]], int(n[k]), int(total[k]), b.strings[q[k]]) for k in top.tolist()]
         yield pa.RecordBatch.from_pylist([dict(zip(("seq", "best_lcs", "best_total", "best"), r)) for r in rows], schema=pa.schema([("seq", pa.string()), ("best_lcs", pa.int32()), ("best_total", pa.int32()), ("best", pa.string())]))
 
     if size <= SMALL_LETTERS:
         known = sorted(r["seq"] for r in ref.collect())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b = Strings(known)
             for batch in batches:
                 if batch.num_rows:
-                    yield from best_rows(_column(batch, "seq"), known)
+                    yield from best_rows(_column(batch, "seq"), b)
 
         seqs = left.select(F.col(key).alias("seq")).where(F.col("seq").isNotNull()).distinct()
         return seqs.mapInArrow(run, schema)
@@ -193,7 +164,7 @@ def max_similarity(left: DataFrame, reference: DataFrame, key: str = "seq", refe
     def run_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _each_unit(batches):
             if a and b:
-                yield from best_rows(a, sorted(b))
+                yield from best_rows(a, Strings(sorted(b)))
 
     lu, ls = _chunked(left, key, chunk)
     ru, rs = _chunked(ref, "seq", chunk)
@@ -218,22 +189,20 @@ def neighbor_bests(df: DataFrame, percent: int = 80, key: str = "seq", chunk: in
     Each pair of chunks meets once and serves both sides; only pairs that may be a best or a neighbour are measured.
     """
 
-    def one_side(a: list[str], b: list[str], own: bool) -> Iterator[tuple[str, int, int, int]]:
-        lb = np.array([len(s) for s in b], np.int64)
-        for i in range(0, len(a) if b else 0, 64):
-            part = a[i : i + 64]
-            skip = np.arange(len(b))[None, :] == np.arange(i, i + len(part))[:, None] if own else None
-            p, q, n = _best(part, b, skip, percent / 100)
-            total = np.array([len(s) for s in part], np.int64)[p] + lb[q]
-            ratio = n / np.maximum(total, 1)
-            near = np.bincount(p[200 * n > percent * total], minlength=len(part))
-            order = np.lexsort((-ratio, p))
+    def one_side(a: Strings, b: Strings) -> Iterator[tuple[str, int, int, int]]:
+        shared = Shared(a, b) if len(a) and len(b) else None
+        for at in range(0, len(a) if shared else 0, ROWS):
+            p, q, n = best_pairs(a, b, np.arange(at, min(at + ROWS, len(a))), shared, a is b, percent / 100)
+            total = a.size[p] + b.size[q]
+            near = np.bincount(p[200 * n > percent * total], minlength=len(a))
+            order = np.lexsort((-n / np.maximum(total, 1), p))
             for k in order[np.unique(p[order], return_index=True)[1]].tolist():
-                yield part[p[k]], int(near[p[k]]), int(n[k]), int(total[k])
+                yield a.strings[p[k]], int(near[p[k]]), int(n[k]), int(total[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in _each_unit(batches):
-            out = [*one_side(a, b, False), *one_side(b, a, False)] if b else list(one_side(a, a, True))
+        for left, right in _each_unit(batches):
+            a, b = Strings(left), Strings(right)
+            out = [*one_side(a, b), *one_side(b, a)] if right else list(one_side(a, a))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3))], names=["seq", "near", "best_lcs", "best_total"])
 
     rows, sizes = _chunked(df, key, chunk)
@@ -274,31 +243,57 @@ def crowding(df: DataFrame, sample: DataFrame, percent: int = 80, key: str = "se
     return seqs.select("seq", (F.coalesce("n", F.lit(0)) / others).alias("crowding"))
 
 
+#: Edges that one task may settle in order.
+FINISH = 200_000
+
+
+def _fallen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings ``seq`` that have an earlier representative beside them, of edges ``(a, b)`` with a < b in the order of b."""
+    fallen: set[str] = set()
+    for batch in batches:
+        for a, b in zip(_column(batch, "a"), _column(batch, "b")):
+            if a not in fallen:
+                fallen.add(b)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(fallen), pa.string())], names=["seq"])
+
+
+def followers(edges: DataFrame) -> DataFrame:
+    """``(seq)``: the strings that are no representatives, where a string is one if none before it that is similar to it is one.
+
+    In rounds of joins, whatever the size of a family: a string without undecided strings before it is a representative,
+    and those after it that are similar to it fall. Edges of decided strings go; once at most FINISH are left, one task ends it.
+    """
+    live, parts = materialize(edges.select("a", "b").where("a < b").distinct(), "live"), []
+    while n := live.count():
+        if n <= FINISH:
+            parts.append(materialize(live.repartition(1).sortWithinPartitions("b", "a").mapInArrow(_fallen, "seq string"), "fallen"))
+            break
+        heads = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti").withColumn("head", F.lit(True))
+        down = materialize(lookup(live, "a", "b", heads).where("head").select(F.col("b").alias("seq")).distinct(), "fallen")
+        rest = lookup(live, "b", "a", down.select(F.col("seq").alias("b"), F.lit(True).alias("b_fell"))).where("b_fell IS NULL").select("a", "b")
+        rest = lookup(rest, "a", "b", down.select(F.col("seq").alias("a"), F.lit(True).alias("a_fell"))).where("a_fell IS NULL").select("a", "b")
+        rest = materialize(rest, "live")
+        discard(live)
+        live = rest
+        parts.append(down)
+    out = parts[0] if parts else edges.select(F.col("a").alias("seq")).limit(0)
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def greedy_clusters(df: DataFrame, percent: int = 80, key: str = "seq") -> DataFrame:
     """``(seq, representative)``: strings in order join the most similar earlier representative at the threshold, else become one.
 
-    A string only ever meets strings of its own family, so families run in parallel; the order inside one is the
-    definition. Of equal representatives the earliest counts.
+    Of equal representatives the earliest counts. All on the table of similar pairs: no family is one task.
     """
-    groups = families(df, percent, key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches, "unit"):
-            unit, seqs = np.array(_column(table, "unit")), np.array(_column(table, "seq"), dtype=object)
-            out: list[tuple[str, str]] = []
-            for u in np.unique(unit):
-                chosen: list[str] = []
-                for s in sorted(seqs[unit == u].tolist()):
-                    n = lcs_pairs([s], chosen, np.zeros(len(chosen), np.int64), np.arange(len(chosen)))
-                    total = np.array([len(s) + len(c) for c in chosen], np.int64)
-                    ok = 200 * n >= percent * total
-                    best = int(np.where(ok, n / np.maximum(total, 1), -1).argmax()) if ok.any() else -1
-                    if best < 0:
-                        chosen.append(s)
-                    out.append((s, chosen[best]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["seq", "representative"])
-
-    return in_units(groups.select(F.xxhash64("family").alias("unit"), "seq"), run, "seq string, representative string")
+    seqs = df.select(F.col(key).alias("seq")).where(F.col("seq").isNotNull()).distinct()
+    edges = materialize(similarity_edges(df, percent, False, key), "edges")
+    fell = materialize(followers(edges).withColumn("fell", F.lit(True)), "followers")
+    near = lookup(edges, "a", "b", fell.select(F.col("seq").alias("a"), "fell")).where("fell IS NULL")
+    rank = F.struct((-F.col("lcs") / (F.length("a") + F.length("b"))).alias("r"), F.col("a").alias("representative"))
+    chosen = near.groupBy(F.col("b").alias("seq")).agg(F.min(rank)["representative"].alias("representative"))
+    return seqs.join(chosen, "seq", "left").select("seq", F.coalesce("representative", "seq").alias("representative"))
 
 
 def top_exclusive(ranked: DataFrame, k: int, percent: int = 80, order: tuple = (), key: str = "seq", chunk: int = 4096) -> list[str]:

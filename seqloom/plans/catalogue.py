@@ -795,6 +795,25 @@ def local_alignments(spark, d):
     return align.align_all(distinct_candidates(spark, d), known(spark, d))
 
 
+_MERS_SQL = "(SELECT seq, substr(seq, k::INT, 6) AS kmer, k FROM (SELECT seq, unnest(range(1, length(seq) - 4)) AS k FROM {}))"
+
+
+@query(
+    f"SELECT query, target, max(hits)::BIGINT AS hits FROM (SELECT a.seq AS query, b.seq AS target, floor((a.k - b.k) / 8) AS band, count(*) AS hits FROM {_MERS_SQL.format('d')} AS a JOIN {_MERS_SQL.format('(SELECT DISTINCT seq FROM k)')} AS b USING (kmer) GROUP BY ALL) GROUP BY query, target HAVING max(hits) >= 2",
+    "c", "d", "k",
+)
+def seed_candidates(spark, d):
+    """Pairs of a candidate and a known sequence with two common 6-mers near one diagonal."""
+    return align.seed_pairs(distinct_candidates(spark, d), known(spark, d), k=6, least_hits=2)
+
+
+@query()
+def seeded_alignments(spark, d):
+    rows = align.align_seeded(distinct_candidates(spark, d), known(spark, d), k=6, least_hits=2)
+    rows = align.with_evalues(align.with_bits(rows), known(spark, d))
+    return rows.select(*align.NAMES, r6(F.col("bits")).alias("bits"), "evalue")
+
+
 @query(
     "SELECT doc_id AS record, unnest(list_filter([CASE WHEN seq = '' THEN 'empty sequence' END, CASE WHEN length(seq) < 8 AND seq <> '' THEN 'too short' END, CASE WHEN length(seq) > 50 THEN 'too long' END, CASE WHEN n > 1 AND seq <> '' THEN 'duplicate' END], lambda e: e IS NOT NULL)) AS error "
     f"FROM (SELECT doc_id, seq, count(*) OVER (PARTITION BY seq) AS n FROM (SELECT doc_id, regexp_replace(text, '{LETTERS}', '', 'g') AS seq FROM documents))"

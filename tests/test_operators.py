@@ -1,3 +1,6 @@
+import collections
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +83,56 @@ def test_families_and_clusters(spark):
     assert {x["seq"]: x["representative"] for x in similarity.greedy_clusters(frame(spark, seqs)).collect()} == expected
 
 
+def test_long_strings_meet_short_ones(spark):
+    """Equal strings of 40,000 letters are a pair, and one of a million among short ones costs its own length only."""
+    long = "ACDE" * 10_000
+    near = "C" + long[1:]
+    a, b = lcs.Strings([long, "AAAA"]), lcs.Strings([long, near, "CCCC"])
+    assert {(i, j) for i, j, _ in zip(*lcs.near_pairs(a, b, 80))} == {(0, 0), (0, 1)}
+    giant = "ACDEFGHIKL" * 100_000
+    seqs = random_seqs(300)
+    table = lcs.Strings([*seqs, giant])
+    assert sum(x.nbytes for x in (table.codes, table.size, table.start)) < 2 * len(giant)
+    got = {frozenset((table.strings[i], table.strings[j])) for i, j, _ in zip(*lcs.near_pairs(table, None, 80))}
+    assert got == {frozenset(p) for p, v in ratios(seqs, seqs).items() if p[0] != p[1] and v >= 0.8 - 1e-12}
+    best = similarity.max_similarity(frame(spark, seqs[:20]), frame(spark, [giant, *seqs[20:]]))
+    r = ratios(seqs[:20], seqs[20:])
+    assert {x["seq"]: x["best"] for x in best.collect()} == {s: min(seqs[20:], key=lambda t: (-r[s, t], t)) for s in seqs[:20]}
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_bests_by_waves_match_all_pairs(own):
+    rng = np.random.default_rng(11)
+    draw = lambda n, letters: sorted({"".join(rng.choice(list(letters), rng.integers(1, 90))) for _ in range(n)})
+    a, b = draw(60, "ACDEF"), draw(300, "ACD")
+    b = a if own else b
+    r = ratios(a, b)
+    x = lcs.Strings(a)
+    y = x if own else lcs.Strings(b)
+    i, j, n = lcs.best_pairs(x, y, np.arange(len(a)), lcs.Shared(x, y), own, 0.7)
+    found = {(a[p], b[q]): 2 * k / (len(a[p]) + len(b[q])) for p, q, k in zip(i, j, n)}
+    assert len(found) == len(i) and all(r[p] == pytest.approx(v) for p, v in found.items())
+    for s in a:
+        others = {t: r[s, t] for t in b if not own or s != t}
+        top = max(others.values())
+        assert {t for t, v in others.items() if v >= min(top, 0.7)} <= {t for p, t in found if p == s}
+
+
+@pytest.mark.parametrize("finish", [200_000, 3, 0])
+def test_followers_in_rounds(spark, monkeypatch, finish):
+    monkeypatch.setattr(similarity, "FINISH", finish)
+    rng = np.random.default_rng(12)
+    nodes = [f"n{k:03d}" for k in range(80)]
+    edges = {tuple(sorted(rng.choice(nodes, 2, replace=False))) for _ in range(120)} | {("n000", n) for n in nodes[1:40]} | set(zip(nodes[60:70], nodes[61:71]))
+    fell = set()
+    for n in nodes:
+        if any(a not in fell for a, b in edges if b == n):
+            fell.add(n)
+    got = [r["seq"] for r in similarity.followers(spark.createDataFrame(sorted(edges), "a string, b string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == fell
+    assert similarity.followers(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_top_exclusive(spark):
     seqs = random_seqs(60)
     top = similarity.top_exclusive(frame(spark, seqs), 10, order=("seq",))
@@ -323,12 +376,60 @@ def test_alignments_of_all_pairs(spark, tmp_path):
     queries, refs = draw(25, 8, 30), [*draw(20, 1, 40), "ACDE" * 20, "W"]
     spark.createDataFrame(list(enumerate(queries)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 0, s) for k, s in enumerate(refs)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = [tuple(r) for r in catalogue.QUERIES["local_alignments"](spark, str(tmp_path)).collect()]
     each = {(q, t): align.local_alignment(q, t, align.match_score()) for q in queries for t in refs}
-    assert sorted(rows) == sorted((q, t, *r, len(q), len(t)) for (q, t), r in each.items() if r[0])
-    some = [tuple(r) for r in align.align_all(frame(spark, queries), frame(spark, refs), k=5).collect()]
-    mers = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
-    assert sorted(some) == sorted(r for r in rows if mers(r[0]) & mers(r[1]))
+    assert sorted(r[:-1] for r in rows) == sorted((q, t, *r, len(q), len(t)) for (q, t), r in each.items() if r[0])
+    for q, t, raw, nident, alnlen, qs, qe, ts, te, _, _, cigar in rows:
+        assert replay(cigar, q[qs - 1 : qe], t[ts - 1 : te]) == (raw, nident, alnlen)
+    mers = lambda s, k: {s[i : i + k] for i in range(len(s) - k + 1)}
+    some = [tuple(r) for r in align.align_seeded(frame(spark, queries), frame(spark, refs), k=5).collect()]
+    assert sorted(some) == sorted(r for r in rows if mers(r[0], 5) & mers(r[1], 5))
+    hits = {(r["query"], r["target"]): r["hits"] for r in align.seed_pairs(frame(spark, queries), frame(spark, refs), k=4, band=8, least_hits=2).collect()}
+    expected = {}
+    for q in queries:
+        for t in refs:
+            bands = collections.Counter((i - j) // 8 for i in range(len(q) - 3) for j in range(len(t) - 3) if q[i : i + 4] == t[j : j + 4])
+            if bands and max(bands.values()) >= 2:
+                expected[q, t] = max(bands.values())
+    assert hits == expected
+
+
+def replay(cigar, q, t, gap_open=11, gap_extend=1):
+    """Score, identities and columns of an alignment that uses up both strings."""
+    i = j = raw = same = columns = 0
+    for n, op in re.findall(r"(\d+)([MID])", cigar):
+        n = int(n)
+        columns += n
+        if op == "M":
+            raw += sum(align.match_score()(x, y) for x, y in zip(q[i : i + n], t[j : j + n]))
+            same += sum(x == y for x, y in zip(q[i : i + n], t[j : j + n]))
+        else:
+            raw -= gap_open + gap_extend * (n - 1)
+        i, j = i + n * (op != "D"), j + n * (op != "I")
+    assert (i, j) == (len(q), len(t))
+    return raw, same, columns
+
+
+@pytest.mark.parametrize("directions", [1 << 25, 900])
+def test_tracebacks_of_long_and_gapped_pairs(monkeypatch, directions):
+    """Saved rows give the same columns as one table; long pairs take the same path as packed ones."""
+    monkeypatch.setattr(align, "DIRECTIONS", directions)
+    rng = np.random.default_rng(13)
+    base = "".join(rng.choice(list("ACDEFGH"), 120))
+    change = lambda s: "".join(c if rng.random() < 0.93 else rng.choice(["", "W", c + "KLMNPQ"]) for c in s)
+    q, t = lcs.Strings([change(base[k : k + 50 + k]) for k in range(0, 60, 6)] + ["ACD"]), lcs.Strings([change(base) for _ in range(10)] + ["WWACDWW"])
+    p, r = np.divmod(np.arange(len(q) * len(t)), len(t))
+    rows = [x for b in align.alignment_rows(q, t, p, r, align.match_score(3, -1)) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert any("I" in x[-1] for x in rows) and any("D" in x[-1] for x in rows)
+    for x in rows:
+        one = align.local_alignment(x[0], x[1], align.match_score(3, -1))
+        assert tuple(x[2:9]) == one
+        n = sum(int(k) for k in re.findall(r"\d+", x[-1]))
+        assert n == one[2]
+    monkeypatch.setattr(align, "local_alignments", None)
+    far = [x for b in align.alignment_rows(lcs.Strings(["ACDEFG"]), lcs.Strings(["W" * (1 << 15) + "ACDFG"]), np.zeros(1, np.int64), np.zeros(1, np.int64), align.match_score(5, -4)) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert far[0][2:5] == (15, 3, 3) and far[0][-1] == "3M"
 
 
 def test_feature_queries_give_values(spark, tmp_path):
