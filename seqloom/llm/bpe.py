@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import releasing
+from .kernels import CACHES, releasing
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -200,10 +200,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+CACHES["bpe"] = encoder.cache_clear
+keeping = functools.partial(releasing, keep="bpe")
+
+
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
     """``(key, ids array<int>)`` of every whole text; null and empty texts have no ids. ``vocabulary``: a tokenizer file that every worker can open."""
 
-    @releasing
+    @keeping
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
@@ -219,7 +223,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
 def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
     """``(key, text)`` of ``(key, ids)``; null ids give an empty text."""
 
-    @releasing
+    @keeping
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
@@ -243,7 +247,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     that are not implemented is an error.
     """
 
-    @releasing
+    @keeping
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -265,7 +269,7 @@ def tokenized(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ()) -> D
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", ids array<int>, n_tokens long, decoded_sha256 string"
 
-    @releasing
+    @keeping
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:

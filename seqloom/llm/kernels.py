@@ -20,11 +20,22 @@ CHUNK = 1 << 19
 Batches = Iterator[pa.RecordBatch]
 
 
-def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``run``, giving memory that it freed back to the system at the end of a task: workers outlive their tasks, and allocators keep what they had."""
+#: What a worker keeps between tasks beyond a few MB, by owner: how to drop it. Workers outlive their tasks and stages.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def drop_caches(keep: str) -> None:
+    for owner, drop in CACHES.items():
+        if owner != keep:
+            drop()
+
+
+def releasing(run: Callable[[Batches], Batches], keep: str = "") -> Callable[[Batches], Batches]:
+    """``run``, dropping the caches of other operators than ``keep`` first, and giving freed memory back to the system at the task's end: allocators keep what they had."""
 
     @functools.wraps(run)
     def task(batches: Batches) -> Batches:
+        drop_caches(keep)
         try:
             yield from run(batches)
         finally:
