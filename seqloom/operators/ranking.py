@@ -23,14 +23,22 @@ def value_ranks(df: DataFrame, column: str, slices: int = 64) -> DataFrame:
     return _prefix(counts, column, slices).select(column, ((F.col("before") + (F.col("cnt") + 1) / 2 - 0.5) / F.col("total")).alias("percentile"))
 
 
+def _place(df: DataFrame, column: str) -> Column:
+    """A number that rises with the column, to cut it in ranges: for strings, their first six bytes."""
+    if df.schema[column].dataType.simpleString() not in ("string", "binary"):
+        return F.col(column)
+    return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def _sliced_prefix(counts: DataFrame, group: str, column: str, slices: int) -> DataFrame:
     """``counts (group, column, cnt)`` with ``before`` (rows of smaller values in the group) and ``total`` (rows of the group).
 
     The borders of the slices are approximate percentiles of the distinct values; they only deal the work and don't
     touch the result. The slices' totals are at most ``slices`` rows a group.
     """
-    borders = counts.groupBy(group).agg(F.percentile_approx(column, [k / slices for k in range(1, slices)], 1000).alias("_b"))
-    sliced = counts.join(F.broadcast(borders), group).withColumn("_slice", F.size(F.filter(F.array_distinct("_b"), lambda b: b < F.col(column)))).drop("_b")
+    place = _place(counts, column)
+    borders = counts.groupBy(group).agg(F.percentile_approx(place, [k / slices for k in range(1, slices)], 1000).alias("_b"))
+    sliced = counts.join(F.broadcast(borders), group).withColumn("_slice", F.size(F.filter(F.array_distinct("_b"), lambda b: b < place))).drop("_b")
     totals = sliced.groupBy(group, "_slice").agg(F.sum("cnt").alias("t"))
     whole = Window.partitionBy(group)
     sums = totals.select(group, "_slice", F.coalesce(F.sum("t").over(whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("t").over(whole).alias("total"))
@@ -48,8 +56,9 @@ def running(df: DataFrame, column: str, sums: Sequence[str], slices: int = 64) -
 
     Two levels, as above: windows inside slices of the values, then over at most ``slices`` rows of totals.
     """
-    borders = df.agg(F.percentile_approx(column, [k / slices for k in range(1, slices)], 1000).alias("_b"))
-    sliced = df.crossJoin(F.broadcast(borders)).withColumn("_slice", F.size(F.filter(F.array_distinct("_b"), lambda b: b < F.col(column)))).drop("_b")  # one row
+    place = _place(df, column)
+    borders = df.agg(F.percentile_approx(place, [k / slices for k in range(1, slices)], 1000).alias("_b"))
+    sliced = df.crossJoin(F.broadcast(borders)).withColumn("_slice", F.size(F.filter(F.array_distinct("_b"), lambda b: b < place))).drop("_b")  # one row
     own = Window.partitionBy("_slice").orderBy(column)
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
     inside = sliced.withColumns({f"_{x}": F.sum(x).over(upto) for x in sums} | {"_next": F.lead(column).over(own)})

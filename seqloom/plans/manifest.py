@@ -1,4 +1,9 @@
-"""Resumable stages: checksums, fingerprints, pinned manifests, stamps per batch, and a run lock. Driver-side files."""
+"""Resumable stages: checksums, fingerprints, pinned manifests, stamps that prove a result, and a run lock.
+
+A stamp is written and read by Spark, beside results on any file system. It holds a tree of hashes: the SHA-256 of each
+part file, computed by tasks, and one over the sorted parts of each batch. A part that is damaged, missing or foreign
+changes its batch's tree, and only that batch runs again.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +11,15 @@ import contextlib
 import fcntl
 import hashlib
 import json
-import os
+import re
 import subprocess
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.writers import write_json
-
 
 def file_sha256(path: str) -> str:
     digest = hashlib.sha256()
@@ -36,14 +40,56 @@ def check_files(expected: dict[str, str], root: str = ".") -> None:
         raise ValueError(f"missing or changed: {wrong}")
 
 
-def pin(path: str, settings: dict) -> None:
+def _missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
+def read_stamps(spark: SparkSession, path: str) -> dict[str, dict]:
+    """The stamps below a folder, by name; none where there is no folder."""
+    try:
+        rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value").collect()
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        rows = []
+    found = [json.loads(r["value"]) for r in rows if r["value"].strip()]
+    return {x["name"]: x for x in found}
+
+
+def write_stamp(spark: SparkSession, path: str, name: str, content: dict) -> None:
+    """One stamp, replaced as a whole."""
+    text = json.dumps({"name": name} | content, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def part_trees(spark: SparkSession, path: str, depth: int = 1) -> dict[str, str]:
+    """One hash per folder below ``path`` that holds part files: over the names, below that folder, and contents of its parts.
+
+    Files are read by tasks, each whole: a part must be below 2 GB. The driver gets one row per folder.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
+    try:
+        rows = files.load(path)
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        return {}
+    root = "/" + path.rstrip("/").split("/")[-1] + "/"
+    below = F.split(F.element_at(F.split("path", re.escape(root)), -1), "/")
+    part = F.concat(F.array_join(F.slice(below, depth + 1, F.greatest(F.size(below) - depth, F.lit(0))), "/"), F.lit(":"), F.sha2("content", 256))
+    each = rows.select(F.array_join(F.slice(below, 1, depth), "/").alias("folder"), part.alias("part"))
+    trees = each.groupBy("folder").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("part")), "\n"), 256).alias("tree"))
+    return {r["folder"]: r["tree"] for r in trees.collect()}
+
+
+def pin(spark: SparkSession, path: str, settings: dict) -> None:
     """Write the settings of a run, or refuse to go on with others than it began with."""
-    if os.path.exists(path):
-        old = json.loads(Path(path).read_text())
-        if fingerprint(old) != fingerprint(settings):
-            raise ValueError(f"{path}: {sorted(k for k in old.keys() | settings.keys() if old.get(k) != settings.get(k))} changed since the run began")
-    else:
-        write_json(path, settings)
+    old = read_stamps(spark, path).get("settings")
+    if old is None:
+        write_stamp(spark, path, "settings", {"settings": settings})
+    elif fingerprint(old["settings"]) != fingerprint(settings):
+        known = old["settings"]
+        raise ValueError(f"{path}: {sorted(k for k in known.keys() | settings.keys() if known.get(k) != settings.get(k))} changed since the run began")
 
 
 @contextlib.contextmanager
@@ -58,29 +104,31 @@ def run_lock(path: str) -> Iterator[None]:
 
 
 def resumable(stamps: str, batches: DataFrame, path: str, step: Callable[[DataFrame], DataFrame], inputs: str, batch: str = "batch") -> DataFrame:
-    """Run ``step`` for each batch that has no stamp for these inputs, append its result, and stamp it after the commit.
+    """Run ``step`` for each batch whose result is not proven by a stamp for these inputs; return all batches.
 
-    Each batch is written to a folder of its own, replaced as a whole, so a batch that broke off leaves nothing behind.
+    Each batch is written to a folder of its own, replaced as a whole, and stamped with its tree of hashes after the
+    commit: a batch that broke off has no stamp, and one whose parts changed since has another tree.
     """
     spark = batches.sparkSession
-    Path(stamps).mkdir(parents=True, exist_ok=True)
     numbers = sorted(r[0] for r in batches.select(batch).distinct().collect())
+    known, trees = read_stamps(spark, stamps), part_trees(spark, path)
     for n in numbers:
-        stamp = Path(stamps, f"{n}.json")
-        if stamp.exists() and json.loads(stamp.read_text()).get("inputs") == inputs:
+        name = f"{batch}={n}"
+        stamp = known.get(name, {})
+        if stamp.get("inputs") == inputs and stamp.get("tree") == trees.get(name):
             continue
-        out = step(batches.where(F.col(batch) == n))
-        out.write.mode("overwrite").parquet(f"{path}/{batch}={n}")
-        write_json(str(stamp), {"inputs": inputs, "batch": int(n)})
+        step(batches.where(F.col(batch) == n)).write.mode("overwrite").parquet(f"{path}/{name}")
+        write_stamp(spark, stamps, name, {"inputs": inputs, "tree": part_trees(spark, f"{path}/{name}", 0).get("")})
     return spark.read.parquet(*(f"{path}/{batch}={n}" for n in numbers)) if numbers else step(batches)
 
 
-def stage(path: str, signature: dict, build: Callable[[], DataFrame], spark) -> DataFrame:
-    """A Parquet result that is reused while its signature stays the same."""
-    stamp = f"{path}.stamp.json"
-    if not (os.path.exists(stamp) and json.loads(Path(stamp).read_text()) == {"signature": fingerprint(signature)}):
+def stage(path: str, signature: dict, build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """A Parquet result that is reused while its signature and its parts stay the same. The stamp is the folder ``<path>.stamp``."""
+    stamp = read_stamps(spark, f"{path}.stamp").get("stage", {})
+    tree = part_trees(spark, path, 0).get("") if stamp else None
+    if stamp.get("signature") != fingerprint(signature) or stamp.get("tree") != tree:
         build().write.mode("overwrite").parquet(path)
-        write_json(stamp, {"signature": fingerprint(signature)})
+        write_stamp(spark, f"{path}.stamp", "stage", {"signature": fingerprint(signature), "tree": part_trees(spark, path, 0).get("")})
     return spark.read.parquet(path)
 
 

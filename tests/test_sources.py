@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -118,10 +119,10 @@ def test_publish_is_all_or_nothing(tmp_path):
 
 
 def test_manifest(spark, tmp_path):
-    manifest.pin(str(tmp_path / "m.json"), {"a": 1})
-    manifest.pin(str(tmp_path / "m.json"), {"a": 1})
+    manifest.pin(spark, str(tmp_path / "pins"), {"a": 1})
+    manifest.pin(spark, str(tmp_path / "pins"), {"a": 1})
     with pytest.raises(ValueError, match="'a'"):
-        manifest.pin(str(tmp_path / "m.json"), {"a": 2})
+        manifest.pin(spark, str(tmp_path / "pins"), {"a": 2})
     with manifest.run_lock(str(tmp_path / "lock")), pytest.raises(RuntimeError), manifest.run_lock(str(tmp_path / "lock")):
         pass
     with pytest.raises(ValueError):
@@ -141,6 +142,100 @@ def test_manifest(spark, tmp_path):
     assert len(calls) == 4
 
 
+def test_a_changed_part_runs_only_its_batch_again(spark, tmp_path):
+    calls, out = [], tmp_path / "out"
+
+    def step(df):
+        calls.append(df.first()["batch"])
+        return df.withColumn("y", F.col("id") * 2).repartition(2)
+
+    rows = spark.range(12).withColumn("batch", F.col("id") % 3)
+    run = lambda inputs="v1": sorted(tuple(r) for r in manifest.resumable(f"file://{tmp_path}/stamps", rows, f"file://{out}", step, inputs).select("id", "y").collect())
+    want = [(k, 2 * k) for k in range(12)]
+    assert run() == want and calls == [0, 1, 2]
+    parts = lambda n: sorted((out / f"batch={n}").glob("part-*"))
+    damaged = bytearray(parts(1)[0].read_bytes())
+    damaged[len(damaged) // 2] ^= 1
+    parts(1)[0].write_bytes(damaged)
+    for crc in (out / "batch=1").glob(".part-*.crc"):
+        crc.unlink()
+    assert run() == want and calls[3:] == [1]
+    parts(2)[0].unlink()
+    assert run() == want and calls[4:] == [2]
+    (out / "batch=0" / "part-99999-foreign.parquet").write_bytes(parts(2)[0].read_bytes())
+    assert run() == want and calls[5:] == [0]
+    assert run() == want and len(calls) == 6
+    assert run("v2") == want and calls[6:] == [0, 1, 2]
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(5)
+
+    whole = lambda v: sorted(r[0] for r in manifest.stage(str(tmp_path / "stage"), {"v": v}, build, spark).collect())
+    assert whole(1) == whole(1) == [0, 1, 2, 3, 4] and len(built) == 1
+    next((tmp_path / "stage").glob("part-*")).unlink()
+    assert whole(1) == [0, 1, 2, 3, 4] and len(built) == 2 and whole(2) and len(built) == 3
+
+
+def test_fasta_parts_read_as_one_file(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    seqs = ["".join(rng.choice(list("ACDEFGHIKL"), rng.integers(8, 51))) for _ in range(3000)] + ["ACDEFGHI"] * 500
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(5)
+    writers.write_fasta(df, str(tmp_path / "one.fasta"), offset=7)
+    writers.write_fasta_parts(df, f"file://{tmp_path}/parts", offset=7, partitions=6)
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    assert len(parts) > 3 and "".join(p.read_text() for p in parts) == (tmp_path / "one.fasta").read_text()
+    back = readers.read_fasta(spark, f"file://{tmp_path}/parts")
+    assert sorted(r["seq"] for r in back.collect()) == sorted(seqs) and back.select("header").distinct().count() == len(seqs)
+    assert [r["record"] for r in readers.read_template_fasta(spark, f"file://{tmp_path}/parts").orderBy("record").limit(2).collect()] == [1, 2]
+
+
+def test_fetch_tries_again_and_checks(tmp_path, monkeypatch):
+    payload, calls = b">a\nACDE\n", []
+
+    class Answer:
+        def __init__(self, data):
+            self.data = data
+
+        def read(self):
+            return self.data
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    def flaky(*_, **__):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("no answer")
+        return Answer(payload)
+
+    digest = hashlib.sha256(payload).hexdigest()
+    target = str(tmp_path / "f.fasta")
+    for _ in range(2):
+        readers.fetch("http://example.invalid/f", target, digest, opener=flaky)
+    assert (tmp_path / "f.fasta").read_bytes() == payload and len(calls) == 3
+    with pytest.raises(ValueError):
+        readers.fetch("http://example.invalid/f", str(tmp_path / "g.fasta"), "0" * 64, opener=flaky)
+
+
+def test_score_report(spark, tmp_path):
+    path = put(tmp_path, "r.json", json.dumps([{"model": "a", "status": "ok"}, {"model": "b", "status": "ok"}, {"model": "c", "status": "failed"}]))
+    assert readers.read_score_report(spark, path, ["a", "b"]).count() == 3
+    for models in (["a", "c"], ["missing"]):
+        with pytest.raises(ValueError):
+            readers.read_score_report(spark, path, models)
+
+
+def test_source_state(tmp_path):
+    assert manifest.source_state(str(tmp_path)) == {}
+    state = manifest.source_state("/root/repo")
+    assert len(state.get("head", "0" * 40)) == 40
+
+
 def test_accepted_pools(tmp_path):
     pool = put(tmp_path, "p.fasta", ">a\nAC\n")
     put(tmp_path, "p.json", json.dumps({"checkpoint": "c", "sha256": manifest.file_sha256(pool)}))
