@@ -1,4 +1,4 @@
-"""Licence scans: a trained paragraph classifier, with a calibrated unknown class, confirmed by templates.
+"""Licence scans: a trained paragraph classifier, with classes for unknown licences and for none, confirmed by templates.
 
 A text is read twice, line by line and by runs of lines up to the next line without a word (so that hard-wrapped
 notices, also in comments, are whole); longer lines and runs are read in half-overlapping windows, so no part of a
@@ -54,11 +54,14 @@ NOTICES = {
     "LGPL": (
         "This library is free software under the terms of the GNU Lesser General Public License.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY. See the GNU Lesser General Public License for more details.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "AGPL": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "MPL": (
@@ -93,6 +96,26 @@ NOTICES = {
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
+# Notices of licences of no family above; what is like them is a licence, but an unknown one.
+OTHER_NOTICES = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, by any means.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0.",
+    "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Use of this software is governed by the Business Source License included in the LICENSE file.",
+    "This program is free software. It comes without any warranty. You just do what the fuck you want to.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Released under the ISC License.",
+    "Licensed under the zlib license.",
+    "This font software is licensed under the SIL Open Font License, Version 1.1.",
+    "SPDX-License-Identifier: ISC",
+)
+#: Families whose notices hold another's words: where both are found in one place, the more specific one counts.
+SPECIFIC = {"GPL": ("LGPL", "AGPL"), "CC-BY": ("CC-BY-SA", "CC-BY-NC")}
 # Paragraphs that use the words of notices and are none.
 NEAR_MISSES = (
     "She renewed her driving license at the public office.", "The license plate of the car was stolen.", "He reserved all the rooms of the hotel.", "The rights of the public were reserved for a later debate.",
@@ -100,8 +123,12 @@ NEAR_MISSES = (
     "Students at MIT released a new robot.", "You may obtain a copy of the report at the library.", "The author of this work is free to attend.", "A general released the prisoners under a public promise.",
     "The software crashed without permission to write the file.", "International attribution of the painting is in doubt.", "The source of the river is in the public park.", "Poetic license permits the author to modify the facts.",
 )
-UNKNOWN = "unknown"
+UNKNOWN, NONE = "unknown", "none"
 BITS, ORDERS, WINDOW = 20, 3, 32
+#: Least probability of a family that a template may confirm.
+LEAST_FAMILY = 0.1
+#: Share of a template's word pairs that confirms it.
+SHARE = 0.6
 GRAM = numbers(6, ORDERS, odd=True)
 
 
@@ -141,6 +168,9 @@ class Model:
     least: float
     templates: list[tuple[str, set[int]]]
 
+    def pairs(self) -> np.ndarray:
+        return np.array(sorted(set().union(*(t for _, t in self.templates))), U)
+
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -164,10 +194,11 @@ def variants(rng: np.random.Generator, text: str, n: int, filler: list[str]) ->
 def train(seed: int = 7, per_notice: int = 40, steps: int = 250, rate: float = 1.0, decay: float = 1e-4, false_rate: float = 0.005) -> Model:
     """Fit, calibrate on held-out variants, and set the threshold that lets at most ``false_rate`` of the held-out paragraphs of no licence pass."""
     rng = np.random.default_rng(seed)
-    names = [*NOTICES, UNKNOWN]
-    vocabulary = sorted({w for group in (*NOTICES.values(), NEAR_MISSES) for t in group for w in t.split()})
+    notices = NOTICES | {UNKNOWN: OTHER_NOTICES}
+    names = [*notices, NONE]
+    vocabulary = sorted({w for group in (*notices.values(), NEAR_MISSES) for t in group for w in t.split()})
     filler = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter", "sun", "ple") for b in ("ro", "nda", "s", "tion", "vel", "x")] + ["the", "of", "and", "a", "to", "in", "is", "for", "by", "with"]
-    texts = [(v, k) for k, f in enumerate(NOTICES) for t in NOTICES[f] for v in variants(rng, t, per_notice, filler)]
+    texts = [(v, k) for k, f in enumerate(notices) for t in notices[f] for v in variants(rng, t, per_notice, filler)]
     none = [v for t in NEAR_MISSES for v in variants(rng, t, per_notice // 2, filler)]
     none += [" ".join(rng.choice(filler, int(rng.integers(1, 40)))) for _ in range(600)]
     none += [" ".join([*rng.choice(filler, int(rng.integers(2, 20))), *rng.choice(vocabulary, int(rng.integers(1, 5)))]) for _ in range(800)]
@@ -211,9 +242,11 @@ def train(seed: int = 7, per_notice: int = 40, steps: int = 250, rate: float = 1
         return float(-(q[np.arange(len(true)), true] - np.log(np.exp(q).sum(axis=1))).mean())
 
     temperature = min((0.25 * 1.25**k for k in range(20)), key=loss)
-    templates = [(f, pairs(w)) for f, group in NOTICES.items() for w in words_of(list(group))]
+    templates = [(f, pairs(w)) for f, group in notices.items() for w in words_of(list(group))]
     model = Model(names, rows, weights.astype(np.float32), bias.astype(np.float32), temperature, 0.0, templates)
-    top = model.probabilities(z[true == len(names) - 1])[:, :-1].max(axis=1)
+    # Of the paragraphs of no licence, only those that a template would confirm can pass.
+    passing = [any(len(t & mine) >= SHARE * len(t) for _, t in templates) for mine in map(pairs, words_of([t for (t, k), h in zip(texts, held) if h and k == len(names) - 1]))]
+    top = (1 - model.probabilities(z[true == len(names) - 1])[:, -1]) * np.array(passing)
     model.least = float(min(0.95, max(0.5, np.quantile(top, 1 - false_rate))))
     return model
 
@@ -230,7 +263,7 @@ def segments(words: np.ndarray, starts: np.ndarray, line: np.ndarray) -> tuple[n
     return first, np.minimum(first + WINDOW, np.repeat(head + size, count))
 
 
-def find(model: Model, data: np.ndarray, offsets: np.ndarray, share: float = 0.6) -> list[tuple[int, int, int, str, float]]:
+def find(model: Model, data: np.ndarray, offsets: np.ndarray, share: float = SHARE) -> list[tuple[int, int, int, str, float]]:
     """(text, start byte, end byte, family, probability) of the confirmed paragraphs of all texts."""
     inside = ~separators()[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -288,24 +321,59 @@ def confirmed(model: Model, words: np.ndarray, rows: list[np.ndarray], group: np
     n = end - first
     total = np.maximum(1, sum(np.maximum(0, n - k) for k in range(ORDERS)))
     p = model.probabilities(logits / np.sqrt(total)[:, None] + model.bias)
-    best = p.argmax(axis=1)
-    for s in np.flatnonzero((best < len(model.names) - 1) & (p.max(axis=1) >= model.least)).tolist():
+    licence = 1 - p[:, -1]
+    # No template is confirmed by fewer than two of its word pairs in reach.
+    known = np.append(np.isin(mix(words[:-1] * GRAM[0] + words[1:] * GRAM[1]), model.pairs()), False)
+    before = np.concatenate([[0], np.cumsum(known)])
+    reach = before[np.minimum(end + WINDOW, len(words))] - before[np.maximum(first - WINDOW, 0)]
+    for s in np.flatnonzero((licence >= model.least) & (reach >= 2)).tolist():
         # The template may reach beyond the window, but not beyond the line or run.
         a, b = max(first[s] - WINDOW, np.searchsorted(group, group[first[s]])), min(end[s] + WINDOW, np.searchsorted(group, group[first[s]], side="right"))
-        family, mine = model.names[best[s]], pairs(words[a:b])
-        shares = [(len(t & mine) / len(t), k) for k, (f, t) in enumerate(model.templates) if f == family]
-        most, k = max(shares, key=lambda x: x[0])
-        if most >= share:
-            x, y = tightest(words[a:b], model.templates[k][1])
-            yield int(first[s]), int(end[s]), family, float(p[s].max()), (int(a + x), int(a + y))
+        mine = pairs(words[a:b])
+        # The likeliest family that a template confirms.
+        for c in np.argsort(-p[s, :-1], kind="stable").tolist():
+            if p[s, c] < LEAST_FAMILY:
+                break
+            most, k = max((len(t & mine) / len(t), k) for k, (f, t) in enumerate(model.templates) if f == model.names[c])
+            if most >= share:
+                x, y = tightest(words[a:b], model.templates[k][1])
+                yield int(first[s]), int(end[s]), model.names[c], float(licence[s]), (int(a + x), int(a + y))
+                break
+
+
+def code_points(data: np.ndarray, places: list[int]) -> dict[int, int]:
+    """Byte places of one text -> code points before them, each byte counted once."""
+    at, known, before = sorted(set(places)), {}, 0
+    for a, b in zip([0, *at], at):
+        before += int(np.count_nonzero((data[a:b] & 0xC0) != 0x80))
+        known[b] = before
+    return known
+
+
+def joined(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Spans ``(start, end, family, probability)`` of one text in order: those of a family that overlap or touch are one, and those that lie where a more specific family is found are left out."""
+    own: list[tuple[int, int, str, float]] = []
+    last: dict[str, int] = {}
+    for a, b, family, p in sorted(found):
+        k = last.get(family)
+        if k is not None and a <= own[k][1]:
+            own[k] = (own[k][0], max(b, own[k][1]), family, max(p, own[k][3]))
+        else:
+            last[family] = len(own)
+            own.append((a, b, family, p))
+    by = {f: [x for x in own if x[2] == f] for f in last}
+    hides = lambda x, f: (k := np.searchsorted([y[1] for y in by[f]], x[0], side="right")) < len(by[f]) and by[f][k][0] < x[1]
+    return [x for x in own if not any(f in by and hides(x, f) for f in SPECIFIC.get(x[2], ()))]
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, families, n_spans, spans, score`` of every whole text.
 
-    ``families``: sorted, comma-joined; ``spans``: ``family:start:end`` in code points, end exclusive, those of a
-    family that overlap or touch joined; ``score``: the highest probability, 0 without a licence. Null and empty texts
-    have none; repeated rows are rows like any other; other columns are not read.
+    ``families``: sorted, comma-joined, ``unknown`` for a licence of none of them; ``spans``: ``family:start:end`` in code
+    points, end exclusive, those of a family that overlap or touch joined; of equal probabilities the first family
+    counts; ``score``: the highest probability of being a licence, 0 without one. Null and empty texts have none; texts of any length
+    are read whole, in memory of about sixty times a text above half a MB; repeated rows are rows like any other; an
+    empty table gives an empty result; other columns are not read.
     """
     model = train()
 
@@ -313,20 +381,13 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
-                rows: list[list[tuple[int, int, str, float]]] = [[] for _ in range(j - i)]
+                found: list[list[tuple[int, int, str, float]]] = [[] for _ in range(j - i)]
                 for t, a, b, family, p in find(model, data, offsets):
-                    own = rows[t]
-                    a, b = a - int(offsets[t]), b - int(offsets[t])
-                    k = next((k for k in range(len(own) - 1, -1, -1) if own[k][2] == family), None)
-                    if k is not None and a <= own[k][1]:
-                        own[k] = (own[k][0], max(b, own[k][1]), family, max(p, own[k][3]))
-                    else:
-                        own.append((a, b, family, p))
-                spans = []
+                    found[t].append((a - int(offsets[t]), b - int(offsets[t]), family, p))
+                rows, spans = [joined(x) for x in found], []
                 for t, own in enumerate(rows):
-                    raw = data[offsets[t] : offsets[t + 1]].tobytes() if own else b""
-                    at = lambda k, raw=raw: len(raw[:k].decode("utf-8"))
-                    spans.append(",".join(f"{f}:{at(a)}:{at(b)}" for a, b, f, _ in own))
+                    at = code_points(data[offsets[t] : offsets[t + 1]], [k for x in own for k in x[:2]])
+                    spans.append(",".join(f"{f}:{at[a]}:{at[b]}" for a, b, f, _ in own))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array([",".join(sorted({x[2] for x in own})) for own in rows], pa.string()), pa.array([len(own) for own in rows], pa.int32()),
                      pa.array(spans, pa.string()), pa.array([max((x[3] for x in own), default=0.0) for own in rows], pa.float64())],

@@ -396,8 +396,39 @@ def test_quality_rows(spark):
     assert quality.score_documents(df.limit(0), labels).count() == 0 and quality.score_documents(df, labels.limit(0)).count() == len(texts)
 
 
+#: Wordings of notices that are none of those that the model learns from.
+WORDINGS = {
+    "MIT": ["The code in this repository is available under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify."],
+    "Apache-2.0": ["Apache License, Version 2.0 applies: you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice."],
+    "GPL": ["This file is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License."],
+    "LGPL": ["This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."],
+    "AGPL": ["it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3"],
+    "unknown": ["Licensed under the Eclipse Public License 1.0 and nothing else.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear.", "Distributed under the Boost Software License version one."],
+}
+
+
+def test_licences_in_wordings_that_were_not_learnt(spark):
+    rng = np.random.default_rng(21)
+    prose = [" ".join(rng.choice(EN.split(), 40)) for _ in range(300)]
+    rows = [(k, f"{prose[k]}.\n\n{t}\n\n{prose[k + 1]}.") for k, t in enumerate(t for group in WORDINGS.values() for t in group)]
+    truth = [f for f, group in WORDINGS.items() for _ in group]
+    df = spark.createDataFrame(rows + [(1000 + k, t) for k, t in enumerate([*prose, *licenses.NEAR_MISSES, None, ""])], "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    out = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    right = sum(out[k]["families"] == f for k, f in enumerate(truth))
+    assert right >= len(truth) - 1, [(f, out[k]["families"]) for k, f in enumerate(truth)]
+    assert sum(out[k]["n_spans"] for k in out if k >= 1000) <= 1
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_spans_count_code_points_and_hide_the_less_specific():
+    text = "é日𝒳 GPL".encode()
+    assert licenses.code_points(np.frombuffer(text, np.uint8), [0, 2, 5, 9, 10, len(text)]) == {0: 0, 2: 1, 5: 2, 9: 3, 10: 4, len(text): 7}
+    assert licenses.joined([(0, 9, "GPL", 0.9), (5, 20, "LGPL", 0.6), (30, 40, "GPL", 0.7), (38, 50, "GPL", 0.8)]) == [(5, 20, "LGPL", 0.6), (30, 50, "GPL", 0.8)]
+
+
 def test_registered_queries():
-    assert [n.split("_")[0] for n in queries.QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 13)]
 
 
 # --- planted secrets
