@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.vectors import Gaussian, RandomFeatures, frechet, median_bandwidth
 from .ranking import running
-from .tables import in_units, whole_units
+from .tables import in_units, materialize, whole_units
 
 HIT = 16.0
 
@@ -128,36 +129,162 @@ def mmd_random(x: DataFrame, y: DataFrame, seed: int = 42, features: int = 256)
     return None if mx is None else float(((mx - my) ** 2).sum())
 
 
+#: Most pivots, vectors a pivot, and vectors among which a pivot is chosen.
+PIVOTS, PER_PIVOT, CHOICE = 256, 32, 16
+
+
+class Pivots:
+    """Vectors that cut a sample in cells, each vector in that of its nearest one.
+
+    At most PIVOTS, from at most CHOICE times as many rows chosen by a hash of the id: the next pivot is the one
+    farthest from all before it, so that clusters get pivots of their own. They deal the work and don't touch results.
+    """
+
+    def __init__(self, sample: DataFrame, chunk: int) -> None:
+        n = sample.count()
+        pivots = min(PIVOTS, max(1, n // PER_PIVOT))
+        rows = sample.orderBy(F.xxhash64("id", F.lit(3)), "id").select("embedding").limit(CHOICE * pivots).collect()
+        x = np.array([r["embedding"] for r in rows], float)
+        chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+        while len(chosen) < min(pivots, len(x)) and far.max() > 0:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        self.x, self.chunk, self.n = x[chosen], chunk, n
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), len(self.x)))
+        for k in range(0, len(x), 256):
+            gap = x[k : k + 256, None, :] - self.x[None, :, :]
+            out[k : k + 256] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        return out
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``cell`` and ``away``, the distance to its pivot."""
+        distances = self.distances
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    d = distances(np.array(batch.column(batch.schema.get_field_index("embedding")).to_pylist(), float))
+                    cell = d.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=[*batch.schema.names, "cell", "away"])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())]))
+
+    def meeting(self, queries: DataFrame, bases: DataFrame, margin: np.ndarray, chunks: np.ndarray) -> DataFrame:
+        """Rows ``(unit, side, id, embedding, value)``: each query ``(id, embedding, reach)`` with the bases ``(id, embedding, value, cell, part)`` of the cells that it may meet.
+
+        By the triangle inequality a query meets nothing of a cell whose pivot is farther than its own reach and the
+        cell's margin. Cells are dealt in parts of a chunk, and the queries of a part in groups; only the bases of
+        groups that exist are copied.
+        """
+        distances, groups = self.distances, max(1, self.n // (8 * self.chunk))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    d = distances(np.array(batch.column(1).to_pylist(), float))
+                    row, cell = np.nonzero(d <= (margin[None, :] + batch.column(2).to_numpy()[:, None]) * (1 + 1e-9) + 1e-12)
+                    row, part = np.repeat(row, chunks[cell]), np.concatenate([*(np.arange(chunks[c]) for c in cell), np.zeros(0, np.int64)])
+                    cell = np.repeat(cell, chunks[cell])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in (0, 1)), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32))], names=["id", "embedding", "cell", "part"])
+
+        kind = queries.schema["embedding"].dataType.simpleString()
+        sent = queries.select("id", "embedding", "reach").mapInArrow(run, f"id long, embedding {kind}, cell int, part int").withColumn("grp", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(groups)).cast("int"))
+        sent = materialize(sent, "sent")
+        met = bases.join(sent.select("cell", "part", "grp").distinct(), ["cell", "part"])
+        unit = F.xxhash64("cell", "part", "grp").alias("unit")
+        left = sent.select(unit, F.lit(0).alias("side"), "id", "embedding", F.lit(None).cast("double").alias("value"))
+        return left.unionByName(met.select(unit, F.lit(1).alias("side"), "id", F.col("embedding").cast(kind).alias("embedding"), F.col("value").cast("double").alias("value")))
+
+
+def _cells(placed: DataFrame, cells: int, value: Column, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per cell: rows, the greatest ``value``, and parts of a chunk."""
+    n, top = np.zeros(cells, np.int64), np.full(cells, -np.inf)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max(value).alias("top")).collect():
+        n[r["cell"]], top[r["cell"]] = r["n"], r["top"]
+    return n, top, -(-n // chunk)
+
+
+def _parts(chunks: np.ndarray) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(4)), F.greatest(F.lit(1), F.element_at(F.array(*(F.lit(int(c)) for c in chunks)), F.col("cell") + 1))).cast("int")
+
+
+def knn_units(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:
+    """The units in which each vector meets all that may be among its k nearest: ``(unit, side, id, embedding, value)``.
+
+    A vector's k-th distance is bounded by that inside its own part of its cell, and by cells near its pivot that hold
+    k others in all; it meets the cells within that bound.
+    """
+    pivots = Pivots(sample, chunk)
+    placed = materialize(pivots.placed(sample.select("id", "embedding")), "placed")
+    n, radius, chunks = _cells(placed, len(pivots.x), F.col("away"), chunk)
+    # The least distance from a pivot within which whole cells hold more than k vectors.
+    reach, enough = pivots.distances(pivots.x) + np.maximum(radius, 0)[None, :], np.full(len(n), np.inf)
+    for c in range(len(n)):
+        order = np.argsort(reach[c])
+        full = np.flatnonzero(np.cumsum(n[order]) > k)
+        enough[c] = reach[c][order[full[0]]] if len(full) else np.inf
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_units(batches):
+            unit, away, cell = (table.column(c).to_numpy() for c in ("unit", "away", "cell"))
+            x, out = np.array(table.column("embedding").to_pylist(), float), away + enough[cell]
+            for u in np.unique(unit):
+                mine = np.flatnonzero(unit == u)
+                for at in range(0, len(mine) if len(mine) > k else 0, 128):
+                    some = mine[at : at + 128]
+                    gap = x[some, None, :] - x[None, mine, :]
+                    d = np.einsum("ijk,ijk->ij", gap, gap)
+                    out[some] = np.minimum(out[some], np.sqrt(np.partition(d, k, axis=1)[:, k]))
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("id", "embedding")), pa.array(out), *(table.column(c).combine_chunks() for c in ("cell", "part"))], names=["id", "embedding", "reach", "cell", "part"])
+
+    kind = sample.schema["embedding"].dataType.simpleString()
+    rows = placed.withColumn("part", _parts(chunks)).withColumn("unit", F.xxhash64("cell", "part"))
+    rows = materialize(in_units(rows, bound, f"id long, embedding {kind}, reach double, cell int, part int"), "bounded")
+    return pivots.meeting(rows, rows.withColumn("value", F.lit(0.0)), radius, chunks)
+
+
 def knn_radius(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:
     """``(id, radius2)``: squared distance to the k-th nearest other vector. Units send their k + 1 nearest per vector, one aggregate merges them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
-            rows: list[tuple[int, float]] = []
+            ids, found = [np.zeros(0, np.int64)], [np.zeros(0)]
             for a, _, d in _distance_units(table):
                 near = np.sort(d, axis=1)[:, : k + 1]
-                rows += [(int(i), float(v)) for i, r in zip(a, near) for v in r]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["id", "d"])
+                ids.append(np.repeat(a, near.shape[1]))
+                found.append(near.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(found))], names=["id", "d"])
 
-    near = in_units(_vector_blocks(sample, sample, chunk), run, "id long, d double")
-    return near.groupBy("id").agg(F.element_at(F.array_sort(F.collect_list("d")), k + 1).alias("radius2"))
+    near = in_units(knn_units(sample, k, chunk), run, "id long, d double")
+    return near.groupBy("id").agg(F.get(F.array_sort(F.collect_list("d")), k).alias("radius2"))
 
 
 def covered(points: DataFrame, manifold: DataFrame, k: int = 3, chunk: int = 1024) -> float:
-    """Share of the points inside some ball around a vector of ``manifold`` that reaches its k-th neighbour."""
-    balls = manifold.join(knn_radius(manifold, k, chunk), "id")
+    """Share of the points inside some ball around a vector of ``manifold`` that reaches its k-th neighbour.
+
+    A point meets the balls of the cells that reach as far as it.
+    """
+    balls = manifold.select("id", "embedding").join(knn_radius(manifold, k, chunk), "id").where("radius2 IS NOT NULL")
+    pivots = Pivots(manifold, chunk)
+    placed = materialize(pivots.placed(balls), "balls")
+    _, margin, chunks = _cells(placed, len(pivots.x), F.col("away") + F.sqrt("radius2"), chunk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
-            radius = dict(zip(table.column("id").to_pylist(), table.column("radius2").to_pylist()))
-            hit: list[int] = []
-            for a, b, d in _distance_units(table):
-                r = np.array([radius[i] if radius[i] is not None else -1.0 for i in b.tolist()])
-                hit += a[(d <= r[None, :]).any(axis=1)].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], names=["id"])
-
-    blocks = _vector_blocks(points, balls.select("id", "embedding"), chunk).join(balls.select("id", "radius2", F.lit(1).alias("side")), ["id", "side"], "left")
-    return in_units(blocks, run, "id long").distinct().count() / points.count()
+            hit = [np.zeros(0, np.int64)]
+            unit, side, ids, value = (table.column(c).to_numpy() for c in ("unit", "side", "id", "value"))
+            x = np.array(table.column("embedding").to_pylist(), float)
+            for u in np.unique(unit):
+                a, b = np.flatnonzero((unit == u) & (side == 0)), np.flatnonzero((unit == u) & (side == 1))
+                for at in range(0, len(a) if len(b) else 0, 128):
+                    gap = x[a[at : at + 128], None, :] - x[None, b, :]
+                    hit.append(ids[a[at : at + 128]][(np.einsum("ijk,ijk->ij", gap, gap) <= value[b][None, :]).any(axis=1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(hit)), pa.int64())], names=["id"])
+
+    units = pivots.meeting(points.select("id", "embedding").withColumn("reach", F.lit(0.0)), placed.withColumn("value", F.col("radius2")).withColumn("part", _parts(chunks)), margin, chunks)
+    return in_units(units, run, "id long").distinct().count() / points.count()
 
 
 def precision_recall(x: DataFrame, y: DataFrame, k: int = 3) -> tuple[float | None, float | None]:

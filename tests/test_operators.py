@@ -201,6 +201,33 @@ def test_distances(spark):
     assert distributions.frechet_distance(fx, fx) == pytest.approx(0, abs=1e-9)
 
 
+@pytest.mark.parametrize("chunk", [1024, 90])
+def test_neighbours_by_pivots(spark, chunk):
+    """Equal to all pairs on clusters of unequal size (one holds a third), lone vectors and copies; on clusters, few pairs meet."""
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(40, 6)) * 30
+    sizes = [900] + [45] * 39
+    x = np.concatenate([np.repeat(centres, sizes, axis=0) + rng.normal(size=(sum(sizes), 6)), rng.normal(size=(5, 6)) * 500, np.zeros((6, 6))])
+    y = centres[rng.integers(0, 40, 600)] + rng.normal(size=(600, 6)) * 3
+    frame_of = lambda z, at: spark.createDataFrame([(at + k, v.tolist()) for k, v in enumerate(z)], "id long, embedding array<double>")
+    fx, fy = frame_of(x, 0), frame_of(y, 10_000)
+    d = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    for k in (1, 3):
+        radius = {r["id"]: r["radius2"] for r in distributions.knn_radius(fx, k, chunk).collect()}
+        assert np.allclose([radius[i] for i in range(len(x))], np.sort(d(x, x), axis=1)[:, k], atol=1e-12)
+    rx, ry = np.sort(d(x, x), axis=1)[:, 3], np.sort(d(y, y), axis=1)[:, 3]
+    assert distributions.covered(fy, fx, 3, chunk) == pytest.approx((d(y, x) <= rx[None]).any(axis=1).mean())
+    assert distributions.covered(fx, fy, 3, chunk) == pytest.approx((d(x, y) <= ry[None]).any(axis=1).mean())
+    sides = distributions.knn_units(fx, 3, chunk).groupBy("unit").agg(F.count_if(F.col("side") == 0).alias("q"), F.count_if(F.col("side") == 1).alias("b"))
+    compared = sides.agg(F.sum(F.col("q") * F.col("b"))).first()[0]
+    own = sum(n * n for n in sizes)
+    assert compared < 1.6 * own + 0.1 * len(x) ** 2
+    even = frame_of(np.repeat(centres, 45, axis=0) + rng.normal(size=(1800, 6)), 0)
+    sides = distributions.knn_units(even, 3, chunk).groupBy("unit").agg(F.count_if(F.col("side") == 0).alias("q"), F.count_if(F.col("side") == 1).alias("b"))
+    assert sides.agg(F.sum(F.col("q") * F.col("b"))).first()[0] < 0.1 * 1800**2
+    assert distributions.knn_radius(frame_of(x[:2], 0), 3).where("radius2 IS NOT NULL").count() == 0
+
+
 def test_wasserstein_of_equal_samples_is_zero(spark):
     df = spark.createDataFrame([(float(k % 7),) for k in range(50)], "x double")
     assert distributions.wasserstein(df, df, "x").first()[0] == pytest.approx(0)
