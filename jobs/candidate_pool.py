@@ -41,6 +41,9 @@ def fresh(rows: DataFrame, labels: DataFrame, known: DataFrame, before: DataFram
 def run(spark: SparkSession, documents: str, labels: str, known: str, out: str, checkpoint: str, low: int, high: int, class_width: int, files_per_batch: int, target: int | None) -> DataFrame:
     """Take what is new in ``documents`` until nothing is left, and return the whole pool. A second run over the same files adds nothing."""
 
+    if not (1 <= low <= high and class_width >= 1 and files_per_batch >= 1 and (target is None or target >= 1)):
+        raise ValueError("need 1 <= low <= high, and class_width, files_per_batch and target of at least 1")
+
     def step(rows: DataFrame, number: int) -> None:
         session = rows.sparkSession
         before = read_parquet(session, out, POOL).where(F.col("batch") < number)

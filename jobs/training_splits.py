@@ -24,6 +24,8 @@ OUTPUT = "seq string, sequence_id string, length int, family string, split strin
 
 def run(spark: SparkSession, documents: str, labels: str, out: str, release: str, similarity: int, percent: dict[str, int], seed: int, low: int, high: int) -> DataFrame:  # noqa: A002
     """Write one release and return it as read back. Null texts, null labels and repeated rows are no trouble: a sequence comes once."""
+    if not (1 <= low <= high and 1 <= similarity <= 100 and release.strip("/. ")):
+        raise ValueError("need 1 <= low <= high, a similarity of 1 to 100, and a name for the release")
     seen, kept = Observation("documents"), Observation("labelled")
     docs = spark.read.parquet(documents).select("doc_id", "text").observe(seen, F.count("*").alias("rows"))
     marks = spark.read.parquet(labels).where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))

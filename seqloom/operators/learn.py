@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.residues import z_score
 from ..functions.vectors import RandomFeatures
 from .distributions import moments, squared_distance
 from .ranking import running
@@ -52,6 +53,13 @@ def regions(reference: DataFrame, tables: list[DataFrame], k: int | None = None,
     return [put(t) for t in tables], weights.select("region", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
+def scaled_properties(df: DataFrame, reference: DataFrame, columns: tuple[str, ...] = ("length", "charge", "hydrophobicity", "moment"), out: str = "pc") -> DataFrame:
+    """``df`` with ``out``: the columns as one array, each in the reference's standard deviations from its mean (a deviation below 0.01 counts as that)."""
+    stats = reference.agg(*(f(c).alias(f"_{n}{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    both = df.crossJoin(F.broadcast(stats))  # one row
+    return both.withColumn(out, F.array(*(z_score(F.col(c), F.col(f"_m{c}"), F.col(f"_s{c}")) for c in columns))).drop(*stats.columns)
+
+
 def proxy_classifier(labelled: DataFrame, features: str = "features", label: str = "label", trees: int = 200, least: int = 20, seed: int = 42, audit: DataFrame | None = None) -> tuple[object, dict[str, float]] | None:
     """Random forest on array features with class weights, and its areas under the ROC and precision-recall curves; None with fewer than ``least`` negatives.
 
@@ -95,15 +103,20 @@ def score_with(seqs: DataFrame, scorer: Callable[[list[str]], dict[str, np.ndarr
     return seqs.select("seq").mapInPandas(run, "seq string, " + ", ".join(f"`{c}` double" for c in columns))
 
 
-def generate_with(conditions: DataFrame, sampler: Callable[[np.ndarray, int], list[str]], columns: list[str], seed: int = 42) -> DataFrame:
-    """``(draw, seq)`` from a conditional sampler of rows of conditions; the seed of a batch is that of its first draw number."""
+def generate_with(conditions: DataFrame, sampler: Callable[[np.ndarray, int], list[str]], columns: list[str], seed: int = 42, batch: int = 10_000) -> DataFrame:
+    """``(draw, seq)`` from a conditional sampler of rows of conditions, called once for each run of ``batch`` draw numbers.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield pd.DataFrame({"draw": frame["draw"], "seq": sampler(frame[columns].to_numpy(float), seed + int(frame["draw"].iloc[0]))})
+    A run's seed is that of its first number and its rows are in their order, so the result does not depend on partitions.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("draw")
+        made = sampler(frame[columns].to_numpy(float), seed + int(frame["draw"].iloc[0]) // batch * batch)
+        if len(made) != len(frame):
+            raise ValueError("the sampler left draws out")
+        return pd.DataFrame({"draw": frame["draw"], "seq": made})
 
-    return conditions.select("draw", *columns).mapInPandas(run, "draw long, seq string")
+    return conditions.select("draw", *columns).groupBy(F.floor(F.col("draw") / batch).alias("_run")).applyInPandas(run, "draw long, seq string")
 
 
 def random_features(df: DataFrame, fit: RandomFeatures, column: str = "embedding", out: str = "rff") -> DataFrame:

@@ -172,10 +172,20 @@ def zscore_vs_reference(spark, d):
     return rows.select("l_orderkey", "l_linenumber", r6(R.z_score(F.col("l_quantity"), F.col("m"), F.col("s"))).alias("z"))
 
 
-@query("SELECT column_name AS predictor, CASE WHEN column_name LIKE '%key' THEN 'key' ELSE 'value' END AS kind, regexp_extract(column_name, '^([^-_]+)', 1) AS family FROM (SELECT unnest(['l_quantity', 'p_partkey', 'o_totalprice']) AS column_name)")
+@query(
+    "SELECT DISTINCT h AS predictor, CASE WHEN h LIKE '%!_prob' ESCAPE '!' THEN 'amp_probability' WHEN h LIKE '%!_MIC!_uM' ESCAPE '!' THEN 'mic_um' END AS kind, lower(regexp_extract(h, '^([^-_]+)', 1)) AS family "
+    "FROM (SELECT p_mfgr || '-' || p_brand || (CASE p_size % 3 WHEN 0 THEN '_prob' WHEN 1 THEN '_MIC_uM' ELSE '_other' END) AS h FROM part)"
+)
 def header_families(spark, d):
-    names = spark.createDataFrame([("l_quantity",), ("p_partkey",), ("o_totalprice",)], "predictor string")
-    return names.select("predictor", F.when(F.col("predictor").endswith("key"), "key").otherwise("value").alias("kind"), R.family_of(F.col("predictor"))["family"].alias("family"))
+    """The headers of a score table per maker and brand: what kind of score each is, and of which family of models."""
+    ending = F.when(F.col("p_size") % 3 == 0, "_prob").when(F.col("p_size") % 3 == 1, "_MIC_uM").otherwise("_other")
+    names = table(spark, d, "part").select(F.concat("p_mfgr", F.lit("-"), "p_brand", ending).alias("predictor")).distinct()
+    return names.select("predictor", *(c.alias(k) for k, c in R.family_of(F.col("predictor")).items()))
+
+
+@query("SELECT seq, min(doc_id) AS doc_id FROM c GROUP BY seq", "c")
+def first_occurrences(spark, d):
+    return ranking.first_occurrences(candidates(spark, d), "seq", "doc_id")
 
 
 # --- joins and sets
@@ -602,6 +612,16 @@ def kmeans_regions(spark, d):
     return placed.select("vec_id", "region")
 
 
+@query()
+def property_regions(spark, d):
+    """Regions of the candidates on their properties, each scaled to the known collection's mean and deviation."""
+    props = lambda df: df.select("seq", *(c.alias(k) for k, c in R.properties(F.col("seq")).items()))
+    rows, ref = props(distinct_candidates(spark, d)), props(known(spark, d).select("seq").distinct())
+    scaled_rows, scaled_ref = learn.scaled_properties(rows, ref), learn.scaled_properties(ref, ref)
+    (placed,), weights = learn.regions(scaled_ref, [scaled_rows], most=24)
+    return placed.join(weights, "region").select("seq", "region", r6(F.col("weight")).alias("weight"))
+
+
 @query()
 def embedding_moments(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")

@@ -114,6 +114,12 @@ def test_settings(tmp_path):
         common.settings(tmp_path / "bad.json", candidate_pool.DEFAULTS)
 
 
+def test_settings_out_of_range(spark):
+    for job, paths, wrong in ((candidate_pool, 5, {"low": 9, "high": 8}), (candidate_pool, 5, {"target": 0}), (candidate_pool, 5, {"class_width": 0}), (training_splits, 3, {"similarity": 0}), (training_splits, 3, {"release": "."})):
+        with pytest.raises(ValueError, match="need"):
+            job.run(spark, *["nowhere"] * paths, **(job.DEFAULTS | wrong))
+
+
 def test_command_line(spark, tmp_path):
     base = f"file://{tmp_path}"
     tables(spark, base, [(1, A, "s1", 0), (2, A, "s1", 0)])

@@ -488,3 +488,59 @@ def test_proxy_is_scored_on_held_out_rows(spark, tmp_path):
     floor = reports.reference_floor(vectors_, (1,))
     p, r = distributions.precision_recall(*ranking.hash_halves(vectors_, "id", 1))
     assert floor["precision"] == (p, 0.0) and floor["recall"] == (r, 0.0)
+
+
+def test_conditional_draws_do_not_depend_on_partitions(spark):
+    """Conditions drawn with replacement, shrunk, and sampled: the same pool however the rows are dealt, without known sequences."""
+    seqs = random_seqs(40, letters="ACDEFGHIKL")
+    props = frame(spark, seqs).select("seq", *(c.alias(k) for k, c in residues.properties(F.col("seq")).items()))
+    calls = spark.sparkContext.accumulator(0)
+
+    def sampler(conditions, seed):
+        calls.add(1)
+        rng = np.random.default_rng(seed)
+        return ["".join(rng.choice(list("ACDEFGHIKL"), int(n))) for n in conditions[:, 0]]
+
+    made = []
+    for parts in (1, 5):
+        drawn = ranking.hash_sample_with_replacement(props.repartition(parts), "seq", 95)
+        assert drawn.count() == 95 and drawn.select("seq").distinct().count() < 40
+        made.append(sorted(tuple(r) for r in learn.generate_with(drawn.repartition(parts), sampler, ["length", "charge"], batch=20).collect()))
+    assert made[0] == made[1] and [d for d, _ in made[0]] == list(range(95)) and calls.value == 10
+    pool = sets.exclude(spark.createDataFrame(made[0], "draw long, seq string"), frame(spark, [made[0][0][1]]))
+    assert made[0][0][1] not in {r["seq"] for r in pool.collect()}
+    with pytest.raises(Exception, match="left draws out"):
+        learn.generate_with(drawn, lambda c, s: ["A"], ["length"]).collect()
+
+
+def test_set_gates(spark):
+    a, b = frame(spark, ["A", "B", "B"]), frame(spark, ["B", "A", "C"])
+    assert sets.is_subset(a, b) and not sets.is_subset(b, a) and sets.is_subset(a.limit(0), a)
+    assert sets.equal_sets(a, frame(spark, ["A", "B"])) and not sets.equal_sets(a, b)
+
+
+def test_first_occurrences_and_string_numbers(spark):
+    df = spark.createDataFrame([(5, "b"), (1, "c"), (2, "b"), (9, "a"), (3, "c")], "at long, seq string")
+    assert [tuple(r) for r in ranking.first_occurrences(df, "seq", "at").collect()] == [("c", 1), ("b", 2), ("a", 9)]
+    words = [f"prefix{k % 700:04d}é{k}" for k in range(1500)] + ["", "z", "prefix"]
+    got = {r["seq"]: r["n"] for r in ranking.numbered(frame(spark, words).repartition(6), "seq", "n").collect()}
+    assert got == {w: k for k, w in enumerate(sorted(words, key=lambda w: w.encode()))}
+
+
+def test_principal_components_and_property_regions(spark):
+    x = np.random.default_rng(15).normal(size=(200, 4)) * [5, 3, 1, 0.1]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    (out,) = learn.principal_components(df, [df], k=2)
+    got = np.array([r["pc"] for r in out.orderBy("id").collect()])
+    z = x - x.mean(axis=0)
+    want = z @ np.linalg.svd(z)[2][:2].T
+    want /= np.sqrt((want**2).sum(axis=1).mean())
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-9)
+    props = lambda s: frame(spark, s).select("seq", *(c.alias(k) for k, c in residues.properties(F.col("seq")).items()))
+    ref, rows = props(random_seqs(300, 1)), props(random_seqs(50, 2) + ["K" * 50])
+    scaled_ref = learn.scaled_properties(ref, ref)
+    values = np.array([r["pc"] for r in scaled_ref.collect()])
+    assert np.allclose(values.mean(axis=0), 0, atol=1e-9) and np.allclose(values.std(axis=0), 1)
+    (placed,), weights = learn.regions(scaled_ref, [learn.scaled_properties(rows, ref)], most=5)
+    assert placed.count() == rows.count() and weights.agg(F.sum("weight")).first()[0] == pytest.approx(1)
+    assert {r["region"] for r in placed.collect()} <= {r["region"] for r in weights.collect()}
