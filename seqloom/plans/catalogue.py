@@ -174,12 +174,12 @@ def zscore_vs_reference(spark, d):
 
 @query(
     "SELECT DISTINCT h AS predictor, CASE WHEN h LIKE '%!_prob' ESCAPE '!' THEN 'amp_probability' WHEN h LIKE '%!_MIC!_uM' ESCAPE '!' THEN 'mic_um' END AS kind, lower(regexp_extract(h, '^([^-_]+)', 1)) AS family "
-    "FROM (SELECT p_mfgr || '-' || p_brand || (CASE p_size % 3 WHEN 0 THEN '_prob' WHEN 1 THEN '_MIC_uM' ELSE '_other' END) AS h FROM part)"
+    "FROM (SELECT p_type || '-' || p_brand || (CASE p_size % 3 WHEN 0 THEN '_prob' WHEN 1 THEN '_MIC_uM' ELSE '_other' END) AS h FROM part)"
 )
 def header_families(spark, d):
-    """The headers of a score table per maker and brand: what kind of score each is, and of which family of models."""
+    """The headers of a score table per type and brand: what kind of score each is, and of which family of models."""
     ending = F.when(F.col("p_size") % 3 == 0, "_prob").when(F.col("p_size") % 3 == 1, "_MIC_uM").otherwise("_other")
-    names = table(spark, d, "part").select(F.concat("p_mfgr", F.lit("-"), "p_brand", ending).alias("predictor")).distinct()
+    names = table(spark, d, "part").select(F.concat("p_type", F.lit("-"), "p_brand", ending).alias("predictor")).distinct()
     return names.select("predictor", *(c.alias(k) for k, c in R.family_of(F.col("predictor")).items()))
 
 
