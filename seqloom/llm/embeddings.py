@@ -58,6 +58,10 @@ def rotate(x: np.ndarray) -> np.ndarray:
     return y
 
 
+#: Pairs that are joined between two looks at the trees.
+STEP = 2048
+
+
 def radius(dimension: int, threshold: float) -> float:
     """The largest distance in a block of WIDTH of ``dimension`` dimensions that its share of the budget allows."""
     return math.sqrt((2 - 2 * threshold + SLACK) * WIDTH / dimension)
@@ -128,7 +132,21 @@ def compare(threshold: float):
         sq = (z * z).sum(axis=1)
         # 0: at home, compared with each other and the rest; ACROSS: at home, compared with the rest only; 1, 2: the rest
         here, there = np.flatnonzero((side == 0) | (side == ACROSS)), np.flatnonzero((side == 1) | (side == 2))
-        links, forest, edges = np.zeros(len(ids), np.int64), Forest(), []
+        links, forest, edges, lead = np.zeros(len(ids), np.int64), Forest(), [], np.arange(len(ids))
+        # Pairs that are gathered at once: fewer of longer vectors.
+        most = max(1000, 50_000 * 64 // max(64, dim))
+
+        def unite(a: np.ndarray, b: np.ndarray) -> None:
+            """Add forest edges; pairs of one tree are dropped as arrays, so a group of near copies takes steps in its size, not in its pairs."""
+            while len(a):
+                apart = lead[a] != lead[b]
+                a, b = a[apart], b[apart]
+                for p, q in zip(a[:STEP].tolist(), b[:STEP].tolist()):
+                    if forest.join(p, q):
+                        edges.append((p, q))
+                if len(a):
+                    lead[:] = [forest.top(k) for k in range(len(lead))]
+                a, b = a[STEP:], b[STEP:]
 
         def pairs(a: np.ndarray, b: np.ndarray) -> None:
             first = np.zeros(len(a), np.int64)
@@ -144,10 +162,7 @@ def compare(threshold: float):
             a, b = a[cosine >= threshold], b[cosine >= threshold]
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
-            for p, q in zip(a.tolist(), b.tolist()):
-                if forest.top(p) != forest.top(q):
-                    forest.join(p, q)
-                    edges.append((p, q))
+            unite(a, b)
 
         for s in range(0, len(here), TILE):
             a = here[s : s + TILE]
@@ -158,8 +173,8 @@ def compare(threshold: float):
                     if own and t == 0:
                         near = np.triu(near, 1)
                     p, q = np.nonzero(near)
-                    for u in range(0, len(p), 50_000):
-                        pairs(a[p[u : u + 50_000]], b[q[u : u + 50_000]])
+                    for u in range(0, len(p), most):
+                        pairs(a[p[u : u + most]], b[q[u : u + most]])
         some = np.flatnonzero(links)
         out_id = np.concatenate([ids[some], ids[[e[0] for e in edges]]]) if edges else ids[some]
         out_links = np.concatenate([links[some], np.zeros(len(edges), np.int64)])
