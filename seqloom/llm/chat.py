@@ -118,7 +118,12 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """Format every conversation and read counts and digests back from what was written."""
+    """Format every conversation and read counts and digests back from what was written.
+
+    Null texts and roles count as empty; turns of one number go by role and text; rows that repeat are turns of their
+    own; rows without conv_id are one conversation of null; a conversation is one row, so it must fit in a task; an empty
+    table gives an empty result; other columns are not read.
+    """
     out = format_paths(linear_trees(conversations)).withColumn("turns", parse_formatted(F.col("formatted")))
     seen = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     under = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")

@@ -113,7 +113,9 @@ def leak_pairs(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items in each text, as :func:`leak_pairs` finds them. A column ``leaks`` of its own is replaced.
 
-    A text's leaks are one array, so the items in one text must fit in a row.
+    A text's leaks are one array in the order of their items, so the items in one text must fit in a row. Null and empty
+    texts, and all texts where a table is empty, have an empty array; rows that repeat, and rows without doc_id, are rows
+    like any other; texts of any length are read whole; columns of any other name stay as they are.
     """
     leaks = leaked_items(*leaked_texts(docs, benchmark, words, threshold_percent))
     each = leaks.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("item_id", "shared", "item_shingles"))).alias("leaks"))
@@ -125,7 +127,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
-    """The documents in which :func:`leak_pairs` finds nothing. All columns stay as they are.
+    """The documents in which :func:`leak_pairs` finds nothing. All columns stay as they are, whatever their names.
+
+    Null and empty texts stay, and so do all documents where the benchmark is empty; rows that repeat go or stay together;
+    texts of any length are read whole; an empty table gives an empty result.
 
     Only rows whose text a bitmap of the leaked ones passes are joined; the others stay where they are.
     """

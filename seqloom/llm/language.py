@@ -408,7 +408,8 @@ def keep_identified(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFr
     """The documents that have a language, with it in ``lang`` (if there is such a string column).
 
     Rejected are texts that are null or have no letter, and those of which no language's spans hold ``least_share`` of
-    the letters. All other columns stay as they are; rows that repeat are rows like any other.
+    the letters (of equal shares the first name counts). Texts of any length are read whole, in pieces; an empty table gives an
+    empty result. All other columns stay as they are; rows that repeat are rows like any other.
     """
     learn, _ = learnable(F.col("doc_id"))
     model = train(docs.where(learn)) if "lang" in docs.columns else train(docs.limit(0).select("doc_id", "text", F.lit("").alias("lang")))

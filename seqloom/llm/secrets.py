@@ -161,7 +161,11 @@ def mask(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets masked in ``text``, and ``n_chars`` (if there) of the new text. Null texts stay null."""
+    """``docs`` with secrets masked in ``text``, and ``n_chars`` (if there) of the new text.
+
+    Null texts stay null, empty ones empty; texts of any length are masked whole; rows that repeat are rows like any other;
+    an empty table gives an empty result; other columns stay as they are, whatever their names.
+    """
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
