@@ -91,7 +91,27 @@ def shingles_sql(name: str, table_name: str, key: str, word: str) -> str:
     )
 
 
+def spans_sql(name: str, kind: str, order: int, pattern: str, keep: str) -> str:
+    """Table ``{name}``: the matches of a pattern in each document, where they begin and end in code points, and those that are kept."""
+    return (
+        f"{name}_m AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS b FROM t), "
+        f"{name}_p AS (SELECT doc_id, m[k] AS m, (list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT AS a FROM (SELECT doc_id, m, b, unnest(range(1, len(m) + 1)) AS k FROM {name}_m)), "
+        f"{name} AS (SELECT doc_id, {order} AS o, '{kind}' AS kind, a, a + length(m) AS e FROM {name}_p WHERE {keep})"
+    )
+
+
+ASSIGN_SQL = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLES: dict[str, str] = {
+    # The base spans. The method's own spans are none in the given tables; a document that had one would differ here.
+    "op4_secrets": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{spans_sql("a", "assign", 0, ASSIGN_SQL, f"length(regexp_extract(m, '^{ASSIGN_SQL}', 1)) >= 6")},
+{spans_sql("k", "access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")},
+{spans_sql("h", "hex", 2, "[0-9a-f]+", "length(m) >= 24")},
+s AS (SELECT * FROM a UNION ALL SELECT * FROM k UNION ALL SELECT * FROM h),
+g AS (SELECT doc_id, count(*) FILTER (o = 0) AS na, count(*) FILTER (o = 1) AS nk, count(*) FILTER (o = 2) AS nh, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(na, 0)::BIGINT AS n_assign, coalesce(nk, 0)::BIGINT AS n_access, coalesce(nh, 0)::BIGINT AS n_hex, 0::BIGINT AS n_entropy, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)""",
     "op6_embeddings": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
