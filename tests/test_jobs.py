@@ -3,12 +3,15 @@ import os
 import subprocess
 import sys
 
+import duckdb
 import pytest
 from pyspark.errors import StreamingQueryException
 
-from jobs import candidate_pool, common, training_splits
+from jobs import candidate_pool, common, queries, training_splits
 from seqloom.operators import similarity
 
+from .test_queries import TABLES, D, plain
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DOCS = "doc_id bigint, text string, source string, extra int"
 A, B, C, D, E = "ACDEFGHIKL", "MNPQRSTVWY", "AAAAAAAAAA", "WWWWWWWWWW", "CCCCCCCCCC"
@@ -106,6 +109,17 @@ def test_splits_keep_families_whole_and_rerun(spark, tmp_path):
     assert {r[0] for r in run(percent={"train": 100, "dev": 0, "audit": 0}).select("split").collect()} == {"train"}
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_registered_job_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    got, expected = queries.QUERIES[name](spark, D).toPandas(), con.execute(queries.ORACLES[name]).fetchdf()
+    assert sorted(got.columns) == sorted(expected.columns)
+    assert len(got) and plain(got) == plain(expected)
+
+
 def test_settings(tmp_path):
     for job, name in ((candidate_pool, "candidate_pool"), (training_splits, "training_splits")):
         assert set(common.settings(f"{ROOT}/jobs/{name}.json", job.DEFAULTS)) == set(job.DEFAULTS)
