@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lcs import Shared, Strings, best_pairs, lcs_pairs, near_pairs
+from ..functions.lcs import Shared, Strings, best_pairs, near_pairs
 from .tables import components, discard, in_units, lookup, materialize, whole_units
 
 #: Strings of a chunk (fewer of a small table, but so many), and letters of a reference that may go to every task as a whole.
@@ -248,17 +248,18 @@ FINISH = 200_000
 
 
 def _fallen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings ``seq`` that have an earlier representative beside them, of edges ``(a, b)`` with a < b in the order of b."""
-    fallen: set[str] = set()
+    """The names that have an earlier representative beside them, of edges ``(a, b)`` with a < b in the order of b."""
+    fallen, kind = set(), pa.string()
     for batch in batches:
+        kind = batch.schema.field(0).type
         for a, b in zip(_column(batch, "a"), _column(batch, "b")):
             if a not in fallen:
                 fallen.add(b)
-    yield pa.RecordBatch.from_arrays([pa.array(sorted(fallen), pa.string())], names=["seq"])
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(fallen), kind)], names=["seq"])
 
 
 def followers(edges: DataFrame) -> DataFrame:
-    """``(seq)``: the strings that are no representatives, where a string is one if none before it that is similar to it is one.
+    """``(seq)``: the names (strings or numbers) that are no representatives, where one is if none before it that it has an edge with is one.
 
     In rounds of joins, whatever the size of a family: a string without undecided strings before it is a representative,
     and those after it that are similar to it fall. Edges of decided strings go; once at most FINISH are left, one task ends it.
@@ -266,7 +267,7 @@ def followers(edges: DataFrame) -> DataFrame:
     live, parts = materialize(edges.select("a", "b").where("a < b").distinct(), "live"), []
     while n := live.count():
         if n <= FINISH:
-            parts.append(materialize(live.repartition(1).sortWithinPartitions("b", "a").mapInArrow(_fallen, "seq string"), "fallen"))
+            parts.append(materialize(live.repartition(1).sortWithinPartitions("b", "a").mapInArrow(_fallen, f"seq {edges.schema['a'].dataType.simpleString()}"), "fallen"))
             break
         heads = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti").withColumn("head", F.lit(True))
         down = materialize(lookup(live, "a", "b", heads).where("head").select(F.col("b").alias("seq")).distinct(), "fallen")
@@ -296,17 +297,23 @@ def greedy_clusters(df: DataFrame, percent: int = 80, key: str = "seq") -> DataF
     return seqs.join(chosen, "seq", "left").select("seq", F.coalesce("representative", "seq").alias("representative"))
 
 
-def top_exclusive(ranked: DataFrame, k: int, percent: int = 80, order: tuple = (), key: str = "seq", chunk: int = 4096) -> list[str]:
-    """The first k strings in ``order`` of which no two are above the threshold; an error if there are fewer.
+def exclusive(ranked: DataFrame, order: tuple, percent: int = 80, key: str = "seq") -> DataFrame:
+    """``(at, seq)``: the distinct strings that are taken when they are asked for in ``order`` and none that is above the threshold to a taken one is; ``at`` rises with the order.
 
-    Sequential by definition: rows reach the driver one partition at a time in sorted order, and only until k are found.
+    Strings are numbered by one sort, similar pairs found by the fuzzy join, and taken in rounds of joins: nothing passes the driver.
     """
-    chosen: list[str] = []
-    for row in ranked.orderBy(*order).select(key).toLocalIterator():
-        s = row[0]
-        n = lcs_pairs([s], chosen, np.zeros(len(chosen), np.int64), np.arange(len(chosen)))
-        if not (200 * n > percent * np.array([len(s) + len(c) for c in chosen], np.int64)).any():
-            chosen.append(s)
-            if len(chosen) == k:
-                return chosen
-    raise ValueError(f"only {len(chosen)} of {k} mutually dissimilar strings")
+    rows = ranked.orderBy(*order).select(F.col(key).alias("seq")).withColumn("at", F.monotonically_increasing_id())
+    rows = materialize(materialize(rows, "sorted").groupBy("seq").agg(F.min("at").alias("at")), "ranked")
+    edges = similarity_edges(rows, percent, True)
+    for end in ("a", "b"):
+        edges = lookup(edges, end, "b" if end == "a" else "a", rows.select(F.col("seq").alias(end), F.col("at").alias(f"at_{end}")))
+    edges = edges.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b"))
+    return rows.join(followers(edges).withColumnRenamed("seq", "at"), "at", "left_anti").select("at", "seq")
+
+
+def top_exclusive(ranked: DataFrame, k: int, percent: int = 80, order: tuple = (), key: str = "seq") -> list[str]:
+    """The first k strings in ``order`` of which no two are above the threshold; an error if there are fewer. The driver gets those k."""
+    chosen = [r["seq"] for r in exclusive(ranked, order, percent, key).orderBy("at").limit(k).collect()]
+    if len(chosen) < k:
+        raise ValueError(f"only {len(chosen)} of {k} mutually dissimilar strings")
+    return chosen

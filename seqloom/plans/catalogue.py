@@ -13,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import residues as R
 from ..functions.vectors import Gaussian, RandomFeatures, Slope
@@ -533,8 +534,8 @@ _EXCLUSION_SQL = (
 )
 def top_k_mutual_exclusion(spark, d):
     ranked = ranked_candidates(spark, d).where("eligible")
-    top = similarity.top_exclusive(ranked, 25, order=(F.desc("utility"), F.asc("mic"), F.asc("seq")))
-    return spark.createDataFrame([(k + 1, s) for k, s in enumerate(top)], "place int, seq string")
+    taken = similarity.exclusive(ranked, (F.desc("utility"), F.asc("mic"), F.asc("seq")))
+    return taken.orderBy("at").limit(25).select(F.row_number().over(Window.orderBy("at")).alias("place"), "seq")  # 25 rows
 
 
 _GREEDY_SQL = (

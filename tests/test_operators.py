@@ -137,6 +137,14 @@ def test_top_exclusive(spark):
     seqs = random_seqs(60)
     top = similarity.top_exclusive(frame(spark, seqs), 10, order=("seq",))
     assert len(top) == 10 and all(v <= 0.8 for (a, b), v in ratios(top, top).items() if a != b)
+    # One after the other, as the definition says, in an order that is not that of the strings; repeats count once.
+    score = {s: (hash((s[::-1], 7)) % 10, s) for s in seqs}
+    taken = []
+    for s in sorted(seqs, key=score.get):
+        if not any(v > 0.8 + 1e-12 for v in ratios([s], taken).values()):
+            taken.append(s)
+    ranked = spark.createDataFrame([(s, score[s][0]) for s in seqs + seqs[:9]], "seq string, x int").repartition(3)
+    assert [r["seq"] for r in similarity.exclusive(ranked, ("x", "seq")).orderBy("at").collect()] == taken and len(taken) < len(seqs)
     with pytest.raises(ValueError, match="only"):
         similarity.top_exclusive(frame(spark, seqs[:3]), 10, order=("seq",))
 
