@@ -552,3 +552,28 @@ def test_principal_components_and_property_regions(spark):
     (placed,), weights = learn.regions(scaled_ref, [learn.scaled_properties(rows, ref)], most=5)
     assert placed.count() == rows.count() and weights.agg(F.sum("weight")).first()[0] == pytest.approx(1)
     assert {r["region"] for r in placed.collect()} <= {r["region"] for r in weights.collect()}
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_swept_bests_and_pairs_match_all_pairs(own):
+    """Words of all kinds, strings beyond a word, common beginnings, letters that the other side lacks."""
+    rng = np.random.default_rng(21)
+    draw = lambda n, letters: {"".join(rng.choice(list(letters), rng.integers(1, 80))) for _ in range(n)}
+    a = sorted(draw(60, "ACDEF") | {"A" * k for k in (1, 8, 16, 17, 32, 33, 64, 65, 90)})
+    b = a if own else sorted(draw(80, "ACDK") | {"A" * 16 + "K", "A" * 64, "A" * 70})
+    r, x, y = ratios(a, b), lcs.Strings(a), lcs.Strings(b)
+    best, n, total, near = lcs.best_of(x, y, 60, own)
+    for k, s in enumerate(a):
+        others = [t for t in b if not own or s != t]
+        assert b[best[k]] == min(others, key=lambda t: (-round(r[s, t], 12), t)) and 2 * n[k] / total[k] == pytest.approx(r[s, b[best[k]]])
+        assert near[k] == sum(r[s, t] > 0.6 + 1e-12 for t in others)
+    i, j, n = lcs.near_pairs(x, None if own else y, 60)
+    found = [tuple(sorted((a[p], b[q]))) if own else (a[p], b[q]) for p, q in zip(i, j)]
+    assert len(found) == len(set(found)) and set(found) == {p for p, v in r.items() if v >= 0.6 - 1e-12 and (not own or p[0] < p[1])}
+    assert all(2 * k / (len(a[p]) + len(b[q])) == pytest.approx(r[a[p], b[q]]) for p, q, k in zip(i, j, n))
+
+
+def test_units_of_work_are_tasks(spark):
+    """Few bytes may be much work: the engine must not put all units of a fuzzy join in one task."""
+    plan = similarity.max_similarity(frame(spark, random_seqs(400)), frame(spark, random_seqs(30, 1)), chunk=300)
+    assert plan.rdd.getNumPartitions() > 1
