@@ -55,38 +55,71 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
-def _vector_blocks(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
-    """Rows ``(unit, side, id, embedding)`` of all pairs of chunks of two samples."""
+def _vector_blocks(left: DataFrame, right: DataFrame, chunk: int) -> tuple[DataFrame, int]:
+    """Rows ``(unit, side, id, embedding)`` of all pairs of chunks of two samples, and how many units that are."""
     n = [max(1, -(-df.count() // chunk)) for df in (left, right)]
     at = lambda k: F.pmod(F.xxhash64("id"), F.lit(n[k]))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(n[k] - 1)))
     a = left.select(at(0).alias("i"), every(1).alias("j"), F.lit(0).alias("side"), "id", "embedding")
     b = right.select(every(0).alias("i"), at(1).alias("j"), F.lit(1).alias("side"), "id", "embedding")
-    return a.unionByName(b).select((F.col("i") * n[1] + F.col("j")).cast("long").alias("unit"), "side", "id", "embedding")
+    return a.unionByName(b).select((F.col("i") * n[1] + F.col("j")).cast("long").alias("unit"), "side", "id", "embedding"), n[0] * n[1]
 
 
-def _distance_units(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    unit, side, ids = (table.column(c).to_numpy() for c in ("unit", "side", "id"))
-    x = np.array(table.column("embedding").to_pylist(), float)
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Arrays of equal lengths as rows of a matrix, without a Python object a number; a missing number is an error."""
+    arrays = column.combine_chunks()
+    flat = arrays.flatten()
+    if not len(arrays) or flat.null_count or len(flat) % len(arrays):
+        return np.array(column.to_pylist(), float)
+    return flat.to_numpy().astype(float).reshape(len(arrays), -1)
+
+
+def _products(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one matrix product, and how far rounding may put them off."""
+    sx, sy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    d = x @ y.T
+    d *= -2
+    d += sx[:, None]
+    d += sy[None, :]
+    return d, 1e-15 * (x.shape[1] + 8) * 4 * float(sx.max(initial=0) + sy.max(initial=0))
+
+
+def _exact(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs of rows ``a[k]`` and ``b[k]`` of x, from differences."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), 1 << 14):
+        gap = x[a[at : at + (1 << 14)]] - x[b[at : at + (1 << 14)]]
+        out[at : at + (1 << 14)] = np.einsum("ij,ij->i", gap, gap)
+    return out
+
+
+def _unit_sides(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of the two sides of each unit."""
+    unit, side = (table.column(c).to_numpy() for c in ("unit", "side"))
     for u in np.unique(unit):
         a, b = np.flatnonzero((unit == u) & (side == 0)), np.flatnonzero((unit == u) & (side == 1))
         if len(a) and len(b):
-            d = np.empty((len(a), len(b)))
-            for k in range(0, len(a), 128):
-                gap = x[a[k : k + 128], None, :] - x[None, b, :]
-                d[k : k + 128] = np.einsum("ijk,ijk->ij", gap, gap)
-            yield ids[a], ids[b], d
+            yield a, b
 
 
-def kernel_sums(left: DataFrame, right: DataFrame, bandwidth: float, chunk: int = 1024) -> float:
+def kernel_sums(left: DataFrame, right: DataFrame, bandwidth: float, chunk: int = 4096) -> float:
     """Sum of exp(-d^2 / (2 bandwidth)) over pairs with different ids, from units of chunk pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
-            total = [float(np.where(a[:, None] == b[None, :], 0, np.exp(-d / (2 * bandwidth))).sum()) for a, b, d in _distance_units(table)]
+            ids, x, total = table.column("id").to_numpy(), _vectors(table.column("embedding")), []
+            for a, b in _unit_sides(table):
+                for at in range(0, len(a), 256):
+                    d, _ = _products(x[a[at : at + 256]], x[b])
+                    k = np.exp(np.maximum(d, 0, out=d) / (-2 * bandwidth))
+                    same = np.isin(ids[a[at : at + 256]], ids[b])
+                    if same.any():
+                        k[same] *= ids[a[at : at + 256]][same][:, None] != ids[b][None, :]
+                    total.append(float(k.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.float64())], names=["s"])
 
-    return in_units(_vector_blocks(left, right, chunk), run, "s double").agg(F.sum("s").alias("s")).first()["s"] or 0.0
+    blocks, units = _vector_blocks(left, right, chunk)
+    return in_units(blocks, run, "s double", units).agg(F.sum("s").alias("s")).first()["s"] or 0.0
 
 
 def mmd_unbiased(x: DataFrame, y: DataFrame, bandwidth: float) -> float:
@@ -131,6 +164,8 @@ def mmd_random(x: DataFrame, y: DataFrame, seed: int = 42, features: int = 256)
 
 #: Most pivots, vectors a pivot, and vectors among which a pivot is chosen.
 PIVOTS, PER_PIVOT, CHOICE = 256, 32, 16
+#: Cells that any sample may have; beyond them only as many as hold so many vectors each, since on vectors without structure each is sent to all cells.
+FEW_CELLS, LARGE_CELL = 64, 8192
 
 
 class Pivots:
@@ -142,7 +177,7 @@ class Pivots:
 
     def __init__(self, sample: DataFrame, chunk: int) -> None:
         n = sample.count()
-        pivots = min(PIVOTS, max(1, n // PER_PIVOT))
+        pivots = min(PIVOTS, max(1, n // PER_PIVOT), max(FEW_CELLS, n // LARGE_CELL))
         rows = sample.orderBy(F.xxhash64("id", F.lit(3)), "id").select("embedding").limit(CHOICE * pivots).collect()
         x = np.array([r["embedding"] for r in rows], float)
         chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
@@ -165,7 +200,7 @@ class Pivots:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    d = distances(np.array(batch.column(batch.schema.get_field_index("embedding")).to_pylist(), float))
+                    d = distances(_vectors(pa.chunked_array([batch.column(batch.schema.get_field_index("embedding"))])))
                     cell = d.argmin(axis=1)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=[*batch.schema.names, "cell", "away"])
 
@@ -183,7 +218,7 @@ class Pivots:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    d = distances(np.array(batch.column(1).to_pylist(), float))
+                    d = distances(_vectors(pa.chunked_array([batch.column(1)])))
                     row, cell = np.nonzero(d <= (margin[None, :] + batch.column(2).to_numpy()[:, None]) * (1 + 1e-9) + 1e-12)
                     row, part = np.repeat(row, chunks[cell]), np.concatenate([*(np.arange(chunks[c]) for c in cell), np.zeros(0, np.int64)])
                     cell = np.repeat(cell, chunks[cell])
@@ -210,7 +245,7 @@ def _parts(chunks: np.ndarray) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(4)), F.greatest(F.lit(1), F.element_at(F.array(*(F.lit(int(c)) for c in chunks)), F.col("cell") + 1))).cast("int")
 
 
-def knn_units(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:
+def knn_units(sample: DataFrame, k: int = 3, chunk: int = 8192) -> DataFrame:
     """The units in which each vector meets all that may be among its k nearest: ``(unit, side, id, embedding, value)``.
 
     A vector's k-th distance is bounded by that inside its own part of its cell, and by cells near its pivot that hold
@@ -229,14 +264,13 @@ def knn_units(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
             unit, away, cell = (table.column(c).to_numpy() for c in ("unit", "away", "cell"))
-            x, out = np.array(table.column("embedding").to_pylist(), float), away + enough[cell]
+            x, out = _vectors(table.column("embedding")), away + enough[cell]
             for u in np.unique(unit):
                 mine = np.flatnonzero(unit == u)
                 for at in range(0, len(mine) if len(mine) > k else 0, 128):
                     some = mine[at : at + 128]
-                    gap = x[some, None, :] - x[None, mine, :]
-                    d = np.einsum("ijk,ijk->ij", gap, gap)
-                    out[some] = np.minimum(out[some], np.sqrt(np.partition(d, k, axis=1)[:, k]))
+                    d, off = _products(x[some], x[mine])
+                    out[some] = np.minimum(out[some], np.sqrt(np.maximum(np.partition(d, k, axis=1)[:, k], 0) + off))
             yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("id", "embedding")), pa.array(out), *(table.column(c).combine_chunks() for c in ("cell", "part"))], names=["id", "embedding", "reach", "cell", "part"])
 
     kind = sample.schema["embedding"].dataType.simpleString()
@@ -245,23 +279,31 @@ def knn_units(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:
     return pivots.meeting(rows, rows.withColumn("value", F.lit(0.0)), radius, chunks)
 
 
-def knn_radius(sample: DataFrame, k: int = 3, chunk: int = 1024) -> DataFrame:
+def knn_radius(sample: DataFrame, k: int = 3, chunk: int = 8192) -> DataFrame:
     """``(id, radius2)``: squared distance to the k-th nearest other vector. Units send their k + 1 nearest per vector, one aggregate merges them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
-            ids, found = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for a, _, d in _distance_units(table):
-                near = np.sort(d, axis=1)[:, : k + 1]
-                ids.append(np.repeat(a, near.shape[1]))
-                found.append(near.ravel())
+            ids, found, name, x = [np.zeros(0, np.int64)], [np.zeros(0)], table.column("id").to_numpy(), _vectors(table.column("embedding"))
+            for a, b in _unit_sides(table):
+                for at in range(0, len(a), 128):
+                    some = a[at : at + 128]
+                    d, off = _products(x[some], x[b])
+                    # Those that rounding leaves among the nearest are measured from differences.
+                    near = np.partition(d, k, axis=1)[:, k] if len(b) > k + 1 else np.full(len(some), np.inf)
+                    p, q = np.nonzero(d <= near[:, None] + 2 * off)
+                    exact = _exact(x, some[p], b[q])
+                    order = np.lexsort((exact, p))
+                    first = order[np.arange(len(p)) - np.searchsorted(p[order], p[order]) <= k]  # k + 1 a vector, however many copies it has
+                    ids.append(name[some[p[first]]])
+                    found.append(exact[first])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(found))], names=["id", "d"])
 
     near = in_units(knn_units(sample, k, chunk), run, "id long, d double")
     return near.groupBy("id").agg(F.get(F.array_sort(F.collect_list("d")), k).alias("radius2"))
 
 
-def covered(points: DataFrame, manifold: DataFrame, k: int = 3, chunk: int = 1024) -> float:
+def covered(points: DataFrame, manifold: DataFrame, k: int = 3, chunk: int = 8192) -> float:
     """Share of the points inside some ball around a vector of ``manifold`` that reaches its k-th neighbour.
 
     A point meets the balls of the cells that reach as far as it.
@@ -274,13 +316,16 @@ def covered(points: DataFrame, manifold: DataFrame, k: int = 3, chunk: int = 102
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
             hit = [np.zeros(0, np.int64)]
-            unit, side, ids, value = (table.column(c).to_numpy() for c in ("unit", "side", "id", "value"))
-            x = np.array(table.column("embedding").to_pylist(), float)
-            for u in np.unique(unit):
-                a, b = np.flatnonzero((unit == u) & (side == 0)), np.flatnonzero((unit == u) & (side == 1))
-                for at in range(0, len(a) if len(b) else 0, 128):
-                    gap = x[a[at : at + 128], None, :] - x[None, b, :]
-                    hit.append(ids[a[at : at + 128]][(np.einsum("ijk,ijk->ij", gap, gap) <= value[b][None, :]).any(axis=1)])
+            ids, value, x = table.column("id").to_numpy(), table.column("value").to_numpy(), _vectors(table.column("embedding"))
+            for a, b in _unit_sides(table):
+                for at in range(0, len(a), 128):
+                    some = a[at : at + 128]
+                    d, off = _products(x[some], x[b])
+                    d -= value[b]
+                    inside = (d < -2 * off).any(axis=1)
+                    p, q = np.nonzero((np.abs(d) <= 2 * off) & ~inside[:, None])  # on the border: measured from differences
+                    inside[p[_exact(x, some[p], b[q]) <= value[b[q]]]] = True
+                    hit.append(ids[some[inside]])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(hit)), pa.int64())], names=["id"])
 
     units = pivots.meeting(points.select("id", "embedding").withColumn("reach", F.lit(0.0)), placed.withColumn("value", F.col("radius2")).withColumn("part", _parts(chunks)), margin, chunks)

@@ -577,3 +577,20 @@ def test_units_of_work_are_tasks(spark):
     """Few bytes may be much work: the engine must not put all units of a fuzzy join in one task."""
     plan = similarity.max_similarity(frame(spark, random_seqs(400)), frame(spark, random_seqs(30, 1)), chunk=300)
     assert plan.rdd.getNumPartitions() > 1
+
+
+def test_distances_by_products_are_settled_from_differences(spark):
+    """Far from the origin a matrix product rounds away small distances: copies, and balls that a point just touches, must still count."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(4, 8)), 12, axis=0), rng.normal(size=(60, 8)) * 1e-3]) + 1e4
+    y = np.concatenate([x[::3], rng.normal(size=(30, 8)) * 2e-3 + 1e4])
+    d = lambda p, q: ((p[:, None] - q[None]) ** 2).sum(axis=2)
+    table = lambda v, at: spark.createDataFrame([(at + k, r.tolist()) for k, r in enumerate(v)], "id long, embedding array<double>")
+    expected = np.sort(d(x, x), axis=1)[:, 3]
+    got = {r["id"]: r["radius2"] for r in distributions.knn_radius(table(x, 0), 3, 16).collect()}
+    assert [got[k] for k in range(len(x))] == pytest.approx(expected.tolist(), rel=1e-12, abs=0)
+    assert distributions.covered(table(y, 1000), table(x, 0), 3, 16) == pytest.approx((d(y, x) <= expected[None]).any(axis=1).mean())
+    rows, units = distributions._vector_blocks(table(x, 0), table(y, 1000), 16)
+    assert rows.select("unit").distinct().count() <= units
+    near = lambda p, q: np.exp(-d(p, q) / 2)
+    assert distributions.kernel_sums(table(x - 1e4, 0), table(x - 1e4, 0), 1.0, 16) == pytest.approx(near(x - 1e4, x - 1e4).sum() - len(x))
