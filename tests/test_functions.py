@@ -185,3 +185,32 @@ def test_windowed_moment(spark):
     expected = np.mean([h(seq[k : k + 11]) for k in range(len(seq) - 10)])
     got = spark.createDataFrame([(seq,), ("AC",)], "seq string").select(residues.windowed_moment(F.col("seq"))).collect()
     assert got[0][0] == pytest.approx(expected) and got[1][0] == pytest.approx(h("AC"))
+
+
+def test_repair_takes_the_swaps_of_a_full_table():
+    """Guards are looked at by falling gain only, and the swaps are those of a table of all admissible ones."""
+    rng = np.random.default_rng(8)
+    seqs = sorted({"".join(rng.choice(list("AC"), rng.integers(8, 14))) for _ in range(160)})
+    n = len(seqs)
+    one = lambda: rng.random(n)
+    props = rng.normal(size=(n, 4))
+    c = selection.Candidates(seqs, one(), one(), one(), one(), rng.integers(0, 2, n), props, props)
+    guards = selection.Guards([slice(0, 2), slice(2, 4)], np.zeros(4))
+    start = np.arange(0, n, 4)
+    guards.caps, guards.prob_floor, guards.known_cap = guards.discrepancy(props[start].mean(axis=0)) * 1.3, c.prob[start].mean() - 0.01, c.known[start].mean() + 0.02
+    cap = float(c.mic[start].sum()) * 1.05
+    chosen, report = selection.repair_neighbors(c, start, props, guards, cap)
+
+    def full(part, now, gain):
+        table = np.zeros(gain.shape, bool)
+        for b, s in zip(*np.nonzero(gain)):
+            i, o = part[b], now[s]
+            new = props[now].mean(axis=0) + (props[i] - props[o]) / len(now), c.prob[now].mean() + (c.prob[i] - c.prob[o]) / len(now), c.known[now].mean() + (c.known[i] - c.known[o]) / len(now)
+            table[b, s] = c.region[i] == c.region[o] and c.mic[now].sum() + c.mic[i] - c.mic[o] <= cap and guards.pass_(*new)
+        gain = np.where(table, gain, 0)
+        return int(gain.argmax()) if gain.any() else None
+
+    expected, _ = selection.remove_edges(c, start, np.lexsort((np.array(c.seq), -c.utility)), full, False, 3000)
+    assert report["accepted"] > 3 and chosen.tolist() == expected.tolist()
+    count = [sum(200 * lcs.lcs_long(s, t) > 80 * (len(s) + len(t)) for t in seqs) - 1 for s in seqs]
+    assert selection.neighbor_numbers(seqs).tolist() == count
