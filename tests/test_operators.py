@@ -594,3 +594,23 @@ def test_distances_by_products_are_settled_from_differences(spark):
     assert rows.select("unit").distinct().count() <= units
     near = lambda p, q: np.exp(-d(p, q) / 2)
     assert distributions.kernel_sums(table(x - 1e4, 0), table(x - 1e4, 0), 1.0, 16) == pytest.approx(near(x - 1e4, x - 1e4).sum() - len(x))
+
+
+@pytest.mark.parametrize("most", [1 << 21, 5])
+def test_seed_hits_are_counted_in_units(spark, monkeypatch, most):
+    """Only strings are shuffled: the plan has no join of k-mers, and pairs of many units and small slices are those of a count of all places."""
+    monkeypatch.setattr(align, "HITS", most)
+    rng = np.random.default_rng(31)
+    draw = lambda n, m: sorted({"".join(rng.choice(list("ACD"), rng.integers(1, m))) for _ in range(n)})
+    a, b = draw(40, 30), [*draw(30, 60), "AC" * 50]
+    out = align.seed_pairs(frame(spark, a), frame(spark, b), k=4, band=5, least_hits=2, chunk=11)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    expected = {}
+    for q in a:
+        for t in b:
+            bands = [(i - j) // 5 for i in range(len(q) - 3) for j in range(len(t) - 3) if q[i : i + 4] == t[j : j + 4]]
+            if bands and (n := max(bands.count(x) for x in set(bands))) >= 2:
+                expected[q, t] = n
+    assert {(r["query"], r["target"]): r["hits"] for r in out.collect()} == expected
+    slices = list(align._hits(lcs.Strings(a), lcs.Strings(b), 4, 5))
+    assert {(a[q], b[t]): n for x in slices for q, t, n in zip(*x) if n >= 2} == expected and (len(slices) > 1) == (most == 5)
