@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lcs import lcs_column
 from . import distributions, ranking, sets, similarity
+from .tables import materialize
 
 
 def normalized_mae(df: DataFrame, actual: Sequence[str], target: Sequence[str], scale: Sequence[float]) -> DataFrame:
@@ -31,9 +32,10 @@ def pair_diversity(df: DataFrame, pairs: int = 4000, key: str = "seq", seed: int
 
 def sequence_metrics(seqs: DataFrame, known: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:
     """One row of sequence measures: uniqueness and exact overlap over all rows, similarity measures over a hash sample of n."""
+    seqs, known = materialize(seqs.select("seq"), "seqs"), materialize(known, "known")  # read several times: made once
     total = seqs.agg(F.count("*").alias("rows"), (F.count_distinct("seq") / F.count("*")).alias("unique_fraction"))
     exact = sets.overlap(seqs, known).agg(F.count("*").alias("exact"))
-    sample = ranking.hash_sample(seqs.select("seq").distinct(), "seq", n, seed)
+    sample = materialize(ranking.hash_sample(seqs.select("seq").distinct(), "seq", n, seed), "sample")
     best = similarity.max_similarity(sample, known).agg(
         F.percentile(2 * F.col("best_lcs") / F.col("best_total"), F.lit(0.5)).alias("known_max_median"),
         F.avg((5 * F.col("best_lcs") <= 2 * F.col("best_total")).cast("int")).alias("known_le_fraction"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.residues import ALPHABET, MAX_LENGTH, MIN_LENGTH
 from .similarity import pairs_at_least
-from .tables import lookup
+from .tables import lookup, materialize
 
 
 def _errors(df: DataFrame, checks: dict[str, Column], *keep: str) -> DataFrame:
@@ -23,6 +23,7 @@ def _duplicates(records: DataFrame) -> DataFrame:
 
 def library_errors(records: DataFrame, count: int | None = None, low: int = MIN_LENGTH, high: int = MAX_LENGTH, alphabet: str = ALPHABET) -> DataFrame:
     """``(record, error)`` of ``records (record, header, seq)``; a wrong count is an error of record 0."""
+    records = materialize(records.select("record", "header", "seq"), "records")  # read several times: made once
     seq = F.coalesce("seq", F.lit(""))
     checks = {
         "blank header": F.trim(F.coalesce("header", F.lit(""))) == "",

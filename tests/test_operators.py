@@ -614,3 +614,19 @@ def test_seed_hits_are_counted_in_units(spark, monkeypatch, most):
     assert {(r["query"], r["target"]): r["hits"] for r in out.collect()} == expected
     slices = list(align._hits(lcs.Strings(a), lcs.Strings(b), 4, 5))
     assert {(a[q], b[t]): n for x in slices for q, t, n in zip(*x) if n >= 2} == expected and (len(slices) > 1) == (most == 5)
+
+
+def test_records_are_made_once(spark):
+    """What the checks read several times is a table in the shared folder: an expensive column is computed once a row, and errors stay the same."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def letters(text):
+        made.add(1)
+        return text
+
+    rows = spark.createDataFrame([(k, str(k), s) for k, s in enumerate(["ACDEFGHIK", "ACDEFGHIK", "A", "", "Z" * 9])], "record long, header string, text string")
+    records = rows.select("record", "header", letters("text").alias("seq"))
+    got = {(r["record"], r["error"]) for r in validate.library_errors(records).collect()}
+    assert got == {(0, "duplicate"), (1, "duplicate"), (2, "too short"), (3, "empty sequence"), (4, "illegal letter")}
+    assert made.value == rows.count()
