@@ -467,6 +467,26 @@ def test_tracebacks_of_long_and_gapped_pairs(monkeypatch, directions):
     assert far[0][2:5] == (15, 3, 3) and far[0][-1] == "3M"
 
 
+@pytest.mark.parametrize("row", [1 << 15, 300])
+def test_swept_alignments_match_those_of_pairs(monkeypatch, row):
+    """Each query meets blocks of targets at once, and no list of pairs; pairs beyond the blocks' numbers go the former way."""
+    monkeypatch.setattr(align, "ROW", row)
+    rng = np.random.default_rng(14)
+    base = "".join(rng.choice(list("ACDEFGH"), 120))
+    change = lambda s: "".join(c if rng.random() < 0.9 else rng.choice(["", "W", c + "KLMNPQ"]) for c in s)
+    draw = lambda n, high: {"".join(rng.choice(list("ACD"), rng.integers(1, high))) for _ in range(n)}
+    q, t = lcs.Strings(sorted(draw(30, 40) | {change(base[k : k + 50]) for k in range(0, 60, 6)})), lcs.Strings(sorted(draw(30, 60) | {"W", *(change(base) for _ in range(10))}))
+    rows = lambda batches: sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
+    p, r = np.divmod(np.arange(len(q) * len(t)), len(t))
+    expected = rows(align.alignment_rows(q, t, p, r, align.match_score()))
+    assert any("I" in x[-1] for x in expected) and any("D" in x[-1] for x in expected)
+    with monkeypatch.context() as m:
+        m.setattr(align, "alignment_rows", None)
+        assert rows(align.all_rows(q, t, align.match_score())) == expected
+    monkeypatch.setattr(align, "TABLE", 1500)
+    assert rows(align.all_rows(q, t, align.match_score())) == expected
+
+
 def test_feature_queries_give_values(spark, tmp_path):
     x = np.random.default_rng(8).normal(size=(60, 5))
     spark.createDataFrame([(k, v.tolist(), k % 2) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
