@@ -214,3 +214,32 @@ def test_repair_takes_the_swaps_of_a_full_table():
     assert report["accepted"] > 3 and chosen.tolist() == expected.tolist()
     count = [sum(200 * lcs.lcs_long(s, t) > 80 * (len(s) + len(t)) for t in seqs) - 1 for s in seqs]
     assert selection.neighbor_numbers(seqs).tolist() == count
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+@pytest.mark.parametrize("measured", [1 << 15, 7])
+def test_only_pairs_that_share_letters_are_measured(monkeypatch, percent, measured):
+    """The pairs at a threshold are those of all pairs; none is swept over where few share enough letters, also where the bits can't hold all letters."""
+    monkeypatch.setattr(lcs, "MEASURED", measured)
+    rng = np.random.default_rng(41)
+    letters = list("ACDEFGHIKLMNPQRSTVWY")
+    draw = lambda n, low, high: ["".join(rng.choice(letters, rng.integers(low, high))) for _ in range(n)]
+    first = draw(60, 1, 50) + ["A" * k for k in range(40, 64, 5)] + ["", "W" * 64, "AC" * 32]
+    change = lambda s: "".join(c for c in s if rng.random() < 0.9) + str(rng.choice(letters))
+    second = sorted({change(s) for s in first} | set(draw(40, 1, 90)) | {"A" * 100, "W" * 70, "AC" * 45})
+    first = sorted(set(first))
+    for a, b in ((first, second), (second, None)):
+        other = a if b is None else b
+        expected = set()
+        for i, x in enumerate(a):
+            for j, y in enumerate(other):
+                n = lcs.lcs_long(x, y)
+                if (b is not None or i < j) and 200 * n >= percent * (len(x) + len(y)):
+                    expected.add((i, j, n))
+        with monkeypatch.context() as m:
+            if percent > 50:
+                m.setattr(lcs, "DENSE", 1.0)
+                m.setattr(lcs.Words, "sweep", None)
+            i, j, n = lcs.near_pairs(lcs.Strings(a), None if b is None else lcs.Strings(b), percent)
+        found = [(min(x, y), max(x, y), z) if b is None else (x, y, z) for x, y, z in zip(i.tolist(), j.tolist(), n.tolist())]
+        assert len(found) == len(set(found)) and set(found) == expected
