@@ -243,3 +243,19 @@ def test_only_pairs_that_share_letters_are_measured(monkeypatch, percent, measur
             i, j, n = lcs.near_pairs(lcs.Strings(a), None if b is None else lcs.Strings(b), percent)
         found = [(min(x, y), max(x, y), z) if b is None else (x, y, z) for x, y, z in zip(i.tolist(), j.tolist(), n.tolist())]
         assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_distances_follow_swaps():
+    """After one or two swaps the kept distances are those of the columns measured anew, also for repeated values and a value that comes and goes."""
+    rng = np.random.default_rng(43)
+    props, reference = rng.integers(0, 12, (80, 4)) / 4, rng.integers(0, 15, (50, 4)) / 4
+    chosen = rng.permutation(80)[:20]
+    spread = selection.Spread(props, reference)
+    for step in range(30):
+        assert np.allclose(spread.start(chosen), selection.wasserstein_columns(props[chosen], reference)[0], atol=1e-12)
+        slots = rng.permutation(20)[: 1 + step % 2]
+        into = rng.permutation(np.setdiff1d(np.arange(80), chosen))[: len(slots)]
+        new = chosen.copy()
+        new[slots] = into
+        assert np.allclose(spread.after(chosen[slots], into), selection.wasserstein_columns(props[new], reference)[0], atol=1e-12)
+        chosen = new
