@@ -617,7 +617,8 @@ def kmeans_regions(spark, d):
 def property_regions(spark, d):
     """Regions of the candidates on their properties, each scaled to the known collection's mean and deviation."""
     props = lambda df: df.select("seq", *(c.alias(k) for k, c in R.properties(F.col("seq")).items()))
-    rows, ref = props(distinct_candidates(spark, d)), props(known(spark, d).select("seq").distinct())
+    # Scaling, fit and placing read both tables several times: texts are read once.
+    rows, ref = (tables.materialize(props(x), "properties") for x in (distinct_candidates(spark, d), known(spark, d).select("seq").distinct()))
     scaled_rows, scaled_ref = learn.scaled_properties(rows, ref), learn.scaled_properties(ref, ref)
     (placed,), weights = learn.regions(scaled_ref, [scaled_rows], most=24)
     return placed.join(weights, "region").select("seq", "region", r6(F.col("weight")).alias("weight"))

@@ -650,3 +650,16 @@ def test_records_are_made_once(spark):
     got = {(r["record"], r["error"]) for r in validate.library_errors(records).collect()}
     assert got == {(0, "duplicate"), (1, "duplicate"), (2, "too short"), (3, "empty sequence"), (4, "illegal letter")}
     assert made.value == rows.count()
+
+
+def test_region_properties_are_made_once(spark, monkeypatch, tmp_path):
+    """Texts are read into the properties of both tables once, whatever reads these."""
+    made, write = [], catalogue.tables.materialize
+    monkeypatch.setattr(catalogue.tables, "materialize", lambda df, name: made.append(name) or write(df, name))
+    rng = np.random.default_rng(47)
+    texts = ["".join(rng.choice(list("ACDEFGHIKL"), rng.integers(8, 30))) for _ in range(120)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 0, t[::-1]) for k, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = catalogue.QUERIES["property_regions"](spark, str(tmp_path)).collect()
+    assert made == ["properties", "properties"] and sorted(r["seq"] for r in rows) == sorted(set(texts))
