@@ -259,3 +259,24 @@ def test_distances_follow_swaps():
         new[slots] = into
         assert np.allclose(spread.after(chosen[slots], into), selection.wasserstein_columns(props[new], reference)[0], atol=1e-12)
         chosen = new
+
+
+@pytest.mark.parametrize("least", [None, 3000.0])
+def test_projection_of_many_cells(least):
+    """Cells that are settled early do not move the shift: the point is feasible and none of a bisection over all cells is nearer."""
+    rng = np.random.default_rng(53)
+    capacity, x, hit = rng.integers(1, 40, 900).astype(float), rng.normal(5, 30, 900), rng.random(900) < 0.3
+    problem = selection.CellProblem(capacity, np.zeros(900), np.zeros((0, 900)), np.zeros(0), np.zeros(0), 5000.0, hit, least)
+    y = problem.project(x)
+
+    def onto(v, capacity, total):
+        low, high = (v - capacity).min(), v.max()
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.clip(v - mid, 0, capacity).sum() > total else (low, mid)
+        return np.clip(v - high, 0, capacity)
+
+    z = onto(x, capacity, 5000.0)
+    if least is not None and z[hit].sum() < least:
+        z[hit], z[~hit] = onto(x[hit], capacity[hit], least), onto(x[~hit], capacity[~hit], 5000.0 - least)
+    assert np.allclose(y, z, atol=1e-9) and abs(y.sum() - 5000) < 1e-6
