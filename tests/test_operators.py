@@ -663,3 +663,36 @@ def test_region_properties_are_made_once(spark, monkeypatch, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = catalogue.QUERIES["property_regions"](spark, str(tmp_path)).collect()
     assert made == ["properties", "properties"] and sorted(r["seq"] for r in rows) == sorted(set(texts))
+
+
+def test_bests_are_swept_in_whole_chunks(spark, monkeypatch):
+    """A step over a few strings costs as much as one over thousands: the left side is not cut to make tasks, the reference is."""
+    real = similarity._chunked
+    sizes = []
+    monkeypatch.setattr(similarity, "_chunked", lambda *a: sizes.append(real(*a)) or sizes[-1])
+    monkeypatch.setattr(similarity, "SMALL_LETTERS", 1)
+    left, ref = random_seqs(2000), random_seqs(900, 1)
+    got = {r["seq"]: (r["best_lcs"], r["best_total"], r["best"]) for r in similarity.max_similarity(frame(spark, left), frame(spark, ref)).collect()}
+    assert [sum(x[2] for x in s) for _, s in sizes] == [1, 4]  # all of the left side, and references of LEAST_CHUNK strings
+    at, n, total, _ = lcs.best_of(lcs.Strings(left), lcs.Strings(sorted(ref)))
+    assert got == {s: (n[k], total[k], sorted(ref)[at[k]]) for k, s in enumerate(left)}
+
+
+def test_texts_of_a_selection_are_read_once(spark, monkeypatch):
+    """The known sequences and the labelled ones are each made once, and properties are not computed behind a limit."""
+    plans = []
+    real = tables.materialize
+
+    def materialize(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, name)
+
+    for module in (catalogue.tables, catalogue.selection, catalogue.similarity):
+        monkeypatch.setattr(module, "materialize", materialize)
+    c, rp, *_ = catalogue._selection(spark, "/root/testdata/sf0.001")
+    assert [name for name, plan in plans if "regexp_replace" in plan] == ["known", "labelled"]
+    assert not any("Limit" in plan for _, plan in plans)
+    assert c.seq == sorted(c.seq) and c.props.shape == c.embedding.shape == (len(c.seq), 4) and len(rp)
+    assert [tuple(r) for r in spark.createDataFrame([(x,) for x in c.seq], "seq string").select(*residues.properties(F.col("seq")).values()).collect()] == [tuple(r) for r in c.props.tolist()]
+    with pytest.raises(ValueError, match="too many"):
+        catalogue.selection.gathered(spark.range(3), "id", 2, "too many")
