@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import materialize
 
 MOST_SETTINGS = 10_000
+#: Bits that monotonically_increasing_id gives to a row's place in its partition.
+PLACE = 33
 
 
 def value_ranks(df: DataFrame, column: str, slices: int = 64) -> DataFrame:
@@ -109,24 +112,21 @@ def hash_halves(df: DataFrame, key: str, seed: int = 42) -> tuple[DataFrame, Dat
     return df.where(half == 0), df.where(half == 1)
 
 
-def numbered(df: DataFrame, key: str, out: str, slices: int = 64) -> DataFrame:
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
     """``df`` with ``out``: its rows' numbers from 0 in the order of the key (of equal keys in any order; nulls are one key, the least).
 
-    Two levels, as for ranks: keys are counted, their running sums taken inside slices whose borders are data, and rows of
-    one key numbered among themselves, dealt over 64 salts. So the numbers do not depend on how a plan deals the rows.
+    One shuffle by ranges of the key (a key of many rows is cut by a hash of the row), written with each row's partition and
+    place; the partitions' counts, a row each, give where they start. So the numbers do not depend on how a plan deals the rows.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-    counts = salted.groupBy(F.col(key).alias("_key"), "_salt").agg(F.count("*").alias("cnt"))
-    inside = F.sum("cnt").over(Window.partitionBy("_key").orderBy("_salt")) - F.col("cnt")  # at most 64 rows a key
-    keys = counts.groupBy("_key").agg(F.sum("cnt").alias("cnt"))
-    some = _prefix(keys.where(F.col("_key").isNotNull()), "_key", slices).select(F.col("_key").alias("_k"), F.col("before").alias("_before"))
-    nulls = F.broadcast(keys.agg(F.coalesce(F.max(F.when(F.col("_key").isNull(), F.col("cnt"))), F.lit(0)).alias("_nulls")))  # one row
-    base = counts.withColumn("_inside", inside).join(some, F.col("_key") == F.col("_k"), "left").crossJoin(nulls)
-    start = F.when(F.col("_key").isNull(), F.col("_inside")).otherwise(F.col("_nulls") + F.col("_before") + F.col("_inside"))
-    base = base.select("_key", F.col("_salt").alias("_s"), start.alias("_start"))
-    within = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(F.lit(0))) - 1
-    rows = salted.withColumn("_within", within).join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_s")))
-    return rows.withColumn(out, (F.col("_start") + F.col("_within")).cast("long")).drop("_salt", "_s", "_within", "_key", "_start")
+    mixed = F.xxhash64(*df.columns)
+    sorted_ = df.repartitionByRange(F.col(key), mixed).sortWithinPartitions(F.col(key), mixed)
+    # The id's upper bits are the partition, the lower PLACE ones the place in it.
+    placed = materialize(sorted_.withColumn("_place_at", F.monotonically_increasing_id()), "placed").withColumn("_place_part", F.shiftright("_place_at", PLACE))
+    before = Window.orderBy("_place_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_place_part").agg(F.count("*").alias("_place_n"))
+    starts = counts.select("_place_part", F.coalesce(F.sum("_place_n").over(before), F.lit(0)).alias("_place_start"))
+    rows = placed.join(F.broadcast(starts), "_place_part")
+    return rows.withColumn(out, (F.col("_place_start") + F.col("_place_at").bitwiseAND(F.lit((1 << PLACE) - 1))).cast("long")).drop("_place_at", "_place_part", "_place_start")
 
 
 def hash_sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -37,7 +37,7 @@ def write_fasta(df: DataFrame, path: str, key: str = "seq", form: str = "p%08d",
 def write_fasta_parts(df: DataFrame, path: str, key: str = "seq", form: str = "p%08d", offset: int = 0, partitions: int | None = None) -> None:
     """A folder of parts that read one after the other as :func:`write_fasta` writes them, with the same ids, by tasks: nothing passes the driver.
 
-    Rows are numbered in the order of the key by two-level counts and dealt by ranges of their numbers.
+    Rows are numbered in the order of the key and dealt by ranges of their numbers.
     """
     rows = numbered(df.select(key), key, "_at")
     record = F.format_string(f">{form}\n%s", F.col("_at") + offset, F.col(key))

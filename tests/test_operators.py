@@ -696,3 +696,17 @@ def test_texts_of_a_selection_are_read_once(spark, monkeypatch):
     assert [tuple(r) for r in spark.createDataFrame([(x,) for x in c.seq], "seq string").select(*residues.properties(F.col("seq")).values()).collect()] == [tuple(r) for r in c.props.tolist()]
     with pytest.raises(ValueError, match="too many"):
         catalogue.selection.gathered(spark.range(3), "id", 2, "too many")
+
+
+def test_numbers_take_one_shuffle(spark):
+    """Rows are numbered where a shuffle by ranges puts them: no join of the rows with their keys, and no window over rows or keys."""
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("k"), F.lit("x").alias("_at")).repartition(7)
+    plan = ranking.numbered(rows, "k", "n")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+    assert [(r["n"], r["_at"]) for r in plan.orderBy("k").collect()] == [(k, "x") for k in range(3000)]
+    hot = spark.createDataFrame([(None if k % 3 == 0 else 5 if k % 3 == 1 else k, k) for k in range(3000)], "k int, v int")
+    got = ranking.numbered(hot, "k", "_at").toPandas().sort_values("_at")
+    assert got["_at"].tolist() == list(range(3000)) and got["k"].isna().tolist() == [True] * 1000 + [False] * 2000
+    assert got["k"].dropna().is_monotonic_increasing and sorted(got["v"]) == list(range(3000))
+    assert ranking.numbered(hot.limit(0), "k", "n").count() == 0
