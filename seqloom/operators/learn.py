@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import z_score
-from ..functions.vectors import RandomFeatures
+from ..functions.vectors import REACH, SIDE, STEP, RandomFeatures, lattice_sums
 from .distributions import moments, squared_distance
 from .ranking import running
 from .tables import in_units, materialize, whole_units
@@ -127,11 +127,44 @@ def random_features(df: DataFrame, fit: RandomFeatures, column: str = "embedding
     return df.withColumn(out, apply(column))
 
 
+#: Distinct vectors from which a lattice is faster than all pairs, and columns up to which it is made.
+LATTICE_ROWS, LATTICE_COLUMNS = 1 << 16, 4
+
+
+def _lattice_densities(vectors: DataFrame, keys: list[str], mean: np.ndarray, width: np.ndarray) -> DataFrame:
+    """``(*keys, density)`` by a lattice: each vector goes to the tiles within its reach, whose nodes' sums come back. Work grows with the vectors, not with their pairs."""
+    d = len(keys)
+    z = [F.greatest(F.lit(-1e9), F.least(F.lit(1e9), (F.col(k) - F.lit(float(m))) / F.lit(float(w)))).alias(f"z{k}") for k, m, w in zip(keys, mean, width)]
+    vectors = materialize(vectors.select(F.monotonically_increasing_id().alias("id"), *keys, "weight", *z), "numbered")
+    tiles = vectors.select("id", "weight", *(f"z{k}" for k in keys))
+    for n, k in enumerate(keys):
+        low, high = (F.floor(f((F.col(f"z{k}") + x) / STEP) / SIDE) for f, x in ((F.ceil, -REACH), (F.floor, REACH)))
+        tiles = tiles.withColumn(f"t{n}", F.explode(F.sequence(low, high)))
+    first = lambda n: F.col(f"t{n}") * (SIDE * STEP)
+    away = [F.greatest(first(n) - F.col(f"z{k}"), F.col(f"z{k}") - first(n) - (SIDE - 1) * STEP, F.lit(0.0)) for n, k in enumerate(keys)]
+    tiles = tiles.where(sum((x * x for x in away), F.lit(0.0)) <= REACH * REACH + 1e-6)
+    tiles = tiles.withColumn("unit", F.xxhash64(*(f"t{n}" for n in range(d))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_units(batches):
+            ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
+            at = np.column_stack([table.column(f"t{n}").to_numpy() for n in range(d)])
+            x = np.column_stack([table.column(f"z{k}").to_numpy() for k in keys])
+            order = np.lexsort((ids, *at.T))  # in a fixed order, so that sums repeat
+            for some in np.split(order, np.flatnonzero((np.diff(at[order], axis=0) != 0).any(axis=1)) + 1):
+                if weight[some].any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(lattice_sums(x[some], weight[some], at[some[0]]))], names=["id", "part"])
+
+    parts = in_units(tiles, run, "id long, part double", tiles.sparkSession.sparkContext.defaultParallelism * 4)
+    dense = parts.groupBy("id").agg(F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda s, v: s + v).alias("density"))
+    return vectors.join(dense, "id", "left").select(*keys, F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
 def conformity_scores(df: DataFrame, reference: DataFrame, columns: list[str], out: str = "conformity", chunk: int = 8192) -> DataFrame:
     """Density conformity to all rows of ``reference``: the share of them that is no denser; null where a column is null.
 
-    Densities are Gaussian product kernels with Silverman's bandwidth, summed in units of chunk pairs, once for each
-    distinct vector; ranks are two-level sums over the densities.
+    Densities are Gaussian product kernels with Silverman's bandwidth, once for each distinct vector: summed in units of
+    chunk pairs, or of many vectors with few columns in tiles of a lattice; ranks are two-level sums over the densities.
     """
     d, keys = len(columns), [f"_{k}" for k in range(len(columns))]
     values = [F.col(c).cast("double").alias(k) for c, k in zip(columns, keys)]
@@ -163,7 +196,8 @@ def conformity_scores(df: DataFrame, reference: DataFrame, columns: list[str], o
                     total[k : k + 256] = np.exp(gap, out=gap) @ weight[b]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[a, c]) for c in range(d)), pa.array(total)], names=[*keys, "part"])
 
-    n = [max(1, -(-t.count() // chunk)) for t in (vectors, vectors.where("weight > 0"))]
+    sizes = [t.count() for t in (vectors, vectors.where("weight > 0"))]
+    n = [max(1, -(-x // chunk)) for x in sizes]
     at = lambda k: F.pmod(F.xxhash64(*keys), F.lit(n[k]))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(n[k] - 1)))
     left = vectors.select(at(0).alias("i"), every(1).alias("j"), F.lit(0).alias("side"), *keys, "weight")
@@ -171,6 +205,8 @@ def conformity_scores(df: DataFrame, reference: DataFrame, columns: list[str], o
     blocks = left.unionByName(right).select((F.col("i") * n[1] + F.col("j")).cast("long").alias("unit"), "side", *keys, "weight")
     parts = in_units(blocks, run, ", ".join(f"{k} double" for k in keys) + ", part double")
     dense = parts.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda s, v: s + v).alias("density"))
+    if sizes[1] >= LATTICE_ROWS and d <= LATTICE_COLUMNS:
+        dense = _lattice_densities(vectors, keys, mean, width)
     placed = materialize(vectors.join(dense, keys), "densities")
     ranks = running(placed.groupBy("density").agg(F.sum("weight").alias("n")), "density", ["n"])
     done = placed.join(ranks.select("density", (F.col("n_upto") / F.col("n_total")).alias(out)), "density").select(*keys, out)

@@ -710,3 +710,23 @@ def test_numbers_take_one_shuffle(spark):
     assert got["_at"].tolist() == list(range(3000)) and got["k"].isna().tolist() == [True] * 1000 + [False] * 2000
     assert got["k"].dropna().is_monotonic_increasing and sorted(got["v"]) == list(range(3000))
     assert ranking.numbered(hot.limit(0), "k", "n").count() == 0
+
+
+@pytest.mark.parametrize("d", [1, 2, 4])
+def test_conformity_on_a_lattice(spark, monkeypatch, d):
+    """Many vectors are summed over tiles of a lattice, whose rows grow with the vectors; the densities are those of all pairs."""
+    rng = np.random.default_rng(d)
+    ref = np.concatenate([rng.normal(size=(400, d)), rng.normal(size=(60, d)) * 4 + 3, np.full((20, d), 0.5)])
+    new = np.concatenate([rng.normal(size=(90, d)) * 2, np.full((1, d), 1e7)])
+    keys = [f"c{k}" for k in range(d)]
+    table = lambda x: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id long, " + ", ".join(f"{k} double" for k in keys))
+    used, real = [], learn._lattice_densities
+    monkeypatch.setattr(learn, "LATTICE_ROWS", 1)
+    monkeypatch.setattr(learn, "_lattice_densities", lambda *a: used.append(real(*a)) or used[-1])
+    got = {r["id"]: r["conformity"] for r in learn.conformity_scores(table(new), table(ref), keys).collect()}
+    assert len(used) == 1 and [got[k] for k in range(len(new))] == vectors.conformity(new, ref).tolist() and got[90] == 0
+    width = np.maximum(ref.std(axis=0), 1e-12) * (len(ref) * (d + 2) / 4) ** (-1 / (d + 4)) * np.sqrt(2)
+    dense = {tuple(r[k] for k in range(d)): r["density"] for r in used[0].toDF(*keys, "density").collect()}
+    x = np.array(list(dense))
+    exact = np.exp(-(((x[:, None] - ref[None]) / width) ** 2).sum(axis=2)).sum(axis=1)
+    assert np.allclose(list(dense.values()), exact, rtol=1e-12, atol=1e-15)
