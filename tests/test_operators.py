@@ -487,6 +487,36 @@ def test_swept_alignments_match_those_of_pairs(monkeypatch, row):
     assert rows(align.all_rows(q, t, align.match_score())) == expected
 
 
+@pytest.mark.parametrize("rule", [align.match_score(), align.match_score(2, -9), lambda a, b: 6 - abs(ord(a) - ord(b)) * 3])
+def test_few_pairs_need_a_table_with_gaps(monkeypatch, rule):
+    """Pairs are aligned without gaps first; only those that may do better with gaps get such a table, and no result differs."""
+    rng = np.random.default_rng(15)
+    draw = lambda n, low, high: sorted({"".join(rng.choice(list("ACDEFGHIKLMN"), rng.integers(low, high))) for _ in range(n)})
+    q, t = draw(60, 8, 40), draw(60, 1, 40)
+    t = sorted({*t, *(x[:12] + "WW" + x[12:] for x in q[:10]), *(x[:8] + x[10:] + "Y" for x in q[10:20]), *(x[:9] + "W" + x[9:16] + "WYW" + x[16:] for x in q[20:40])})
+    seen, table = [], align._table
+    monkeypatch.setattr(align, "_table", lambda qs, ts, *x: seen.append(qs.shape[1]) or table(qs, ts, *x))
+    monkeypatch.setattr(align, "local_alignments", None)
+    monkeypatch.setattr(align, "HELD", 100)
+    rows = [x for b in align.all_rows(lcs.Strings(q), lcs.Strings(t), rule) for x in zip(*(c.to_pylist() for c in b.columns))]
+    each = {(a, b): align.local_alignment(a, b, rule) for a in q for b in t}
+    assert sorted(x[:-1] for x in rows) == sorted((a, b, *x, len(a), len(b)) for (a, b), x in each.items() if x[0])
+    assert any("I" in x[-1] for x in rows) and any("D" in x[-1] for x in rows)
+    assert all(sum(int(n) for n in re.findall(r"\d+", x[-1])) == x[4] for x in rows)
+    if rule("A", "A") == 5:
+        assert sum(seen) < 0.5 * len(each)
+
+
+def test_chunks_of_long_strings_have_no_more_letters(spark, monkeypatch):
+    """Where work goes with letters, the longest strings are no chunk of as many strings: it would be one task with most of the work."""
+    monkeypatch.setattr(similarity, "LEAST_CHUNK", 1)
+    rng = np.random.default_rng(16)
+    refs = sorted({"".join(rng.choice(list("ACDE"), n)) for n in [*rng.integers(8, 20, 300), *[900] * 40]})
+    rows, _ = similarity._chunked(frame(spark, refs), "seq", 40, 8, even=True)
+    letters = [r["n"] for r in rows.groupBy("band", "at").agg(F.sum(F.length("seq")).alias("n")).collect()]
+    assert sum(letters) == sum(map(len, refs)) and max(letters) < 0.25 * sum(letters)
+
+
 def test_feature_queries_give_values(spark, tmp_path):
     x = np.random.default_rng(8).normal(size=(60, 5))
     spark.createDataFrame([(k, v.tolist(), k % 2) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
