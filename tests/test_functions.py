@@ -280,3 +280,39 @@ def test_projection_of_many_cells(least):
     if least is not None and z[hit].sum() < least:
         z[hit], z[~hit] = onto(x[hit], capacity[hit], least), onto(x[~hit], capacity[~hit], 5000.0 - least)
     assert np.allclose(y, z, atol=1e-9) and abs(y.sum() - 5000) < 1e-6
+
+
+def test_features_are_made_for_the_rows_asked_for(monkeypatch):
+    """No table of all features is held, and means are those of the whole table."""
+    rng = np.random.default_rng(20)
+    props = rng.normal(size=(500, 4))
+    fit, cuts = vectors.RandomFeatures.fit(props, 42), [np.quantile(props[:, j], np.linspace(0.005, 0.995, 33)) for j in range(4)]
+    features = selection.Features(props, fit, cuts)
+    whole = np.column_stack([fit(props), *((props[:, j, None] <= t).astype(float) for j, t in enumerate(cuts))])
+    every = features[np.arange(500)]
+    assert np.allclose(every, whole, atol=1e-12) and (features[7] == every[7]).all() and (features[np.array([3, 499])] == every[[3, 499]]).all()
+    seen, take = [], selection.Features.__getitem__
+    monkeypatch.setattr(selection, "HELD", 64)
+    monkeypatch.setattr(selection.Features, "__getitem__", lambda self, rows: seen.append(np.size(rows)) or take(self, rows))
+    rows = rng.permutation(500)[:301]
+    assert (selection.mean_of(features, rows) == every[rows].mean(axis=0)).all() and max(seen) == 64
+
+
+def test_members_are_swept_and_degrees_come_from_outside(monkeypatch):
+    """Nothing lists the pairs of a block with all members, and edges are counted by the function that is given."""
+    rng = np.random.default_rng(21)
+    draw = lambda n, high: ["".join(rng.choice(list("ACDE"), rng.integers(1, high))) for _ in range(n)]
+    seqs, others = draw(60, 30) + draw(4, 120), draw(30, 90) + ["WWWW"]
+    members = selection.Members(seqs, block=16)
+    for slot in (0, 17, 63):
+        seqs[slot] = f"{others[slot % 30]}K"
+        members.put(slot, seqs[slot])
+    assert (members.near(others) == selection.near_table(others, seqs)).all() and members.near(others).any()
+    c, _ = pool(400)
+    start, order = np.arange(0, 400, 4)[: len(c.seq) // 4], np.arange(len(c.seq))
+    expected, counted = selection.repair_zero_edge(c, start, order), []
+    count, shapes, table = selection.neighbor_numbers, [], selection.near_table
+    monkeypatch.setattr(selection, "near_table", lambda a, b, *x: shapes.append(len(b)) or table(a, b, *x))
+    monkeypatch.setattr(selection, "neighbor_numbers", None)
+    got = selection.repair_zero_edge(c, start, order, degrees=lambda s: counted.append(len(s)) or count(s))
+    assert got[0].tolist() == expected[0].tolist() and got[1] == expected[1] and counted == [len(start)] and max(shapes, default=1) == 1
