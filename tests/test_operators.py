@@ -507,6 +507,21 @@ def test_few_pairs_need_a_table_with_gaps(monkeypatch, rule):
         assert sum(seen) < 0.5 * len(each)
 
 
+def test_pairs_are_not_padded_to_the_longest(monkeypatch):
+    """A few long targets make no large tables of all other pairs."""
+    rng = np.random.default_rng(17)
+    draw = lambda n: "".join(rng.choice(list("ACDEFGH"), n))
+    q, t = lcs.Strings([draw(n) for n in rng.integers(8, 40, 40)]), lcs.Strings([draw(n) for n in [*rng.integers(8, 60, 39), 900]])
+    p, r = np.divmod(np.arange(1600), 40)
+    cells, table = [], align._table
+    monkeypatch.setattr(align, "_table", lambda qs, ts, *x: cells.append(qs.size * len(ts)) or table(qs, ts, *x))
+    rows = {x[:2]: x[2:9] for b in align.alignment_rows(q, t, p, r, align.match_score()) for x in zip(*(c.to_pylist() for c in b.columns))}
+    assert sum(cells) < 2.5 * (q.size[p] * t.size[r]).sum()
+    for k in rng.permutation(1600)[:60].tolist():
+        a, b = q.strings[p[k]], t.strings[r[k]]
+        assert rows.get((a, b), (0,) * 7) == align.local_alignment(a, b, align.match_score())
+
+
 def test_chunks_of_long_strings_have_no_more_letters(spark, monkeypatch):
     """Where work goes with letters, the longest strings are no chunk of as many strings: it would be one task with most of the work."""
     monkeypatch.setattr(similarity, "LEAST_CHUNK", 1)
