@@ -316,3 +316,18 @@ def test_members_are_swept_and_degrees_come_from_outside(monkeypatch):
     monkeypatch.setattr(selection, "neighbor_numbers", None)
     got = selection.repair_zero_edge(c, start, order, degrees=lambda s: counted.append(len(s)) or count(s))
     assert got[0].tolist() == expected[0].tolist() and got[1] == expected[1] and counted == [len(start)] and max(shapes, default=1) == 1
+
+
+@pytest.mark.parametrize("first", [1, 256])
+def test_a_pair_is_swept_once_for_both_sides(monkeypatch, first):
+    monkeypatch.setattr(lcs, "FIRST", first)
+    rng = np.random.default_rng(22)
+    draw = lambda n, letters: sorted({"".join(rng.choice(list(letters), rng.integers(1, 60))) for _ in range(n)})
+    a, b = lcs.Strings([*draw(90, "ACDE"), "WWW"]), lcs.Strings([*draw(70, "ACDEFG"), "ACAC"])
+    swept, sweep = [], lcs.Words.sweep
+    monkeypatch.setattr(lcs.Words, "sweep", lambda self, others, limit: swept.append(len(self.start) * len(others)) or sweep(self, others, limit))
+    got = lcs.bests_of_both(a, b, 60)
+    assert sum(swept) <= len(a) * len(b) + first * len(b)
+    for (n, t, near), (x, y) in zip(got, ((a, b), (b, a))):
+        at, one, total, many = lcs.best_of(x, y, 60)
+        assert (n * total == one * t).all() and near.tolist() == many.tolist() and many.any()
